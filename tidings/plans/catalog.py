@@ -84,3 +84,53 @@ def merged_label_batches(spark, sf_dir):
 @register("merge_file_stats")
 def merge_file_stats(spark, sf_dir):
     return L.merge_file_stats(V.label_batches(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- market series
+
+MIN_ORDERS_PER_DAY = 3  # days with fewer orders become price gaps (forward-filled)
+
+
+def _combined(spark, sf_dir, by_segment=False) -> DataFrame:
+    signal = V.daily_signal(spark, sf_dir, by_segment=by_segment)
+    prices = V.daily_prices(spark, sf_dir, by_segment=by_segment, min_orders=MIN_ORDERS_PER_DAY)
+    returns = S.daily_returns(prices)
+    return S.combine(signal, returns, series_cols="series", on_symbol="symbol")
+
+
+@register("market_combined")
+def market_combined(spark, sf_dir):
+    return rounded(_combined(spark, sf_dir))
+
+
+@register("market_stats")
+def market_stats(spark, sf_dir):
+    return rounded(S.market_stats(_combined(spark, sf_dir)))
+
+
+@register("segment_market_stats")
+def segment_market_stats(spark, sf_dir):
+    return rounded(S.market_stats(_combined(spark, sf_dir, by_segment=True)))
+
+
+@register("lag_correlations")
+def lag_correlations(spark, sf_dir):
+    return rounded(S.lag_correlations(_combined(spark, sf_dir, by_segment=True)))
+
+
+@register("segment_returns")
+def segment_returns(spark, sf_dir):
+    prices = V.daily_prices(spark, sf_dir, by_segment=True, min_orders=MIN_ORDERS_PER_DAY)
+    return rounded(S.daily_returns(prices))
+
+
+@register("returns_date_slice")
+def returns_date_slice(spark, sf_dir):
+    r = S.daily_returns(V.daily_prices(spark, sf_dir, by_segment=True, min_orders=MIN_ORDERS_PER_DAY))
+    return rounded(S.price_range(r, start="1996-01-01", end="1997-01-01"))
+
+
+@register("returns_trailing_period")
+def returns_trailing_period(spark, sf_dir):
+    r = S.daily_returns(V.daily_prices(spark, sf_dir, by_segment=True, min_orders=MIN_ORDERS_PER_DAY))
+    return rounded(S.price_range(r, period_days=365))

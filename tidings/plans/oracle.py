@@ -142,3 +142,104 @@ tot AS (SELECT src_file AS file, count(DISTINCT article_id) AS labels_in_file FR
 SELECT t.file, t.labels_in_file, CAST(coalesce(n.new_labels, 0) AS BIGINT) AS new_labels,
        t.labels_in_file - coalesce(n.new_labels, 0) AS duplicates
 FROM tot t LEFT JOIN newc n ON n.file = t.file"""
+
+
+# ---------------------------------------------------------------- market series
+
+def corr(x: str, y: str) -> str:
+    """Population correlation over pairs with both sides present; NULL when a
+    side is constant or fewer than two pairs exist."""
+    both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
+    den = f"(stddev_pop({x}) FILTER (WHERE {both}) * stddev_pop({y}) FILTER (WHERE {both}))"
+    return f"round(covar_pop({x}, {y}) / CASE WHEN {den} > 0 THEN {den} END, 9)"
+
+
+def market_ctes(by_segment: bool) -> str:
+    if by_segment:
+        seg = """
+seg AS (SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey),
+signal AS (SELECT c_mktsegment AS series, CAST(l_shipdate AS DATE) AS date,
+                  avg(l_linenumber % 5) AS sentiment, count(*) AS n_articles
+           FROM lineitem JOIN seg ON l_orderkey = o_orderkey GROUP BY 1, 2),
+px AS (SELECT c_mktsegment AS symbol, o_orderdate AS ts,
+              CASE WHEN count(*) >= 3 THEN avg(o_totalprice) END AS close
+       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),"""
+    else:
+        seg = """
+signal AS (SELECT 'all' AS series, CAST(l_shipdate AS DATE) AS date,
+                  avg(l_linenumber % 5) AS sentiment, count(*) AS n_articles
+           FROM lineitem GROUP BY 1, 2),
+px AS (SELECT 'all' AS symbol, o_orderdate AS ts,
+              CASE WHEN count(*) >= 3 THEN avg(o_totalprice) END AS close
+       FROM orders GROUP BY 1, 2),"""
+    return seg + """
+filled AS (SELECT symbol, ts, close,
+                  last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f
+           FROM px),
+returns AS (SELECT symbol, CAST(ts AS DATE) AS date, close,
+                   f / lag(f) OVER (PARTITION BY symbol ORDER BY ts) - 1.0 AS "return"
+            FROM filled),
+joined AS (SELECT s.series, s.date, s.sentiment, s.n_articles, r."return"
+           FROM signal s JOIN returns r ON r.symbol = s.series AND r.date = s.date),
+combined AS (
+  SELECT series, date, sentiment, n_articles, "return",
+    CASE WHEN count("return") OVER w5 = 5 THEN avg("return") OVER w5 END AS return_smoothed,
+    CASE WHEN count(sentiment) OVER w5 = 5 THEN avg(sentiment) OVER w5 END AS sentiment_smoothed,
+    lead("return", 1) OVER w AS return_lead1, lead("return", 2) OVER w AS return_lead2,
+    lead("return", 3) OVER w AS return_lead3, lead("return", 4) OVER w AS return_lead4,
+    lead("return", 5) OVER w AS return_lead5,
+    lead("return", 1) OVER w AS next_return,
+    CAST(coalesce(sign(sentiment - 2.0), 0) AS INTEGER) AS sentiment_dir,
+    CAST(coalesce(sign(lead("return", 1) OVER w), 0) AS INTEGER) AS return_dir
+  FROM joined
+  WINDOW w AS (PARTITION BY series ORDER BY date),
+         w5 AS (PARTITION BY series ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"""
+
+
+STATS_SELECT = f"""
+SELECT series, count(*) AS n_days,
+       {corr('sentiment', '"return"')} AS corr,
+       {corr('sentiment_smoothed', 'return_smoothed')} AS corr_smoothed,
+       {corr('sentiment', 'return_lead1')} AS corr_lag1, {corr('sentiment', 'return_lead2')} AS corr_lag2,
+       {corr('sentiment', 'return_lead3')} AS corr_lag3, {corr('sentiment', 'return_lead4')} AS corr_lag4,
+       {corr('sentiment', 'return_lead5')} AS corr_lag5,
+       round(avg(CASE WHEN sentiment_dir <> 0 AND return_dir <> 0
+                      THEN CAST(sentiment_dir = return_dir AS DOUBLE) END), 9) AS dir_accuracy,
+       count(*) FILTER (WHERE sentiment_dir <> 0 AND return_dir <> 0) AS dir_days
+FROM combined GROUP BY series"""
+
+ORACLE["market_combined"] = "WITH" + market_ctes(False) + """
+SELECT series, date, round(sentiment, 9) AS sentiment, n_articles, round("return", 9) AS "return",
+       round(return_smoothed, 9) AS return_smoothed, round(sentiment_smoothed, 9) AS sentiment_smoothed,
+       round(return_lead1, 9) AS return_lead1, round(return_lead2, 9) AS return_lead2,
+       round(return_lead3, 9) AS return_lead3, round(return_lead4, 9) AS return_lead4,
+       round(return_lead5, 9) AS return_lead5, round(next_return, 9) AS next_return,
+       sentiment_dir, return_dir
+FROM combined"""
+
+ORACLE["market_stats"] = "WITH" + market_ctes(False) + STATS_SELECT
+ORACLE["segment_market_stats"] = "WITH" + market_ctes(True) + STATS_SELECT
+
+ORACLE["lag_correlations"] = "WITH" + market_ctes(True) + f""",
+st AS (SELECT series, {corr('sentiment', '"return"')} AS lag0,
+              {corr('sentiment', 'return_lead1')} AS lag1, {corr('sentiment', 'return_lead2')} AS lag2,
+              {corr('sentiment', 'return_lead3')} AS lag3, {corr('sentiment', 'return_lead4')} AS lag4,
+              {corr('sentiment', 'return_lead5')} AS lag5
+       FROM combined GROUP BY series)
+SELECT series, CAST(substr(lag_name, 4) AS INTEGER) AS lag, "corr"
+FROM (UNPIVOT st ON lag0, lag1, lag2, lag3, lag4, lag5 INTO NAME lag_name VALUE "corr")"""
+
+_RET = "WITH" + market_ctes(True).split(",\njoined AS")[0]
+
+ORACLE["segment_returns"] = _RET + """
+SELECT symbol, date, round(close, 9) AS close, round("return", 9) AS "return" FROM returns"""
+
+ORACLE["returns_date_slice"] = _RET + """
+SELECT symbol, date, round(close, 9) AS close, round("return", 9) AS "return" FROM returns
+WHERE date >= DATE '1996-01-01' AND date < DATE '1997-01-01'"""
+
+ORACLE["returns_trailing_period"] = _RET + """,
+mx AS (SELECT symbol, max(date) AS mx FROM returns GROUP BY symbol)
+SELECT r.symbol, date, round(close, 9) AS close, round("return", 9) AS "return"
+FROM returns r JOIN mx ON mx.symbol = r.symbol WHERE date > CAST(mx - INTERVAL 365 DAY AS DATE)"""
