@@ -134,3 +134,158 @@ def returns_date_slice(spark, sf_dir):
 def returns_trailing_period(spark, sf_dir):
     r = S.daily_returns(V.daily_prices(spark, sf_dir, by_segment=True, min_orders=MIN_ORDERS_PER_DAY))
     return rounded(S.price_range(r, period_days=365))
+
+
+# ---------------------------------------------------------------- evaluation metrics
+
+from tidings.operators import metrics as M  # noqa: E402
+from tidings.operators import profile as PR  # noqa: E402
+from tidings.operators import scoring as SC  # noqa: E402
+from tidings.functions import parse as PA  # noqa: E402
+from tidings.functions import text as TX  # noqa: E402
+
+
+@register("eval_summary")
+def eval_summary(spark, sf_dir):
+    return rounded(M.evaluation_summary(V.predictions(spark, sf_dir)))
+
+
+@register("confusion_matrix")
+def confusion_matrix(spark, sf_dir):
+    return M.confusion_matrix(V.predictions(spark, sf_dir))
+
+
+@register("classification_report")
+def classification_report(spark, sf_dir):
+    return rounded(M.classification_report(V.predictions(spark, sf_dir), classes=M.CLASSES))
+
+
+@register("classification_report_seen")
+def classification_report_seen(spark, sf_dir):
+    return rounded(M.classification_report(V.predictions(spark, sf_dir)))
+
+
+def _pair(spark, sf_dir) -> DataFrame:
+    p = V.predictions(spark, sf_dir)
+    a = p.where(F.col("model") == "rater_b").select("article_id", F.col("y_pred").alias("pred_a"))
+    b = p.where(F.col("model") == "length").select("article_id", F.col("y_pred").alias("pred_b"))
+    return a.join(b, "article_id", "inner")
+
+
+@register("predictor_agreement")
+def predictor_agreement(spark, sf_dir):
+    return rounded(M.agreement(_pair(spark, sf_dir)))
+
+
+@register("prediction_histogram")
+def prediction_histogram(spark, sf_dir):
+    return M.prediction_histogram(V.predictions(spark, sf_dir), ["rater_b", "length"])
+
+
+@register("class_weights")
+def class_weights(spark, sf_dir):
+    from tidings.operators.learn import balanced_class_weights
+    c = consensus_labels(spark, sf_dir).select(PA.to_int_label("label").alias("label"))
+    return rounded(balanced_class_weights(c))
+
+
+# ---------------------------------------------------------------- article profile
+
+@register("article_type_counts")
+def article_type_counts(spark, sf_dir):
+    return PR.type_counts(V.articles(spark, sf_dir))
+
+
+@register("article_type_stats")
+def article_type_stats(spark, sf_dir):
+    return rounded(PR.type_statistics(V.articles(spark, sf_dir)))
+
+
+@register("article_stats_rollup")
+def article_stats_rollup(spark, sf_dir):
+    return rounded(PR.type_statistics_with_total(V.articles(spark, sf_dir)))
+
+
+@register("article_data_check")
+def article_data_check(spark, sf_dir):
+    return rounded(PR.data_check(V.articles(spark, sf_dir)))
+
+
+def _exclusions(spark, sf_dir) -> DataFrame:
+    """Ids to hold out: documents the driver's ``labels`` table marks toxic."""
+    lab = V.table(spark, sf_dir, "labels").where(F.col("toxic") == 1).select("doc_id")
+    return V.articles(spark, sf_dir).join(lab, "doc_id", "left_semi").select(F.col("id").alias("article_id"))
+
+
+@register("eval_dataset")
+def eval_dataset(spark, sf_dir):
+    a = V.articles(spark, sf_dir)
+    d = PR.prepare_dataset(a, consensus_labels(spark, sf_dir), exclude=_exclusions(spark, sf_dir))
+    return d.select("id", "label", F.md5("text").alias("text_md5"), F.length("text").alias("text_chars"))
+
+
+# ---------------------------------------------------------------- text, prompts, parsing
+
+@register("document_word_counts")
+def document_word_counts(spark, sf_dir):
+    d = V.table(spark, sf_dir, "documents")
+    return d.select("doc_id", TX.word_count("text").alias("n_words"),
+                    TX.estimate_tokens("text").alias("est_tokens"))
+
+
+@register("page_text")
+def page_text(spark, sf_dir):
+    p = V.table(spark, sf_dir, "pages")
+    stripped = TX.strip_html("html")
+    return p.select("page_id", F.length(stripped).alias("text_chars"), TX.word_count(stripped).alias("n_words"),
+                    F.md5(stripped).alias("text_md5"))
+
+
+@register("labelling_prompts")
+def labelling_prompts(spark, sf_dir):
+    a = PR.drop_liveblogs(V.articles(spark, sf_dir))
+    sect = TX.sectioned_prompt()
+    simple = TX.simple_prompt()
+    return a.select("id", F.md5(sect).alias("sectioned_md5"), TX.estimate_tokens(sect).alias("sectioned_tokens"),
+                    F.md5(simple).alias("simple_md5"), TX.estimate_tokens(simple).alias("simple_tokens"),
+                    F.md5(TX.plain_text()).alias("plain_md5"),
+                    F.length(TX.trimmed_text()).alias("trimmed_chars"),
+                    F.md5(TX.body_prefix()).alias("body_prefix_md5"))
+
+
+@register("cost_estimate")
+def cost_estimate(spark, sf_dir):
+    a = PR.drop_liveblogs(V.articles(spark, sf_dir))
+    return rounded(SC.cost_estimate(a, TX.sectioned_prompt()))
+
+
+@register("answer_parsing")
+def answer_parsing(spark, sf_dir):
+    c = V.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    return c.select("conv_id", "turn",
+                    PA.parse_label_strict("text").alias("strict_label"),
+                    PA.parse_sentiment_ladder("text").alias("ladder"),
+                    PA.parse_sentiment_ladder("text", mode="reference").alias("ladder_reference"),
+                    PA.parse_first_digit("text").alias("first_digit"))
+
+
+@register("polarity_buckets")
+def polarity_buckets(spark, sf_dir):
+    d = V.table(spark, sf_dir, "documents")
+    names = F.array(*[F.lit(x) for x in ["negative", "neutral", "positive", "Positive", "mixed"]])
+    lab = F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int"))
+    score = (F.col("n_chars") % 100) / 100.0
+    return d.select("doc_id", lab.alias("polarity"), F.round(score, 9).alias("score"),
+                    PA.bucket_polarity(lab, score).alias("label"),
+                    PA.label_name(PA.bucket_polarity(lab, score)).alias("label_name"),
+                    TX.is_blank("text").alias("blank_text"))
+
+
+@register("chat_messages")
+def chat_messages(spark, sf_dir):
+    """P10: zero-shot chat messages for every user turn (one row each, no grouping)."""
+    c = V.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    m = SC.zero_shot_messages("text")
+    return c.select("conv_id", "turn", F.size(m).alias("n_messages"),
+                    F.array_join(F.transform(m, lambda x: x["role"]), ",").alias("roles"),
+                    F.md5(F.array_join(F.transform(m, lambda x: x["content"]), "|")).alias("content_md5"))

@@ -243,3 +243,235 @@ ORACLE["returns_trailing_period"] = _RET + """,
 mx AS (SELECT symbol, max(date) AS mx FROM returns GROUP BY symbol)
 SELECT r.symbol, date, round(close, 9) AS close, round("return", 9) AS "return"
 FROM returns r JOIN mx ON mx.symbol = r.symbol WHERE date > CAST(mx - INTERVAL 365 DAY AS DATE)"""
+
+
+# ---------------------------------------------------------------- evaluation metrics
+
+PREDICTIONS = ARTICLES + """,
+predictions AS (
+  SELECT 'rater_b' AS model, id AS article_id, CAST((doc_id * 7 + n_chars) % 5 AS INTEGER) AS y_true,
+         CASE WHEN doc_id % 17 = 0 THEN -1 ELSE CAST((doc_id * 3 + n_chars) % 5 AS INTEGER) END AS y_pred
+  FROM articles WHERE lang NOT IN ('es', 'de')
+  UNION ALL
+  SELECT 'length', id, CAST((doc_id * 7 + n_chars) % 5 AS INTEGER),
+         CAST(least(floor(log10(n_chars + 1)), 4) AS INTEGER)
+  FROM articles WHERE lang <> 'es')"""
+
+ORACLE["eval_summary"] = "WITH" + PREDICTIONS + """
+SELECT model, count(*) AS n, round(avg(CAST(y_true = y_pred AS DOUBLE)), 9) AS accuracy,
+       round(avg(abs(y_true - y_pred)), 9) AS mae, count(*) FILTER (WHERE y_pred = -1) AS unparseable
+FROM predictions GROUP BY model"""
+
+ORACLE["confusion_matrix"] = "WITH" + PREDICTIONS + """,
+grid AS (SELECT m.model, t.y_true, p.y_pred FROM (SELECT DISTINCT model FROM predictions) m,
+         range(5) t(y_true), range(5) p(y_pred)),
+cc AS (SELECT model, y_true, y_pred, count(*) AS n FROM predictions GROUP BY ALL)
+SELECT g.model, CAST(g.y_true AS INTEGER) AS y_true, CAST(g.y_pred AS INTEGER) AS y_pred,
+       CAST(coalesce(cc.n, 0) AS BIGINT) AS n
+FROM grid g LEFT JOIN cc ON cc.model = g.model AND cc.y_true = g.y_true AND cc.y_pred = g.y_pred"""
+
+
+def report_sql(fixed: bool) -> str:
+    if fixed:
+        cls = "cls AS (SELECT DISTINCT model, CAST(c.r AS INTEGER) AS cls FROM predictions, range(5) c(r))"
+    else:
+        cls = """cls AS (SELECT model, y_true AS cls FROM predictions UNION
+                 SELECT model, y_pred AS cls FROM predictions)"""
+    return "WITH" + PREDICTIONS + f""",
+{cls},
+per AS (
+  SELECT c.model, c.cls,
+    (SELECT count(*) FROM predictions p WHERE p.model = c.model AND p.y_true = c.cls AND p.y_pred = c.cls) AS tp,
+    (SELECT count(*) FROM predictions p WHERE p.model = c.model AND p.y_true = c.cls) AS support,
+    (SELECT count(*) FROM predictions p WHERE p.model = c.model AND p.y_pred = c.cls) AS predicted
+  FROM cls c),
+per2 AS (
+  SELECT *, coalesce(tp / nullif(CAST(predicted AS DOUBLE), 0), 0.0) AS precision,
+         coalesce(tp / nullif(CAST(support AS DOUBLE), 0), 0.0) AS recall FROM per),
+per3 AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM per2),
+tot AS (SELECT model, count(*) AS n_all, count(*) FILTER (WHERE y_true = y_pred) AS n_ok
+        FROM predictions GROUP BY model),
+summ AS (
+  SELECT model, sum(tp) AS tp_all, sum(predicted) AS pred_all, sum(support) AS sup_all,
+         avg(precision) AS macro_p, avg(recall) AS macro_r, avg(f1) AS macro_f1,
+         sum(precision * support) / nullif(sum(support), 0) AS w_p,
+         sum(recall * support) / nullif(sum(support), 0) AS w_r,
+         sum(f1 * support) / nullif(sum(support), 0) AS w_f1
+  FROM per3 GROUP BY model),
+micro AS (
+  SELECT s.*, t.n_all, t.n_ok,
+         coalesce(tp_all / nullif(CAST(pred_all AS DOUBLE), 0), 0.0) AS mp,
+         coalesce(tp_all / nullif(CAST(sup_all AS DOUBLE), 0), 0.0) AS mr,
+         coalesce(n_ok / nullif(CAST(n_all AS DOUBLE), 0), 0.0) AS acc
+  FROM summ s JOIN tot t ON t.model = s.model),
+rows_ AS (
+  SELECT model, CAST(cls AS VARCHAR) AS "row", precision, recall, f1, CAST(support AS BIGINT) AS support FROM per3
+  UNION ALL SELECT model, 'accuracy', acc, acc, acc, CAST(n_all AS BIGINT) FROM micro
+  UNION ALL SELECT model, 'micro avg', mp, mr, coalesce(2 * mp * mr / nullif(mp + mr, 0), 0.0),
+                   CAST(sup_all AS BIGINT) FROM micro
+  UNION ALL SELECT model, 'macro avg', macro_p, macro_r, macro_f1, CAST(sup_all AS BIGINT) FROM micro
+  UNION ALL SELECT model, 'weighted avg', coalesce(w_p, 0.0), coalesce(w_r, 0.0), coalesce(w_f1, 0.0),
+                   CAST(sup_all AS BIGINT) FROM micro)
+SELECT model, "row", round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support
+FROM rows_"""
+
+
+ORACLE["classification_report"] = report_sql(True)
+ORACLE["classification_report_seen"] = report_sql(False)
+
+PAIR = PREDICTIONS + """,
+pair AS (SELECT a.article_id, a.y_pred AS pred_a, b.y_pred AS pred_b
+         FROM predictions a JOIN predictions b ON a.article_id = b.article_id
+         WHERE a.model = 'rater_b' AND b.model = 'length')"""
+
+ORACLE["predictor_agreement"] = "WITH" + PAIR + """
+SELECT count(*) AS n, round(avg(CAST(pred_a = pred_b AS DOUBLE)), 9) AS agreement,
+       round(covar_pop(pred_a, pred_b) / nullif(stddev_pop(pred_a) * stddev_pop(pred_b), 0), 9) AS correlation
+FROM pair"""
+
+ORACLE["prediction_histogram"] = "WITH" + PREDICTIONS + """
+SELECT y_pred AS score,
+       count(*) FILTER (WHERE model = 'rater_b') AS rater_b,
+       count(*) FILTER (WHERE model = 'length') AS length
+FROM predictions GROUP BY y_pred"""
+
+ORACLE["class_weights"] = "WITH" + CONSENSUS + """,
+l AS (SELECT CAST(trunc(label) AS INTEGER) AS label FROM consensus),
+g AS (SELECT label, count(*) AS n_class FROM l GROUP BY label),
+t AS (SELECT count(*) AS n_total, count(DISTINCT label) AS n_classes FROM l)
+SELECT label, n_class, round(n_total / (n_classes * n_class), 9) AS weight FROM g, t"""
+
+
+# ---------------------------------------------------------------- article profile
+
+# Python str.split() / Java (?U)\\s whitespace, spelled out for RE2
+WS = r"[\t\n\x0b\x0c\r \x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def word_count(col: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({col}, '{WS}+'), lambda x: x <> ''))"
+
+
+STATS_COLS = f"""count(*) AS count,
+       min(try_cast(nullif(substr(webPublicationDate, 1, 10), '') AS DATE)) AS min_date,
+       max(try_cast(nullif(substr(webPublicationDate, 1, 10), '') AS DATE)) AS max_date,
+       round(coalesce(avg({word_count('bodyText')}), 0.0), 9) AS avg_word_count,
+       CAST(coalesce(min({word_count('bodyText')}), 0) AS BIGINT) AS min_word_count,
+       CAST(coalesce(max({word_count('bodyText')}), 0) AS BIGINT) AS max_word_count"""
+
+ORACLE["article_type_counts"] = "WITH" + ARTICLES + """
+SELECT coalesce(type, 'unknown') AS type, count(*) AS count FROM articles GROUP BY 1"""
+
+ORACLE["article_type_stats"] = "WITH" + ARTICLES + f"""
+SELECT coalesce(type, 'unknown') AS type, {STATS_COLS}
+FROM articles GROUP BY 1"""
+
+ORACLE["article_stats_rollup"] = "WITH" + ARTICLES + f""",
+t AS (SELECT *, coalesce(type, 'unknown') AS t FROM articles)
+SELECT CASE WHEN grouping(t) = 1 THEN 'all' ELSE t END AS type, {STATS_COLS}
+FROM t GROUP BY ROLLUP (t)"""
+
+ORACLE["article_data_check"] = "WITH" + ARTICLES + """
+SELECT count(*) AS total, count(bodyText) AS with_body,
+       round(count(bodyText) / nullif(CAST(count(*) AS DOUBLE), 0), 9) AS body_share FROM articles"""
+
+NL2 = "chr(10) || chr(10)"
+TITLE_BODY = f"coalesce(webTitle, '') || {NL2} || substring(coalesce(bodyText, ''), 1, 2000)"
+
+ORACLE["eval_dataset"] = "WITH" + CONSENSUS + f""",
+excl AS (SELECT a.id FROM articles a JOIN labels l ON l.doc_id = a.doc_id WHERE l.toxic = 1)
+SELECT a.id, c.label, md5({TITLE_BODY}) AS text_md5, length({TITLE_BODY}) AS text_chars
+FROM articles a JOIN consensus c ON c.article_id = a.id
+WHERE (a.type IS NULL OR a.type <> 'liveblog') AND a.id NOT IN (SELECT id FROM excl)"""
+
+
+# ---------------------------------------------------------------- text, prompts, parsing
+
+def sql_literal(s: str) -> str:
+    """A Python string as a DuckDB expression (newlines via chr(10))."""
+    parts = s.replace("'", "''").split("\n")
+    return " || chr(10) || ".join(f"'{p}'" for p in parts)
+
+
+def _prompt_sql():
+    from tidings.functions import text as T  # fixed template values only
+    sections = (f"'Headline: ' || coalesce(webTitle, '') || {NL2}"
+                f" || CASE WHEN coalesce(standfirst, '') <> '' THEN 'Summary: ' || "
+                f"regexp_replace(standfirst, '<[^>]+>', '', 'g') || {NL2} ELSE '' END"
+                f" || CASE WHEN coalesce(bodyText, '') <> '' THEN 'Excerpt: ' || substring(bodyText, 1, 1500)"
+                f" || {NL2} ELSE '' END")
+    sect = f"({sql_literal(T.SECTIONED_PROMPT_HEAD)} || {sections} || {sql_literal(T.SECTIONED_PROMPT_TAIL)})"
+    simple = f"({sql_literal(T.SIMPLE_PROMPT_HEAD)} || {TITLE_BODY} || {sql_literal(T.SIMPLE_PROMPT_TAIL)})"
+    return sect, simple
+
+
+SECT_PROMPT, SIMPLE_PROMPT = _prompt_sql()
+PLAIN = "coalesce(headline, '') || ' ' || coalesce(standfirst, '') || ' ' || coalesce(bodyText, '')"
+TRIMMED = f"regexp_replace(regexp_replace({PLAIN}, '^{WS}+', ''), '{WS}+$', '')"
+
+ORACLE["labelling_prompts"] = "WITH" + ARTICLES + f"""
+SELECT id, md5({SECT_PROMPT}) AS sectioned_md5, CAST(length({SECT_PROMPT}) // 4 AS BIGINT) AS sectioned_tokens,
+       md5({SIMPLE_PROMPT}) AS simple_md5, CAST(length({SIMPLE_PROMPT}) // 4 AS BIGINT) AS simple_tokens,
+       md5({PLAIN}) AS plain_md5, length({TRIMMED}) AS trimmed_chars,
+       md5(substring(coalesce(bodyText, ''), 1, 2000)) AS body_prefix_md5
+FROM articles WHERE type IS NULL OR type <> 'liveblog'"""
+
+ORACLE["cost_estimate"] = "WITH" + ARTICLES + f""",
+t AS (SELECT count(*) AS num_articles,
+             CAST(coalesce(sum(length({SECT_PROMPT}) // 4), 0) AS BIGINT) AS estimated_input_tokens
+      FROM articles WHERE type IS NULL OR type <> 'liveblog')
+SELECT num_articles, estimated_input_tokens, CAST(num_articles * 30 AS BIGINT) AS estimated_output_tokens,
+       estimated_input_tokens + num_articles * 30 AS estimated_total_tokens,
+       round(estimated_input_tokens * (0.0025 / 1000), 9) AS estimated_input_cost,
+       round(num_articles * 30 * (0.010 / 1000), 9) AS estimated_output_cost,
+       round(estimated_input_tokens * (0.0025 / 1000) + num_articles * 30 * (0.010 / 1000), 9) AS estimated_total_cost
+FROM t"""
+
+ORACLE["document_word_counts"] = f"""
+SELECT doc_id, {word_count('text')} AS n_words, CAST(length(text) // 4 AS BIGINT) AS est_tokens FROM documents"""
+
+STRIPPED = "regexp_replace(html, '<[^>]+>', '', 'g')"
+ORACLE["page_text"] = f"""
+SELECT page_id, length({STRIPPED}) AS text_chars, {word_count(STRIPPED)} AS n_words, md5({STRIPPED}) AS text_md5
+FROM pages"""
+
+U = "upper(trim(coalesce(text, '')))"
+LADDER_TAIL = f"""WHEN contains({U}, '3') OR contains({U}, 'LEANING POSITIVE') THEN 'leaning_positive'
+       WHEN contains({U}, '2') OR contains({U}, 'NEUTRAL') THEN 'neutral'
+       WHEN contains({U}, '1') OR contains({U}, 'LEANING NEGATIVE') THEN 'leaning_negative'
+       WHEN contains({U}, '0') OR contains({U}, 'NEGATIVE') THEN 'negative' ELSE 'neutral' END"""
+STRICT_INT = "try_cast(trim(text) AS INTEGER)"
+
+ORACLE["answer_parsing"] = f"""
+SELECT conv_id, turn,
+  CASE WHEN regexp_full_match(trim(text), '[+-]?[0-9]+') AND {STRICT_INT} BETWEEN 0 AND 4
+       THEN {STRICT_INT} ELSE 2 END AS strict_label,
+  CASE WHEN contains({U}, '4') OR (contains({U}, 'POSITIVE') AND NOT contains({U}, 'LEANING POSITIVE'))
+       THEN 'positive' {LADDER_TAIL} AS ladder,
+  CASE WHEN contains({U}, '4') OR contains({U}, 'POSITIVE') THEN 'positive' {LADDER_TAIL} AS ladder_reference,
+  CASE WHEN regexp_extract(coalesce(text, ''), '[0-4]', 0) = '' THEN -1
+       ELSE CAST(regexp_extract(coalesce(text, ''), '[0-4]', 0) AS INTEGER) END AS first_digit
+FROM conversations WHERE role = 'assistant'"""
+
+POL = "(['negative', 'neutral', 'positive', 'Positive', 'mixed'])[doc_id % 5 + 1]"
+SCORE = "((n_chars % 100) / 100.0)"
+BUCKET = (f"CASE WHEN lower({POL}) = 'negative' THEN CASE WHEN {SCORE} > 0.75 THEN 0 ELSE 1 END "
+          f"WHEN lower({POL}) = 'neutral' THEN 2 "
+          f"WHEN lower({POL}) = 'positive' THEN CASE WHEN {SCORE} > 0.75 THEN 4 ELSE 3 END END")
+ORACLE["polarity_buckets"] = f"""
+SELECT doc_id, {POL} AS polarity, round({SCORE}, 9) AS score, CAST({BUCKET} AS INTEGER) AS label,
+       (['negative', 'leaning negative', 'neutral', 'leaning positive', 'positive'])[{BUCKET} + 1] AS label_name,
+       NOT coalesce(regexp_matches(text, '[^{WS[1:-1]}]'), false) AS blank_text
+FROM documents"""
+
+
+def _chat_sql():
+    from tidings.operators.scoring import EVAL_SYSTEM_PROMPT
+    sysp = sql_literal(EVAL_SYSTEM_PROMPT)
+    content = f"{sysp} || '|' || 'Article:' || chr(10) || text"
+    return f"""
+SELECT conv_id, turn, 2 AS n_messages, 'system,user' AS roles, md5({content}) AS content_md5
+FROM conversations WHERE role = 'user'"""
+
+
+ORACLE["chat_messages"] = _chat_sql()
