@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 MONTH_ABBREVIATIONS = ["jan", "feb", "mar", "apr", "may", "jun",
                        "jul", "aug", "sep", "oct", "nov", "dec"]
 
-_MONTH_MAP = F.create_map(*[x for i, m in enumerate(MONTH_ABBREVIATIONS, 1)
-                            for x in (F.lit(m), F.lit(i))])
+
+
+def _month_map() -> Column:
+    return F.create_map(*[x for i, m in enumerate(MONTH_ABBREVIATIONS, 1) for x in (F.lit(m), F.lit(i))])
 
 
 def _col(c) -> Column:
@@ -31,7 +33,7 @@ def strict_article_date(article_id) -> Column:
     day, or an unknown month (any case) give NULL."""
     parts = F.split(_col(article_id), "/")
     year = F.try_element_at(parts, F.lit(2)).try_cast("int")
-    month = F.try_element_at(_MONTH_MAP, F.lower(F.try_element_at(parts, F.lit(3))))
+    month = F.try_element_at(_month_map(), F.lower(F.try_element_at(parts, F.lit(3))))
     day = F.try_element_at(parts, F.lit(4)).try_cast("int")
     return F.when(F.size(parts) >= 4, _ymd_to_date(year, month, day))
 
@@ -43,7 +45,7 @@ def lenient_article_date(article_id) -> Column:
     """The first ``/YYYY/mon/DD/`` found anywhere in the id (fixes Q1)."""
     low = F.lower(_col(article_id))
     year = F.nullif(F.regexp_extract(low, LENIENT_PATTERN, 1), F.lit("")).try_cast("int")
-    month = F.try_element_at(_MONTH_MAP, F.regexp_extract(low, LENIENT_PATTERN, 2))
+    month = F.try_element_at(_month_map(), F.regexp_extract(low, LENIENT_PATTERN, 2))
     day = F.nullif(F.regexp_extract(low, LENIENT_PATTERN, 3), F.lit("")).try_cast("int")
     return _ymd_to_date(year, month, day)
 

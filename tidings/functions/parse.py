@@ -12,11 +12,15 @@ LADDER_NAMES = ["negative", "leaning_negative", "neutral", "leaning_positive", "
 NEUTRAL = 2
 POLARITY_THRESHOLD = 0.75
 
-_NAME_TO_VALUE = F.create_map(*[x for i, n in enumerate(LABEL_NAMES) for x in (F.lit(n), F.lit(i))]
-                              + [x for i, n in enumerate(LADDER_NAMES) if "_" in n
-                                 for x in (F.lit(n), F.lit(i))])
-_VALUE_TO_NAME = F.create_map(*[x for i, n in enumerate(LABEL_NAMES) for x in (F.lit(i), F.lit(n))])
-_VALUE_TO_LADDER = F.create_map(*[x for i, n in enumerate(LADDER_NAMES) for x in (F.lit(i), F.lit(n))])
+
+
+def _name_to_value() -> Column:
+    pairs = [(n, i) for i, n in enumerate(LABEL_NAMES)] + [(n, i) for i, n in enumerate(LADDER_NAMES) if "_" in n]
+    return F.create_map(*[x for n, i in pairs for x in (F.lit(n), F.lit(i))])
+
+
+def _value_to(names: list[str]) -> Column:
+    return F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(i), F.lit(n))])
 
 
 def _col(c) -> Column:
@@ -67,17 +71,17 @@ def bucket_polarity(label, score, threshold: float = POLARITY_THRESHOLD) -> Colu
 
 def label_name(value) -> Column:
     """P20: 0-4 -> 'negative' ... 'positive' (space spelling)."""
-    return F.try_element_at(_VALUE_TO_NAME, _col(value).cast("int"))
+    return F.try_element_at(_value_to(LABEL_NAMES), _col(value).cast("int"))
 
 
 def ladder_name(value) -> Column:
     """P20: 0-4 -> underscore spelling used by the ladder parser."""
-    return F.try_element_at(_VALUE_TO_LADDER, _col(value).cast("int"))
+    return F.try_element_at(_value_to(LADDER_NAMES), _col(value).cast("int"))
 
 
 def label_value(name) -> Column:
     """P20: either spelling (any case) -> 0-4, unknown -> NULL."""
-    return F.try_element_at(_NAME_TO_VALUE, F.lower(F.trim(_col(name))))
+    return F.try_element_at(_name_to_value(), F.lower(F.trim(_col(name))))
 
 
 def direction(x, pivot: float = 0.0) -> Column:

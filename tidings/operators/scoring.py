@@ -87,45 +87,57 @@ def few_shot_messages(dataset: DataFrame, examples: DataFrame, text_col: str = "
     return d.withColumn("messages", msgs).drop("example_messages")
 
 
-def _run_batches(scorer: Callable[[list[str]], list[str]], ids: list, texts: list[str], batch_size: int):
-    out = []
-    for i in range(0, len(texts), batch_size):
-        bid, btx = ids[i:i + batch_size], texts[i:i + batch_size]
+def _run_batches(scorer: Callable[[list[str]], list[str]], texts: list[str], batch_size: int):
+    """Answers, statuses and errors aligned with ``texts``."""
+    n = len(texts)
+    answers: list = [None] * n
+    status: list = ["ok"] * n
+    errors: list = [None] * n
+    for i in range(0, n, batch_size):
+        btx = texts[i:i + batch_size]
         try:
-            answers = list(scorer(btx))
-            if len(answers) != len(btx):
-                raise ValueError(f"scorer returned {len(answers)} answers for {len(btx)} texts")
-            out.extend((a, b, "ok", None) for a, b in zip(bid, answers))
+            got = list(scorer(btx))
+            if len(got) != len(btx):
+                raise ValueError(f"scorer returned {len(got)} answers for {len(btx)} texts")
+            answers[i:i + len(btx)] = got
         except Exception:  # noqa: BLE001 - isolate the failing rows (M6)
-            for a, t in zip(bid, btx):
+            for k, t in enumerate(btx, start=i):
                 try:
-                    (ans,) = scorer([t])
-                    out.append((a, ans, "ok", None))
+                    (answers[k],) = scorer([t])
                 except Exception as e:  # noqa: BLE001
-                    out.append((a, None, "failed", f"{type(e).__name__}: {e}"[:500]))
-    return out
+                    status[k], errors[k] = "failed", f"{type(e).__name__}: {e}"[:500]
+    return answers, status, errors
 
 
 def score_texts(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]], list[str]]],
-                id_col: str = "id", text_col: str = "text", batch_size: int = BATCH_SIZE) -> DataFrame:
+                id_col: str = "id", text_col: str = "text", batch_size: int = BATCH_SIZE,
+                keep: list[str] | None = None) -> DataFrame:
     """M5 + M6: run ``scorer_factory()`` once per task over batches of
-    ``batch_size`` texts. Output ``(id, raw_response, status, error)``.
+    ``batch_size`` texts. Output ``(id, *keep, raw_response, status, error)``.
 
     Filters must be applied before this call: Catalyst does not push
-    predicates below ``mapInPandas``. Only the id and text columns cross into
-    Python.
+    predicates below ``mapInPandas``. Only the id, the text and the small
+    ``keep`` columns cross into Python; carrying ``keep`` through avoids a
+    join back to the (wide) input afterwards.
     """
-    schema = SCORED_SCHEMA.format(id=id_col)
+    keep = list(keep or [])
+    src = df.select(F.col(id_col).cast("string").alias(id_col), *keep, F.col(text_col).alias("_text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep)
+    schema = f"`{id_col}` string, " + (kept + ", " if kept else "") + \
+        "raw_response string, status string, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
         for pdf in batches:
-            ids = pdf[id_col].astype(str).tolist()
-            texts = pdf[text_col].fillna("").astype(str).tolist()
-            rows = _run_batches(scorer, ids, texts, batch_size)
-            yield pd.DataFrame(rows, columns=[id_col, "raw_response", "status", "error"])
+            texts = pdf["_text"].fillna("").astype(str).tolist()
+            answers, status, errors = _run_batches(scorer, texts, batch_size)
+            out = pdf[[id_col] + keep].copy()
+            out["raw_response"] = [None if a is None else str(a) for a in answers]
+            out["status"] = status
+            out["error"] = errors
+            yield out
 
-    return df.select(F.col(id_col).cast("string").alias(id_col), F.col(text_col)).mapInPandas(run, schema)
+    return src.mapInPandas(run, schema)
 
 
 def with_label(scored: DataFrame, parser=parse_label_strict, default_on_error: bool = False) -> DataFrame:
@@ -148,17 +160,15 @@ def not_yet_scored(articles: DataFrame, results: DataFrame | None, id_col: str =
     return articles.join(done, id_col, "left_anti")
 
 
-def token_usage(scored: DataFrame, prompt_col: str = "prompt", answer_col: str = "raw_response",
-                prompt_tokens: str | None = None, completion_tokens: str | None = None) -> DataFrame:
-    """A23 inputs: per row token counters; a missing or zero reported count
-    falls back to the length/4 estimate (P13)."""
-    pt = F.col(prompt_tokens) if prompt_tokens else F.lit(None).cast("long")
+def token_usage(scored: DataFrame, prompt_tokens: str = "prompt_tokens", answer_col: str = "raw_response",
+                completion_tokens: str | None = None) -> DataFrame:
+    """A23 inputs: per row token counters. ``prompt_tokens`` holds the
+    reported count or, when missing / zero, the length/4 estimate (P13)
+    computed before scoring; the completion count falls back to the estimate
+    of the answer."""
     ct = F.col(completion_tokens) if completion_tokens else F.lit(None).cast("long")
-    return (scored
-            .withColumn("prompt_tokens", F.coalesce(F.nullif(pt, F.lit(0)), text.estimate_tokens(prompt_col)))
-            .withColumn("completion_tokens",
-                        F.coalesce(F.nullif(ct, F.lit(0)), text.estimate_tokens(F.coalesce(F.col(answer_col),
-                                                                                          F.lit(""))))))
+    est = text.estimate_tokens(F.coalesce(F.col(answer_col), F.lit("")))
+    return scored.withColumn("completion_tokens", F.coalesce(F.nullif(ct, F.lit(0)), est))
 
 
 def usage_summary(usage: DataFrame, group_cols=()) -> DataFrame:

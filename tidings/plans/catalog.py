@@ -289,3 +289,209 @@ def chat_messages(spark, sf_dir):
     return c.select("conv_id", "turn", F.size(m).alias("n_messages"),
                     F.array_join(F.transform(m, lambda x: x["role"]), ",").alias("roles"),
                     F.md5(F.array_join(F.transform(m, lambda x: x["content"]), "|")).alias("content_md5"))
+
+
+# ---------------------------------------------------------------- scoring (pluggable scorer)
+
+from tidings.operators import learn as LE  # noqa: E402
+from tidings.operators.lexicon import lexicon_factory  # noqa: E402
+from tidings.plans import pipelines as PL  # noqa: E402
+from tidings.session import checkpoint_root  # noqa: E402
+from tidings.sources import readers as RD  # noqa: E402
+from tidings.sources import writers as WR  # noqa: E402
+
+
+def _labelled_run(spark, sf_dir) -> DataFrame:
+    a = V.articles(spark, sf_dir)
+    return PL.labelling_run(a, lexicon_factory)
+
+
+@register("scored_articles")
+def scored_articles(spark, sf_dir):
+    """M5 + M6 + P15 over every non-liveblog article (whole texts, prompt P9)."""
+    return _labelled_run(spark, sf_dir).select("id", "raw_response", "status", "label", "prompt_tokens")
+
+
+@register("labelling_usage")
+def labelling_usage(spark, sf_dir):
+    """A23 over the scored run (every answer is one digit -> 0 completion tokens)."""
+    return rounded(SC.usage_summary(_labelled_run(spark, sf_dir)))
+
+
+@register("labelling_batch_progress")
+def labelling_batch_progress(spark, sf_dir):
+    """Batches of 50 consecutive document ids."""
+    run = _labelled_run(spark, sf_dir)
+    idx = F.regexp_extract("id", r"doc-(\d+)$", 1).cast("long")
+    return SC.batch_progress(run.withColumn("idx", idx), "idx", 50)
+
+
+def _eval_dataset(spark, sf_dir) -> DataFrame:
+    a = V.articles(spark, sf_dir)
+    lab = consensus_labels(spark, sf_dir).select("article_id", PA.to_int_label("label").alias("label"))
+    return PR.prepare_dataset(a, lab)
+
+
+@register("prompting_eval")
+def prompting_eval(spark, sf_dir):
+    """Zero-shot vs few-shot over the labelled dataset (rows-only:
+    the few-shot pick uses Spark's xxhash64)."""
+    _, summary = PL.evaluate_prompting(_eval_dataset(spark, sf_dir), lexicon_factory)
+    return rounded(summary)
+
+
+@register("few_shot_examples")
+def few_shot_examples(spark, sf_dir):
+    """One example per class (rows-only: seeded xxhash64 pick)."""
+    ex = LE.few_shot_examples(_eval_dataset(spark, sf_dir))
+    return ex.select("label", "id")
+
+
+# ---------------------------------------------------------------- splits and models
+
+@register("hash_split_sizes")
+def hash_split_sizes(spark, sf_dir):
+    """M1: 70/15/15 hash split of all documents (rows-only)."""
+    d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return LE.hash_split(d).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stratified_split_sizes")
+def stratified_split_sizes(spark, sf_dir):
+    """M2: per-class stratified split of the consensus labels (rows-only)."""
+    c = consensus_labels(spark, sf_dir).select(F.col("article_id").alias("id"), PA.to_int_label("label").alias("label"))
+    return LE.stratified_split(c).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("tfidf_logreg_eval")
+def tfidf_logreg_eval(spark, sf_dir):
+    """M1 + M3 + M4 + A9-A11: TF-IDF + balanced multinomial logistic
+    regression predicting the document language from whole texts, scored
+    on the validation and test splits (rows-only)."""
+    d = V.table(spark, sf_dir, "documents")
+    langs = ["de", "en", "es", "fr"]
+    lab = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
+    data = d.select(F.col("doc_id").alias("id"), "text", lab.cast("int").alias("label"))
+    data = LE.hash_split(data).repartition(8)
+    train = data.where(F.col("split") == "train")
+    feats, model = LE.fit_logistic(train, max_iter=100)
+    scored = LE.predict(feats, model, data.where(F.col("split") != "train"))
+    return rounded(M.evaluation_summary(scored, ["split"]))
+
+
+# ---------------------------------------------------------------- streams
+
+@register("stream_daily_events")
+def stream_daily_events(spark, sf_dir):
+    """Daily mean event value per type via a watermarked windowed stream
+    over the landed ``events`` table; equals the batch aggregate."""
+    from tidings.streaming.daily import stream_daily_from_table
+    ev = V.table(spark, sf_dir, "events")
+    out = stream_daily_from_table(ev, "ts", "value", ["event_type"])
+    return rounded(out.select("date", "event_type", "sentiment", "n_articles"))
+
+
+@register("incremental_labelling")
+def incremental_labelling(spark, sf_dir):
+    """Land articles in two waves, label each wave once via the stream;
+    rows-only (lexicon scorer). Returns per-wave counts of labelled ids."""
+    from tidings.streaming.labelling import run_labelling_stream
+    root = checkpoint_root(spark, "labelling")
+    landing, results, ck = f"{root}/landing", f"{root}/results", f"{root}/checkpoint"
+    a = V.articles(spark, sf_dir)
+    first = a.where(F.col("lang") == "en")
+    first.write.mode("append").parquet(landing)
+    run_labelling_stream(spark, landing, results, ck, lexicon_factory, schema=spark.read.parquet(landing).schema)
+    # second wave re-sends the first one too: resume by id must skip those
+    a.write.mode("append").parquet(landing)
+    run_labelling_stream(spark, landing, results, ck, lexicon_factory, schema=spark.read.parquet(landing).schema)
+    r = spark.read.parquet(results)
+    return r.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
+# ---------------------------------------------------------------- sources and sinks round trips
+
+@register("snapshot_merge")
+def snapshot_merge(spark, sf_dir):
+    """K1 + S1 + S2: write two article snapshots (the second re-titles the
+    English articles), read both back, latest snapshot wins per id."""
+    root = checkpoint_root(spark, "snapshots")
+    a = V.articles(spark, sf_dir)
+    nested = a.select("id", "type", "webTitle", "webUrl", "webPublicationDate",
+                      F.struct("headline", "standfirst", "bodyText").alias("fields"))
+    WR.write_table(nested, f"{root}/snap_1", fmt="json")
+    upd = nested.join(a.where(F.col("lang") == "en").select("id"), "id", "left_semi") \
+        .withColumn("webTitle", F.concat(F.col("webTitle"), F.lit(" (updated)")))
+    WR.write_table(upd, f"{root}/snap_2", fmt="json")
+    merged = RD.read_article_snapshots(spark, [f"{root}/snap_1", f"{root}/snap_2"], multiline=False)
+    return merged.select("id", "type", "webTitle", F.md5(F.coalesce("bodyText", F.lit(""))).alias("body_md5"))
+
+
+@register("label_map_roundtrip")
+def label_map_roundtrip(spark, sf_dir):
+    """S4 + U4: label batches written as JSON objects ``{id: label}`` (one file
+    per batch), read back and merged (last batch in name order wins)."""
+    root = checkpoint_root(spark, "label-maps")
+    b = V.label_batches(spark, sf_dir)
+    obj = b.groupBy("src_file").agg(
+        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("article_id", "label"))))).alias("value"))
+    obj.repartition("src_file").write.mode("overwrite").partitionBy("src_file").text(f"{root}/maps")
+    long = RD.read_label_map(spark, f"{root}/maps", rater="b", precedence="path")
+    return L.merge_label_files(long)
+
+
+@register("price_csv_roundtrip")
+def price_csv_roundtrip(spark, sf_dir):
+    """Daily closes written as CSV with a -05:00 offset timestamp, read
+    back, returns computed (W1) on the UTC dates."""
+    root = checkpoint_root(spark, "prices")
+    p = V.daily_prices(spark, sf_dir, by_segment=True, min_orders=MIN_ORDERS_PER_DAY)
+    csv = p.select(F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" 00:00:00-05:00")).alias("Date"),
+                   F.col("close").alias("Close"), F.col("symbol").alias("Symbol"))
+    csv.write.mode("overwrite").option("header", True).csv(f"{root}/csv")
+    back = RD.read_prices(spark, f"{root}/csv")
+    return rounded(S.daily_returns(back))
+
+
+@register("assembled_search_pages")
+def assembled_search_pages(spark, sf_dir):
+    """Search-result pages of 50 articles (newest first within a page);
+    a page holding a junk document (< 10 characters) is an error page;
+    collection stops before it and is capped at 2000 articles."""
+    root = checkpoint_root(spark, "pages")
+    a = V.articles(spark, sf_dir)
+    nested = a.select(F.floor(F.col("doc_id") / 50).cast("int").alias("page0"), "n_chars",
+                      F.struct("id", "type", "webTitle", "webUrl", "webPublicationDate",
+                               F.struct("headline", "standfirst", "bodyText").alias("fields")).alias("art"))
+    pages = nested.groupBy("page0").agg(
+        F.min("n_chars").alias("_min"),
+        F.sort_array(F.collect_list(F.struct(F.col("art.webPublicationDate").alias("_d"),
+                                             F.col("art.id").alias("_i"), F.col("art").alias("a"))),
+                     asc=False).alias("_r"))
+    pages = pages.select((F.col("page0") + 1).alias("page"), F.struct(
+        F.when(F.col("_min") < 10, F.lit("error")).otherwise(F.lit("ok")).alias("status"),
+        F.lit(None).cast("string").alias("message"), F.lit(None).cast("int").alias("pages"),
+        (F.col("page0") + 1).alias("currentPage"),
+        F.transform("_r", lambda e: e["a"]).alias("results")).alias("response"))
+    WR.write_table(pages, f"{root}/pages", fmt="json")
+    landed = RD.read_search_pages(spark, f"{root}/pages", multiline=False)
+    out = RD.assemble_pages(landed, max_articles=2000)
+    return out.select("page", "pos", "id")
+
+
+@register("collection_window")
+def collection_window(spark, sf_dir):
+    """Articles published in the 730 days up to 2025-12-31."""
+    a = V.articles(spark, sf_dir)
+    w = RD.collection_window(a, "2025-12-31", 730)
+    return w.groupBy(dates.publication_day("webPublicationDate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("articles_by_type_roundtrip")
+def articles_by_type_roundtrip(spark, sf_dir):
+    """K2 + K5: articles written partitioned by type, read back per type."""
+    root = checkpoint_root(spark, "by-type")
+    WR.write_by_type(V.articles(spark, sf_dir).drop("lang", "source", "n_chars", "doc_id"), f"{root}/out",
+                     fmt="parquet")
+    back = spark.read.parquet(f"{root}/out")
+    return rounded(PR.type_statistics(back))

@@ -475,3 +475,57 @@ FROM conversations WHERE role = 'user'"""
 
 
 ORACLE["chat_messages"] = _chat_sql()
+
+
+# ---------------------------------------------------------------- scoring
+
+ORACLE["labelling_usage"] = "WITH" + ARTICLES + f""",
+t AS (SELECT count(*) AS calls, CAST(coalesce(sum(length({SIMPLE_PROMPT}) // 4), 0) AS BIGINT) AS inp
+      FROM articles WHERE (type IS NULL OR type <> 'liveblog') AND id IS NOT NULL)
+SELECT calls AS total_api_calls, CAST(0 AS BIGINT) AS failed_api_calls, inp AS total_input_tokens,
+       CAST(0 AS BIGINT) AS total_output_tokens, inp AS total_tokens,
+       round(inp * (0.0025 / 1000), 9) AS input_cost, round(0.0, 9) AS output_cost,
+       round(inp * (0.0025 / 1000), 9) AS total_cost
+FROM t"""
+
+ORACLE["labelling_batch_progress"] = "WITH" + ARTICLES + """
+SELECT CAST(floor(doc_id / 50) AS BIGINT) AS batch, min(doc_id) AS first_idx, max(doc_id) AS last_idx,
+       count(*) AS rows, count(*) AS ok_rows, CAST(0 AS BIGINT) AS failed_rows, true AS batch_ok
+FROM articles WHERE type IS NULL OR type <> 'liveblog' GROUP BY 1"""
+
+
+# ---------------------------------------------------------------- streams
+
+ORACLE["stream_daily_events"] = """
+SELECT CAST(ts AS DATE) AS date, event_type, round(avg(value), 9) AS sentiment, count(*) AS n_articles
+FROM events GROUP BY 1, 2"""
+
+
+# ---------------------------------------------------------------- sources and sinks round trips
+
+ORACLE["snapshot_merge"] = "WITH" + ARTICLES + """
+SELECT id, type, CASE WHEN lang = 'en' THEN webTitle || ' (updated)' ELSE webTitle END AS webTitle,
+       md5(coalesce(bodyText, '')) AS body_md5
+FROM articles"""
+
+ORACLE["label_map_roundtrip"] = ORACLE["merged_label_batches"]
+
+ORACLE["price_csv_roundtrip"] = ORACLE["segment_returns"]
+
+ORACLE["assembled_search_pages"] = "WITH" + ARTICLES + """,
+p AS (SELECT CAST(floor(doc_id / 50) AS INTEGER) + 1 AS page, id, n_chars,
+             CAST(row_number() OVER (PARTITION BY floor(doc_id / 50)
+                                     ORDER BY webPublicationDate DESC, id DESC) - 1 AS INTEGER) AS pos
+      FROM articles),
+bad AS (SELECT min(page) AS b FROM (SELECT page FROM p GROUP BY page HAVING min(n_chars) < 10))
+SELECT page, pos, id FROM p, bad WHERE b IS NULL OR page < b ORDER BY page, pos LIMIT 2000"""
+
+ORACLE["collection_window"] = "WITH" + ARTICLES + """,
+d AS (SELECT try_cast(substr(webPublicationDate, 1, 10) AS DATE) AS day FROM articles)
+SELECT day, count(*) AS n FROM d
+WHERE day >= CAST(DATE '2025-12-31' - INTERVAL 730 DAY AS DATE) AND day <= DATE '2025-12-31'
+GROUP BY day"""
+
+ORACLE["articles_by_type_roundtrip"] = "WITH" + ARTICLES + f"""
+SELECT coalesce(type, 'unknown') AS type, {STATS_COLS}
+FROM articles GROUP BY 1"""
