@@ -109,6 +109,15 @@ def _run_batches(scorer: Callable[[list[str]], list[str]], texts: list[str], bat
     return answers, status, errors
 
 
+def ship_package_by_value() -> None:
+    """Pickle this package's functions by value into Python workers, so a
+    scorer runs even where ``tidings`` is not installed on the executors."""
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules["tidings"])
+
+
 def score_texts(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]], list[str]]],
                 id_col: str = "id", text_col: str = "text", batch_size: int = BATCH_SIZE,
                 keep: list[str] | None = None) -> DataFrame:
@@ -120,6 +129,7 @@ def score_texts(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]]
     ``keep`` columns cross into Python; carrying ``keep`` through avoids a
     join back to the (wide) input afterwards.
     """
+    ship_package_by_value()
     keep = list(keep or [])
     src = df.select(F.col(id_col).cast("string").alias(id_col), *keep, F.col(text_col).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep)
@@ -161,14 +171,17 @@ def not_yet_scored(articles: DataFrame, results: DataFrame | None, id_col: str =
 
 
 def token_usage(scored: DataFrame, prompt_tokens: str = "prompt_tokens", answer_col: str = "raw_response",
-                completion_tokens: str | None = None) -> DataFrame:
-    """A23 inputs: per row token counters. ``prompt_tokens`` holds the
-    reported count or, when missing / zero, the length/4 estimate (P13)
-    computed before scoring; the completion count falls back to the estimate
-    of the answer."""
-    ct = F.col(completion_tokens) if completion_tokens else F.lit(None).cast("long")
+                completion_tokens: str | None = None, prompt_col: str | None = None) -> DataFrame:
+    """A23 inputs: per row ``prompt_tokens`` / ``completion_tokens``. A
+    missing or zero reported count falls back to the length/4 estimate (P13)
+    of the prompt (when ``prompt_col`` is given) or of the answer."""
+    pt = F.col(prompt_tokens).cast("long")
+    if prompt_col:
+        pt = F.coalesce(F.nullif(pt, F.lit(0)), text.estimate_tokens(prompt_col))
+    ct = F.col(completion_tokens).cast("long") if completion_tokens else F.lit(None).cast("long")
     est = text.estimate_tokens(F.coalesce(F.col(answer_col), F.lit("")))
-    return scored.withColumn("completion_tokens", F.coalesce(F.nullif(ct, F.lit(0)), est))
+    return (scored.withColumn("prompt_tokens", F.coalesce(pt, F.lit(0)).cast("long"))
+                  .withColumn("completion_tokens", F.coalesce(F.nullif(ct, F.lit(0)), est)))
 
 
 def usage_summary(usage: DataFrame, group_cols=()) -> DataFrame:

@@ -16,15 +16,27 @@ from pyspark.sql import types as T
 
 from tidings.session import checkpoint_root
 
+SENTINEL = "_sentinel"
+
 
 def daily_window_agg(stream: DataFrame, ts_col: str = "ts", value_col: str = "value",
                      group_cols: list[str] | None = None, delay: str = "1 day") -> DataFrame:
     """Streaming (or batch) daily mean and count per group, keyed by the UTC day."""
     group_cols = group_cols or []
-    g = (stream.withWatermark(ts_col, delay)
-               .groupBy(F.window(ts_col, "1 day").alias("w"), *group_cols)
-               .agg(F.avg(value_col).alias("sentiment"), F.count(F.lit(1)).alias("n_articles")))
-    return g.select(F.to_date(F.col("w.start")).alias("date"), *group_cols, "sentiment", "n_articles")
+    w = stream.withWatermark(ts_col, delay)
+    if SENTINEL not in stream.columns:
+        g = w.groupBy(F.window(ts_col, "1 day").alias("w"), *group_cols).agg(
+            F.avg(value_col).alias("sentiment"), F.count(F.lit(1)).alias("n_articles"))
+        return g.select(F.to_date(F.col("w.start")).alias("date"), *group_cols, "sentiment", "n_articles")
+    # The sentinel must reach the watermark node, so it is not filtered out
+    # before the aggregate (Catalyst would push such a filter below the
+    # watermark); it is excluded inside the aggregates instead, and groups
+    # that hold only a sentinel are dropped after aggregation.
+    real = ~F.col(SENTINEL)
+    g = w.groupBy(F.window(ts_col, "1 day").alias("w"), *group_cols).agg(
+        F.avg(F.when(real, F.col(value_col))).alias("sentiment"), F.count_if(real).alias("n_articles"))
+    return g.where(F.col("n_articles") > 0).select(
+        F.to_date(F.col("w.start")).alias("date"), *group_cols, "sentiment", "n_articles")
 
 
 def daily_batch(df: DataFrame, ts_col: str = "ts", value_col: str = "value",
@@ -55,12 +67,14 @@ def run_daily_stream(spark: SparkSession, source_path: str, schema: T.StructType
 
 
 def land_with_sentinel(df: DataFrame, landing: str, ts_col: str = "ts", sentinel_ts: str = "9999-12-30 00:00:00"):
-    """Write ``df`` as a landing folder plus one far-future row, so that the
-    watermark passes every real day (the sentinel's own day stays open)."""
-    df.write.mode("append").parquet(landing)
+    """Append ``df`` to a landing folder plus one sentinel row at
+    ``sentinel_ts`` (flagged ``_sentinel``), so that the watermark passes every
+    real day before it. The flag keeps the sentinel out of the aggregates."""
+    df.withColumn(SENTINEL, F.lit(False)).write.mode("append").parquet(landing)
     spark = df.sparkSession
     row = spark.range(1).select(*[(F.lit(sentinel_ts).cast("timestamp") if f.name == ts_col else F.lit(None))
-                                  .cast(f.dataType).alias(f.name) for f in df.schema.fields])
+                                  .cast(f.dataType).alias(f.name) for f in df.schema.fields],
+                                F.lit(True).alias(SENTINEL))
     row.write.mode("append").parquet(landing)
 
 
