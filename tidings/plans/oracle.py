@@ -227,8 +227,7 @@ st AS (SELECT series, {corr('sentiment', '"return"')} AS lag0,
               {corr('sentiment', 'return_lead3')} AS lag3, {corr('sentiment', 'return_lead4')} AS lag4,
               {corr('sentiment', 'return_lead5')} AS lag5
        FROM combined GROUP BY series)
-SELECT series, CAST(substr(lag_name, 4) AS INTEGER) AS lag, "corr"
-FROM (UNPIVOT INCLUDE NULLS st ON lag0, lag1, lag2, lag3, lag4, lag5 INTO NAME lag_name VALUE "corr")"""
+""" + "\nUNION ALL\n".join(f'SELECT series, {k} AS lag, lag{k} AS "corr" FROM st' for k in range(6))
 
 _RET = "WITH" + market_ctes(True).split(",\njoined AS")[0]
 
