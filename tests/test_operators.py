@@ -219,3 +219,19 @@ def test_profile_statistics(spark):
     assert PR.drop_liveblogs(df).count() == 3  # null type stays
     chk = PR.data_check(df).first()
     assert (chk.total, chk.with_body) == (4, 3)
+
+
+def test_row_index_and_range(spark):
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"))
+    idx = PR.with_row_index(df, "k", buckets=16)
+    got = idx.select("k", "idx").collect()
+    assert all(r.k == r.idx for r in got) and len(got) == 5000
+    rng = PR.index_range(df, 4990, 50, "k")
+    assert sorted(r.idx for r in rng.collect()) == list(range(4990, 5000))
+    assert PR.index_range(df, 6000, 10, "k").count() == 0
+
+
+def test_newest(spark):
+    rows = [("a", "2024-01-01"), ("b", "2024-03-01"), ("c", "2024-02-01")]
+    df = spark.createDataFrame(rows, "id string, webPublicationDate string")
+    assert [r.id for r in PR.newest(df, 2).collect()] == ["b", "c"]

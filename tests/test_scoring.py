@@ -93,3 +93,23 @@ def test_prompt_token_estimate(spark):
     df = spark.createDataFrame([("T", None, "b")], "webTitle string, standfirst string, bodyText string")
     p = df.select(text.sectioned_prompt().alias("p")).first().p
     assert p.startswith("Analyze the following article") and "Excerpt: b" in p and "Summary:" not in p
+
+
+def test_polarity_scoring_skips_blank(spark):
+    from tidings.operators.lexicon import lexicon_polarity_factory
+    rows = [("a", "gains rally gains"), ("b", "   "), ("c", "loss"), ("d", "nothing"), ("e", "gains loss loss")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    got = {r.id: (r.status, r.label) for r in SC.score_polarity(df, lexicon_polarity_factory).collect()}
+    assert got["b"] == ("skipped", 2)
+    assert got["a"] == ("ok", 4) and got["c"] == ("ok", 0) and got["d"] == ("ok", 2)
+    assert got["e"] == ("ok", 1)  # negative, confidence 2/3 <= 0.75
+
+
+def test_compare_predictors(spark):
+    from tidings.plans.pipelines import compare_predictors
+    rows = [("a", "1", 1, 1), ("a", "2", 2, 3), ("b", "1", 1, 1), ("b", "2", 2, 2), ("b", "3", 0, 4)]
+    p = spark.createDataFrame(rows, "model string, article_id string, y_true int, y_pred int")
+    r = compare_predictors(p, "a", "b")
+    s = {x.model: x for x in r["summary"].collect()}
+    assert s["b"].n == 2 and s["a"].accuracy == 0.5  # aligned on the common ids only
+    assert r["agreement"].first().agreement == 0.5

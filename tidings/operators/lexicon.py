@@ -44,3 +44,8 @@ def lexicon_polarity(texts: list[str]) -> list[tuple[str, float]]:
         else:
             out.append(("positive" if p > n else "negative", max(p, n) / (p + n)))
     return out
+
+
+def lexicon_polarity_factory():
+    """Polarity scorer factory for :func:`tidings.operators.scoring.score_polarity`."""
+    return lexicon_polarity

@@ -82,3 +82,44 @@ def prepare_dataset(articles: DataFrame, labels: DataFrame, exclude: DataFrame |
         a = excluding(a, exclude, id_col)
     j = labelled(a, labels, id_col)
     return j.withColumn("text", text.title_body())
+
+
+def newest(articles: DataFrame, n: int, date_col: str = "webPublicationDate") -> DataFrame:
+    """O3: the ``n`` newest articles (a top-k: TakeOrderedAndProject keeps only
+    ``n`` rows per task before the final merge)."""
+    return articles.orderBy(F.col(date_col).desc(), F.col("id").desc()).limit(n)
+
+
+def with_row_index(df: DataFrame, order_col: str, index_col: str = "idx", buckets: int = 64,
+                   accuracy: int = 100000) -> DataFrame:
+    """A stable 0-based position of every row in ``order_col`` order
+    (unique values) without a global single-partition window.
+
+    The key range is cut into ``buckets`` by approximate quantiles (one
+    mergeable aggregate); each row gets a ``row_number`` within its bucket
+    (a window partitioned by bucket, so no task holds more than about
+    ``n / buckets`` rows) plus the count of all rows in lower buckets (a
+    per-bucket count table with ``buckets`` rows, prefix-summed and
+    broadcast).
+    """
+    qs = [i / buckets for i in range(1, buckets)]
+    cuts = df.agg(F.percentile_approx(order_col, qs, accuracy).alias("_cuts"))
+    key = F.col(order_col)
+    b = df.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    b = b.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
+    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    from pyspark.sql import Window
+    offsets = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")
+                                                          .rowsBetween(Window.unboundedPreceding, -1)))
+                            .alias("_off"))
+    w = Window.partitionBy("_bucket").orderBy(order_col)
+    out = b.join(F.broadcast(offsets), "_bucket", "left")
+    return out.withColumn(index_col, (F.coalesce("_off", F.lit(0)) + F.row_number().over(w) - 1).cast("long")) \
+              .drop("_bucket", "_off")
+
+
+def index_range(df: DataFrame, start: int, count: int, order_col: str, index_col: str = "idx") -> DataFrame:
+    """rows at positions ``[start, start + count)`` (clipped to the data)."""
+    start = max(0, start)
+    return with_row_index(df, order_col, index_col).where(
+        (F.col(index_col) >= start) & (F.col(index_col) < start + max(0, count)))

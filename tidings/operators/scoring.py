@@ -235,3 +235,34 @@ def batch_progress(scored: DataFrame, idx_col: str, batch_size: int = 50) -> Dat
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "ok").alias("ok_rows"),
         F.count_if(F.col("status") != "ok").alias("failed_rows"))
     return g.withColumn("batch_ok", F.col("failed_rows") == 0)
+
+
+POLARITY_SCHEMA = "polarity string, confidence double"
+
+
+def score_polarity(df: DataFrame, polarity_factory, id_col: str = "id", text_col: str = "text",
+                   batch_size: int = BATCH_SIZE, threshold: float = 0.75) -> DataFrame:
+    """M5 + P18 + P19 for 3-class polarity scorers (``list[str] ->
+    list[(label, score)]``): blank texts get the neutral 2 without a scorer
+    call; other texts are scored in batches and bucketed into 0-4."""
+    from tidings.functions.parse import bucket_polarity
+    ship_package_by_value()
+    blank = text.is_blank(text_col)
+    skipped = df.where(blank).select(F.col(id_col).cast("string").alias(id_col),
+                                     F.lit(None).cast("string").alias("polarity"),
+                                     F.lit(None).cast("double").alias("confidence"),
+                                     F.lit("skipped").alias("status"), F.lit(NEUTRAL).alias("label"))
+    src = df.where(~blank).select(F.col(id_col).cast("string").alias(id_col), F.col(text_col).alias("_text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = polarity_factory()
+        for pdf in batches:
+            answers, status, _ = _run_batches(scorer, pdf["_text"].astype(str).tolist(), batch_size)
+            yield pd.DataFrame({id_col: pdf[id_col],
+                                "polarity": [a[0] if a else None for a in answers],
+                                "confidence": [float(a[1]) if a else None for a in answers],
+                                "status": status})
+
+    scored = src.mapInPandas(run, f"`{id_col}` string, {POLARITY_SCHEMA}, status string")
+    scored = scored.withColumn("label", bucket_polarity("polarity", "confidence", threshold))
+    return scored.unionByName(skipped)

@@ -495,3 +495,35 @@ def articles_by_type_roundtrip(spark, sf_dir):
                      fmt="parquet")
     back = spark.read.parquet(f"{root}/out")
     return rounded(PR.type_statistics(back))
+
+
+# ---------------------------------------------------------------- positions, top-k, polarity model
+
+@register("article_index")
+def article_index(spark, sf_dir):
+    """Stable 0-based position of every article in document order."""
+    return PR.with_row_index(V.articles(spark, sf_dir), "doc_id").select("id", "idx")
+
+
+@register("article_index_range")
+def article_index_range(spark, sf_dir):
+    """the labelling batch at positions [100, 150)."""
+    return PR.index_range(V.articles(spark, sf_dir), 100, 50, "doc_id").select("id", "idx")
+
+
+@register("newest_articles")
+def newest_articles(spark, sf_dir):
+    """O3: the 50 newest articles."""
+    return PR.newest(V.articles(spark, sf_dir), 50).select("id", "webPublicationDate")
+
+
+@register("polarity_eval")
+def polarity_eval(spark, sf_dir):
+    """M5 + P19 + P18 + A13: a 3-class polarity scorer bucketed to five
+    classes, evaluated against the consensus labels (rows-only: Python scorer)."""
+    from tidings.operators.lexicon import lexicon_polarity_factory
+    d = _eval_dataset(spark, sf_dir)
+    pol = SC.score_polarity(d, lexicon_polarity_factory)
+    j = pol.join(d.select(F.col("id").cast("string").alias("id"), F.col("label").alias("y_true")), "id")
+    preds = j.select(F.lit("polarity").alias("model"), "y_true", F.col("label").alias("y_pred"))
+    return rounded(M.evaluation_summary(preds))

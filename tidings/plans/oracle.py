@@ -528,3 +528,16 @@ GROUP BY day"""
 ORACLE["articles_by_type_roundtrip"] = "WITH" + ARTICLES + f"""
 SELECT coalesce(type, 'unknown') AS type, {STATS_COLS}
 FROM articles GROUP BY 1"""
+
+
+# ---------------------------------------------------------------- positions, top-k
+
+ORACLE["article_index"] = "WITH" + ARTICLES + """
+SELECT id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx FROM articles"""
+
+ORACLE["article_index_range"] = "WITH" + ARTICLES + """
+SELECT * FROM (SELECT id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx FROM articles)
+WHERE idx >= 100 AND idx < 150"""
+
+ORACLE["newest_articles"] = "WITH" + ARTICLES + """
+SELECT id, webPublicationDate FROM articles ORDER BY webPublicationDate DESC, id DESC LIMIT 50"""

@@ -110,3 +110,32 @@ def evaluate_prompting(dataset: DataFrame, scorer_factory: Callable, label_col:
     scored = scoring.score_texts(flat, scorer_factory, "key", "chat", batch_size, keep=["mode", "id", "y_true"])
     preds = scored.select("mode", "id", "y_true", parse.parse_first_digit("raw_response").alias("y_pred"))
     return preds, metrics.evaluation_summary(preds, ["mode"])
+
+
+def compare_predictors(preds: DataFrame, model_a: str, model_b: str, id_col: str = "article_id") -> dict:
+    """Two predictors over the same articles, aligned by id
+    (never by position): per-model accuracy and MAE (A13), agreement and
+    correlation (A14, A15), aligned histogram (A16)."""
+    a = preds.where(F.col("model") == model_a).select(id_col, F.col("y_pred").alias("pred_a"))
+    b = preds.where(F.col("model") == model_b).select(id_col, F.col("y_pred").alias("pred_b"))
+    both = a.join(b, id_col, "inner")
+    common = preds.where(F.col("model").isin(model_a, model_b)).join(both.select(id_col), id_col, "left_semi")
+    return {"summary": metrics.evaluation_summary(common),
+            "agreement": metrics.agreement(both),
+            "histogram": metrics.prediction_histogram(common, [model_a, model_b])}
+
+
+def baseline_run(dataset: DataFrame, polarity_factory: Callable, label_col: str = "label",
+                 max_iter: int = 1000) -> DataFrame:
+    """The labelled dataset -> (1) TF-IDF + logistic regression trained
+    on the hash split's train part, (2) a polarity scorer bucketed to five
+    classes; both evaluated on the test part (A13)."""
+    d = learn.hash_split(dataset.withColumn(label_col, F.col(label_col).cast("int")), "id")
+    train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+    feats, model = learn.fit_logistic(train, label_col, max_iter=max_iter)
+    lr = learn.predict(feats, model, test, label_col).select(F.lit("logistic_regression").alias("model"),
+                                                            "id", "y_true", "y_pred")
+    pol = scoring.score_polarity(test, polarity_factory).join(
+        test.select(F.col("id").cast("string").alias("id"), F.col(label_col).cast("int").alias("y_true")), "id")
+    pol = pol.select(F.lit("polarity").alias("model"), "id", "y_true", F.col("label").alias("y_pred"))
+    return metrics.evaluation_summary(lr.unionByName(pol))
