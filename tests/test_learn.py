@@ -69,3 +69,18 @@ def test_logistic_regression_learns_language(spark):
     pred = LE.predict(feats, model, df)
     acc = pred.agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))).first()[0]
     assert acc > 0.9
+
+
+def test_select_by_mae_and_text_dataset(spark):
+    from tidings.operators import profile as PR
+    arts = spark.createDataFrame(
+        [(f"a{i}", f"h{i}", None, ("gains rally " if i % 2 else "loss crash ") * 3) for i in range(40)]
+        + [("blank", " ", "", "  ")],
+        "id string, headline string, standfirst string, bodyText string")
+    labels = spark.createDataFrame([(f"a{i}", 4.0 if i % 2 else 0.5) for i in range(40)] + [("blank", 2.0)],
+                                   "article_id string, label double")
+    d = PR.text_dataset(arts, labels)
+    assert d.count() == 40 and d.where(F.col("label") == 0).count() == 20
+    assert d.where(F.col("id") == "a1").first().text == "h1  gains rally gains rally gains rally"
+    best, feats, model, scores = LE.select_by_mae(d, d, [0.01, 10.0], max_iter=20)
+    assert set(scores) == {0.01, 10.0} and scores[best] == min(scores.values())

@@ -123,3 +123,18 @@ def index_range(df: DataFrame, start: int, count: int, order_col: str, index_col
     start = max(0, start)
     return with_row_index(df, order_col, index_col).where(
         (F.col(index_col) >= start) & (F.col(index_col) < start + max(0, count)))
+
+
+def text_dataset(articles: DataFrame, labels: DataFrame, id_col: str = "id", label_id: str = "article_id",
+                 label_col: str = "label") -> DataFrame:
+    """P4 + F4 + P24 + J1: labelled articles with the stripped
+    headline/standfirst/body text; rows whose text is empty are dropped and
+    labels truncated to int (the fine-tuning dataset)."""
+    j = labelled(articles.where(F.col(id_col).isNotNull()), labels, id_col, label_id)
+    t = j.select(id_col, text.trimmed_text().alias("text"), F.col(label_col).cast("int").alias(label_col))
+    return t.where(F.col("text") != "")
+
+
+def first_n(df: DataFrame, n: int, *order_cols) -> DataFrame:
+    """The first ``n`` rows in ``order_cols`` order (a top-k)."""
+    return df.orderBy(*order_cols).limit(n)

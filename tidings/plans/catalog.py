@@ -527,3 +527,10 @@ def polarity_eval(spark, sf_dir):
     j = pol.join(d.select(F.col("id").cast("string").alias("id"), F.col("label").alias("y_true")), "id")
     preds = j.select(F.lit("polarity").alias("model"), "y_true", F.col("label").alias("y_pred"))
     return rounded(M.evaluation_summary(preds))
+
+
+@register("finetune_dataset")
+def finetune_dataset(spark, sf_dir):
+    """P4 + F4 + P24 + J1: stripped text of every labelled article."""
+    d = PR.text_dataset(V.articles(spark, sf_dir), consensus_labels(spark, sf_dir))
+    return d.select("id", "label", F.md5("text").alias("text_md5"), F.length("text").alias("text_chars"))
