@@ -54,16 +54,17 @@ def stratified_split(df: DataFrame, label_col: str = "label", id_col: str = "id"
 def balanced_class_weights(labels: DataFrame, label_col: str = "label") -> DataFrame:
     """Scikit-learn "balanced" weights ``n / (k * n_c)`` per class."""
     g = labels.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
-    tot = labels.agg(F.count(F.lit(1)).alias("n_total"), F.countDistinct(label_col).alias("n_classes"))
-    j = g.withColumn("_k", F.lit(0)).join(tot.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    return j.select(label_col, "n_class",
-                    (F.col("n_total") / (F.col("n_classes") * F.col("n_class"))).alias("weight"))
+    # totals come from the (few-row) class table itself, as scalar subqueries
+    n_total = g.agg(F.sum("n_class")).scalar()
+    n_classes = g.agg(F.count(F.lit(1))).scalar()
+    return g.select(label_col, "n_class", (n_total / (n_classes * F.col("n_class"))).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label_col: str = "label", weight_col: str = "weight") -> DataFrame:
-    """Attach A27 weights (one row per class, broadcast)."""
+    """Attach A27 weights (one row per class; AQE broadcasts it after
+    measuring its size)."""
     w = balanced_class_weights(df, label_col).select(label_col, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), label_col, "left")
+    return df.join(w, label_col, "left")
 
 
 def few_shot_examples(dataset: DataFrame, label_col: str = "label", id_col: str = "id",

@@ -85,56 +85,73 @@ def classification_report(preds: DataFrame, group_cols=("model",), classes=None,
     group (scikit-learn default); a list fixes them (``labels=`` argument).
     Output ``(group..., row, precision, recall, f1, support)`` with ``row`` the
     class as text or the summary name.
+
+    Plan: the ``(y_true, y_pred)`` count table (one shuffle of the
+    predictions), each count cell exploded into its truth-side and
+    prediction-side contribution (plus zero rows for fixed classes) and summed
+    per class (one shuffle of <= 25 cells per group), then one aggregate per
+    group for the summary rows.
     """
     group_cols = list(group_cols)
     cc = confusion_counts(preds, group_cols, y_true, y_pred)
-    tp = cc.where(F.col("y_true") == F.col("y_pred")).groupBy(*group_cols, F.col("y_true").alias("cls")) \
-        .agg(F.sum("n").alias("tp"))
-    sup = cc.groupBy(*group_cols, F.col("y_true").alias("cls")).agg(F.sum("n").alias("support"))
-    pred_n = cc.groupBy(*group_cols, F.col("y_pred").alias("cls")).agg(F.sum("n").alias("predicted"))
-    if classes is None:
-        cls = sup.select(*group_cols, "cls").unionByName(pred_n.select(*group_cols, "cls")).distinct()
-    else:
-        keys = cc.select(*group_cols).distinct()
-        cls = _grid(keys, group_cols, list(classes), names=("cls",))
-    per = (cls.join(tp, group_cols + ["cls"], "left")
-              .join(sup, group_cols + ["cls"], "left")
-              .join(pred_n, group_cols + ["cls"], "left")
-              .na.fill(0, ["tp", "support", "predicted"]))
-    prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("predicted")), F.lit(0.0))
-    rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
-    per = per.withColumn("precision", prec).withColumn("recall", rec)
+    eq = F.col("y_true") == F.col("y_pred")
+    zero = F.lit(0).cast("long")
+
+    def part(cls, sup, tp, pred, all_n, ok_n):
+        return F.struct(cls.cast("long").alias("cls"), sup.alias("sup"), tp.alias("tp"), pred.alias("pred"),
+                        all_n.alias("all_n"), ok_n.alias("ok_n"))
+
+    parts = [part(F.col("y_true"), F.col("n"), F.when(eq, F.col("n")).otherwise(zero), zero,
+                  F.col("n"), F.when(eq, F.col("n")).otherwise(zero)),
+             part(F.col("y_pred"), zero, zero, F.col("n"), zero, zero)]
+    if classes is not None:
+        parts += [part(F.lit(c), zero, zero, zero, zero, zero) for c in classes]
+    per = (cc.select(*group_cols, F.inline(F.array(*parts)))
+             .groupBy(*group_cols, "cls")
+             .agg(F.sum("sup").alias("support"), F.sum("tp").alias("tp"), F.sum("pred").alias("predicted"),
+                  F.sum("all_n").alias("all_n"), F.sum("ok_n").alias("ok_n")))
+    listed = F.col("cls").isin(list(classes)) if classes is not None else F.lit(True)
+    z = F.lit(0.0)
+    prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("predicted")), z)
+    rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), z)
+    per = per.withColumn("listed", listed).withColumn("precision", prec).withColumn("recall", rec)
     per = per.withColumn("f1", F.coalesce(
-        F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
-    per = per.withColumn("support", F.col("support").cast("long"))
-    total = cc.groupBy(*group_cols).agg(F.sum("n").alias("n_all"),
-                                        F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n"))).alias("n_ok"))
+        F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), z))
+
+    def on_listed(c):
+        return F.when(F.col("listed"), c)
+
     summ = per.groupBy(*group_cols).agg(
-        F.sum("tp").alias("tp_all"), F.sum("predicted").alias("pred_all"), F.sum("support").alias("sup_all"),
-        F.avg("precision").alias("macro_p"), F.avg("recall").alias("macro_r"), F.avg("f1").alias("macro_f1"),
-        F.try_divide(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("w_p"),
-        F.try_divide(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("w_r"),
-        F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("w_f1"))
-    summ = summ.join(total, group_cols, "left")
-    z = F.lit(0.0)
+        F.sum(on_listed(F.col("tp"))).alias("tp_all"), F.sum(on_listed(F.col("predicted"))).alias("pred_all"),
+        F.sum(on_listed(F.col("support"))).alias("sup_all"),
+        F.avg(on_listed(F.col("precision"))).alias("macro_p"), F.avg(on_listed(F.col("recall"))).alias("macro_r"),
+        F.avg(on_listed(F.col("f1"))).alias("macro_f1"),
+        F.try_divide(F.sum(on_listed(F.col("precision") * F.col("support"))),
+                     F.sum(on_listed(F.col("support")))).alias("w_p"),
+        F.try_divide(F.sum(on_listed(F.col("recall") * F.col("support"))),
+                     F.sum(on_listed(F.col("support")))).alias("w_r"),
+        F.try_divide(F.sum(on_listed(F.col("f1") * F.col("support"))),
+                     F.sum(on_listed(F.col("support")))).alias("w_f1"),
+        F.sum("all_n").alias("n_all"), F.sum("ok_n").alias("n_ok"))
     micro_p = F.coalesce(F.try_divide(F.col("tp_all").cast("double"), F.col("pred_all")), z)
     micro_r = F.coalesce(F.try_divide(F.col("tp_all").cast("double"), F.col("sup_all")), z)
     micro_f1 = F.coalesce(F.try_divide(2 * micro_p * micro_r, micro_p + micro_r), z)
-    acc = F.coalesce(F.try_divide(F.coalesce(F.col("n_ok"), F.lit(0)).cast("double"), F.col("n_all")), z)
+    acc = F.coalesce(F.try_divide(F.col("n_ok").cast("double"), F.col("n_all")), z)
+    sup_all = F.coalesce(F.col("sup_all"), F.lit(0)).cast("long")
+
+    def row(name, p, r, f, s):
+        return F.struct(F.lit(name).alias("row"), p.alias("precision"), r.alias("recall"), f.alias("f1"),
+                        s.alias("support"))
+
     rows = F.array(
-        F.struct(F.lit("accuracy").alias("row"), acc.alias("precision"), acc.alias("recall"), acc.alias("f1"),
-                 F.col("n_all").cast("long").alias("support")),
-        F.struct(F.lit("micro avg").alias("row"), micro_p.alias("precision"), micro_r.alias("recall"),
-                 micro_f1.alias("f1"), F.col("sup_all").cast("long").alias("support")),
-        F.struct(F.lit("macro avg").alias("row"), F.col("macro_p").alias("precision"),
-                 F.col("macro_r").alias("recall"), F.col("macro_f1").alias("f1"),
-                 F.col("sup_all").cast("long").alias("support")),
-        F.struct(F.lit("weighted avg").alias("row"), F.coalesce("w_p", z).alias("precision"),
-                 F.coalesce("w_r", z).alias("recall"), F.coalesce("w_f1", z).alias("f1"),
-                 F.col("sup_all").cast("long").alias("support")))
+        row("accuracy", acc, acc, acc, F.col("n_all").cast("long")),
+        row("micro avg", micro_p, micro_r, micro_f1, sup_all),
+        row("macro avg", F.coalesce("macro_p", z), F.coalesce("macro_r", z), F.coalesce("macro_f1", z), sup_all),
+        row("weighted avg", F.coalesce("w_p", z), F.coalesce("w_r", z), F.coalesce("w_f1", z), sup_all))
     summary_rows = summ.select(*group_cols, F.inline(rows))
-    class_rows = per.select(*group_cols, F.col("cls").cast("string").alias("row"),
-                            "precision", "recall", "f1", "support")
+    class_rows = per.where(F.col("listed")).select(*group_cols, F.col("cls").cast("string").alias("row"),
+                                                   "precision", "recall", "f1",
+                                                   F.col("support").cast("long").alias("support"))
     return class_rows.unionByName(summary_rows)
 
 

@@ -99,13 +99,13 @@ def with_row_index(df: DataFrame, order_col: str, index_col: str = "idx", bucket
     mergeable aggregate); each row gets a ``row_number`` within its bucket
     (a window partitioned by bucket, so no task holds more than about
     ``n / buckets`` rows) plus the count of all rows in lower buckets (a
-    per-bucket count table with ``buckets`` rows, prefix-summed and
-    broadcast).
+    per-bucket count table with at most ``buckets`` rows, prefix-summed and
+    joined back on the bucket). The cut points are a scalar subquery.
     """
     qs = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(order_col, qs, accuracy).alias("_cuts"))
+    cuts = df.agg(F.percentile_approx(order_col, qs, accuracy)).scalar()  # one scalar subquery
     key = F.col(order_col)
-    b = df.withColumn("_k", F.lit(0)).join(F.broadcast(cuts.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    b = df.withColumn("_cuts", cuts)
     b = b.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
     counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     from pyspark.sql import Window

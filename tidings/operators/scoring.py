@@ -76,15 +76,16 @@ def few_shot_block(examples: DataFrame, text_col: str = "text", label_col: str =
 
 def few_shot_messages(dataset: DataFrame, examples: DataFrame, text_col: str = "text",
                       system: str = EVAL_SYSTEM_PROMPT) -> DataFrame:
-    """System, the example pairs, then the article. The example block is a
-    single row (size proven by construction), broadcast to every row."""
-    block = few_shot_block(examples).withColumn("_k", F.lit(0))
-    d = dataset.withColumn("_k", F.lit(0)).join(F.broadcast(block), "_k", "left").drop("_k")
+    """System, the example pairs, then the article. The example block is
+    one value (at most five pairs by construction) computed once as a scalar
+    subquery."""
+    block = few_shot_block(examples).scalar()
+    d = dataset.withColumn("_examples", block)
     msgs = F.concat(F.array(_msg("system", F.lit(system))),
-                    F.coalesce(F.col("example_messages"), F.array().cast(
+                    F.coalesce(F.col("_examples"), F.array().cast(
                         "array<struct<role:string,content:string>>")),
                     F.array(_msg("user", article_message(text_col))))
-    return d.withColumn("messages", msgs).drop("example_messages")
+    return d.withColumn("messages", msgs).drop("_examples")
 
 
 def _run_batches(scorer: Callable[[list[str]], list[str]], texts: list[str], batch_size: int):
@@ -213,11 +214,9 @@ def cost_estimate(articles: DataFrame, prompt: Column, order_col: str | None = N
     if sample is None:
         g = articles.agg(n.alias("num_articles"), F.coalesce(F.sum(tok), F.lit(0)).cast("long").alias("estimated_input_tokens"))
     else:
-        head = articles.orderBy(order_col).limit(sample).agg(F.avg(tok).alias("_avg"))
-        cnt = articles.agg(n.alias("num_articles"))
-        # both sides are single-row aggregates; join them on a constant key
-        g = cnt.withColumn("_k", F.lit(0)).join(head.withColumn("_k", F.lit(0)), "_k").drop("_k")
-        g = g.select("num_articles", F.coalesce(F.floor(F.col("_avg") * F.col("num_articles")), F.lit(0))
+        head_avg = articles.orderBy(order_col).limit(sample).agg(F.avg(tok)).scalar()
+        g = articles.agg(n.alias("num_articles"))
+        g = g.select("num_articles", F.coalesce(F.floor(head_avg * F.col("num_articles")), F.lit(0))
                      .cast("long").alias("estimated_input_tokens"))
     g = g.withColumn("estimated_output_tokens", (F.col("num_articles") * ASSUMED_COMPLETION_TOKENS).cast("long"))
     return (g.withColumn("estimated_total_tokens", F.col("estimated_input_tokens") + F.col("estimated_output_tokens"))

@@ -163,20 +163,20 @@ def range_kpis(daily: DataFrame, start=None, end=None, series_cols=None) -> Data
 
 
 def default_range_kpis(daily: DataFrame, default_days: int = 30, series_cols=None) -> DataFrame:
-    """E3 core: KPIs over the default range ``[max(min, max-30d), max]`` computed
-    without a driver round trip (the range is joined back as a one-row-per-series
-    aggregate)."""
+    """E3 core: KPIs over the default range ``[max(min, max-30d), max]``
+    without a driver round trip. One series: the range bounds are scalar
+    subqueries; several: the per-series range is equi-joined back."""
     keys = _keys(series_cols)
-    if not keys:  # one series: join the one-row range on a constant key
-        daily = daily.withColumn("_series", F.lit(0))
-    jk = keys or ["_series"]
-    rng = data_range(daily, default_days, jk)
-    j = daily.join(rng, jk, "inner")
-    j = j.where(F.col("date").between(F.col("default_start"), F.col("max_date")))
-    k = j.groupBy(*jk, "default_start", "max_date").agg(
-        F.avg("sentiment").alias("mean_sentiment"), F.min("sentiment").alias("min_sentiment"),
-        F.max("sentiment").alias("max_sentiment"),
-        F.try_divide(F.sum(F.col("sentiment") * F.col("n_articles")), F.sum("n_articles")).alias("article_mean"),
-        F.sum("n_articles").alias("n_articles"), F.count(F.lit(1)).alias("n_days"))
-    k = k.withColumnRenamed("default_start", "range_start").withColumnRenamed("max_date", "range_end")
-    return k if keys else k.drop("_series")
+    aggs = [F.avg("sentiment").alias("mean_sentiment"), F.min("sentiment").alias("min_sentiment"),
+            F.max("sentiment").alias("max_sentiment"),
+            F.try_divide(F.sum(F.col("sentiment") * F.col("n_articles")), F.sum("n_articles")).alias("article_mean"),
+            F.sum("n_articles").alias("n_articles"), F.count(F.lit(1)).alias("n_days")]
+    if not keys:
+        rng = data_range(daily, default_days)
+        start, end = rng.select("default_start").scalar(), rng.select("max_date").scalar()
+        d = daily.where(F.col("date").between(start, end))
+        return d.agg(*aggs).select(start.alias("range_start"), end.alias("range_end"), "*")
+    rng = data_range(daily, default_days, keys)
+    j = daily.join(rng, keys, "inner").where(F.col("date").between(F.col("default_start"), F.col("max_date")))
+    k = j.groupBy(*keys, "default_start", "max_date").agg(*aggs)
+    return k.withColumnRenamed("default_start", "range_start").withColumnRenamed("max_date", "range_end")

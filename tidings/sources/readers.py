@@ -166,10 +166,8 @@ def assemble_pages(pages: DataFrame, max_articles: int | None = None) -> DataFra
     """
     bad = F.col("response").isNull() | ~F.col("response.status").eqNullSafe("ok") | \
         (F.coalesce(F.size("response.results"), F.lit(0)) <= 0)
-    first_bad = pages.agg(F.min(F.when(bad, F.col("page"))).alias("_bad"))
-    ok = (pages.withColumn("_k", F.lit(0))
-          .join(first_bad.withColumn("_k", F.lit(0)), "_k")
-          .where(F.col("_bad").isNull() | (F.col("page") < F.col("_bad"))))
+    first_bad = pages.agg(F.min(F.when(bad, F.col("page")))).scalar()  # scalar subquery
+    ok = pages.where(first_bad.isNull() | (F.col("page") < first_bad))
     rows = ok.select("page", F.posexplode("response.results").alias("pos", "a")).select("page", "pos", "a.*")
     rows = flatten_articles(rows)
     if max_articles is not None:

@@ -131,22 +131,28 @@ def daily_signal(spark: SparkSession, sf_dir: str, by_segment: bool = False) ->
         F.avg(F.col("l_linenumber") % 5).alias("sentiment"), F.count(F.lit(1)).alias("n_articles"))
 
 
-def segment_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+def orders_with_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` with the customer's market segment. Both segment series
+    (prices and the lineitem signal) use this one subplan, so Spark computes
+    the orders x customer join once and reuses its exchange."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return o.join(c, o.o_custkey == c.c_custkey, "inner").select("o_orderkey", "c_mktsegment")
+    return o.join(c, o.o_custkey == c.c_custkey, "inner").select(
+        "o_orderkey", "o_orderdate", "o_totalprice", "c_mktsegment")
+
+
+def segment_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders_with_segment(spark, sf_dir).select("o_orderkey", "c_mktsegment")
 
 
 def daily_prices(spark: SparkSession, sf_dir: str, by_segment: bool = False, min_orders: int = 1) -> DataFrame:
     """Daily 'close' from ``orders``: mean ``o_totalprice`` per order day
     -> ``(symbol, ts, close)``. Days with fewer than ``min_orders`` orders are
     kept as gaps (close NULL)."""
-    o = table(spark, sf_dir, "orders")
     if by_segment:
-        c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("symbol"))
-        o = o.join(c, o.o_custkey == c.c_custkey, "inner")
+        o = orders_with_segment(spark, sf_dir).withColumnRenamed("c_mktsegment", "symbol")
     else:
-        o = o.withColumn("symbol", F.lit("all"))
+        o = table(spark, sf_dir, "orders").withColumn("symbol", F.lit("all"))
     g = o.groupBy("symbol", F.col("o_orderdate").alias("ts")).agg(
         F.avg("o_totalprice").alias("close"), F.count(F.lit(1)).alias("n"))
     return g.select("symbol", "ts", F.when(F.col("n") >= min_orders, F.col("close")).alias("close"))

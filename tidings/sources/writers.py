@@ -39,9 +39,8 @@ def run_record(preds: DataFrame, truth: DataFrame, model: str, timestamp: str, b
         F.map_from_entries(F.collect_list(F.struct("article_id", "pred"))).alias("predictions"))
     modes = per_mode.agg(F.map_from_entries(F.collect_list(
         F.struct("mode", F.struct("accuracy", "predictions")))).alias("m"))
-    gt = truth.agg(F.map_from_entries(F.collect_list(F.struct("article_id", F.col("label").cast("int"))))
-                   .alias("ground_truth"))
-    j2 = modes.withColumn("_k", F.lit(0)).join(gt.withColumn("_k", F.lit(0)), "_k")
+    gt = truth.agg(F.map_from_entries(F.collect_list(F.struct("article_id", F.col("label").cast("int"))))).scalar()
+    j2 = modes.withColumn("ground_truth", gt)
     return j2.select(F.lit(model).alias("model"), F.lit(timestamp).alias("timestamp"),
                      F.lit(batch_size).alias("batch_size"),
                      F.col("m")["zero_shot"].alias("zero_shot"), F.col("m")["few_shot"].alias("few_shot"),
