@@ -112,6 +112,38 @@ def combine(sentiment: DataFrame, returns: DataFrame, series_cols=None, on_symbo
                .withColumn("return_dir", direction("next_return", 0.0)))
 
 
+def combine_prices(sentiment: DataFrame, prices: DataFrame, series_col: str = "series",
+                   rolling: int = ROLLING, lags=LAGS, fill_gaps: bool = True) -> DataFrame:
+    """W1 + J3 + W2 + W3 + P21 in one partitioned pass: same output as
+    ``combine(sentiment, daily_returns(prices), series_col, on_symbol=...)``.
+
+    ``prices``: one row per ``(symbol, date)`` with ``close`` (aggregated by
+    exactly these keys, so the join below needs no further exchange). The
+    daily prices are left-joined with the sentiment days; one window pass per
+    symbol computes the (gap-filled) return over every price day, the rows
+    without sentiment are dropped (the reference's inner join), and a second
+    window with the same partitioning computes smoothing and leads over the
+    joined days - no shuffle between the two.
+    """
+    s = sentiment.withColumnRenamed(series_col, "symbol")
+    j = prices.select("symbol", "date", "close").join(s, ["symbol", "date"], "left")
+    w = Window.partitionBy("symbol").orderBy("date")
+    filled = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) \
+        if fill_gaps else F.col("close")
+    j = j.withColumn("_filled", filled)
+    j = j.withColumn("return", F.try_divide(F.col("_filled"), F.lag("_filled", 1).over(w)) - F.lit(1.0))
+    j = j.where(F.col("sentiment").isNotNull() | F.col("n_articles").isNotNull())
+    cols = [F.col("symbol").alias("series"), "date", "sentiment", "n_articles", "return",
+            rolling_mean("return", w, rolling).alias("return_smoothed"),
+            rolling_mean("sentiment", w, rolling).alias("sentiment_smoothed")]
+    cols += [F.lead("return", k).over(w).alias(f"return_lead{k}") for k in lags]
+    out = j.select(*cols)
+    out = out.withColumn("next_return", F.col("return_lead1")) if 1 in lags else \
+        out.withColumn("next_return", F.lead("return", 1).over(w))
+    return (out.withColumn("sentiment_dir", direction("sentiment", SENTIMENT_PIVOT))
+               .withColumn("return_dir", direction("next_return", 0.0)))
+
+
 def market_stats(combined: DataFrame, lags=LAGS) -> DataFrame:
     """A17 + A18 + A19 in a single aggregate per series: correlation raw and
     smoothed, lagged correlations, directional accuracy and its day count."""
@@ -163,20 +195,19 @@ def range_kpis(daily: DataFrame, start=None, end=None, series_cols=None) -> Data
 
 
 def default_range_kpis(daily: DataFrame, default_days: int = 30, series_cols=None) -> DataFrame:
-    """E3 core: KPIs over the default range ``[max(min, max-30d), max]``
-    without a driver round trip. One series: the range bounds are scalar
-    subqueries; several: the per-series range is equi-joined back."""
+    """E3 core: KPIs over the default range ``[max(min, max-30d), max]`` in one
+    pass over the daily rows: the per-series first/last day come from a window
+    partitioned by series over *daily* rows (one row per series and day, so a
+    task holds at most one series' days; with a single series that is one
+    small task), then a filter and one aggregate."""
     keys = _keys(series_cols)
-    aggs = [F.avg("sentiment").alias("mean_sentiment"), F.min("sentiment").alias("min_sentiment"),
-            F.max("sentiment").alias("max_sentiment"),
-            F.try_divide(F.sum(F.col("sentiment") * F.col("n_articles")), F.sum("n_articles")).alias("article_mean"),
-            F.sum("n_articles").alias("n_articles"), F.count(F.lit(1)).alias("n_days")]
-    if not keys:
-        rng = data_range(daily, default_days)
-        start, end = rng.select("default_start").scalar(), rng.select("max_date").scalar()
-        d = daily.where(F.col("date").between(start, end))
-        return d.agg(*aggs).select(start.alias("range_start"), end.alias("range_end"), "*")
-    rng = data_range(daily, default_days, keys)
-    j = daily.join(rng, keys, "inner").where(F.col("date").between(F.col("default_start"), F.col("max_date")))
-    k = j.groupBy(*keys, "default_start", "max_date").agg(*aggs)
-    return k.withColumnRenamed("default_start", "range_start").withColumnRenamed("max_date", "range_end")
+    w = Window.partitionBy(*keys)
+    d = (daily.withColumn("range_end", F.max("date").over(w))
+              .withColumn("range_start", F.greatest(F.min("date").over(w),
+                                                    F.date_sub(F.col("range_end"), default_days))))
+    d = d.where(F.col("date").between(F.col("range_start"), F.col("range_end")))
+    return d.groupBy(*keys, "range_start", "range_end").agg(
+        F.avg("sentiment").alias("mean_sentiment"), F.min("sentiment").alias("min_sentiment"),
+        F.max("sentiment").alias("max_sentiment"),
+        F.try_divide(F.sum(F.col("sentiment") * F.col("n_articles")), F.sum("n_articles")).alias("article_mean"),
+        F.sum("n_articles").alias("n_articles"), F.count(F.lit(1)).alias("n_days"))

@@ -94,8 +94,7 @@ MIN_ORDERS_PER_DAY = 3  # days with fewer orders become price gaps (forward-fill
 def _combined(spark, sf_dir, by_segment=False) -> DataFrame:
     signal = V.daily_signal(spark, sf_dir, by_segment=by_segment)
     prices = V.daily_prices(spark, sf_dir, by_segment=by_segment, min_orders=MIN_ORDERS_PER_DAY)
-    returns = S.daily_returns(prices)
-    return S.combine(signal, returns, series_cols="series", on_symbol="symbol")
+    return S.combine_prices(signal, prices, "series")
 
 
 @register("market_combined")
@@ -446,7 +445,7 @@ def price_csv_roundtrip(spark, sf_dir):
     back, returns computed (W1) on the UTC dates."""
     root = checkpoint_root(spark, "prices")
     p = V.daily_prices(spark, sf_dir, by_segment=True, min_orders=MIN_ORDERS_PER_DAY)
-    csv = p.select(F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" 00:00:00-05:00")).alias("Date"),
+    csv = p.select(F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit(" 00:00:00-05:00")).alias("Date"),
                    F.col("close").alias("Close"), F.col("symbol").alias("Symbol"))
     csv.write.mode("overwrite").option("header", True).csv(f"{root}/csv")
     back = RD.read_prices(spark, f"{root}/csv")

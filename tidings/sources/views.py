@@ -22,10 +22,35 @@ BATCH_WIDTH = 100
 BATCH_OVERLAP = 30
 
 
+_TABLES: dict = {}
+
+
+def _memo(fn):
+    """Build each fixture view's (lazy) DataFrame once per session and input."""
+    cache: dict = {}
+
+    def wrapper(spark, sf_dir, *args, **kwargs):
+        key = (id(spark), sf_dir, args, tuple(sorted(kwargs.items())))
+        df = cache.get(key)
+        if df is None or df.sparkSession is not spark:
+            df = cache[key] = fn(spark, sf_dir, *args, **kwargs)
+        return df
+    wrapper.__doc__, wrapper.__name__ = fn.__doc__, fn.__name__
+    return wrapper
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; the DataFrame (file listing, footer schema) is built
+    once per session and path - the tables are read-only inputs."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _TABLES[key] = spark.read.parquet(path)
+    return df
 
 
+@_memo
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat article rows derived from ``documents``.
 
@@ -59,6 +84,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def rater_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long label table ``(article_id, rater, label)`` of two raters.
 
@@ -75,6 +101,7 @@ def rater_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return la.unionByName(lb)
 
 
+@_memo
 def label_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rater ``b``'s labels cut into batch files ``labels_<start>to<end>``.
 
@@ -98,6 +125,7 @@ def label_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(again)
 
 
+@_memo
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long prediction table ``(model, article_id, y_true, y_pred)``.
 
@@ -118,6 +146,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rb.unionByName(ln)
 
 
+@_memo
 def daily_signal(spark: SparkSession, sf_dir: str, by_segment: bool = False) -> DataFrame:
     """Daily 'sentiment' series from ``lineitem``: mean of ``l_linenumber % 5``
     per ship day -> ``(series, date, sentiment, n_articles)``."""
@@ -131,6 +160,7 @@ def daily_signal(spark: SparkSession, sf_dir: str, by_segment: bool = False) ->
         F.avg(F.col("l_linenumber") % 5).alias("sentiment"), F.count(F.lit(1)).alias("n_articles"))
 
 
+@_memo
 def orders_with_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` with the customer's market segment. Both segment series
     (prices and the lineitem signal) use this one subplan, so Spark computes
@@ -145,14 +175,15 @@ def segment_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_with_segment(spark, sf_dir).select("o_orderkey", "c_mktsegment")
 
 
+@_memo
 def daily_prices(spark: SparkSession, sf_dir: str, by_segment: bool = False, min_orders: int = 1) -> DataFrame:
     """Daily 'close' from ``orders``: mean ``o_totalprice`` per order day
-    -> ``(symbol, ts, close)``. Days with fewer than ``min_orders`` orders are
-    kept as gaps (close NULL)."""
+    -> ``(symbol, date, ts, close)``, one row per symbol and day. Days with
+    fewer than ``min_orders`` orders are kept as gaps (close NULL)."""
     if by_segment:
         o = orders_with_segment(spark, sf_dir).withColumnRenamed("c_mktsegment", "symbol")
     else:
         o = table(spark, sf_dir, "orders").withColumn("symbol", F.lit("all"))
-    g = o.groupBy("symbol", F.col("o_orderdate").alias("ts")).agg(
-        F.avg("o_totalprice").alias("close"), F.count(F.lit(1)).alias("n"))
-    return g.select("symbol", "ts", F.when(F.col("n") >= min_orders, F.col("close")).alias("close"))
+    g = o.groupBy("symbol", F.to_date("o_orderdate").alias("date")).agg(
+        F.avg("o_totalprice").alias("close"), F.count(F.lit(1)).alias("n"), F.min("o_orderdate").alias("ts"))
+    return g.select("symbol", "date", "ts", F.when(F.col("n") >= min_orders, F.col("close")).alias("close"))
