@@ -16,6 +16,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidings.session import ensure_checkpoint_dir
+
 SEED = 42
 HASH_BUCKETS = 10000
 
@@ -116,12 +118,18 @@ def fit_logistic(train: DataFrame, label_col: str = "label", max_iter: int = 100
     C=1 with weights summing to n). Returns ``(feature_model, lr_model)``."""
     feats = tfidf_pipeline(text_col, vocab_size).fit(train)
     tr = smooth_idf(feats.transform(with_class_weights(train, label_col)))
+    tr = tr.select("features", F.col(label_col).cast("double").alias(label_col), "weight")
+    # Cut the lineage before the iterative optimiser: a lost executor then
+    # re-reads the checkpoint in the shared folder instead of re-running the
+    # feature pipeline on every retried iteration.
+    ensure_checkpoint_dir(train.sparkSession)
+    tr = tr.checkpoint(eager=True)
     n = tr.count()  # one bounded scalar, needed for regParam
     lr = LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="weight",
                             family="multinomial", maxIter=max_iter, standardization=False,
                             regParam=reg_param if reg_param is not None else 1.0 / max(n, 1),
                             elasticNetParam=0.0)
-    return feats, lr.fit(tr.withColumn(label_col, F.col(label_col).cast("double")))
+    return feats, lr.fit(tr)
 
 
 def predict(feats, model, df: DataFrame, label_col: str = "label") -> DataFrame:
