@@ -135,3 +135,25 @@ def test_writers(spark, tmpdir_path):
     WR.write_series_csv(comb, os.path.join(tmpdir_path, "csv"))
     txt = spark.read.option("header", True).csv(os.path.join(tmpdir_path, "csv")).first()
     assert txt.date == "2024-01-01"
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmpdir_path):
+    a = spark.range(1000).select(F.col("id").cast("string").alias("article_id"), (F.col("id") % 5).alias("x"))
+    b = spark.range(1000).select(F.col("id").cast("string").alias("article_id"), (F.col("id") % 3).alias("y"))
+    WR.write_bucketed(a, "t_bucket_a", os.path.join(tmpdir_path, "a"), buckets=8)
+    WR.write_bucketed(b, "t_bucket_b", os.path.join(tmpdir_path, "b"), buckets=8)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("t_bucket_a").join(spark.table("t_bucket_b"), "article_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert j.count() == 1000 and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_scale_conf():
+    from tidings.session import scale_conf
+    c = scale_conf(100 * (1 << 40), 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 819200
+    assert int(scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 16

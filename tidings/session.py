@@ -63,3 +63,29 @@ def checkpoint_root(spark: SparkSession, name: str) -> str:
     if "://" not in path:
         os.makedirs(path, exist_ok=True)
     return path
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict:
+    """Settings for a cluster run sized to the input.
+
+    Shuffle partitions: enough that one post-shuffle partition is about
+    ``target_partition_bytes`` even before AQE coalesces (so a task's
+    aggregation and sort buffers fit executor memory without spilling much),
+    and at least 2 x the cores so every core has work. Scan splits of 256 MiB
+    keep the task count of a 100 TB scan near 400k. AQE stays on to coalesce
+    small partitions and split skewed ones at run time.
+    """
+    shuffle = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+        # a side is broadcast only when its measured size is below this
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }

@@ -50,3 +50,12 @@ def run_record(preds: DataFrame, truth: DataFrame, model: str, timestamp: str, b
 def write_json_report(df: DataFrame, path: str) -> None:
     """K4 / K5: a small report DataFrame as one JSON file."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_bucketed(df: DataFrame, table_name: str, path: str, key: str = "article_id", buckets: int = 256,
+                   mode: str = "overwrite") -> None:
+    """Write ``df`` as a Parquet table bucketed and sorted by ``key``. Two
+    tables bucketed the same way (articles and labels by id) join without a
+    shuffle of either side - the co-located form for repeated id joins."""
+    (df.write.mode(mode).format("parquet").option("path", path)
+       .bucketBy(buckets, key).sortBy(key).saveAsTable(table_name))
