@@ -12,6 +12,10 @@ from conftest import SF001
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 SLOW = {"tfidf_logreg_eval"}
+SPARK_TYPES = {"IntegerType": "int", "LongType": "bigint", "DoubleType": "double", "StringType": "string",
+               "DateType": "date", "BooleanType": "boolean", "TimestampType": "timestamp"}
+DUCK_TYPES = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date",
+              "BOOLEAN": "boolean", "TIMESTAMP": "timestamp"}
 
 
 def _norm(v):
@@ -59,5 +63,9 @@ def test_query_matches_oracle(spark, duck, name):
     d_cols = [d[0] for d in res.description]
     d_rows = res.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
+    rel = duck.sql(sql)
+    d_types = {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    s_types = {f.name: SPARK_TYPES.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in df.schema.fields}
+    assert s_types == d_types
     assert len(s_rows) == len(d_rows)
     assert _rows(s_cols, s_rows) == _rows(d_cols, d_rows)

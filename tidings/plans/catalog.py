@@ -220,7 +220,7 @@ def _exclusions(spark, sf_dir) -> DataFrame:
 def eval_dataset(spark, sf_dir):
     a = V.articles(spark, sf_dir)
     d = PR.prepare_dataset(a, consensus_labels(spark, sf_dir), exclude=_exclusions(spark, sf_dir))
-    return d.select("id", "label", F.md5("text").alias("text_md5"), F.length("text").alias("text_chars"))
+    return d.select("id", "label", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_chars"))
 
 
 # ---------------------------------------------------------------- text, prompts, parsing
@@ -228,7 +228,7 @@ def eval_dataset(spark, sf_dir):
 @register("document_word_counts")
 def document_word_counts(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents")
-    return d.select("doc_id", TX.word_count("text").alias("n_words"),
+    return d.select("doc_id", TX.word_count("text").cast("long").alias("n_words"),
                     TX.estimate_tokens("text").alias("est_tokens"))
 
 
@@ -236,7 +236,8 @@ def document_word_counts(spark, sf_dir):
 def page_text(spark, sf_dir):
     p = V.table(spark, sf_dir, "pages")
     stripped = TX.strip_html("html")
-    return p.select("page_id", F.length(stripped).alias("text_chars"), TX.word_count(stripped).alias("n_words"),
+    return p.select("page_id", F.length(stripped).cast("long").alias("text_chars"),
+                    TX.word_count(stripped).cast("long").alias("n_words"),
                     F.md5(stripped).alias("text_md5"))
 
 
@@ -248,7 +249,7 @@ def labelling_prompts(spark, sf_dir):
     return a.select("id", F.md5(sect).alias("sectioned_md5"), TX.estimate_tokens(sect).alias("sectioned_tokens"),
                     F.md5(simple).alias("simple_md5"), TX.estimate_tokens(simple).alias("simple_tokens"),
                     F.md5(TX.plain_text()).alias("plain_md5"),
-                    F.length(TX.trimmed_text()).alias("trimmed_chars"),
+                    F.length(TX.trimmed_text()).cast("long").alias("trimmed_chars"),
                     F.md5(TX.body_prefix()).alias("body_prefix_md5"))
 
 
@@ -532,4 +533,4 @@ def polarity_eval(spark, sf_dir):
 def finetune_dataset(spark, sf_dir):
     """P4 + F4 + P24 + J1: stripped text of every labelled article."""
     d = PR.text_dataset(V.articles(spark, sf_dir), consensus_labels(spark, sf_dir))
-    return d.select("id", "label", F.md5("text").alias("text_md5"), F.length("text").alias("text_chars"))
+    return d.select("id", "label", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_chars"))

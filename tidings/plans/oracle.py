@@ -483,7 +483,7 @@ t AS (SELECT count(*) AS calls, CAST(coalesce(sum(length({SIMPLE_PROMPT}) // 4),
       FROM articles WHERE (type IS NULL OR type <> 'liveblog') AND id IS NOT NULL)
 SELECT calls AS total_api_calls, CAST(0 AS BIGINT) AS failed_api_calls, inp AS total_input_tokens,
        CAST(0 AS BIGINT) AS total_output_tokens, inp AS total_tokens,
-       round(inp * (0.0025 / 1000), 9) AS input_cost, round(0.0, 9) AS output_cost,
+       round(inp * (0.0025 / 1000), 9) AS input_cost, CAST(0.0 AS DOUBLE) AS output_cost,
        round(inp * (0.0025 / 1000), 9) AS total_cost
 FROM t"""
 
