@@ -534,3 +534,18 @@ def finetune_dataset(spark, sf_dir):
     """P4 + F4 + P24 + J1: stripped text of every labelled article."""
     d = PR.text_dataset(V.articles(spark, sf_dir), consensus_labels(spark, sf_dir))
     return d.select("id", "label", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_chars"))
+
+
+@register("latest_snapshot")
+def latest_snapshot(spark, sf_dir):
+    """S3: of two article snapshots (all articles, then the English ones),
+    only the most recently written file set is read."""
+    root = checkpoint_root(spark, "latest")
+    a = V.articles(spark, sf_dir)
+    nested = a.select("id", "type", "webTitle", "webUrl", "webPublicationDate",
+                      F.struct("headline", "standfirst", "bodyText").alias("fields"))
+    WR.write_table(nested, f"{root}/snap_1", fmt="json")
+    en = nested.join(a.where(F.col("lang") == "en").select("id"), "id", "left_semi")
+    WR.write_table(en, f"{root}/snap_2", fmt="json")
+    latest = RD.latest_snapshot(spark, [f"{root}/snap_1", f"{root}/snap_2"], multiline=False, unit="dir")
+    return latest.select("id", "webTitle")

@@ -546,3 +546,6 @@ ORACLE["finetune_dataset"] = "WITH" + CONSENSUS + f""",
 t AS (SELECT a.id, CAST(trunc(c.label) AS INTEGER) AS label, {TRIMMED} AS text
       FROM articles a JOIN consensus c ON c.article_id = a.id WHERE a.id IS NOT NULL)
 SELECT id, label, md5(text) AS text_md5, length(text) AS text_chars FROM t WHERE text <> ''"""
+
+ORACLE["latest_snapshot"] = "WITH" + ARTICLES + """
+SELECT id, webTitle FROM articles WHERE lang = 'en'"""

@@ -89,12 +89,20 @@ def read_article_snapshots(spark: SparkSession, paths, flat: bool = True, multil
     return flatten_articles(out) if flat else out
 
 
-def latest_snapshot(spark: SparkSession, paths, flat: bool = True, multiline: bool = True) -> DataFrame:
-    """S3: only the most recently modified snapshot file (ties: last path)."""
+def latest_snapshot(spark: SparkSession, paths, flat: bool = True, multiline: bool = True,
+                    unit: str = "file") -> DataFrame:
+    """S3: only the most recently modified snapshot (ties: last path).
+
+    ``unit="file"``: a snapshot is one file (the reference's JSON array per
+    run). ``unit="dir"``: a snapshot is a folder of part files, as Spark
+    writes it; the folder holding the newest file wins. The choice is a
+    scalar subquery over file metadata; the rows are filtered in place."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = _with_file(spark.read.schema(ARTICLE).option("multiLine", multiline).json(paths))
-    newest = df.agg(F.max_by("src_file", F.struct("src_mtime", "src_file")).alias("src_file"))
-    out = df.join(newest, "src_file", "left_semi").drop("src_file", "src_mtime")
+    if unit == "dir":
+        df = df.withColumn("src_file", F.regexp_replace("src_file", "/[^/]*$", ""))
+    newest = df.agg(F.max_by("src_file", F.struct("src_mtime", "src_file"))).scalar()
+    out = df.where(F.col("src_file") == newest).drop("src_file", "src_mtime")
     return flatten_articles(out) if flat else out
 
 
