@@ -112,7 +112,7 @@ def combine(sentiment: DataFrame, returns: DataFrame, series_cols=None, on_symbo
                .withColumn("return_dir", direction("next_return", 0.0)))
 
 
-def combine_prices(sentiment: DataFrame, prices: DataFrame, series_col: str = "series",
+def combine_prices(sentiment: DataFrame, prices: DataFrame, series_col: str | None = "series",
                    rolling: int = ROLLING, lags=LAGS, fill_gaps: bool = True) -> DataFrame:
     """W1 + J3 + W2 + W3 + P21 in one partitioned pass: same output as
     ``combine(sentiment, daily_returns(prices), series_col, on_symbol=...)``.
@@ -123,10 +123,14 @@ def combine_prices(sentiment: DataFrame, prices: DataFrame, series_col: str = "s
     symbol computes the (gap-filled) return over every price day, the rows
     without sentiment are dropped (the reference's inner join), and a second
     window with the same partitioning computes smoothing and leads over the
-    joined days - no shuffle between the two.
+    joined days - no shuffle between the two. With ``series_col=None`` one
+    sentiment series (keyed by date only) is joined to every symbol.
     """
-    s = sentiment.withColumnRenamed(series_col, "symbol")
-    j = prices.select("symbol", "date", "close").join(s, ["symbol", "date"], "left")
+    if series_col:
+        s = sentiment.withColumnRenamed(series_col, "symbol")
+        j = prices.select("symbol", "date", "close").join(s, ["symbol", "date"], "left")
+    else:
+        j = prices.select("symbol", "date", "close").join(sentiment, ["date"], "left")
     w = Window.partitionBy("symbol").orderBy("date")
     filled = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) \
         if fill_gaps else F.col("close")

@@ -481,9 +481,9 @@ def assembled_search_pages(spark, sf_dir):
 
 @register("collection_window")
 def collection_window(spark, sf_dir):
-    """Articles published in the 730 days up to 2025-12-31."""
+    """Articles published in the 730 days up to 1996-12-31."""
     a = V.articles(spark, sf_dir)
-    w = RD.collection_window(a, "2025-12-31", 730)
+    w = RD.collection_window(a, "1996-12-31", 730)
     return w.groupBy(dates.publication_day("webPublicationDate").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -549,3 +549,21 @@ def latest_snapshot(spark, sf_dir):
     WR.write_table(en, f"{root}/snap_2", fmt="json")
     latest = RD.latest_snapshot(spark, [f"{root}/snap_1", f"{root}/snap_2"], multiline=False, unit="dir")
     return latest.select("id", "webTitle")
+
+
+@register("consensus_market_stats")
+def consensus_market_stats(spark, sf_dir):
+    """E1 as the reference runs it: consensus labels -> strict article dates
+    -> daily mean sentiment -> joined to daily returns -> smoothing, leads,
+    correlation, lagged correlation and directional accuracy."""
+    prices = V.daily_prices(spark, sf_dir, min_orders=MIN_ORDERS_PER_DAY).select("symbol", "ts", "close")
+    rep = PL.sentiment_market_report(consensus_labels(spark, sf_dir), prices)
+    return rounded(rep.stats)
+
+
+@register("consensus_market_combined")
+def consensus_market_combined(spark, sf_dir):
+    """E1's combined daily series (K3 content) for the consensus labels."""
+    prices = V.daily_prices(spark, sf_dir, min_orders=MIN_ORDERS_PER_DAY).select("symbol", "ts", "close")
+    rep = PL.sentiment_market_report(consensus_labels(spark, sf_dir), prices, lenient=True)
+    return rounded(rep.combined)

@@ -13,11 +13,11 @@ ARTICLES = """
 articles AS (
   SELECT doc_id,
     'business/' || CASE WHEN doc_id % 5 = 0 THEN 'article/' ELSE '' END
-      || lower(strftime(DATE '2024-01-01' + CAST(doc_id % 731 AS INTEGER), '%Y/%b/%d'))
+      || lower(strftime(DATE '1995-01-01' + CAST(doc_id % 731 AS INTEGER), '%Y/%b/%d'))
       || '/doc-' || CAST(doc_id AS VARCHAR) AS id,
     CASE WHEN doc_id % 10 = 0 THEN 'liveblog' WHEN doc_id % 10 = 1 THEN NULL ELSE 'article' END AS type,
     split_part(text, chr(10), 1) AS webTitle,
-    strftime(CAST(DATE '2024-01-01' + CAST(doc_id % 731 AS INTEGER) AS TIMESTAMP)
+    strftime(CAST(DATE '1995-01-01' + CAST(doc_id % 731 AS INTEGER) AS TIMESTAMP)
              + to_seconds(CAST((doc_id * 37) % 86400 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS webPublicationDate,
     split_part(text, chr(10), 1) AS headline,
     '<p>' || source || '</p>' AS standfirst,
@@ -522,7 +522,7 @@ SELECT page, pos, id FROM p, bad WHERE b IS NULL OR page < b ORDER BY page, pos
 ORACLE["collection_window"] = "WITH" + ARTICLES + """,
 d AS (SELECT try_cast(substr(webPublicationDate, 1, 10) AS DATE) AS day FROM articles)
 SELECT day, count(*) AS n FROM d
-WHERE day >= CAST(DATE '2025-12-31' - INTERVAL 730 DAY AS DATE) AND day <= DATE '2025-12-31'
+WHERE day >= CAST(DATE '1996-12-31' - INTERVAL 730 DAY AS DATE) AND day <= DATE '1996-12-31'
 GROUP BY day"""
 
 ORACLE["articles_by_type_roundtrip"] = "WITH" + ARTICLES + f"""
@@ -549,3 +549,33 @@ SELECT id, label, md5(text) AS text_md5, length(text) AS text_chars FROM t WHERE
 
 ORACLE["latest_snapshot"] = "WITH" + ARTICLES + """
 SELECT id, webTitle FROM articles WHERE lang = 'en'"""
+
+
+# ---------------------------------------------------------------- E1 on consensus labels
+
+def consensus_market_ctes(lenient: bool) -> str:
+    date = lenient_date("article_id") if lenient else strict_date("article_id")
+    return CONSENSUS + f""",
+dated AS (SELECT label, {date} AS date FROM consensus),
+signal AS (SELECT date, avg(label) AS sentiment, count(*) AS n_articles FROM dated
+           WHERE date IS NOT NULL GROUP BY date),
+px AS (SELECT 'all' AS symbol, CAST(o_orderdate AS DATE) AS date, max(o_orderdate) AS ts,
+              CASE WHEN count(*) >= 3 THEN avg(o_totalprice) END AS close
+       FROM orders GROUP BY 1, 2),
+filled AS (SELECT symbol, date, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM px),
+returns AS (SELECT symbol, date, f / lag(f) OVER (PARTITION BY symbol ORDER BY date) - 1.0 AS "return" FROM filled),
+joined AS (SELECT r.symbol AS series, s.date, s.sentiment, s.n_articles, r."return"
+           FROM signal s JOIN returns r ON r.date = s.date),""" + market_ctes(False).split("joined AS (SELECT s.series, s.date, s.sentiment, s.n_articles, r.\"return\"\n           FROM signal s JOIN returns r ON r.symbol = s.series AND r.date = s.date),")[1]
+
+
+ORACLE["consensus_market_stats"] = "WITH" + consensus_market_ctes(False) + STATS_SELECT
+
+ORACLE["consensus_market_combined"] = "WITH" + consensus_market_ctes(True) + """
+SELECT series, date, round(sentiment, 9) AS sentiment, n_articles, round("return", 9) AS "return",
+       round(return_smoothed, 9) AS return_smoothed, round(sentiment_smoothed, 9) AS sentiment_smoothed,
+       round(return_lead1, 9) AS return_lead1, round(return_lead2, 9) AS return_lead2,
+       round(return_lead3, 9) AS return_lead3, round(return_lead4, 9) AS return_lead4,
+       round(return_lead5, 9) AS return_lead5, round(next_return, 9) AS next_return,
+       sentiment_dir, return_dir
+FROM combined"""

@@ -39,8 +39,8 @@ def sentiment_market_report(labels: DataFrame, prices: DataFrame, lenient: bool
     d = labels.withColumn("date", dates.article_date(id_col, lenient))
     keys = [series_col] if series_col else None
     daily = S.daily_mean(d, "date", label_col, keys)
-    rets = S.daily_returns(prices)
-    comb = S.combine(daily, rets, keys, on_symbol="symbol" if series_col else None)
+    closes = S.daily_close(prices)  # one row per symbol and UTC day, partially aggregated
+    comb = S.combine_prices(daily, closes, series_col)
     return MarketReport(comb, S.market_stats(comb), S.lag_correlations(comb))
 
 

@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Calendar the derived articles are spread over (two years, like the
-# reference's 730-day collection window).
-ARTICLE_EPOCH = "2024-01-01"
+# Calendar the derived articles are spread over: two years (like the
+# reference's 730-day collection window) inside the order calendar, so that
+# article sentiment and order-derived prices share trading days.
+ARTICLE_EPOCH = "1995-01-01"
 ARTICLE_DAYS = 731
 # Width of one derived label batch file, and how many trailing ids of each
 # batch are labelled again by the next batch.
