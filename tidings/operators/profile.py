@@ -24,9 +24,17 @@ def type_counts(articles: DataFrame, type_col: str = "type") -> DataFrame:
     return articles.groupBy(text.default_text(type_col).alias("type")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def _stats_input(articles: DataFrame, type_col: str) -> DataFrame:
+    """Day and word count computed once per article, below the aggregate (and
+    below a rollup's Expand, which would otherwise copy the body text and
+    split it once per grouping set)."""
+    return articles.select(text.default_text(type_col).alias("_type"),
+                           dates.publication_day("webPublicationDate").alias("_day"),
+                           text.word_count("bodyText").alias("_words"))  # NULL when the body is missing
+
+
 def _stats_aggs():
-    day = dates.publication_day("webPublicationDate")
-    words = text.word_count("bodyText")  # NULL when the body is missing
+    day, words = F.col("_day"), F.col("_words")
     return [F.count(F.lit(1)).alias("count"),
             F.min(day).alias("min_date"), F.max(day).alias("max_date"),
             F.coalesce(F.avg(words), F.lit(0.0)).alias("avg_word_count"),
@@ -37,12 +45,12 @@ def _stats_aggs():
 def type_statistics(articles: DataFrame, type_col: str = "type") -> DataFrame:
     """A2: per type count, first / last publication day, and word statistics
     over rows that have a body (none -> 0; no date -> NULL for "N/A")."""
-    return articles.groupBy(text.default_text(type_col).alias("type")).agg(*_stats_aggs())
+    return _stats_input(articles, type_col).groupBy(F.col("_type").alias("type")).agg(*_stats_aggs())
 
 
 def type_statistics_with_total(articles: DataFrame, type_col: str = "type") -> DataFrame:
     """K5: per-type statistics plus an ``all`` total row, in one ``rollup``."""
-    a = articles.withColumn("_type", text.default_text(type_col))
+    a = _stats_input(articles, type_col)
     r = a.rollup("_type").agg(*_stats_aggs(), F.grouping("_type").alias("_g"))
     return r.select(F.when(F.col("_g") == 1, F.lit("all")).otherwise(F.col("_type")).alias("type"),
                     "count", "min_date", "max_date", "avg_word_count", "min_word_count", "max_word_count")
