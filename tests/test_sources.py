@@ -157,3 +157,15 @@ def test_scale_conf():
     c = scale_conf(100 * (1 << 40), 8000)
     assert int(c["spark.sql.shuffle.partitions"]) == 819200
     assert int(scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_dated_labels_prune_partitions(spark, tmpdir_path):
+    rows = [("b/2024/jan/05/a", 1.0), ("b/2024/feb/10/b", 3.0), ("b/2024/mar/01/c", 4.0), ("b/x/y", 2.0)]
+    df = spark.createDataFrame(rows, "article_id string, label double")
+    p = os.path.join(tmpdir_path, "dated")
+    WR.write_dated_labels(df, p)
+    got = RD.read_dated_labels(spark, p, "2024-02-01", "2024-02-29")
+    assert [r.article_id for r in got.collect()] == ["b/2024/feb/10/b"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    assert spark.read.parquet(p).count() == 4  # undated label kept (null partition)

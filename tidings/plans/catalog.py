@@ -567,3 +567,14 @@ def consensus_market_combined(spark, sf_dir):
     prices = V.daily_prices(spark, sf_dir, min_orders=MIN_ORDERS_PER_DAY).select("symbol", "ts", "close")
     rep = PL.sentiment_market_report(consensus_labels(spark, sf_dir), prices, lenient=True)
     return rounded(rep.combined)
+
+
+@register("dashboard_range_pruned")
+def dashboard_range_pruned(spark, sf_dir):
+    """E3 on an explicit range (F6, A3, A20) over consensus labels stored
+    month-partitioned with their date materialised at ingest: the range read
+    prunes partitions."""
+    root = checkpoint_root(spark, "dated-labels")
+    WR.write_dated_labels(consensus_labels(spark, sf_dir), f"{root}/labels")
+    lab = RD.read_dated_labels(spark, f"{root}/labels", "1995-03-01", "1995-06-30")
+    return rounded(S.range_kpis(S.daily_mean(lab)))

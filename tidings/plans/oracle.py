@@ -579,3 +579,10 @@ SELECT series, date, round(sentiment, 9) AS sentiment, n_articles, round("return
        round(return_lead5, 9) AS return_lead5, round(next_return, 9) AS next_return,
        sentiment_dir, return_dir
 FROM combined"""
+
+ORACLE["dashboard_range_pruned"] = "WITH" + DAILY_STRICT + """
+SELECT round(avg(sentiment), 9) AS mean_sentiment, round(min(sentiment), 9) AS min_sentiment,
+       round(max(sentiment), 9) AS max_sentiment,
+       round(sum(sentiment * n_articles) / sum(n_articles), 9) AS article_mean,
+       CAST(sum(n_articles) AS BIGINT) AS n_articles, count(*) AS n_days
+FROM daily WHERE date BETWEEN DATE '1995-03-01' AND DATE '1995-06-30'"""

@@ -194,3 +194,18 @@ def collection_window(articles: DataFrame, end, days: int = 730,
     day = F.try_to_date(F.substring(F.col(date_col), 1, 10), "yyyy-MM-dd")
     e = F.lit(end).cast("date") if not isinstance(end, Column) else end
     return articles.where((day >= F.date_sub(e, days)) & (day <= e))
+
+
+def read_dated_labels(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
+    """Labels written by :func:`tidings.sources.writers.write_dated_labels`,
+    restricted to ``[start, end]`` (inclusive days). The month predicate is
+    a partition filter (whole folders skipped); the day predicate is pushed
+    to the Parquet reader."""
+    df = spark.read.parquet(path)
+    if start is not None:
+        df = df.where((F.col("month") >= F.date_format(F.lit(start).cast("date"), "yyyy-MM"))
+                      & (F.col("date") >= F.lit(start).cast("date")))
+    if end is not None:
+        df = df.where((F.col("month") <= F.date_format(F.lit(end).cast("date"), "yyyy-MM"))
+                      & (F.col("date") <= F.lit(end).cast("date")))
+    return df

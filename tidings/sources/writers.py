@@ -59,3 +59,15 @@ def write_bucketed(df: DataFrame, table_name: str, path: str, key: str = "articl
     shuffle of either side - the co-located form for repeated id joins."""
     (df.write.mode(mode).format("parquet").option("path", path)
        .bucketBy(buckets, key).sortBy(key).saveAsTable(table_name))
+
+
+def write_dated_labels(labels: DataFrame, path: str, id_col: str = "article_id", lenient: bool = False,
+                       mode: str = "overwrite") -> None:
+    """Materialise the article date (P1/P2) at ingest and write the labels
+    partitioned by month: later date-range reads (F6, E3) prune whole
+    partitions instead of re-parsing every id. Undated labels go to the
+    default (null) partition."""
+    from tidings.functions import dates
+    d = labels.withColumn("date", dates.article_date(id_col, lenient))
+    d = d.withColumn("month", F.date_format("date", "yyyy-MM"))
+    d.write.mode(mode).partitionBy("month").parquet(path)
