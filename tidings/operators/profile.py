@@ -84,12 +84,16 @@ def excluding(articles: DataFrame, ids: DataFrame, id_col: str = "id", other_id:
 
 def prepare_dataset(articles: DataFrame, labels: DataFrame, exclude: DataFrame | None = None,
                     id_col: str = "id") -> DataFrame:
-    """F1 + F2 + F3 + P5: labelled, non-liveblog articles with their prompt text."""
+    """F1 + F2 + F3 + P5: labelled, non-liveblog articles with their prompt
+    text ``(id, type, webTitle, text, label...)``. The text is cut to its
+    2000-code-point prefix *before* the joins, so whole bodies never cross
+    an exchange."""
     a = drop_liveblogs(articles)
+    keep = [c for c in (id_col, "type", "webTitle") if c in a.columns]
+    a = a.select(*keep, text.title_body().alias("text"))
     if exclude is not None:
         a = excluding(a, exclude, id_col)
-    j = labelled(a, labels, id_col)
-    return j.withColumn("text", text.title_body())
+    return labelled(a, labels, id_col)
 
 
 def newest(articles: DataFrame, n: int, date_col: str = "webPublicationDate") -> DataFrame:
