@@ -10,7 +10,8 @@ from conftest import SF001
 # these write staging data or run streams / ML fits when built
 SIDE_EFFECTS = {"incremental_labelling", "tfidf_logreg_eval", "stream_daily_events", "snapshot_merge",
                 "label_map_roundtrip", "price_csv_roundtrip", "assembled_search_pages",
-                "articles_by_type_roundtrip", "latest_snapshot"}
+                "articles_by_type_roundtrip", "latest_snapshot", "dashboard_range_pruned",
+                "series_csv_roundtrip"}
 
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - SIDE_EFFECTS))

@@ -578,3 +578,29 @@ def dashboard_range_pruned(spark, sf_dir):
     WR.write_dated_labels(consensus_labels(spark, sf_dir), f"{root}/labels")
     lab = RD.read_dated_labels(spark, f"{root}/labels", "1995-03-01", "1995-06-30")
     return rounded(S.range_kpis(S.daily_mean(lab)))
+
+
+@register("predictor_comparison")
+def predictor_comparison(spark, sf_dir):
+    """Both predictors evaluated on the ids they share (aligned
+    by id, never by position)."""
+    rep = PL.compare_predictors(V.predictions(spark, sf_dir), "rater_b", "length")
+    return rounded(rep["summary"])
+
+
+@register("series_csv_roundtrip")
+def series_csv_roundtrip(spark, sf_dir):
+    """K3: the E1 combined daily series written as CSV with its date (Q7),
+    sorted by series and date (O1), read back with a typed schema."""
+    root = checkpoint_root(spark, "series-csv")
+    prices = V.daily_prices(spark, sf_dir, min_orders=MIN_ORDERS_PER_DAY).select("symbol", "ts", "close")
+    comb = PL.sentiment_market_report(consensus_labels(spark, sf_dir), prices, lenient=True).combined
+    WR.write_series_csv(comb, f"{root}/csv")
+    back = spark.read.schema(comb.schema).option("header", True).csv(f"{root}/csv")
+    return rounded(back)
+
+
+@register("first_articles")
+def first_articles(spark, sf_dir):
+    """The first 100 articles in document order (a test run's batch)."""
+    return PR.first_n(V.articles(spark, sf_dir), 100, "doc_id").select("id", "type")

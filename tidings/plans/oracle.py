@@ -586,3 +586,15 @@ SELECT round(avg(sentiment), 9) AS mean_sentiment, round(min(sentiment), 9) AS m
        round(sum(sentiment * n_articles) / sum(n_articles), 9) AS article_mean,
        CAST(sum(n_articles) AS BIGINT) AS n_articles, count(*) AS n_days
 FROM daily WHERE date BETWEEN DATE '1995-03-01' AND DATE '1995-06-30'"""
+
+ORACLE["predictor_comparison"] = "WITH" + PREDICTIONS + """,
+common AS (SELECT article_id FROM predictions WHERE model = 'rater_b'
+           INTERSECT SELECT article_id FROM predictions WHERE model = 'length')
+SELECT model, count(*) AS n, round(avg(CAST(y_true = y_pred AS DOUBLE)), 9) AS accuracy,
+       round(avg(abs(y_true - y_pred)), 9) AS mae, count(*) FILTER (WHERE y_pred = -1) AS unparseable
+FROM predictions WHERE article_id IN (SELECT article_id FROM common) GROUP BY model"""
+
+ORACLE["series_csv_roundtrip"] = ORACLE["consensus_market_combined"]
+
+ORACLE["first_articles"] = "WITH" + ARTICLES + """
+SELECT id, type FROM articles ORDER BY doc_id LIMIT 100"""
