@@ -64,3 +64,14 @@ def test_article_profile_and_labelling_run(spark):
     assert len(out) == 5 and all(r.status == "ok" and r.prompt_tokens > 0 for r in out.values())
     again = PL.labelling_run(arts, lexicon_factory, previous=run.select("id", "status"))
     assert again.count() == 0
+
+
+def test_baseline_run(spark):
+    from tidings.operators.lexicon import lexicon_polarity_factory
+    words = {0: "crash loss fears slump", 4: "gains rally record profit"}
+    rows = [(f"a{k}-{i}", words[k] + f" filler{i % 7}", k) for k in words for i in range(60)]
+    ds = spark.createDataFrame(rows, "id string, text string, label int")
+    out = {r.model: r for r in PL.baseline_run(ds, lexicon_polarity_factory, max_iter=30).collect()}
+    assert set(out) == {"logistic_regression", "polarity"}
+    assert out["logistic_regression"].n == out["polarity"].n > 0
+    assert out["logistic_regression"].accuracy > 0.9 and out["polarity"].accuracy == 1.0
