@@ -15,9 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidings.functions import dates
+from tidings.functions import parse as PA
+from tidings.functions import text as TX
 from tidings.operators import labels as L
+from tidings.operators import learn as LE
+from tidings.operators import metrics as M
+from tidings.operators import profile as PR
+from tidings.operators import scoring as SC
 from tidings.operators import series as S
+from tidings.operators.lexicon import lexicon_factory
+from tidings.plans import pipelines as PL
+from tidings.session import checkpoint_root
+from tidings.sources import readers as RD
 from tidings.sources import views as V
+from tidings.sources import writers as WR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -137,12 +148,6 @@ def returns_trailing_period(spark, sf_dir):
 
 # ---------------------------------------------------------------- evaluation metrics
 
-from tidings.operators import metrics as M  # noqa: E402
-from tidings.operators import profile as PR  # noqa: E402
-from tidings.operators import scoring as SC  # noqa: E402
-from tidings.functions import parse as PA  # noqa: E402
-from tidings.functions import text as TX  # noqa: E402
-
 
 @register("eval_summary")
 def eval_summary(spark, sf_dir):
@@ -293,13 +298,6 @@ def chat_messages(spark, sf_dir):
 
 # ---------------------------------------------------------------- scoring (pluggable scorer)
 
-from tidings.operators import learn as LE  # noqa: E402
-from tidings.operators.lexicon import lexicon_factory  # noqa: E402
-from tidings.plans import pipelines as PL  # noqa: E402
-from tidings.session import checkpoint_root  # noqa: E402
-from tidings.sources import readers as RD  # noqa: E402
-from tidings.sources import writers as WR  # noqa: E402
-
 
 def _labelled_run(spark, sf_dir) -> DataFrame:
     a = V.articles(spark, sf_dir)
