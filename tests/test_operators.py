@@ -234,3 +234,30 @@ def test_newest(spark):
     rows = [("a", "2024-01-01"), ("b", "2024-03-01"), ("c", "2024-02-01")]
     df = spark.createDataFrame(rows, "id string, webPublicationDate string")
     assert [r.id for r in PR.newest(df, 2).collect()] == ["b", "c"]
+
+
+def test_hot_keys_are_combined_map_side(spark):
+    """One day / one id / one file holding a third of all rows: the aggregates
+    still run with a partial (map-side) step before the shuffle, so only one
+    partial row per hot key and task is exchanged."""
+    n = 30000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("article_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("r")).otherwise(F.lit("s")).alias("rater"),
+        (F.col("id") % 5).cast("double").alias("label"),
+        F.when(F.col("id") % 3 == 0, F.lit("f1")).otherwise(F.lit("f2")).alias("src_file"),
+        F.col("id").cast("int").alias("pos"),
+        F.when(F.col("id") % 3 == 0, F.lit(dt.date(2024, 1, 1))).otherwise(
+            F.date_add(F.lit(dt.date(2024, 1, 2)), (F.col("id") % 300).cast("int"))).alias("date"))
+    plans = {
+        "consensus": L.consensus(rows),
+        "merge": L.merge_label_files(rows),
+        "daily": S.daily_mean(rows),
+        "stats": L.merge_file_stats(rows),
+    }
+    for name, df in plans.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "partial_" in plan, name
+    daily = {r.date: r.n_articles for r in plans["daily"].collect()}
+    assert daily[dt.date(2024, 1, 1)] == n // 3
+    assert plans["consensus"].where(F.col("article_id") == "hot").first().n_raters == n // 3

@@ -113,3 +113,9 @@ def test_compare_predictors(spark):
     s = {x.model: x for x in r["summary"].collect()}
     assert s["b"].n == 2 and s["a"].accuracy == 0.5  # aligned on the common ids only
     assert r["agreement"].first().agreement == 0.5
+
+
+def test_spread_rebalances_scoring(spark):
+    df = spark.range(200).select(F.col("id").cast("string").alias("id"), F.lit("gains").alias("text")).coalesce(1)
+    s = SC.score_texts(df, lexicon_factory, spread=4)
+    assert s.rdd.getNumPartitions() == 4 and s.count() == 200

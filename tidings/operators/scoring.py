@@ -121,18 +121,22 @@ def ship_package_by_value() -> None:
 
 def score_texts(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]], list[str]]],
                 id_col: str = "id", text_col: str = "text", batch_size: int = BATCH_SIZE,
-                keep: list[str] | None = None) -> DataFrame:
+                keep: list[str] | None = None, spread: int | None = None) -> DataFrame:
     """M5 + M6: run ``scorer_factory()`` once per task over batches of
     ``batch_size`` texts. Output ``(id, *keep, raw_response, status, error)``.
 
     Filters must be applied before this call: Catalyst does not push
     predicates below ``mapInPandas``. Only the id, the text and the small
     ``keep`` columns cross into Python; carrying ``keep`` through avoids a
-    join back to the (wide) input afterwards.
+    join back to the (wide) input afterwards. ``spread=n`` hash-distributes
+    the rows over ``n`` tasks by id first - for an expensive scorer whose
+    input arrives in skewed partitions (e.g. after a join on a hot key).
     """
     ship_package_by_value()
     keep = list(keep or [])
     src = df.select(F.col(id_col).cast("string").alias(id_col), *keep, F.col(text_col).alias("_text"))
+    if spread:
+        src = src.repartition(spread, id_col)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in keep)
     schema = f"`{id_col}` string, " + (kept + ", " if kept else "") + \
         "raw_response string, status string, error string"
