@@ -26,7 +26,7 @@ def write_json(path, obj):
 
 
 def test_read_articles_array(spark, tmpdir_path):
-    p = os.path.join(tmpdir_path, "guardian_articles_1.json")
+    p = os.path.join(tmpdir_path, "articles_1.json")
     write_json(p, [art("a/1"), art("a/2", typ=None), {"id": "a/3"}])
     df = RD.read_articles(spark, p)
     rows = {r.id: r for r in df.collect()}
