@@ -75,3 +75,17 @@ def test_baseline_run(spark):
     assert set(out) == {"logistic_regression", "polarity"}
     assert out["logistic_regression"].n == out["polarity"].n > 0
     assert out["logistic_regression"].accuracy > 0.9 and out["polarity"].accuracy == 1.0
+
+
+def test_evaluate_prompting_excludes_examples(spark):
+    from tidings.operators import learn as LE
+    rows = [(f"a{i}", "article", f"T{i}", ("gains " if i % 2 else "crash ") + f"text {i}", i % 5) for i in range(60)]
+    ds = spark.createDataFrame(rows, "id string, type string, webTitle string, text string, label int")
+    preds, summary = PL.evaluate_prompting(ds, lexicon_factory)
+    ex_ids = {r.id for r in LE.few_shot_examples(ds).collect()}
+    got = preds.collect()
+    assert len(ex_ids) == 5
+    assert not ex_ids & {r.id for r in got}                       # few-shot ∩ eval = ∅
+    assert {r.mode for r in got} == {"zero_shot", "few_shot"}
+    per_mode = {r.mode: r.n for r in summary.collect()}
+    assert per_mode == {"zero_shot": 55, "few_shot": 55}
