@@ -602,3 +602,16 @@ def series_csv_roundtrip(spark, sf_dir):
 def first_articles(spark, sf_dir):
     """The first 100 articles in document order (a test run's batch)."""
     return PR.first_n(V.articles(spark, sf_dir), 100, "doc_id").select("id", "type")
+
+
+@register("stream_daily_sentiment")
+def stream_daily_sentiment(spark, sf_dir):
+    """T2 on labels: consensus labels stamped with their article's
+    publication time arrive as a stream; the watermarked daily mean equals
+    the batch daily mean (A3) of the finished input."""
+    from tidings.streaming.daily import stream_daily_from_table
+    a = V.articles(spark, sf_dir).select("id", F.to_timestamp("webPublicationDate",
+                                                              "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
+    lab = consensus_labels(spark, sf_dir).join(a.withColumnRenamed("id", "article_id"), "article_id")
+    out = stream_daily_from_table(lab, "ts", "label")
+    return rounded(out.select("date", "sentiment", "n_articles"))

@@ -598,3 +598,8 @@ ORACLE["series_csv_roundtrip"] = ORACLE["consensus_market_combined"]
 
 ORACLE["first_articles"] = "WITH" + ARTICLES + """
 SELECT id, type FROM articles ORDER BY doc_id LIMIT 100"""
+
+ORACLE["stream_daily_sentiment"] = "WITH" + CONSENSUS + """
+SELECT CAST(substr(a.webPublicationDate, 1, 10) AS DATE) AS date, round(avg(c.label), 9) AS sentiment,
+       count(*) AS n_articles
+FROM consensus c JOIN articles a ON a.id = c.article_id GROUP BY 1"""
