@@ -603,3 +603,8 @@ ORACLE["stream_daily_sentiment"] = "WITH" + CONSENSUS + """
 SELECT CAST(substr(a.webPublicationDate, 1, 10) AS DATE) AS date, round(avg(c.label), 9) AS sentiment,
        count(*) AS n_articles
 FROM consensus c JOIN articles a ON a.id = c.article_id GROUP BY 1"""
+
+# After both waves every non-liveblog article is labelled exactly once
+ORACLE["incremental_labelling"] = "WITH" + ARTICLES + """
+SELECT 'ok' AS status, count(*) AS n, count(DISTINCT id) AS ids
+FROM articles WHERE (type IS NULL OR type <> 'liveblog') AND id IS NOT NULL"""
