@@ -608,3 +608,37 @@ FROM consensus c JOIN articles a ON a.id = c.article_id GROUP BY 1"""
 ORACLE["incremental_labelling"] = "WITH" + ARTICLES + """
 SELECT 'ok' AS status, count(*) AS n, count(DISTINCT id) AS ids
 FROM articles WHERE (type IS NULL OR type <> 'liveblog') AND id IS NOT NULL"""
+
+
+# ---------------------------------------------------------------- the word-list scorer in SQL
+
+def _lexicon_sql(text_expr: str):
+    from tidings.operators.lexicon import NEGATIVE_WORDS, POSITIVE_WORDS  # fixed word lists
+    pos = "[" + ", ".join(f"'{w}'" for w in sorted(POSITIVE_WORDS)) + "]"
+    neg = "[" + ", ".join(f"'{w}'" for w in sorted(NEGATIVE_WORDS)) + "]"
+    words = f"regexp_extract_all(lower({text_expr}), '[\\p{{L}}\\p{{N}}_]+')"
+    p = f"len(list_filter({words}, lambda w: list_contains({pos}, w)))"
+    n = f"len(list_filter({words}, lambda w: list_contains({neg}, w)))"
+    return p, n
+
+
+_P, _N = _lexicon_sql(SIMPLE_PROMPT)
+
+ORACLE["scored_articles"] = "WITH" + ARTICLES + f""",
+s AS (SELECT id, {_P} AS p, {_N} AS n, CAST(length({SIMPLE_PROMPT}) // 4 AS BIGINT) AS prompt_tokens
+      FROM articles WHERE (type IS NULL OR type <> 'liveblog') AND id IS NOT NULL)
+SELECT id, CAST(2 + greatest(-2, least(2, p - n)) AS VARCHAR) AS raw_response, 'ok' AS status,
+       CAST(2 + greatest(-2, least(2, p - n)) AS INTEGER) AS label, prompt_tokens
+FROM s"""
+
+_PT, _NT = _lexicon_sql(TITLE_BODY)
+
+ORACLE["polarity_eval"] = "WITH" + CONSENSUS + f""",
+d AS (SELECT a.id, CAST(trunc(c.label) AS INTEGER) AS y_true, {_PT} AS p, {_NT} AS n
+      FROM articles a JOIN consensus c ON c.article_id = a.id WHERE a.type IS NULL OR a.type <> 'liveblog'),
+b AS (SELECT y_true, CASE WHEN p = n THEN 2
+                          WHEN p > n THEN CASE WHEN p / (p + n) > 0.75 THEN 4 ELSE 3 END
+                          ELSE CASE WHEN n / (p + n) > 0.75 THEN 0 ELSE 1 END END AS y_pred FROM d)
+SELECT 'polarity' AS model, count(*) AS n, round(avg(CAST(y_true = y_pred AS DOUBLE)), 9) AS accuracy,
+       round(avg(abs(y_true - y_pred)), 9) AS mae, count(*) FILTER (WHERE y_pred = -1) AS unparseable
+FROM b"""
