@@ -22,16 +22,28 @@ SEED = 42
 HASH_BUCKETS = 10000
 
 
-def hash_unit(id_col: str, seed: int = SEED) -> Column:
+def id_hash(id_col: str, seed: int = SEED, method: str = "xxhash64") -> Column:
+    """A seeded, deterministic hash of the id. ``xxhash64`` (default) is the
+    fastest; ``md5`` (first 32 bits of ``md5("<seed>:<id>")``) is slower but
+    can be recomputed by any SQL engine, so a split or pick made on Spark
+    can be reproduced outside it."""
+    idc = F.col(id_col).cast("string")
+    if method == "md5":
+        hexs = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), idc)), 1, 8)
+        return F.conv(hexs, 16, 10).cast("long")
+    return F.xxhash64(idc, F.lit(seed))
+
+
+def hash_unit(id_col: str, seed: int = SEED, method: str = "xxhash64") -> Column:
     """Deterministic uniform value in [0, 1) per id."""
-    return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(HASH_BUCKETS)) / HASH_BUCKETS
+    return F.pmod(id_hash(id_col, seed, method), F.lit(HASH_BUCKETS)) / HASH_BUCKETS
 
 
 def hash_split(df: DataFrame, id_col: str = "id", seed: int = SEED,
-               first_holdout: float = 0.3, second_share: float = 0.5) -> DataFrame:
+               first_holdout: float = 0.3, second_share: float = 0.5, method: str = "xxhash64") -> DataFrame:
     """M1: 70/15/15 like two chained random splits (hold out 30 %, then split
     the holdout in half). Adds ``split`` in {train, val, test}."""
-    u = hash_unit(id_col, seed)
+    u = hash_unit(id_col, seed, method)
     train_cut = 1.0 - first_holdout
     val_cut = train_cut + first_holdout * second_share
     return df.withColumn("split", F.when(u < train_cut, "train").when(u < val_cut, "val").otherwise("test"))
@@ -70,13 +82,13 @@ def with_class_weights(df: DataFrame, label_col: str = "label", weight_col: str
 
 
 def few_shot_examples(dataset: DataFrame, label_col: str = "label", id_col: str = "id",
-                      seed: int = SEED, type_col: str | None = "type") -> DataFrame:
+                      seed: int = SEED, type_col: str | None = "type", method: str = "xxhash64") -> DataFrame:
     """At most one example per class, picked by the smallest seeded hash of
     the id (deterministic, no sort, no window), liveblogs excluded."""
     d = dataset
     if type_col and type_col in d.columns:
         d = d.where(~F.col(type_col).eqNullSafe("liveblog"))
-    h = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
+    h = F.struct(id_hash(id_col, seed, method), F.col(id_col).cast("string"))  # id breaks hash ties
     cols = [c for c in d.columns if c != label_col]
     picked = d.groupBy(label_col).agg(F.min_by(F.struct(*cols), h).alias("_row"))
     return picked.select(label_col, "_row.*")

@@ -340,8 +340,9 @@ def prompting_eval(spark, sf_dir):
 
 @register("few_shot_examples")
 def few_shot_examples(spark, sf_dir):
-    """One example per class (rows-only: seeded xxhash64 pick)."""
-    ex = LE.few_shot_examples(_eval_dataset(spark, sf_dir))
+    """One example per class, picked by the smallest seeded md5 hash of
+    the id (reproducible in SQL)."""
+    ex = LE.few_shot_examples(_eval_dataset(spark, sf_dir), method="md5")
     return ex.select("label", "id")
 
 
@@ -349,9 +350,9 @@ def few_shot_examples(spark, sf_dir):
 
 @register("hash_split_sizes")
 def hash_split_sizes(spark, sf_dir):
-    """M1: 70/15/15 hash split of all documents (rows-only)."""
+    """M1: 70/15/15 hash split of all documents (seeded md5, reproducible in SQL)."""
     d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return LE.hash_split(d).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return LE.hash_split(d, method="md5").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("stratified_split_sizes")

@@ -642,3 +642,20 @@ b AS (SELECT y_true, CASE WHEN p = n THEN 2
 SELECT 'polarity' AS model, count(*) AS n, round(avg(CAST(y_true = y_pred AS DOUBLE)), 9) AS accuracy,
        round(avg(abs(y_true - y_pred)), 9) AS mae, count(*) FILTER (WHERE y_pred = -1) AS unparseable
 FROM b"""
+
+
+# ---------------------------------------------------------------- seeded md5 hash
+
+def md5_hash(id_expr: str, seed: int = 42) -> str:
+    return f"CAST(('0x' || substr(md5('{seed}:' || CAST({id_expr} AS VARCHAR)), 1, 8)) AS BIGINT)"
+
+
+ORACLE["hash_split_sizes"] = f"""
+WITH u AS (SELECT ({md5_hash('doc_id')} % 10000) / 10000.0 AS u FROM documents)
+SELECT CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'val' ELSE 'test' END AS split, count(*) AS n
+FROM u GROUP BY 1"""
+
+ORACLE["few_shot_examples"] = "WITH" + CONSENSUS + f""",
+d AS (SELECT a.id, CAST(trunc(c.label) AS INTEGER) AS label
+      FROM articles a JOIN consensus c ON c.article_id = a.id WHERE a.type IS NULL OR a.type <> 'liveblog')
+SELECT label, arg_min(id, ({md5_hash('id')}, id)) AS id FROM d GROUP BY label"""
