@@ -659,3 +659,30 @@ ORACLE["few_shot_examples"] = "WITH" + CONSENSUS + f""",
 d AS (SELECT a.id, CAST(trunc(c.label) AS INTEGER) AS label
       FROM articles a JOIN consensus c ON c.article_id = a.id WHERE a.type IS NULL OR a.type <> 'liveblog')
 SELECT label, arg_min(id, ({md5_hash('id')}, id)) AS id FROM d GROUP BY label"""
+
+
+def _prompting_eval_sql():
+    from tidings.operators.scoring import EVAL_SYSTEM_PROMPT  # fixed prompt text
+    sysp = sql_literal(EVAL_SYSTEM_PROMPT)
+    ps, ns = _lexicon_sql(sysp)
+    msg = "'Article:' || chr(10) || text"
+    pm, nm = _lexicon_sql(msg)
+    return "WITH" + CONSENSUS + f""",
+d AS (SELECT a.id, CAST(trunc(c.label) AS INTEGER) AS label, {TITLE_BODY} AS text
+      FROM articles a JOIN consensus c ON c.article_id = a.id WHERE a.type IS NULL OR a.type <> 'liveblog'),
+ex AS (SELECT label, arg_min(id, ({md5_hash('id')}, id)) AS id FROM d GROUP BY label),
+-- word counts are additive over messages joined by newlines
+sc AS (SELECT d.id, d.label, {pm} AS p, {nm} AS n, d.id IN (SELECT id FROM ex) AS is_example FROM d),
+exs AS (SELECT coalesce(sum(p), 0) AS p, coalesce(sum(n), 0) AS n FROM sc WHERE is_example),
+preds AS (
+  SELECT 'zero_shot' AS mode, label AS y_true, 2 + greatest(-2, least(2, ({ps} + p) - ({ns} + n))) AS y_pred
+  FROM sc WHERE NOT is_example
+  UNION ALL
+  SELECT 'few_shot', label, 2 + greatest(-2, least(2, ({ps} + sc.p + exs.p) - ({ns} + sc.n + exs.n)))
+  FROM sc, exs WHERE NOT is_example)
+SELECT mode, count(*) AS n, round(avg(CAST(y_true = y_pred AS DOUBLE)), 9) AS accuracy,
+       round(avg(abs(y_true - y_pred)), 9) AS mae, count(*) FILTER (WHERE y_pred = -1) AS unparseable
+FROM preds GROUP BY mode"""
+
+
+ORACLE["prompting_eval"] = _prompting_eval_sql()

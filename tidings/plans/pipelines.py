@@ -94,12 +94,13 @@ def labelling_run(articles: DataFrame, scorer_factory: Callable, previous: DataF
 
 
 def evaluate_prompting(dataset: DataFrame, scorer_factory: Callable, label_col: str = "label",
-                       seed: int = learn.SEED, batch_size: int = scoring.BATCH_SIZE) -> tuple[DataFrame, DataFrame]:
+                       seed: int = learn.SEED, batch_size: int = scoring.BATCH_SIZE,
+                       hash_method: str = "xxhash64") -> tuple[DataFrame, DataFrame]:
     """Few-shot examples (W5) are drawn and excluded (J5); zero-shot
     and few-shot chat messages (P10, P11) are scored in one pass with ``mode``
     as a column; answers parsed by first digit (P17). Returns
     ``(predictions(mode, id, y_true, y_pred), summary by mode)``."""
-    ex = learn.few_shot_examples(dataset, label_col, "id", seed)
+    ex = learn.few_shot_examples(dataset, label_col, "id", seed, method=hash_method)
     rest = profile.excluding(dataset, ex.select(F.col("id").alias("article_id")))
     zero = rest.withColumn("mode", F.lit("zero_shot")).withColumn("messages", scoring.zero_shot_messages("text"))
     few = scoring.few_shot_messages(rest, ex.select("text", label_col)).withColumn("mode", F.lit("few_shot"))
