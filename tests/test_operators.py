@@ -261,3 +261,19 @@ def test_hot_keys_are_combined_map_side(spark):
     daily = {r.date: r.n_articles for r in plans["daily"].collect()}
     assert daily[dt.date(2024, 1, 1)] == n // 3
     assert plans["consensus"].where(F.col("article_id") == "hot").first().n_raters == n // 3
+
+
+def test_trading_day_alignment(spark):
+    """Q9: joined-row leads skip days without articles; trading-day leads do not."""
+    days = [dt.date(2024, 1, d) for d in range(1, 9)]
+    prices = spark.createDataFrame([("s", d, 100.0 + i * i) for i, d in enumerate(days)],
+                                   "symbol string, date date, close double")
+    sent = spark.createDataFrame([("s", d, float(i % 3), 1) for i, d in enumerate(days) if i % 2 == 0],
+                                 "series string, date date, sentiment double, n_articles long")
+    joined = {r.date: r for r in S.combine_prices(sent, prices).collect()}
+    trading = {r.date: r for r in S.combine_prices(sent, prices, align="trading").collect()}
+    assert set(joined) == set(trading) == {days[0], days[2], days[4], days[6]}
+    ret = {d: (100.0 + i * i) / (100.0 + (i - 1) ** 2) - 1 for i, d in enumerate(days) if i}
+    assert math.isclose(joined[days[0]].next_return, ret[days[2]])   # next joined row
+    assert math.isclose(trading[days[0]].next_return, ret[days[1]])  # next trading day
+    assert trading[days[6]].next_return == ret[days[7]] and joined[days[6]].next_return is None

@@ -113,7 +113,7 @@ def combine(sentiment: DataFrame, returns: DataFrame, series_cols=None, on_symbo
 
 
 def combine_prices(sentiment: DataFrame, prices: DataFrame, series_col: str | None = "series",
-                   rolling: int = ROLLING, lags=LAGS, fill_gaps: bool = True) -> DataFrame:
+                   rolling: int = ROLLING, lags=LAGS, fill_gaps: bool = True, align: str = "joined") -> DataFrame:
     """W1 + J3 + W2 + W3 + P21 in one partitioned pass: same output as
     ``combine(sentiment, daily_returns(prices), series_col, on_symbol=...)``.
 
@@ -125,7 +125,15 @@ def combine_prices(sentiment: DataFrame, prices: DataFrame, series_col: str | No
     window with the same partitioning computes smoothing and leads over the
     joined days - no shuffle between the two. With ``series_col=None`` one
     sentiment series (keyed by date only) is joined to every symbol.
+
+    ``align="joined"`` (default) smooths and shifts over the joined days only,
+    like the reference (Q9: days without articles vanish). ``align="trading"``
+    smooths and shifts over every price day and keeps the days with
+    sentiment afterwards, so ``lead(1)`` is the next trading day's return even
+    when that day had no articles.
     """
+    if align not in ("joined", "trading"):
+        raise ValueError("align must be 'joined' or 'trading'")
     if series_col:
         s = sentiment.withColumnRenamed(series_col, "symbol")
         j = prices.select("symbol", "date", "close").join(s, ["symbol", "date"], "left")
@@ -136,7 +144,9 @@ def combine_prices(sentiment: DataFrame, prices: DataFrame, series_col: str | No
         if fill_gaps else F.col("close")
     j = j.withColumn("_filled", filled)
     j = j.withColumn("return", F.try_divide(F.col("_filled"), F.lag("_filled", 1).over(w)) - F.lit(1.0))
-    j = j.where(F.col("sentiment").isNotNull() | F.col("n_articles").isNotNull())
+    matched = F.col("n_articles").isNotNull()  # a sentiment day (count >= 1)
+    if align == "joined":
+        j = j.where(matched)
     cols = [F.col("symbol").alias("series"), "date", "sentiment", "n_articles", "return",
             rolling_mean("return", w, rolling).alias("return_smoothed"),
             rolling_mean("sentiment", w, rolling).alias("sentiment_smoothed")]
@@ -144,6 +154,8 @@ def combine_prices(sentiment: DataFrame, prices: DataFrame, series_col: str | No
     out = j.select(*cols)
     out = out.withColumn("next_return", F.col("return_lead1")) if 1 in lags else \
         out.withColumn("next_return", F.lead("return", 1).over(w))
+    if align == "trading":  # after the windows: a filter on a non-key column is not pushed below them
+        out = out.where(F.col("n_articles").isNotNull())
     return (out.withColumn("sentiment_dir", direction("sentiment", SENTIMENT_PIVOT))
                .withColumn("return_dir", direction("next_return", 0.0)))
 

@@ -27,7 +27,7 @@ class MarketReport:
 
 def sentiment_market_report(labels: DataFrame, prices: DataFrame, lenient: bool = False,
                             series_col: str | None = None, id_col: str = "article_id",
-                            label_col: str = "label") -> MarketReport:
+                            label_col: str = "label", align: str = "joined") -> MarketReport:
     """Labels -> article dates (P1/P2) -> daily mean (A3) joined to daily
     returns (W1, J3) -> smoothing, leads, directions (W2, W3, P21) ->
     correlation, lagged correlation and directional accuracy (A17-A19).
@@ -40,7 +40,7 @@ def sentiment_market_report(labels: DataFrame, prices: DataFrame, lenient: bool
     keys = [series_col] if series_col else None
     daily = S.daily_mean(d, "date", label_col, keys)
     closes = S.daily_close(prices)  # one row per symbol and UTC day, partially aggregated
-    comb = S.combine_prices(daily, closes, series_col)
+    comb = S.combine_prices(daily, closes, series_col, align=align)
     return MarketReport(comb, S.market_stats(comb), S.lag_correlations(comb))
 
 
