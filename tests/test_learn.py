@@ -84,3 +84,26 @@ def test_select_by_mae_and_text_dataset(spark):
     assert d.where(F.col("id") == "a1").first().text == "h1  gains rally gains rally gains rally"
     best, feats, model, scores = LE.select_by_mae(d, d, [0.01, 10.0], max_iter=20)
     assert set(scores) == {0.01, 10.0} and scores[best] == min(scores.values())
+
+
+def test_exact_stratified_split_counts(spark):
+    df = spark.range(20000).select(F.col("id").cast("string").alias("id"),
+                                   F.when(F.col("id") % 10 < 6, 2).otherwise(F.col("id") % 5).alias("label"))
+    s = LE.stratified_split(df, exact=True, method="md5")
+    assert s.count() == 20000
+    got = {(r.label, r.split): r["count"] for r in s.groupBy("label", "split").count().collect()}
+    sizes = {r.label: r["count"] for r in df.groupBy("label").count().collect()}
+    for label, n in sizes.items():
+        n_test = math.ceil(0.15 * n)
+        n_val = math.ceil(0.1765 * (n - n_test))
+        assert got[(label, "test")] == n_test and got[(label, "val")] == n_val
+        assert got[(label, "train")] == n - n_test - n_val
+
+
+def test_grouped_row_index(spark):
+    from tidings.operators import profile as PR
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 3000).alias("k"))
+    idx = PR.with_row_index(df, "k", group_cols=["g"], buckets=8).collect()
+    for g in range(3):
+        rows = sorted((r.k, r.idx) for r in idx if r.g == g)
+        assert [i for _, i in rows] == list(range(len(rows)))

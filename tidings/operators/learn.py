@@ -50,12 +50,31 @@ def hash_split(df: DataFrame, id_col: str = "id", seed: int = SEED,
 
 
 def stratified_split(df: DataFrame, label_col: str = "label", id_col: str = "id", seed: int = SEED,
-                     test: float = 0.15, val_of_rest: float = 0.1765, accuracy: int = 100000) -> DataFrame:
+                     test: float = 0.15, val_of_rest: float = 0.1765, accuracy: int = 100000,
+                     method: str = "xxhash64", exact: bool = False) -> DataFrame:
     """M2: per-class test share ``test``, then ``val_of_rest`` of the remainder
-    (0.15 / 0.1765 gives 70/15/15). Thresholds are per-class quantiles of the
-    id hash from ``percentile_approx`` (one partial aggregate); the threshold
-    table has one row per class and is joined back (broadcast by AQE when small)."""
-    u = hash_unit(id_col, seed)
+    (0.15 / 0.1765 gives 70/15/15), rows ordered within a class by the
+    seeded id hash.
+
+    ``exact=False``: thresholds are per-class approximate quantiles of the
+    hash (``percentile_approx``, one partial aggregate) joined back by class.
+    ``exact=True``: exact per-class counts, ``ceil(test * n_c)`` test rows and
+    ``ceil(val_of_rest * rest)`` validation rows, from a per-class row
+    position computed by :func:`tidings.operators.profile.with_row_index`
+    (quantile buckets within each class - no task ever holds a whole class).
+    """
+    if exact:
+        from tidings.operators.profile import with_row_index
+        d = df.withColumn("_h", id_hash(id_col, seed, method))
+        d = with_row_index(d, "_h", "_rank", group_cols=[label_col], tiebreak=id_col)
+        n = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))  # one row per class
+        d = d.join(n, label_col, "left")
+        n_test = F.ceil(F.lit(test) * F.col("_n"))
+        n_val = F.ceil(F.lit(val_of_rest) * (F.col("_n") - n_test))
+        split = (F.when(F.col("_rank") < n_test, "test")
+                  .when(F.col("_rank") < n_test + n_val, "val").otherwise("train"))
+        return d.withColumn("split", split).drop("_h", "_rank", "_n")
+    u = hash_unit(id_col, seed, method)
     val_q = test + (1.0 - test) * val_of_rest
     d = df.withColumn("_u", u)
     th = d.groupBy(label_col).agg(F.percentile_approx("_u", [test, val_q], accuracy).alias("_q"))

@@ -103,29 +103,38 @@ def newest(articles: DataFrame, n: int, date_col: str = "webPublicationDate") ->
 
 
 def with_row_index(df: DataFrame, order_col: str, index_col: str = "idx", buckets: int = 64,
-                   accuracy: int = 100000) -> DataFrame:
+                   accuracy: int = 100000, group_cols: list[str] | None = None,
+                   tiebreak: str | None = None) -> DataFrame:
     """A stable 0-based position of every row in ``order_col`` order
-    (unique values) without a global single-partition window.
-
-    The key range is cut into ``buckets`` by approximate quantiles (one
-    mergeable aggregate); each row gets a ``row_number`` within its bucket
-    (a window partitioned by bucket, so no task holds more than about
-    ``n / buckets`` rows) plus the count of all rows in lower buckets (a
-    per-bucket count table with at most ``buckets`` rows, prefix-summed and
-    joined back on the bucket). The cut points are a scalar subquery.
+    (within each group of ``group_cols``), without a global or per-group
+    single-task window.
+
+    The key range (of each group) is cut into ``buckets`` by approximate
+    quantiles (one mergeable aggregate); each row gets a ``row_number``
+    within its bucket (a window partitioned by group and bucket, so no task
+    holds more than about ``n / buckets`` rows of even the largest group) plus
+    the count of all rows in lower buckets of its group (a count table of at
+    most groups x buckets rows, prefix-summed and joined back). Without
+    groups the cut points are a scalar subquery. Order keys should be unique
+    (or unique with ``tiebreak``) for the position to be stable.
     """
+    from pyspark.sql import Window
+    groups = list(group_cols or [])
     qs = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(order_col, qs, accuracy)).scalar()  # one scalar subquery
     key = F.col(order_col)
-    b = df.withColumn("_cuts", cuts)
+    if groups:
+        cuts = df.groupBy(*groups).agg(F.percentile_approx(order_col, qs, accuracy).alias("_cuts"))
+        b = df.join(cuts, groups, "left")  # one row per group; AQE broadcasts it when measured small
+    else:
+        b = df.withColumn("_cuts", df.agg(F.percentile_approx(order_col, qs, accuracy)).scalar())
     b = b.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-    offsets = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")
-                                                          .rowsBetween(Window.unboundedPreceding, -1)))
-                            .alias("_off"))
-    w = Window.partitionBy("_bucket").orderBy(order_col)
-    out = b.join(F.broadcast(offsets), "_bucket", "left")
+    counts = b.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    prefix = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*groups, "_bucket", F.sum("_n").over(prefix).alias("_off"))
+    order = [order_col] + ([tiebreak] if tiebreak else [])
+    w = Window.partitionBy(*groups, "_bucket").orderBy(*order)
+    # without groups the offsets table has at most `buckets` rows: broadcast is proven small
+    out = b.join(offsets if groups else F.broadcast(offsets), groups + ["_bucket"], "left")
     return out.withColumn(index_col, (F.coalesce("_off", F.lit(0)) + F.row_number().over(w) - 1).cast("long")) \
               .drop("_bucket", "_off")
 

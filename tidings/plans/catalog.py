@@ -357,9 +357,10 @@ def hash_split_sizes(spark, sf_dir):
 
 @register("stratified_split_sizes")
 def stratified_split_sizes(spark, sf_dir):
-    """M2: per-class stratified split of the consensus labels (rows-only)."""
+    """M2: exact per-class stratified split of the consensus labels (seeded md5 order)."""
     c = consensus_labels(spark, sf_dir).select(F.col("article_id").alias("id"), PA.to_int_label("label").alias("label"))
-    return LE.stratified_split(c).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+    split = LE.stratified_split(c, method="md5", exact=True)
+    return split.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("tfidf_logreg_eval")

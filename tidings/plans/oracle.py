@@ -686,3 +686,13 @@ FROM preds GROUP BY mode"""
 
 
 ORACLE["prompting_eval"] = _prompting_eval_sql()
+
+ORACLE["stratified_split_sizes"] = "WITH" + CONSENSUS + f""",
+d AS (SELECT article_id AS id, CAST(trunc(label) AS INTEGER) AS label, {md5_hash('article_id')} AS h FROM consensus),
+r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY h, id) - 1 AS rk,
+             count(*) OVER (PARTITION BY label) AS n FROM d),
+t AS (SELECT label, rk, ceil(CAST(0.15 AS DOUBLE) * n) AS n_test, n FROM r),
+s AS (SELECT label, CASE WHEN rk < n_test THEN 'test'
+                         WHEN rk < n_test + ceil(CAST(0.1765 AS DOUBLE) * (n - n_test)) THEN 'val'
+                         ELSE 'train' END AS split FROM t)
+SELECT label, split, count(*) AS n FROM s GROUP BY label, split"""
