@@ -11,7 +11,7 @@ from conftest import SF001
 SIDE_EFFECTS = {"incremental_labelling", "tfidf_logreg_eval", "stream_daily_events", "snapshot_merge",
                 "label_map_roundtrip", "price_csv_roundtrip", "assembled_search_pages",
                 "articles_by_type_roundtrip", "latest_snapshot", "dashboard_range_pruned",
-                "series_csv_roundtrip", "stream_daily_sentiment"}
+                "series_csv_roundtrip", "stream_daily_sentiment", "run_record_roundtrip"}
 
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - SIDE_EFFECTS))

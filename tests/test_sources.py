@@ -169,3 +169,16 @@ def test_dated_labels_prune_partitions(spark, tmpdir_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
     assert spark.read.parquet(p).count() == 4  # undated label kept (null partition)
+
+
+def test_run_long_form(spark, tmpdir_path):
+    preds = spark.createDataFrame([("zero_shot", "x", 1), ("zero_shot", "y", 2), ("few_shot", "x", 2),
+                                   ("few_shot", "y", 2)], "mode string, article_id string, pred int")
+    truth = spark.createDataFrame([("x", 2), ("y", 2)], "article_id string, label int")
+    p = os.path.join(tmpdir_path, "run")
+    WR.write_run_long(preds, truth, p, "m", "t", 32)
+    summary, back, tr = RD.read_run_long(spark, p)
+    acc = {r.mode: r.accuracy for r in summary.collect()}
+    assert acc == {"zero_shot": 0.5, "few_shot": 1.0}
+    assert back.count() == 4 and tr.count() == 2
+    assert sorted(os.listdir(os.path.join(p, "predictions")))[-2:] == ["mode=few_shot", "mode=zero_shot"]

@@ -617,3 +617,18 @@ def stream_daily_sentiment(spark, sf_dir):
     lab = consensus_labels(spark, sf_dir).join(a.withColumnRenamed("id", "article_id"), "article_id")
     out = stream_daily_from_table(lab, "ts", "label")
     return rounded(out.select("date", "sentiment", "n_articles"))
+
+
+@register("run_record_roundtrip")
+def run_record_roundtrip(spark, sf_dir):
+    """K4 + S5 (long form): two prediction modes written as a run (summary +
+    mode-partitioned predictions + truth) and read back."""
+    root = checkpoint_root(spark, "run")
+    p = V.predictions(spark, sf_dir)
+    preds = p.select(F.when(F.col("model") == "rater_b", "zero_shot").otherwise("few_shot").alias("mode"),
+                     "article_id", F.col("y_pred").alias("pred"))
+    truth = p.where(F.col("model") == "length").select("article_id", F.col("y_true").alias("label"))
+    WR.write_run_long(preds, truth, f"{root}/run", "stand-in", "1995-01-01T00:00:00", 32)
+    summary, back, _ = RD.read_run_long(spark, f"{root}/run")
+    counts = back.groupBy("mode").agg(F.count(F.lit(1)).alias("n_predictions"))
+    return rounded(summary.join(counts, "mode"))

@@ -696,3 +696,12 @@ s AS (SELECT label, CASE WHEN rk < n_test THEN 'test'
                          WHEN rk < n_test + ceil(CAST(0.1765 AS DOUBLE) * (n - n_test)) THEN 'val'
                          ELSE 'train' END AS split FROM t)
 SELECT label, split, count(*) AS n FROM s GROUP BY label, split"""
+
+ORACLE["run_record_roundtrip"] = "WITH" + PREDICTIONS + """,
+p AS (SELECT CASE WHEN model = 'rater_b' THEN 'zero_shot' ELSE 'few_shot' END AS mode, article_id, y_pred AS pred
+      FROM predictions),
+t AS (SELECT article_id, y_true AS label FROM predictions WHERE model = 'length')
+SELECT 'stand-in' AS model, '1995-01-01T00:00:00' AS timestamp, CAST(32 AS BIGINT) AS batch_size, p.mode,
+       round(avg(CAST(p.pred = t.label AS DOUBLE)), 9) AS accuracy, count(*) AS n,
+       (SELECT count(*) FROM p p2 WHERE p2.mode = p.mode) AS n_predictions
+FROM p JOIN t ON t.article_id = p.article_id GROUP BY p.mode"""

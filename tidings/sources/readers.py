@@ -209,3 +209,10 @@ def read_dated_labels(spark: SparkSession, path: str, start=None, end=None) -> D
         df = df.where((F.col("month") <= F.date_format(F.lit(end).cast("date"), "yyyy-MM"))
                       & (F.col("date") <= F.lit(end).cast("date")))
     return df
+
+
+def read_run_long(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S5 for runs written by :func:`tidings.sources.writers.write_run_long`:
+    ``(summary, predictions(mode, article_id, pred), truth(article_id, label))``."""
+    return (spark.read.json(f"{path}/summary"), spark.read.parquet(f"{path}/predictions"),
+            spark.read.parquet(f"{path}/truth"))

@@ -72,3 +72,20 @@ def write_dated_labels(labels: DataFrame, path: str, id_col: str = "article_id",
     d = labels.withColumn("date", dates.article_date(id_col, lenient))
     d = d.withColumn("month", F.date_format("date", "yyyy-MM"))
     d.write.mode(mode).partitionBy("month").parquet(path)
+
+
+def write_run_long(preds: DataFrame, truth: DataFrame, path: str, model: str, timestamp: str,
+                   batch_size: int) -> None:
+    """K4 at scale: the same run record without gathering a run into one row.
+    ``<path>/summary``: one row per mode (model, timestamp, batch size,
+    accuracy, n) from one aggregate; ``<path>/predictions``: the long
+    ``(mode, article_id, pred)`` table partitioned by mode;
+    ``<path>/truth``: ``(article_id, label)``."""
+    j = preds.join(truth.select("article_id", F.col("label").alias("_y")), "article_id", "inner")
+    summary = j.groupBy("mode").agg(F.avg((F.col("pred") == F.col("_y")).cast("double")).alias("accuracy"),
+                                    F.count(F.lit(1)).alias("n"))
+    summary = summary.select(F.lit(model).alias("model"), F.lit(timestamp).alias("timestamp"),
+                             F.lit(batch_size).alias("batch_size"), "mode", "accuracy", "n")
+    write_json_report(summary, f"{path}/summary")
+    preds.select("mode", "article_id", "pred").write.mode("overwrite").partitionBy("mode").parquet(f"{path}/predictions")
+    truth.select("article_id", "label").write.mode("overwrite").parquet(f"{path}/truth")
