@@ -117,12 +117,13 @@ def label_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fname(s):
         return F.concat(F.lit("labels_"), s.cast("string"), F.lit("to"), (s + BATCH_WIDTH).cast("string"))
 
+    pos = (F.col("doc_id") - start).cast("int")  # position inside its own batch file
     own = a.select(F.col("id").alias("article_id"), base.cast("double").alias("label"),
-                   fname(start).alias("src_file"), (F.col("doc_id") - start).cast("int").alias("pos"))
-    again = a.where(F.col("doc_id") % BATCH_WIDTH >= BATCH_WIDTH - BATCH_OVERLAP).select(
+                   fname(start).alias("src_file"), pos.alias("pos"))
+    # the trailing positions of every batch are labelled again by the next batch
+    again = a.where(pos >= BATCH_WIDTH - BATCH_OVERLAP).select(
         F.col("id").alias("article_id"), ((base + 1) % 5).cast("double").alias("label"),
-        fname(start + BATCH_WIDTH).alias("src_file"),
-        (F.col("doc_id") - start - BATCH_WIDTH).cast("int").alias("pos"))
+        fname(start + BATCH_WIDTH).alias("src_file"), (pos - BATCH_WIDTH).alias("pos"))
     return own.unionByName(again)
 
 
