@@ -48,3 +48,17 @@ def test_incremental_labelling_resumes_by_id(spark, tmpdir_path):
     r = spark.read.parquet(results)
     assert 0 < n1 < r.count()
     assert r.count() == r.select("id").distinct().count() == 32  # 40 minus 8 liveblogs
+
+
+def test_resume_check_prunes_result_buckets(spark, tmpdir_path):
+    from tidings.operators import scoring as SC
+    res = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.lit("ok").alias("status"))
+    res = res.withColumn(SC.BUCKET_COL, SC.id_bucket("id"))
+    p = os.path.join(tmpdir_path, "results")
+    res.write.partitionBy(SC.BUCKET_COL).parquet(p)
+    batch = spark.createDataFrame([("7",), ("123",), ("new-1",)], "id string")
+    todo = SC.not_yet_scored(batch, spark.read.parquet(p))
+    assert [r.id for r in todo.collect()] == ["new-1"]
+    plan = todo._jdf.queryExecution().executedPlan().toString()
+    import re
+    assert re.search(r"PartitionFilters: \[id_bucket#\d+ IN \(", plan)

@@ -166,12 +166,40 @@ def with_label(scored: DataFrame, parser=parse_label_strict, default_on_error: b
     return scored.withColumn("label", lab)
 
 
+ID_BUCKETS = 256
+BUCKET_COL = "id_bucket"
+
+
+def id_bucket(id_col: str = "id", buckets: int = ID_BUCKETS) -> Column:
+    """Hash bucket of an id: the partition column of a result table."""
+    return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(buckets)).cast("int")
+
+
 def not_yet_scored(articles: DataFrame, results: DataFrame | None, id_col: str = "id",
                    result_id: str = "id") -> DataFrame:
-    """M7: resume by id (Q15) - articles whose id has no successful result."""
+    """M7: resume by id (Q15) - articles whose id has no successful result.
+
+    When the result table is partitioned by :func:`id_bucket` (as the
+    labelling stream writes it), only the result partitions of the buckets
+    the new ids fall into are read (the distinct buckets - at most
+    ``ID_BUCKETS`` integers - become a partition filter), and the ids already
+    done are found by a semi join of those partitions with the new ids; the
+    final anti join is against that small set. The whole, ever-growing
+    result table is never scanned or shuffled per batch.
+    """
     if results is None:
         return articles
-    done = results.where(F.col("status") == "ok").select(F.col(result_id).alias(id_col))
+    ok = results.where(F.col("status") == "ok")
+    if BUCKET_COL in results.columns:
+        new_ids = articles.select(F.col(id_col).cast("string").alias(result_id)) \
+            .withColumn(BUCKET_COL, id_bucket(result_id))
+        # a bounded constant: at most ID_BUCKETS small integers
+        buckets = [r[0] for r in new_ids.select(BUCKET_COL).distinct().collect()]
+        pruned = ok.where(F.col(BUCKET_COL).isin(buckets)) if buckets else ok.limit(0)
+        done = pruned.select(result_id, BUCKET_COL).join(new_ids, [BUCKET_COL, result_id], "left_semi")
+        done = done.select(F.col(result_id).alias(id_col))
+    else:
+        done = ok.select(F.col(result_id).alias(id_col))
     return articles.join(done, id_col, "left_anti")
 
 

@@ -1,9 +1,11 @@
 """Incremental, resumable labelling of newly landed articles.
 
 A file-source stream of articles; each micro-batch is filtered (F1), reduced
-to ids that have no successful result yet (M7, a left-anti join against the
-result table - resume by id, Q15), scored with the pluggable scorer (M5) and
-appended to the result table. The stream checkpoint records consumed input
+to ids that have no successful result yet (M7, resume by id, Q15), scored
+with the pluggable scorer (M5) and appended to the result table, which is
+partitioned by an id hash bucket so that the resume check of a micro-batch
+reads only the buckets of its own ids (partition pruning) instead
+of the whole, ever-growing table. The stream checkpoint records consumed input
 files, the result table records finished ids: a crash or lost executor
 re-runs at most the unfinished micro-batch, and ids already written are
 skipped by the anti join, so no article is labelled twice.
@@ -37,8 +39,9 @@ def label_micro_batch(batch: DataFrame, results_path: str,
     todo = scoring.not_yet_scored(todo, _existing(spark, results_path))
     todo = todo.withColumn("text", text.simple_prompt())
     scored = scoring.score_texts(todo, scorer_factory, "id", "text", batch_size)
-    scoring.with_label(scored).withColumn("scored_at", F.current_timestamp()) \
-        .write.mode("append").parquet(results_path)
+    (scoring.with_label(scored).withColumn("scored_at", F.current_timestamp())
+        .withColumn(scoring.BUCKET_COL, scoring.id_bucket("id"))
+        .write.mode("append").partitionBy(scoring.BUCKET_COL).parquet(results_path))
 
 
 def run_labelling_stream(spark: SparkSession, source_path: str, results_path: str, checkpoint_path: str,
