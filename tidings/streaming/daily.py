@@ -81,7 +81,12 @@ def land_with_sentinel(df: DataFrame, landing: str, ts_col: str = "ts", sentinel
 def stream_daily_from_table(df: DataFrame, ts_col: str = "ts", value_col: str = "value",
                             group_cols: list[str] | None = None, delay: str = "1 day") -> DataFrame:
     """Land ``df`` in the shared checkpoint folder, run the stream to the end
-    and return the emitted days (read back from the sink)."""
+    and return the emitted days (read back from the sink).
+
+    This turns a finished batch table into stream input for checks and
+    replays; it copies the table once. In production the stream reads the
+    folder where new label files land (:func:`run_daily_stream`), with no copy.
+    """
     spark = df.sparkSession
     root = checkpoint_root(spark, "daily-stream")
     landing, out, ck = f"{root}/landing", f"{root}/out", f"{root}/checkpoint"
