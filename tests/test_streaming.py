@@ -62,3 +62,18 @@ def test_resume_check_prunes_result_buckets(spark, tmpdir_path):
     plan = todo._jdf.queryExecution().executedPlan().toString()
     import re
     assert re.search(r"PartitionFilters: \[id_bucket#\d+ IN \(", plan)
+
+
+def test_labelling_stream_reads_json_array_snapshots(spark, tmpdir_path):
+    import json
+    landing, results, ck = (os.path.join(tmpdir_path, x) for x in ("landing", "results", "ck"))
+    os.makedirs(landing)
+    for k in range(2):
+        arts = [{"id": f"a/{k}/{i}", "type": "article", "webTitle": "t", "fields": {"bodyText": "gains"}}
+                for i in range(5)] + [{"id": f"lb/{k}", "type": "liveblog"}]
+        with open(os.path.join(landing, f"articles_{k}.json"), "w") as f:
+            json.dump(arts, f)
+    run_labelling_stream(spark, landing, results, ck, lexicon_factory, fmt="json")
+    r = spark.read.parquet(results)
+    assert r.count() == 10 and r.where(F.col("status") == "ok").count() == 10
+    assert {x.id for x in r.collect()} == {f"a/{k}/{i}" for k in range(2) for i in range(5)}

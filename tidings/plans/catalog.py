@@ -632,3 +632,11 @@ def run_record_roundtrip(spark, sf_dir):
     summary, back, _ = RD.read_run_long(spark, f"{root}/run")
     counts = back.groupBy("mode").agg(F.count(F.lit(1)).alias("n_predictions"))
     return rounded(summary.join(counts, "mode"))
+
+
+@register("cost_estimate_sampled")
+def cost_estimate_sampled(spark, sf_dir):
+    """A22 as the reference estimates it: mean prompt tokens of the first five
+    articles (file order = document order) times the article count."""
+    a = PR.drop_liveblogs(V.articles(spark, sf_dir))
+    return rounded(SC.cost_estimate(a, TX.sectioned_prompt(), order_col="doc_id", sample=5))

@@ -705,3 +705,16 @@ SELECT 'stand-in' AS model, '1995-01-01T00:00:00' AS timestamp, CAST(32 AS BIGIN
        round(avg(CAST(p.pred = t.label AS DOUBLE)), 9) AS accuracy, count(*) AS n,
        (SELECT count(*) FROM p p2 WHERE p2.mode = p.mode) AS n_predictions
 FROM p JOIN t ON t.article_id = p.article_id GROUP BY p.mode"""
+
+ORACLE["cost_estimate_sampled"] = "WITH" + ARTICLES + f""",
+a AS (SELECT * FROM articles WHERE type IS NULL OR type <> 'liveblog'),
+h AS (SELECT avg(length({SECT_PROMPT}) // 4) AS m FROM (SELECT * FROM a ORDER BY doc_id LIMIT 5)),
+t AS (SELECT count(*) AS num_articles FROM a)
+SELECT num_articles, CAST(coalesce(floor(m * num_articles), 0) AS BIGINT) AS estimated_input_tokens,
+       CAST(num_articles * 30 AS BIGINT) AS estimated_output_tokens,
+       CAST(coalesce(floor(m * num_articles), 0) AS BIGINT) + num_articles * 30 AS estimated_total_tokens,
+       round(CAST(coalesce(floor(m * num_articles), 0) AS BIGINT) * (0.0025 / 1000), 9) AS estimated_input_cost,
+       round(num_articles * 30 * (0.010 / 1000), 9) AS estimated_output_cost,
+       round(CAST(coalesce(floor(m * num_articles), 0) AS BIGINT) * (0.0025 / 1000)
+             + num_articles * 30 * (0.010 / 1000), 9) AS estimated_total_cost
+FROM t, h"""
