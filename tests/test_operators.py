@@ -277,3 +277,15 @@ def test_trading_day_alignment(spark):
     assert math.isclose(joined[days[0]].next_return, ret[days[2]])   # next joined row
     assert math.isclose(trading[days[0]].next_return, ret[days[1]])  # next trading day
     assert trading[days[6]].next_return == ret[days[7]] and joined[days[6]].next_return is None
+
+
+def test_one_pass_e1_is_partitioned_by_series(spark):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(10)]
+    prices = spark.createDataFrame([(s, d, 10.0 + i) for s in "AB" for i, d in enumerate(days)],
+                                   "symbol string, date date, close double")
+    sent = spark.createDataFrame([(s, d, float(i % 5), 1) for s in "AB" for i, d in enumerate(days)],
+                                 "series string, date date, sentiment double, n_articles long")
+    stats = S.market_stats(S.combine_prices(sent, prices, "series"))
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert "Window" in plan and stats.count() == 2
