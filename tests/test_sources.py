@@ -182,3 +182,16 @@ def test_run_long_form(spark, tmpdir_path):
     assert acc == {"zero_shot": 0.5, "few_shot": 1.0}
     assert back.count() == 4 and tr.count() == 2
     assert sorted(os.listdir(os.path.join(p, "predictions")))[-2:] == ["mode=few_shot", "mode=zero_shot"]
+
+
+def test_label_map_lines_matches_whole_file_reader(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "pretty")
+    os.makedirs(d)
+    entries = [("business/2024/jan/05/a", 1), ('quote"d/2024/feb/01/b', 2.5), ("café/x", 4),
+               ("business/2024/jan/05/a", 3)]
+    body = "{\n" + ",\n".join(f"  {json.dumps(k)}: {json.dumps(v)}" for k, v in entries) + "\n}\n"
+    with open(os.path.join(d, "labels.json"), "w", encoding="utf-8") as f:
+        f.write(body)
+    lines = {r.article_id: r.label for r in RD.read_label_map_lines(spark, d).collect()}
+    whole = {r.article_id: r.label for r in RD.read_label_map(spark, d).collect()}
+    assert lines == whole == {"business/2024/jan/05/a": 3.0, 'quote"d/2024/feb/01/b': 2.5, "café/x": 4.0}

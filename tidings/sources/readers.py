@@ -216,3 +216,28 @@ def read_run_long(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     ``(summary, predictions(mode, article_id, pred), truth(article_id, label))``."""
     return (spark.read.json(f"{path}/summary"), spark.read.parquet(f"{path}/predictions"),
             spark.read.parquet(f"{path}/truth"))
+
+
+_ENTRY_LINE = r'^\s*(".*")\s*:\s*([-+0-9.eE]+|null)\s*,?\s*$'
+
+
+def read_label_map_lines(spark: SparkSession, path, rater: str | None = None) -> DataFrame:
+    """S4 for large, pretty-printed label maps (one ``"id": label`` entry per
+    line, the layout ``json.dump(..., indent=2)`` writes): the files are read
+    line by line, so a big file is split across tasks instead of being parsed
+    whole by one. Each entry line is parsed as a one-entry JSON object (string
+    escapes handled by ``from_json``); a repeated key keeps its last
+    occurrence (positions increase with the file offset). Other layouts:
+    :func:`read_label_map`."""
+    raw = spark.read.text(path).select(
+        "value", F.col("_metadata.file_name").alias("src_file"),
+        F.monotonically_increasing_id().alias("pos"))
+    entries = raw.where(F.col("value").rlike(_ENTRY_LINE)).select(
+        "src_file", "pos",
+        F.from_json(F.concat(F.lit("{"), F.regexp_extract("value", _ENTRY_LINE, 1), F.lit(":"),
+                             F.regexp_extract("value", _ENTRY_LINE, 2), F.lit("}")),
+                    "map<string,double>").alias("m"))
+    rows = entries.select("src_file", "pos", F.explode("m").alias("article_id", "label"))
+    rows = rows.groupBy("src_file", "article_id").agg(F.max_by("label", "pos").alias("label"),
+                                                      F.max("pos").alias("pos"))
+    return rows.select("article_id", F.lit(rater).cast("string").alias("rater"), "label", "src_file", "pos")
