@@ -102,7 +102,7 @@ def newest(articles: DataFrame, n: int, date_col: str = "webPublicationDate") ->
     return articles.orderBy(F.col(date_col).desc(), F.col("id").desc()).limit(n)
 
 
-def with_row_index(df: DataFrame, order_col: str, index_col: str = "idx", buckets: int = 64,
+def with_row_index(df: DataFrame, order_col: str, index_col: str = "idx", buckets: int | None = None,
                    accuracy: int = 100000, group_cols: list[str] | None = None,
                    tiebreak: str | None = None) -> DataFrame:
     """A stable 0-based position of every row in ``order_col`` order
@@ -117,8 +117,16 @@ def with_row_index(df: DataFrame, order_col: str, index_col: str = "idx", bucket
     most groups x buckets rows, prefix-summed and joined back). Without
     groups the cut points are a scalar subquery. Order keys should be unique
     (or unique with ``tiebreak``) for the position to be stable.
+
+    ``buckets`` defaults to the session's shuffle partitions (sized to the
+    data, see :func:`tidings.session.scale_conf`), between 64 and 1024: each
+    row is compared with every cut point, so more buckets trade per-row work
+    for smaller window tasks.
     """
     from pyspark.sql import Window
+    if buckets is None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "64"))
+        buckets = min(1024, max(64, parts))
     groups = list(group_cols or [])
     qs = [i / buckets for i in range(1, buckets)]
     key = F.col(order_col)
