@@ -56,12 +56,14 @@ def type_statistics_with_total(articles: DataFrame, type_col: str = "type") -> D
                     "count", "min_date", "max_date", "avg_word_count", "min_word_count", "max_word_count")
 
 
-def data_check(articles: DataFrame, body_col: str = "bodyText") -> DataFrame:
-    """Total articles, how many have a body and that share."""
+def data_check(articles: DataFrame, body_col: str = "bodyText", id_col: str = "id") -> DataFrame:
+    """Total articles, how many have a body, that share, and one sample
+    article id (the smallest, so the sample is deterministic)."""
     return articles.agg(F.count(F.lit(1)).alias("total"),
                         F.count_if(F.col(body_col).isNotNull()).alias("with_body"),
                         F.try_divide(F.count_if(F.col(body_col).isNotNull()).cast("double"),
-                                     F.count(F.lit(1))).alias("body_share"))
+                                     F.count(F.lit(1))).alias("body_share"),
+                        F.min(id_col).alias("sample_id"))
 
 
 def drop_liveblogs(articles: DataFrame, type_col: str = "type") -> DataFrame:

@@ -372,7 +372,8 @@ FROM t GROUP BY ROLLUP (t)"""
 
 ORACLE["article_data_check"] = "WITH" + ARTICLES + """
 SELECT count(*) AS total, count(bodyText) AS with_body,
-       round(count(bodyText) / nullif(CAST(count(*) AS DOUBLE), 0), 9) AS body_share FROM articles"""
+       round(count(bodyText) / nullif(CAST(count(*) AS DOUBLE), 0), 9) AS body_share, min(id) AS sample_id
+FROM articles"""
 
 NL2 = "chr(10) || chr(10)"
 TITLE_BODY = f"coalesce(webTitle, '') || {NL2} || substring(coalesce(bodyText, ''), 1, 2000)"
