@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of this library relies on. The time zone matters for
 # P14/S6 (calendar dates of timestamps); ANSI mode is Spark 4's default and the
@@ -21,6 +22,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_STAGED: list[str] = []
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "tidings", extra: dict | None = None) -> SparkSession:
@@ -39,32 +42,82 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder.
 
-    On a cluster the setting names a shared (distributed) folder and is used as
-    is. Only when it is unset (local tests) do we create our own folder.
+    Looked for in this order: ``spark.checkpoint.dir`` of the session or of the
+    context's configuration, then the folder given to
+    ``SparkContext.setCheckpointDir``. Only a local master may go without: it
+    gets a temporary folder. On a cluster a missing setting is an error, since
+    a machine-local folder cannot be read by the other executors.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and sc.getCheckpointDir() is not None:
+        # the context keeps its files in <folder>/<random id>; stage beside them
+        configured = sc.getCheckpointDir()
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tidings-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
     return configured
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpoint_root(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder (for streams, staged tables)."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    path = f"{root}/tidings/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
+    """A fresh, not yet existing sub-folder of the shared checkpoint folder
+    (streams, staged tables). It is removed by :func:`release_staged`, by an
+    enclosing :func:`staging` block, or when the Python process ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidings/{name}-{uuid.uuid4().hex[:12]}"
+    if not _STAGED:
+        atexit.register(_release_at_exit)
+    _STAGED.append(path)
     return path
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back: cuts
+    the lineage, survives lost executors, and is computed once however often
+    the result is used."""
+    spark = df.sparkSession
+    path = checkpoint_root(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_staged(spark: SparkSession, since: int = 0) -> None:
+    """Delete the staged folders registered after position ``since``."""
+    while len(_STAGED) > since:
+        _delete(spark, _STAGED.pop())
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """Folders staged inside the block are removed at its end; use the results
+    (write or collect them) before leaving it."""
+    since = len(_STAGED)
+    try:
+        yield
+    finally:
+        release_staged(spark, since)
+
+
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _STAGED:
+        try:
+            release_staged(spark)
+        except Exception as e:  # the JVM may be gone already; say what was left behind
+            print(f"tidings: staged folders left behind: {len(_STAGED) + 1} ({e})")
+
+
 def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict:
     """Settings for a cluster run sized to the input.
 
