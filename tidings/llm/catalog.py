@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from tidings.llm import quality_rules
+from tidings.llm import decontaminate, mixing, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_mixing": mixing.op3_mixing,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_sharding": sharding.op6_sharding,
 }
 
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op3_mixing": mixing.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
 }
