@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidings.llm import decontaminate, mixing, quality_rules, sharding
+from tidings.llm import decontaminate, mixing, quality_rules, secrets, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_mixing": mixing.op3_mixing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_sharding": sharding.op6_sharding,
+    "op7_secrets": secrets.op7_secrets,
 }
 
 ORACLE = {
