@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from tidings.llm import decontaminate, mixing, quality_rules, secrets, sharding
+from tidings.llm import credentials, decontaminate, mixing, quality_rules, sharding, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_mixing": mixing.op3_mixing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_sharding": sharding.op6_sharding,
-    "op7_secrets": secrets.op7_secrets,
+    "op7_secrets": credentials.op7_secrets,
+    "op8_warc": warc.op8_warc,
 }
 
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
+    "op8_warc": warc.ORACLE,
 }
