@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidings.llm import credentials, decontaminate, mixing, quality_rules, sharding, warc
+from tidings.llm import credentials, decontaminate, mixing, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op7_secrets": credentials.op7_secrets,
     "op8_warc": warc.op8_warc,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE = {
