@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from tidings.llm import credentials, decontaminate, mixing, quality_rules, sharding, toxicity, warc
+from tidings.llm import credentials, decontaminate, mixing, ordinal_quality, preferences, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_mixing": mixing.op3_mixing,
+    "op4_preferences": preferences.op4_preferences,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_sharding": sharding.op6_sharding,
     "op7_secrets": credentials.op7_secrets,
     "op8_warc": warc.op8_warc,
+    "op9_ordinal_quality": ordinal_quality.op9_ordinal_quality,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op3_mixing": mixing.ORACLE,
+    "op4_preferences": preferences.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op8_warc": warc.ORACLE,
 }
