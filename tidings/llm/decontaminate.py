@@ -142,37 +142,42 @@ class SuffixAutomaton:
         if not self.shortest or n < self.shortest:
             return [], set()
         codes = np.fromiter(map(self.vocabulary.get, ws, repeat(-1)), np.int64, n)
-        known = codes >= 0
-        joined = known[:-1] & known[1:]
-        at = np.flatnonzero(joined)
-        if len(at):
-            joined[at] = np.isin(codes[at] * v + codes[at + 1], self.pairs)
-        # a stretch starts at a known word that isn't joined to the one before
-        starts = np.flatnonzero(known & ~np.concatenate([[False], joined]))
-        ends = np.flatnonzero(known & ~np.concatenate([joined, [False]])) + 1
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
-        long = ends - starts >= self.shortest
-        for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-            for k, state, run in self.stream(codes[a:b].tolist()):
-                reach = 0
-                if run >= self.window:
-                    reach = self.window
-                    found |= self.windows.get(self._shorten(state, reach), set())
-                s = state
-                while s:  # shorter items that end here
-                    for length, items in self.whole.get(s, {}).items():
-                        if length <= run:
-                            reach = max(reach, length)
-                            found |= items
-                    s = self.link[s]
-                if reach:
-                    left, right = a + k + 1 - reach, a + k + 1
-                    while spans and spans[-1][1] >= left:
-                        left = min(left, spans.pop()[0])
-                    spans.append((left, right))
+        for left, right in self._runs(codes >= 0):
+            pairs = codes[left:right - 1] * v + codes[left + 1:right]
+            at = np.minimum(np.searchsorted(self.pairs, pairs), max(len(self.pairs) - 1, 0))
+            joined = self.pairs[at] == pairs if len(self.pairs) else np.zeros(len(pairs), bool)
+            # words whose right neighbours are joined, as many as a window has but one
+            for a, b in self._runs(joined, self.shortest - 1) if self.shortest > 1 else [(0, right - left - 1)]:
+                self._step_through(codes[left + a:left + b + 1].tolist(), left + a, spans, found)
         return spans, found - {-1}
 
+    def _runs(self, flags: np.ndarray, shortest: int | None = None) -> list[tuple[int, int]]:
+        """[start, end) of the runs of true flags of at least ``shortest`` (default: the shortest window)."""
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]])))
+        long = edges[1::2] - edges[::2] >= (self.shortest if shortest is None else shortest)
+        return list(zip(edges[::2][long].tolist(), edges[1::2][long].tolist(), strict=True))
+
+    def _step_through(self, ws: list[int], start: int, spans: list[tuple[int, int]], found: set[int]) -> None:
+        for k, state, run in self.stream(ws):
+            reach = 0
+            if run >= self.window:
+                reach = self.window
+                found |= self.windows.get(self._shorten(state, reach), set())
+            s = state
+            while s:  # shorter items that end here
+                for length, items in self.whole.get(s, {}).items():
+                    if length <= run:
+                        reach = max(reach, length)
+                        found |= items
+                s = self.link[s]
+            if reach:
+                left, right = start + k + 1 - reach, start + k + 1
+                while spans and spans[-1][1] >= left:
+                    left = min(left, spans.pop()[0])
+                spans.append((left, right))
+
 
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
