@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidings.llm import credentials, decontaminate, mixing, ordinal_quality, preferences, quality_rules, sharding, toxicity, warc
+from tidings.llm import credentials, decontaminate, mixing, ngram_join, ordinal_quality, preferences, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_mixing": mixing.op3_mixing,
     "op4_preferences": preferences.op4_preferences,
     "op5_decontaminate": decontaminate.op5_decontaminate,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op2_ngram_join": ngram_join.ORACLE,
     "op3_mixing": mixing.ORACLE,
     "op4_preferences": preferences.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
