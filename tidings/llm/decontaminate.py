@@ -261,10 +261,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", max_cov
     """The documents with matched spans cut out of their text, without those of
     which more than ``max_coverage`` of the words is matched. Adds ``n_hit``,
     the number of words cut; untouched documents keep their text as it is."""
-    found = find_matches(docs, items, text, **options)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + F.element_at(s, 2) - F.element_at(s, 1))
-    found = found.withColumn("n_hit", n_hit).where(F.col("n_hit") <= F.col("n_words") * max_coverage)
-    return found.withColumn(text, F.pandas_udf(cut, "string")(F.col(text), F.col("spans"))).select(*[F.col(f"`{c}`") for c in docs.columns], "n_hit")
+    found = find_matches(rows, items, "_text", **options).withColumn("n_hit", n_hit).where(F.col("n_hit") <= F.col("n_words") * max_coverage)
+    hit = F.when(F.col("n_hit") > 0, F.col("_text"))  # only texts with matches go to Python again
+    found = found.withColumn("_text", F.coalesce(F.pandas_udf(cut, "string")(hit, F.col("spans")), F.col("_text")))
+    return found.select(*[F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns if c != "n_hit"], "n_hit")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

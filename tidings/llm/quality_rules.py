@@ -7,8 +7,7 @@ their documents. DataFrame functions only.
 
 Edge cases: a null or empty text has no words and fails ``short``; a null host
 is a host of its own; without documents there are no hosts; a single host (or
-hosts that do not differ) keeps its own rate, since there is nothing to shrink
-towards; repeated rows count as often as they occur; columns of the input that
+hosts that do not differ) keeps its own rate, which is the corpus's; repeated rows count as often as they occur; columns of the input that
 carry the name of a column added here are replaced.
 """
 
@@ -24,6 +23,8 @@ SYMBOLS = "#*$%&|<>"
 NGRAM = 5
 #: A host is rejected when a shrunk failure rate is above this.
 MAX_HOST_RATE = 0.5
+#: Least weight of the prior, in documents: a host of one document isn't judged by it alone.
+MIN_PRIOR = 2.0
 RULES = ("short", "repetition", "symbols", "lines")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -80,7 +81,7 @@ def host_verdicts(features: DataFrame, max_host_rate: float = MAX_HOST_RATE) ->
 
     The prior of a rule is Beta(a, b) with the mean m of all documents and
     ``a + b = m (1 - m) / v - 1`` from the variance v of the hosts' rates about
-    m, weighted by documents; the shrunk rate is (failures + a) / (documents + a + b).
+    m, weighted by documents, ``MIN_PRIOR`` at least; the shrunk rate is (failures + a) / (documents + a + b).
     """
     hosts = stage(features.groupBy("host").agg(
         F.count("*").alias("host_docs"),
@@ -94,7 +95,7 @@ def host_verdicts(features: DataFrame, max_host_rate: float = MAX_HOST_RATE) ->
     rates = {}
     for r in RULES:
         m, v = mean[r], var[r]
-        prior = max(0.0, m * (1 - m) / v - 1) if v > 1e-12 else 0.0
+        prior = max(MIN_PRIOR, m * (1 - m) / v - 1) if v > 1e-12 else MIN_PRIOR
         rates[r] = (F.col(f"n_{r}") + m * prior) / (F.col("host_docs") + prior)
     return hosts.select("host", "host_docs", *[c.alias(f"rate_{r}") for r, c in rates.items()],
                         (F.greatest(*rates.values()) > max_host_rate).alias("host_rejected"))
@@ -151,7 +152,7 @@ long AS (SELECT host, unnest([1, 2, 3, 4]) AS rule, unnest([f1, f2, f3, f4]) AS
 h AS (SELECT host, rule, count(*) AS docs, count(*) FILTER (failed) AS n FROM long GROUP BY ALL),
 m AS (SELECT rule, sum(n) / sum(docs) AS m FROM h GROUP BY rule),
 v AS (SELECT h.rule, any_value(m.m) AS m, sum(docs * (n / docs - m.m) ** 2) / sum(docs) AS v FROM h JOIN m USING (rule) GROUP BY h.rule),
-s AS (SELECT rule, m, CASE WHEN v > 1e-12 THEN greatest(0.0, m * (1 - m) / v - 1) ELSE 0.0 END AS k FROM v),
+s AS (SELECT rule, m, CASE WHEN v > 1e-12 THEN greatest({MIN_PRIOR}, m * (1 - m) / v - 1) ELSE {MIN_PRIOR} END AS k FROM v),
 bad AS (SELECT host, bool_or((n + m * k) / (docs + k) > {MAX_HOST_RATE}) AS rejected FROM h JOIN s USING (rule) GROUP BY host)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
        NOT (f1 OR f2) AND NOT rejected AS kept, rejected AS host_rejected
