@@ -107,8 +107,25 @@ def test_py_strip_and_blank(spark):
 
 def test_title_body_code_points(spark):
     df = spark.createDataFrame([("T", "é" * 2500)], "webTitle string, bodyText string")
-    r = df.select(text.title_body()).first()[0]
-    assert r == "T\n\n" + "é" * 2000
+    whole, cut, body = df.select(text.title_body(), text.title_body(n=2000), text.body_prefix()).first()
+    assert whole == "T\n\n" + "é" * 2500 and cut == "T\n\n" + "é" * 2000 and body == "é" * 2500
+    assert "é" * 2500 in df.withColumn("standfirst", F.lit("")).select(text.sectioned_prompt()).first()[0]
+
+
+def test_default_article_id(spark):
+    df = spark.createDataFrame([("a", 4), (None, 5)], "id string, idx long")
+    assert [r[0] for r in df.select(text.default_article_id()).collect()] == ["a", "article_5"]
+
+
+@pytest.mark.parametrize("raw,expected", [("\u00a03", 3), ("\u20033\x1c", 3), ("LEANING_POSITIVE", 2)])
+def test_label_strict_strips_all_blanks(spark, raw, expected):
+    assert one(spark, parse.parse_label_strict("s"), raw) == expected
+
+
+@pytest.mark.parametrize("name", parse.LADDER_NAMES)
+def test_ladder_reads_its_own_names(spark, name):
+    assert one(spark, parse.parse_sentiment_ladder("s"), name) == name
+    assert one(spark, parse.parse_sentiment_ladder("s"), name.upper()) == name
 
 
 def test_prompt_sections(spark):

@@ -20,7 +20,7 @@ def test_hash_split_disjoint_complete_stable(spark):
 def test_stratified_split_per_class(spark):
     df = spark.range(30000).select(F.col("id").cast("string").alias("id"),
                                    F.when(F.col("id") % 10 < 6, 2).otherwise(F.col("id") % 5).alias("label"))
-    s = LE.stratified_split(df)
+    s = LE.stratified_split(df, exact=False, method="xxhash64")
     assert s.count() == 30000
     per = s.groupBy("label").agg(F.avg((F.col("split") == "test").cast("double")).alias("t"),
                                  F.avg((F.col("split") == "val").cast("double")).alias("v")).collect()
@@ -89,7 +89,7 @@ def test_select_by_mae_and_text_dataset(spark):
 def test_exact_stratified_split_counts(spark):
     df = spark.range(20000).select(F.col("id").cast("string").alias("id"),
                                    F.when(F.col("id") % 10 < 6, 2).otherwise(F.col("id") % 5).alias("label"))
-    s = LE.stratified_split(df, exact=True, method="md5")
+    s = LE.stratified_split(df)
     assert s.count() == 20000
     got = {(r.label, r.split): r["count"] for r in s.groupBy("label", "split").count().collect()}
     sizes = {r.label: r["count"] for r in df.groupBy("label").count().collect()}
@@ -103,7 +103,32 @@ def test_exact_stratified_split_counts(spark):
 def test_grouped_row_index(spark):
     from tidings.operators import profile as PR
     df = spark.range(3000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 3000).alias("k"))
-    idx = PR.with_row_index(df, "k", group_cols=["g"], buckets=8).collect()
+    idx = PR.with_row_index(df, "k", group_cols=["g"]).collect()
     for g in range(3):
         rows = sorted((r.k, r.idx) for r in idx if r.g == g)
         assert [i for _, i in rows] == list(range(len(rows)))
+
+
+def test_row_index_over_several_keys_nulls_and_a_hot_value(spark):
+    from tidings.operators import profile as PR
+    rows = [(None if i % 50 == 0 else "hot" if i % 2 else f"f{i % 7}", i * 7919 % 4000) for i in range(4000)]
+    df = spark.createDataFrame(rows, "file string, pos long")
+    got = PR.with_row_index(df, ["file", "pos"]).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert [(r.file, r.pos) for r in sorted(got, key=lambda r: r.idx)] == want
+    assert PR.with_row_index(df.limit(0), ["file", "pos"]).count() == 0
+
+
+def test_few_shot_ties_and_term_statistics(spark):
+    df = spark.createDataFrame([("b", 0, "One two"), ("a", 0, "one"), ("c", 1, None)], "id string, label int, text string")
+    assert {r.label for r in LE.few_shot_examples(df).collect()} == {0, 1}
+    got = {r.term: (r.df, r.idf) for r in LE.term_statistics(df).collect()}
+    assert got["one"] == (2, math.log(4 / 3) + 1) and got["two"][0] == 1 and len(got) == 2
+
+
+def test_term_statistics_agree_with_the_fitted_idf(spark):
+    df = spark.createDataFrame([("1", "apple banana apple"), ("2", "Banana cherry")], "id string, text string")
+    feats = LE.tfidf_pipeline(stop_words=[]).fit(df)
+    idf = dict(zip(feats.stages[2].vocabulary, feats.stages[3].idf.toArray()))
+    for r in LE.term_statistics(df).collect():
+        assert math.isclose(r.idf, idf[r.term] + 1)

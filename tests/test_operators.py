@@ -222,7 +222,7 @@ def test_profile_statistics(spark):
 
 def test_row_index_and_range(spark):
     df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("k"))
-    idx = PR.with_row_index(df, "k", buckets=16)
+    idx = PR.with_row_index(df, "k")
     got = idx.select("k", "idx").collect()
     assert all(r.k == r.idx for r in got) and len(got) == 5000
     rng = PR.index_range(df, 4990, 50, "k")

@@ -195,3 +195,47 @@ def test_label_map_lines_matches_whole_file_reader(spark, tmpdir_path):
     lines = {r.article_id: r.label for r in RD.read_label_map_lines(spark, d).collect()}
     whole = {r.article_id: r.label for r in RD.read_label_map(spark, d).collect()}
     assert lines == whole == {"business/2024/jan/05/a": 3.0, 'quote"d/2024/feb/01/b': 2.5, "café/x": 4.0}
+
+
+def test_label_map_lines_reports_what_it_cannot_read(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "maps")
+    os.makedirs(d)
+    for name, body in (("good.json", '{\n  "a": 1\n}\n'), ("compact.json", '{"b": 1, "c": 2}'), ("word.json", '{\n  "d": 1,\n  "e": "x"\n}')):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(body)
+    assert [r.article_id for r in RD.read_label_map_lines(spark, d).collect()] == ["a"]
+    assert {r.src_file: r.bad_lines for r in RD.label_map_line_errors(spark, d).collect()} == {"compact.json": 1, "word.json": 1}
+
+
+def _pages(spark, tmpdir_path, name, numbers, announced=None):
+    d = os.path.join(tmpdir_path, name)
+    os.makedirs(d)
+    for n in numbers:
+        write_json(os.path.join(d, f"page_{n}.json"), {"page": n, "response": {"status": "ok", "pages": announced, "results": [art(f"p{n}")]}})
+    return sorted(r.id for r in RD.assemble_pages(RD.read_search_pages(spark, d)).collect())
+
+
+def test_assemble_pages_stop_rules(spark, tmpdir_path):
+    assert _pages(spark, tmpdir_path, "announced", [1, 2, 3], 2) == ["p1", "p2"]
+    assert _pages(spark, tmpdir_path, "gap", [1, 2, 4]) == ["p1", "p2"]
+    assert _pages(spark, tmpdir_path, "late", [2, 3]) == []
+    assert _pages(spark, tmpdir_path, "all", [1, 2, 3], 9) == ["p1", "p2", "p3"]
+
+
+def test_snapshot_winner_does_not_sort_bodies(spark, tmpdir_path):
+    for k in (1, 2):
+        write_json(os.path.join(tmpdir_path, f"s{k}.json"), [art(f"a/{i}") for i in range(5 * k)])
+    df = RD.read_article_snapshots(spark, [os.path.join(tmpdir_path, f"s{k}.json") for k in (1, 2)])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 10 and "SortAggregate" not in plan
+
+
+def test_staged_folders_are_removed(spark):
+    from tidings.session import checkpoint_root, ensure_checkpoint_dir, stage, staging
+    with staging(spark):
+        n = stage(spark.range(5).toDF("x"), "probe").count()
+        path = checkpoint_root(spark, "probe")
+        spark.range(1).write.parquet(path)
+        here = os.path.dirname(path.removeprefix("file:"))
+        assert n == 5 and [x for x in os.listdir(here) if x.startswith("probe")]
+    assert not [x for x in os.listdir(here) if x.startswith("probe")] and ensure_checkpoint_dir(spark)

@@ -50,18 +50,57 @@ def test_incremental_labelling_resumes_by_id(spark, tmpdir_path):
     assert r.count() == r.select("id").distinct().count() == 32  # 40 minus 8 liveblogs
 
 
-def test_resume_check_prunes_result_buckets(spark, tmpdir_path):
-    from tidings.operators import scoring as SC
-    res = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.lit("ok").alias("status"))
-    res = res.withColumn(SC.BUCKET_COL, SC.id_bucket("id"))
-    p = os.path.join(tmpdir_path, "results")
-    res.write.partitionBy(SC.BUCKET_COL).parquet(p)
-    batch = spark.createDataFrame([("7",), ("123",), ("new-1",)], "id string")
-    todo = SC.not_yet_scored(batch, spark.read.parquet(p))
-    assert [r.id for r in todo.collect()] == ["new-1"]
-    plan = todo._jdf.queryExecution().executedPlan().toString()
-    import re
-    assert re.search(r"PartitionFilters: \[id_bucket#\d+ IN \(", plan)
+class _Storage(Exception):
+    pass
+
+
+def _boom_once_factory(flag):
+    def factory():
+        def scorer(texts):
+            if os.path.exists(flag) and any("title 3" in t for t in texts):
+                raise RuntimeError("no answer")
+            return ["3"] * len(texts)
+        return scorer
+    return factory
+
+
+def test_failed_rows_are_retried_and_latest_wins(spark, tmpdir_path):
+    from tidings.streaming.labelling import latest_labels, retry_failed
+    landing, results, ck, flag = (os.path.join(tmpdir_path, x) for x in ("landing", "results", "ck", "flag"))
+    open(flag, "w").close()
+    df = spark.createDataFrame([(f"a/{i}", None, f"title {i}", "x") for i in range(6)], "id string, type string, webTitle string, bodyText string")
+    df.write.parquet(landing)
+    factory = _boom_once_factory(flag)
+    run_labelling_stream(spark, landing, results, ck, factory, schema=df.schema)
+    assert {r.id: r.status for r in latest_labels(spark, results).collect()} == {f"a/{i}": "failed" if i == 3 else "ok" for i in range(6)}
+    os.rename(flag, flag + "-off")
+    assert retry_failed(spark, df, results, factory) == 1
+    got = {r.id: (r.status, r.label) for r in latest_labels(spark, results).collect()}
+    assert got == {f"a/{i}": ("ok", 3) for i in range(6)}
+
+
+def test_a_crashed_batch_is_replaced_not_doubled(spark, tmpdir_path):
+    import pytest
+    from tidings.streaming import labelling
+    landing, results, ck = (os.path.join(tmpdir_path, x) for x in ("landing", "results", "ck"))
+    df = spark.createDataFrame([(f"a/{i}", None, "t", "gains") for i in range(8)], "id string, type string, webTitle string, bodyText string")
+    df.write.parquet(landing)
+    real = labelling._write
+
+    def write_and_crash(*args):
+        real(*args)
+        raise _Storage("lost after the write")
+
+    labelling._write = write_and_crash
+    try:
+        with pytest.raises(Exception, match="lost after the write"):
+            run_labelling_stream(spark, landing, results, ck, lexicon_factory, schema=df.schema)
+    finally:
+        labelling._write = real
+    run_labelling_stream(spark, landing, results, ck, lexicon_factory, schema=df.schema)
+    rows = labelling.results_table(spark, results)
+    assert rows.count() == 8 and rows.select("id").distinct().count() == 8
+    assert labelling.results_table(spark, os.path.join(tmpdir_path, "none")) is None
 
 
 def test_labelling_stream_reads_json_array_snapshots(spark, tmpdir_path):

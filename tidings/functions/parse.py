@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidings.functions.text import py_strip
+
 # Fixed values that must equal the reference: the five ordinal classes.
 LABEL_NAMES = ["negative", "leaning negative", "neutral", "leaning positive", "positive"]
 # Underscore spelling used by the sentiment-ladder parser.
@@ -28,8 +30,8 @@ def _col(c) -> Column:
 
 
 def parse_label_strict(raw) -> Column:
-    """Trimmed text parsed as an integer 0-4, anything else -> 2."""
-    x = F.trim(_col(raw)).try_cast("int")
+    """Stripped text (all Unicode blanks) parsed as an integer 0-4, anything else -> 2."""
+    x = py_strip(raw).try_cast("int")
     return F.coalesce(F.when(x.between(0, 4), x), F.lit(NEUTRAL))
 
 
@@ -37,10 +39,13 @@ def parse_sentiment_ladder(raw, mode: str = "default") -> Column:
     """Map a free-text answer to a ladder name.
 
     ``mode="reference"`` keeps the reference order, where "POSITIVE" is tested
-    before "LEANING POSITIVE" (Q4); the default tests the longer phrase first.
+    before "LEANING POSITIVE" (Q4); the default tests the longer phrase first, in
+    either spelling (``LEANING POSITIVE``, ``LEANING_POSITIVE``).
     Empty / NULL / unmatched -> neutral.
     """
     u = F.upper(F.trim(F.coalesce(_col(raw), F.lit(""))))
+    if mode != "reference":
+        u = F.regexp_replace(u, "LEANING_(POSITIVE|NEGATIVE)", "LEANING $1")  # our own spelling
     has = u.contains
     if mode == "reference":
         positive = has("4") | has("POSITIVE")

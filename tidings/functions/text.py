@@ -38,14 +38,19 @@ def trimmed_text(headline="headline", standfirst="standfirst", body="bodyText")
     return py_strip(plain_text(headline, standfirst, body))
 
 
-def title_body(title="webTitle", body="bodyText", n: int = 2000) -> Column:
-    """P5: title, blank line, first ``n`` code points of body (missing as '')."""
-    return F.concat(_blank(title), F.lit("\n\n"), F.substring(_blank(body), 1, n))
+def _cut(c, n: int | None) -> Column:
+    """The first ``n`` code points; the whole text without ``n``."""
+    return _col(c) if n is None else F.substring(_col(c), 1, n)
 
 
-def body_prefix(body="bodyText", n: int = 2000) -> Column:
-    """First ``n`` code points of the body, missing as ''."""
-    return F.substring(_blank(body), 1, n)
+def title_body(title="webTitle", body="bodyText", n: int | None = None) -> Column:
+    """P5: title, blank line, body (missing as ''), cut to ``n`` code points if given."""
+    return F.concat(_blank(title), F.lit("\n\n"), _cut(_blank(body), n))
+
+
+def body_prefix(body="bodyText", n: int | None = None) -> Column:
+    """The body, missing as '', cut to ``n`` code points if given."""
+    return _cut(_blank(body), n)
 
 
 def strip_html(c) -> Column:
@@ -88,24 +93,24 @@ SIMPLE_PROMPT_TAIL = (
 )
 
 
-def prompt_sections(headline="webTitle", standfirst="standfirst", body="bodyText", n: int = 1500) -> Column:
+def prompt_sections(headline="webTitle", standfirst="standfirst", body="bodyText", n: int | None = None) -> Column:
     """P8: 'Headline:' always; 'Summary:' (tags stripped) if a standfirst is
-    present and non-empty; 'Excerpt:' with the first ``n`` code points if a body is."""
+    present and non-empty; 'Excerpt:' with the body (its first ``n`` code points, if given) if there is one."""
     sf, bd = _col(standfirst), _col(body)
     summary = F.when(F.coalesce(sf, F.lit("")) != "",
                      F.concat(F.lit("Summary: "), strip_html(sf), F.lit("\n\n"))).otherwise(F.lit(""))
     excerpt = F.when(F.coalesce(bd, F.lit("")) != "",
-                     F.concat(F.lit("Excerpt: "), F.substring(bd, 1, n), F.lit("\n\n"))).otherwise(F.lit(""))
+                     F.concat(F.lit("Excerpt: "), _cut(bd, n), F.lit("\n\n"))).otherwise(F.lit(""))
     return F.concat(F.lit("Headline: "), _blank(headline), F.lit("\n\n"), summary, excerpt)
 
 
-def sectioned_prompt(headline="webTitle", standfirst="standfirst", body="bodyText", n: int = 1500) -> Column:
+def sectioned_prompt(headline="webTitle", standfirst="standfirst", body="bodyText", n: int | None = None) -> Column:
     """P8 wrapped in its template."""
     return F.concat(F.lit(SECTIONED_PROMPT_HEAD), prompt_sections(headline, standfirst, body, n),
                     F.lit(SECTIONED_PROMPT_TAIL))
 
 
-def simple_prompt(title="webTitle", body="bodyText", n: int = 2000) -> Column:
+def simple_prompt(title="webTitle", body="bodyText", n: int | None = None) -> Column:
     """Template around P5. Plain concat, so '%' in the text stays data."""
     return F.concat(F.lit(SIMPLE_PROMPT_HEAD), title_body(title, body, n), F.lit(SIMPLE_PROMPT_TAIL))
 
@@ -127,6 +132,11 @@ def is_blank(c) -> Column:
     return ~F.coalesce(_col(c).rlike(_NON_WS), F.lit(False))
 
 
+def default_article_id(id_col="id", index_col="idx") -> Column:
+    """A missing id -> ``article_<position>``."""
+    return F.coalesce(_col(id_col), F.concat(F.lit("article_"), _col(index_col).cast("string")))
+
+
 def default_text(c, default: str = "unknown") -> Column:
     """Missing id / type -> ``default``."""
     return F.coalesce(_col(c), F.lit(default))

@@ -1,10 +1,10 @@
 """Splits, features and classifiers (M1-M4, M11, A27, W5) on ``pyspark.ml``.
 
-Splits are hash-based (``xxhash64`` of the id and a seed), so a row's side
+Splits are hash-based (md5 of the id and a seed), so a row's side
 never depends on partitioning or task order and a lost executor recomputes
-the same split. Stratification uses per-class approximate quantiles of that
-hash (a mergeable aggregate), not a per-class ``row_number`` window that
-would pull the largest class into one task.
+the same split. Stratification ranks that hash within each class by ranges (or by
+approximate quantiles), not by a per-class ``row_number`` window that would
+pull the largest class into one task.
 """
 
 from __future__ import annotations
@@ -19,14 +19,12 @@ from pyspark.sql import functions as F
 from tidings.session import ensure_checkpoint_dir
 
 SEED = 42
-HASH_BUCKETS = 10000
 
 
-def id_hash(id_col: str, seed: int = SEED, method: str = "xxhash64") -> Column:
-    """A seeded, deterministic hash of the id. ``xxhash64`` (default) is the
-    fastest; ``md5`` (first 32 bits of ``md5("<seed>:<id>")``) is slower but
-    can be recomputed by any SQL engine, so a split or pick made on Spark
-    can be reproduced outside it."""
+def id_hash(id_col: str, seed: int = SEED, method: str = "md5") -> Column:
+    """A seeded, deterministic hash of the id: ``md5`` (default, first 32 bits of
+    ``md5("<seed>:<id>")``), which any SQL engine can recompute, so a split
+    or pick made on Spark can be reproduced outside it; or ``xxhash64``, which is faster."""
     idc = F.col(id_col).cast("string")
     if method == "md5":
         hexs = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), idc)), 1, 8)
@@ -34,13 +32,17 @@ def id_hash(id_col: str, seed: int = SEED, method: str = "xxhash64") -> Column:
     return F.xxhash64(idc, F.lit(seed))
 
 
-def hash_unit(id_col: str, seed: int = SEED, method: str = "xxhash64") -> Column:
-    """Deterministic uniform value in [0, 1) per id."""
-    return F.pmod(id_hash(id_col, seed, method), F.lit(HASH_BUCKETS)) / HASH_BUCKETS
+def hash_unit(id_col: str, seed: int = SEED, method: str = "md5") -> Column:
+    """Deterministic uniform value in [0, 1) per id, at the hash's full resolution
+    (32 bits of md5; the upper 53 bits of xxhash64, which a double holds)."""
+    h = id_hash(id_col, seed, method)
+    if method == "md5":
+        return h / F.lit(float(1 << 32))
+    return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 
 def hash_split(df: DataFrame, id_col: str = "id", seed: int = SEED,
-               first_holdout: float = 0.3, second_share: float = 0.5, method: str = "xxhash64") -> DataFrame:
+               first_holdout: float = 0.3, second_share: float = 0.5, method: str = "md5") -> DataFrame:
     """M1: 70/15/15 like two chained random splits (hold out 30 %, then split
     the holdout in half). Adds ``split`` in {train, val, test}."""
     u = hash_unit(id_col, seed, method)
@@ -51,7 +53,7 @@ def hash_split(df: DataFrame, id_col: str = "id", seed: int = SEED,
 
 def stratified_split(df: DataFrame, label_col: str = "label", id_col: str = "id", seed: int = SEED,
                      test: float = 0.15, val_of_rest: float = 0.1765, accuracy: int = 100000,
-                     method: str = "xxhash64", exact: bool = False) -> DataFrame:
+                     method: str = "md5", exact: bool = True) -> DataFrame:
     """M2: per-class test share ``test``, then ``val_of_rest`` of the remainder
     (0.15 / 0.1765 gives 70/15/15), rows ordered within a class by the
     seeded id hash.
@@ -61,12 +63,12 @@ def stratified_split(df: DataFrame, label_col: str = "label", id_col: str = "id"
     ``exact=True``: exact per-class counts, ``ceil(test * n_c)`` test rows and
     ``ceil(val_of_rest * rest)`` validation rows, from a per-class row
     position computed by :func:`tidings.operators.profile.with_row_index`
-    (quantile buckets within each class - no task ever holds a whole class).
+    (ranges within each class - no task ever holds a whole class).
     """
     if exact:
         from tidings.operators.profile import with_row_index
         d = df.withColumn("_h", id_hash(id_col, seed, method))
-        d = with_row_index(d, "_h", "_rank", group_cols=[label_col], tiebreak=id_col)
+        d = with_row_index(d, ["_h", id_col], "_rank", group_cols=[label_col])
         n = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))  # one row per class
         d = d.join(n, label_col, "left")
         n_test = F.ceil(F.lit(test) * F.col("_n"))
@@ -101,16 +103,28 @@ def with_class_weights(df: DataFrame, label_col: str = "label", weight_col: str
 
 
 def few_shot_examples(dataset: DataFrame, label_col: str = "label", id_col: str = "id",
-                      seed: int = SEED, type_col: str | None = "type", method: str = "xxhash64") -> DataFrame:
+                      seed: int = SEED, type_col: str | None = "type", method: str = "md5") -> DataFrame:
     """At most one example per class, picked by the smallest seeded hash of
-    the id (deterministic, no sort, no window), liveblogs excluded."""
+    the id (ties: the smallest id), liveblogs excluded. The pick is made on label
+    and id alone; the rows themselves come from a semi join with the picked ids."""
     d = dataset
     if type_col and type_col in d.columns:
         d = d.where(~F.col(type_col).eqNullSafe("liveblog"))
-    h = F.struct(id_hash(id_col, seed, method), F.col(id_col).cast("string"))  # id breaks hash ties
-    cols = [c for c in d.columns if c != label_col]
-    picked = d.groupBy(label_col).agg(F.min_by(F.struct(*cols), h).alias("_row"))
-    return picked.select(label_col, "_row.*")
+    keyed = d.select(F.col(label_col).alias("_label"), F.col(id_col).alias("_id"), id_hash(id_col, seed, method).alias("_h"))
+    least = keyed.groupBy("_label").agg(F.min("_h").alias("_least"))  # a long per class: hash aggregate
+    ties = keyed.join(least.withColumnRenamed("_label", "_l"), (F.col("_h") == F.col("_least")) & F.col("_label").eqNullSafe(F.col("_l")))
+    picked = ties.groupBy("_label").agg(F.min("_id").alias("_id"))
+    return d.join(picked, (F.col(id_col) == F.col("_id")) & F.col(label_col).eqNullSafe(F.col("_label")), "left_semi")
+
+
+def term_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """M3's statistics in SQL terms: for every term (lower case, two or more word
+    characters) the number of texts it occurs in and its smooth idf
+    ``ln((1 + n) / (1 + df)) + 1``. Stop words are not removed here."""
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), F.lit(0)))
+    n = df.count()  # one number
+    counts = df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return counts.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1)
 
 
 # scikit-learn's default token pattern: two or more word characters.
@@ -142,25 +156,34 @@ def smooth_idf(df: DataFrame) -> DataFrame:
         .drop("_tokens", "_terms", "_tf", "_tfidf_spark", "_tfidf")
 
 
-def fit_logistic(train: DataFrame, label_col: str = "label", max_iter: int = 1000,
-                 reg_param: float | None = None, text_col: str = "text", vocab_size: int = 10000):
-    """M3 + M4: TF-IDF fitted on train only, multinomial logistic regression
-    with balanced class weights and ``regParam = 1/n_train`` (scikit-learn's
-    C=1 with weights summing to n). Returns ``(feature_model, lr_model)``."""
+def fit_features(train: DataFrame, label_col: str = "label", text_col: str = "text", vocab_size: int = 10000):
+    """M3 fitted on ``train``: ``(feature_model, weighted feature rows)``; the rows
+    are checkpointed in the shared folder, so the optimiser (and a lost
+    executor) reads them instead of running the features again."""
     feats = tfidf_pipeline(text_col, vocab_size).fit(train)
     tr = smooth_idf(feats.transform(with_class_weights(train, label_col)))
     tr = tr.select("features", F.col(label_col).cast("double").alias(label_col), "weight")
-    # Cut the lineage before the iterative optimiser: a lost executor then
-    # re-reads the checkpoint in the shared folder instead of re-running the
-    # feature pipeline on every retried iteration.
     ensure_checkpoint_dir(train.sparkSession)
-    tr = tr.checkpoint(eager=True)
-    n = tr.count()  # one bounded scalar, needed for regParam
+    return feats, tr.checkpoint(eager=True)
+
+
+def fit_classifier(rows: DataFrame, label_col: str = "label", max_iter: int = 1000, reg_param: float | None = None):
+    """M4 on the rows of :func:`fit_features`: multinomial logistic regression
+    with balanced class weights and ``regParam = 1/n_train`` (scikit-learn's
+    C=1 with weights summing to n)."""
+    n = rows.count()  # one bounded scalar, needed for regParam
     lr = LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="weight",
                             family="multinomial", maxIter=max_iter, standardization=False,
                             regParam=reg_param if reg_param is not None else 1.0 / max(n, 1),
                             elasticNetParam=0.0)
-    return feats, lr.fit(tr)
+    return lr.fit(rows)
+
+
+def fit_logistic(train: DataFrame, label_col: str = "label", max_iter: int = 1000,
+                 reg_param: float | None = None, text_col: str = "text", vocab_size: int = 10000):
+    """M3 + M4: ``(feature_model, lr_model)``."""
+    feats, rows = fit_features(train, label_col, text_col, vocab_size)
+    return feats, fit_classifier(rows, label_col, max_iter, reg_param)
 
 
 def predict(feats, model, df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -171,15 +194,17 @@ def predict(feats, model, df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def select_by_mae(train: DataFrame, val: DataFrame, reg_params: list[float], label_col: str = "label",
-                  max_iter: int = 100, text_col: str = "text"):
-    """M11 (re-aimed): fit one model per ``regParam``, keep the one with the
-    lowest validation MAE. Returns ``(best_reg, feats, model, val_mae_by_reg)``."""
+                  max_iter: int = 1000, text_col: str = "text"):
+    """M11 (re-aimed): one model per ``regParam`` over features that are fitted
+    once; keep the one with the lowest validation MAE. Returns ``(best_reg,
+    feats, model, val_mae_by_reg)``."""
+    feats, rows = fit_features(train, label_col, text_col)
     best = None
     scores = {}
     for rp in reg_params:
-        feats, model = fit_logistic(train, label_col, max_iter=max_iter, reg_param=rp, text_col=text_col)
+        model = fit_classifier(rows, label_col, max_iter, rp)
         m = predict(feats, model, val, label_col).agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred")))).first()[0]
         scores[rp] = m
         if best is None or (m is not None and m < best[0]):
-            best = (m, rp, feats, model)
-    return best[1], best[2], best[3], scores
+            best = (m, rp, model)
+    return best[1], feats, best[2], scores

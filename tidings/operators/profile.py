@@ -7,10 +7,11 @@ partial row per type and task crosses the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.functions import dates, text
+from tidings.session import stage
 
 
 def with_defaults(articles: DataFrame, type_col: str = "type", id_col: str = "id") -> DataFrame:
@@ -85,14 +86,13 @@ def excluding(articles: DataFrame, ids: DataFrame, id_col: str = "id", other_id:
 
 
 def prepare_dataset(articles: DataFrame, labels: DataFrame, exclude: DataFrame | None = None,
-                    id_col: str = "id") -> DataFrame:
+                    id_col: str = "id", prefix: int | None = None, prompt_text: Column | None = None) -> DataFrame:
     """F1 + F2 + F3 + P5: labelled, non-liveblog articles with their prompt
-    text ``(id, type, webTitle, text, label...)``. The text is cut to its
-    2000-code-point prefix *before* the joins, so whole bodies never cross
-    an exchange."""
+    text ``(id, type, webTitle, text, label...)``. ``prefix`` cuts the body to
+    so many code points; without it the text is whole."""
     a = drop_liveblogs(articles)
     keep = [c for c in (id_col, "type", "webTitle") if c in a.columns]
-    a = a.select(*keep, text.title_body().alias("text"))
+    a = a.select(*keep, (text.title_body(n=prefix) if prompt_text is None else prompt_text).alias("text"))
     if exclude is not None:
         a = excluding(a, exclude, id_col)
     return labelled(a, labels, id_col)
@@ -104,55 +104,38 @@ def newest(articles: DataFrame, n: int, date_col: str = "webPublicationDate") ->
     return articles.orderBy(F.col(date_col).desc(), F.col("id").desc()).limit(n)
 
 
-def with_row_index(df: DataFrame, order_col: str, index_col: str = "idx", buckets: int | None = None,
-                   accuracy: int = 100000, group_cols: list[str] | None = None,
-                   tiebreak: str | None = None) -> DataFrame:
-    """A stable 0-based position of every row in ``order_col`` order
-    (within each group of ``group_cols``), without a global or per-group
-    single-task window.
-
-    The key range (of each group) is cut into ``buckets`` by approximate
-    quantiles (one mergeable aggregate); each row gets a ``row_number``
-    within its bucket (a window partitioned by group and bucket, so no task
-    holds more than about ``n / buckets`` rows of even the largest group) plus
-    the count of all rows in lower buckets of its group (a count table of at
-    most groups x buckets rows, prefix-summed and joined back). Without
-    groups the cut points are a scalar subquery. Order keys should be unique
-    (or unique with ``tiebreak``) for the position to be stable.
-
-    ``buckets`` defaults to the session's shuffle partitions (sized to the
-    data, see :func:`tidings.session.scale_conf`), between 64 and 1024: each
-    row is compared with every cut point, so more buckets trade per-row work
-    for smaller window tasks.
+def with_row_index(df: DataFrame, order_cols: str | list[str], index_col: str = "idx",
+                   group_cols: list[str] | None = None) -> DataFrame:
+    """A stable 0-based position of every row in ``order_cols`` order (within
+    each group of ``group_cols``), without a window over all rows or a group.
+
+    Rows are range-partitioned by group and order columns (hot values included:
+    later order columns split them) and sorted there; a row's position is its
+    place in its range plus the rows of its group in the ranges before, which are
+    counted once (a table of one row per range and group it holds). The sorted
+    ranges are staged, since range bounds are sampled anew by every run of a plan.
+    Rows equal in all order columns share a range and may swap positions.
     """
     from pyspark.sql import Window
-    if buckets is None:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "64"))
-        buckets = min(1024, max(64, parts))
     groups = list(group_cols or [])
-    qs = [i / buckets for i in range(1, buckets)]
-    key = F.col(order_col)
-    if groups:
-        cuts = df.groupBy(*groups).agg(F.percentile_approx(order_col, qs, accuracy).alias("_cuts"))
-        b = df.join(cuts, groups, "left")  # one row per group; AQE broadcasts it when measured small
-    else:
-        b = df.withColumn("_cuts", df.agg(F.percentile_approx(order_col, qs, accuracy)).scalar())
-    b = b.withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
-    counts = b.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    prefix = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "_bucket", F.sum("_n").over(prefix).alias("_off"))
-    order = [order_col] + ([tiebreak] if tiebreak else [])
-    w = Window.partitionBy(*groups, "_bucket").orderBy(*order)
-    # without groups the offsets table has at most `buckets` rows: broadcast is proven small
-    out = b.join(offsets if groups else F.broadcast(offsets), groups + ["_bucket"], "left")
-    return out.withColumn(index_col, (F.coalesce("_off", F.lit(0)) + F.row_number().over(w) - 1).cast("long")) \
-              .drop("_bucket", "_off")
-
-
-def index_range(df: DataFrame, start: int, count: int, order_col: str, index_col: str = "idx") -> DataFrame:
+    keys = groups + ([order_cols] if isinstance(order_cols, str) else list(order_cols))
+    ranged = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
+    ranged = stage(ranged.withColumn("_range", F.spark_partition_id())
+                         .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "row-index")
+    counts = ranged.groupBy("_range", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", *[F.col(g).alias(f"_{g}") for g in groups], "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    same = ranged["_range"] == offsets["_range"]
+    for g in groups:
+        same = same & ranged[g].eqNullSafe(offsets[f"_{g}"])
+    out = ranged.join(offsets, same, "left")
+    return out.select(*[ranged[c] for c in df.columns if c != index_col], (F.col("_off") + F.col("_at") - F.col("_first")).cast("long").alias(index_col))
+
+
+def index_range(df: DataFrame, start: int, count: int, order_cols: str | list[str], index_col: str = "idx") -> DataFrame:
     """rows at positions ``[start, start + count)`` (clipped to the data)."""
     start = max(0, start)
-    return with_row_index(df, order_col, index_col).where(
+    return with_row_index(df, order_cols, index_col).where(
         (F.col(index_col) >= start) & (F.col(index_col) < start + max(0, count)))
 
 
@@ -161,9 +144,9 @@ def text_dataset(articles: DataFrame, labels: DataFrame, id_col: str = "id", lab
     """P4 + F4 + P24 + J1: labelled articles with the stripped
     headline/standfirst/body text; rows whose text is empty are dropped and
     labels truncated to int (the fine-tuning dataset)."""
-    j = labelled(articles.where(F.col(id_col).isNotNull()), labels, id_col, label_id)
-    t = j.select(id_col, text.trimmed_text().alias("text"), F.col(label_col).cast("int").alias(label_col))
-    return t.where(F.col("text") != "")
+    # one text column instead of three parts crosses the exchange, and only of rows that have text
+    t = articles.where(F.col(id_col).isNotNull()).select(id_col, text.trimmed_text().alias("text")).where(F.col("text") != "")
+    return labelled(t, labels, id_col, label_id).select(id_col, "text", F.col(label_col).cast("int").alias(label_col))
 
 
 def first_n(df: DataFrame, n: int, *order_cols) -> DataFrame:

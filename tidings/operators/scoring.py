@@ -52,9 +52,12 @@ def _msg(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
+ARTICLE_HEAD = "Article:\n"
+
+
 def article_message(text_col) -> Column:
     c = F.col(text_col) if isinstance(text_col, str) else text_col
-    return F.concat(F.lit("Article:\n"), c)
+    return F.concat(F.lit(ARTICLE_HEAD), c)
 
 
 def zero_shot_messages(text_col="text", system: str = EVAL_SYSTEM_PROMPT) -> Column:
@@ -106,7 +109,7 @@ def _run_batches(scorer: Callable[[list[str]], list[str]], texts: list[str], bat
                 try:
                     (answers[k],) = scorer([t])
                 except Exception as e:  # noqa: BLE001
-                    status[k], errors[k] = "failed", f"{type(e).__name__}: {e}"[:500]
+                    status[k], errors[k] = "failed", f"{type(e).__name__}: {e}"
     return answers, status, errors
 
 
@@ -121,7 +124,8 @@ def ship_package_by_value() -> None:
 
 def score_texts(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]], list[str]]],
                 id_col: str = "id", text_col: str = "text", batch_size: int = BATCH_SIZE,
-                keep: list[str] | None = None, spread: int | None = None) -> DataFrame:
+                keep: list[str] | None = None, spread: int | None = None,
+                prefixes: dict[str, str] | None = None, prefix_col: str | None = None) -> DataFrame:
     """M5 + M6: run ``scorer_factory()`` once per task over batches of
     ``batch_size`` texts. Output ``(id, *keep, raw_response, status, error)``.
 
@@ -131,6 +135,9 @@ def score_texts(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]]
     join back to the (wide) input afterwards. ``spread=n`` hash-distributes
     the rows over ``n`` tasks by id first - for an expensive scorer whose
     input arrives in skewed partitions (e.g. after a join on a hot key).
+    ``prefixes`` (a few strings by the value of the kept ``prefix_col``) are put
+    before the texts inside the task, so that a shared prompt is sent once
+    per task and not with every row.
     """
     ship_package_by_value()
     keep = list(keep or [])
@@ -145,6 +152,8 @@ def score_texts(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]]
         scorer = scorer_factory()
         for pdf in batches:
             texts = pdf["_text"].fillna("").astype(str).tolist()
+            if prefixes:
+                texts = [prefixes[k] + t for k, t in zip(pdf[prefix_col], texts, strict=True)]
             answers, status, errors = _run_batches(scorer, texts, batch_size)
             out = pdf[[id_col] + keep].copy()
             out["raw_response"] = [None if a is None else str(a) for a in answers]
@@ -166,41 +175,14 @@ def with_label(scored: DataFrame, parser=parse_label_strict, default_on_error: b
     return scored.withColumn("label", lab)
 
 
-ID_BUCKETS = 256
-BUCKET_COL = "id_bucket"
-
-
-def id_bucket(id_col: str = "id", buckets: int = ID_BUCKETS) -> Column:
-    """Hash bucket of an id: the partition column of a result table."""
-    return F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(buckets)).cast("int")
-
-
 def not_yet_scored(articles: DataFrame, results: DataFrame | None, id_col: str = "id",
                    result_id: str = "id") -> DataFrame:
-    """M7: resume by id (Q15) - articles whose id has no successful result.
-
-    When the result table is partitioned by :func:`id_bucket` (as the
-    labelling stream writes it), only the result partitions of the buckets
-    the new ids fall into are read (the distinct buckets - at most
-    ``ID_BUCKETS`` integers - become a partition filter), and the ids already
-    done are found by a semi join of those partitions with the new ids; the
-    final anti join is against that small set. The whole, ever-growing
-    result table is never scanned or shuffled per batch.
-    """
+    """M7: resume by id (Q15) - articles whose id has no successful result. One
+    anti join that reads two narrow columns of the results."""
     if results is None:
         return articles
-    ok = results.where(F.col("status") == "ok")
-    if BUCKET_COL in results.columns:
-        new_ids = articles.select(F.col(id_col).cast("string").alias(result_id)) \
-            .withColumn(BUCKET_COL, id_bucket(result_id))
-        # a bounded constant: at most ID_BUCKETS small integers
-        buckets = [r[0] for r in new_ids.select(BUCKET_COL).distinct().collect()]
-        pruned = ok.where(F.col(BUCKET_COL).isin(buckets)) if buckets else ok.limit(0)
-        done = pruned.select(result_id, BUCKET_COL).join(new_ids, [BUCKET_COL, result_id], "left_semi")
-        done = done.select(F.col(result_id).alias(id_col))
-    else:
-        done = ok.select(F.col(result_id).alias(id_col))
-    return articles.join(done, id_col, "left_anti")
+    done = results.where(F.col("status") == "ok").select(F.col(result_id).alias("_done"))
+    return articles.join(done, F.col(id_col).cast("string") == F.col("_done"), "left_anti")
 
 
 def token_usage(scored: DataFrame, prompt_tokens: str = "prompt_tokens", answer_col: str = "raw_response",
@@ -272,28 +254,30 @@ POLARITY_SCHEMA = "polarity string, confidence double"
 
 
 def score_polarity(df: DataFrame, polarity_factory, id_col: str = "id", text_col: str = "text",
-                   batch_size: int = BATCH_SIZE, threshold: float = 0.75) -> DataFrame:
+                   batch_size: int = BATCH_SIZE, threshold: float = 0.75, keep: list[str] | None = None) -> DataFrame:
     """M5 + P18 + P19 for 3-class polarity scorers (``list[str] ->
     list[(label, score)]``): blank texts get the neutral 2 without a scorer
-    call; other texts are scored in batches and bucketed into 0-4."""
+    call; other texts are scored in batches and bucketed into 0-4. One pass over
+    the input; ``keep`` columns are carried through."""
     from tidings.functions.parse import bucket_polarity
     ship_package_by_value()
-    blank = text.is_blank(text_col)
-    skipped = df.where(blank).select(F.col(id_col).cast("string").alias(id_col),
-                                     F.lit(None).cast("string").alias("polarity"),
-                                     F.lit(None).cast("double").alias("confidence"),
-                                     F.lit("skipped").alias("status"), F.lit(NEUTRAL).alias("label"))
-    src = df.where(~blank).select(F.col(id_col).cast("string").alias(id_col), F.col(text_col).alias("_text"))
+    keep = list(keep or [])
+    src = df.select(F.col(id_col).cast("string").alias(id_col), *keep, F.when(~text.is_blank(text_col), F.col(text_col)).alias("_text"))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields if f.name in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = polarity_factory()
         for pdf in batches:
-            answers, status, _ = _run_batches(scorer, pdf["_text"].astype(str).tolist(), batch_size)
-            yield pd.DataFrame({id_col: pdf[id_col],
-                                "polarity": [a[0] if a else None for a in answers],
-                                "confidence": [float(a[1]) if a else None for a in answers],
-                                "status": status})
-
-    scored = src.mapInPandas(run, f"`{id_col}` string, {POLARITY_SCHEMA}, status string")
-    scored = scored.withColumn("label", bucket_polarity("polarity", "confidence", threshold))
-    return scored.unionByName(skipped)
+            full = pdf["_text"].notna().to_numpy()
+            answers, status, _ = _run_batches(scorer, pdf["_text"][full].astype(str).tolist(), batch_size)
+            found, states = iter(answers), iter(status)
+            answers = [next(found) if f else None for f in full]
+            out = pdf[[id_col] + keep].copy()
+            out["polarity"] = [a[0] if a else None for a in answers]
+            out["confidence"] = [float(a[1]) if a else None for a in answers]
+            out["status"] = [next(states) if f else "skipped" for f in full]
+            yield out
+
+    scored = src.mapInPandas(run, f"`{id_col}` string, {kept}{POLARITY_SCHEMA}, status string")
+    lab = F.when(F.col("status") == "skipped", F.lit(NEUTRAL)).otherwise(bucket_polarity("polarity", "confidence", threshold))
+    return scored.withColumn("label", lab)

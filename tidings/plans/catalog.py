@@ -255,7 +255,23 @@ def labelling_prompts(spark, sf_dir):
                     F.md5(simple).alias("simple_md5"), TX.estimate_tokens(simple).alias("simple_tokens"),
                     F.md5(TX.plain_text()).alias("plain_md5"),
                     F.length(TX.trimmed_text()).cast("long").alias("trimmed_chars"),
-                    F.md5(TX.body_prefix()).alias("body_prefix_md5"))
+                    F.md5(TX.body_prefix()).alias("body_md5"))
+
+
+@register("prompt_prefixes")
+def prompt_prefixes(spark, sf_dir):
+    """The reference's cuts of P5, P6, P8 and P9 as explicit arguments: 2000 and 1500 code points."""
+    a = PR.drop_liveblogs(V.articles(spark, sf_dir))
+    return a.select("id", F.md5(TX.title_body(n=2000)).alias("title_body_md5"), F.md5(TX.body_prefix(n=2000)).alias("body_md5"),
+                    F.md5(TX.sectioned_prompt(n=1500)).alias("sectioned_md5"), F.md5(TX.simple_prompt(n=2000)).alias("simple_md5"))
+
+
+@register("default_article_ids")
+def default_article_ids(spark, sf_dir):
+    """Missing ids (here: of every seventh article) -> ``article_<position>`` by W6, and missing types."""
+    a = V.articles(spark, sf_dir).withColumn("id", F.when(F.col("doc_id") % 7 != 0, F.col("id")))
+    i = PR.with_row_index(a.select("doc_id", "id", "type"), "doc_id")
+    return i.select("doc_id", TX.default_article_id("id", "idx").alias("id"), TX.default_text("type").alias("type"))
 
 
 @register("cost_estimate")
@@ -266,7 +282,7 @@ def cost_estimate(spark, sf_dir):
 
 @register("answer_parsing")
 def answer_parsing(spark, sf_dir):
-    c = V.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    c = V.table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn",
                     PA.parse_label_strict("text").alias("strict_label"),
                     PA.parse_sentiment_ladder("text").alias("ladder"),
@@ -288,8 +304,8 @@ def polarity_buckets(spark, sf_dir):
 
 @register("chat_messages")
 def chat_messages(spark, sf_dir):
-    """P10: zero-shot chat messages for every user turn (one row each, no grouping)."""
-    c = V.table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    """P10: zero-shot chat messages for every turn (one row each, no grouping)."""
+    c = V.table(spark, sf_dir, "conversations")
     m = SC.zero_shot_messages("text")
     return c.select("conv_id", "turn", F.size(m).alias("n_messages"),
                     F.array_join(F.transform(m, lambda x: x["role"]), ",").alias("roles"),
@@ -348,19 +364,51 @@ def few_shot_examples(spark, sf_dir):
 
 # ---------------------------------------------------------------- splits and models
 
+@register("chat_prompts")
+def chat_prompts(spark, sf_dir):
+    """The few-shot conversation of every article that is no example: roles in
+    order and a hash of each message's content."""
+    d = _eval_dataset(spark, sf_dir)
+    ids = [r["id"] for r in LE.few_shot_examples(d.select("id", "label", "type")).select("id").collect()]  # one per class
+    m = SC.few_shot_messages(d.where(~F.col("id").isin(ids)), d.where(F.col("id").isin(ids)).select("text", "label"))
+    return m.select("id", F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"),
+                    F.array_join(F.transform("messages", lambda x: F.md5(x["content"])), ",").alias("content_md5"))
+
+
+@register("hash_split")
+def hash_split(spark, sf_dir):
+    """M1: 70/15/15 hash split of all documents."""
+    return LE.hash_split(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
+
+
 @register("hash_split_sizes")
 def hash_split_sizes(spark, sf_dir):
-    """M1: 70/15/15 hash split of all documents (seeded md5, reproducible in SQL)."""
-    d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    return LE.hash_split(d, method="md5").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return hash_split(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stratified_split")
+def stratified_split(spark, sf_dir):
+    """M2: exact per-class stratified split of the consensus labels."""
+    c = consensus_labels(spark, sf_dir).select(F.col("article_id").alias("id"), PA.to_int_label("label").alias("label"))
+    return LE.stratified_split(c)
 
 
 @register("stratified_split_sizes")
 def stratified_split_sizes(spark, sf_dir):
-    """M2: exact per-class stratified split of the consensus labels (seeded md5 order)."""
-    c = consensus_labels(spark, sf_dir).select(F.col("article_id").alias("id"), PA.to_int_label("label").alias("label"))
-    split = LE.stratified_split(c, method="md5", exact=True)
-    return split.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+    return stratified_split(spark, sf_dir).groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("term_statistics")
+def term_statistics(spark, sf_dir):
+    """M3: document frequency and smooth idf of every term of the documents."""
+    return rounded(LE.term_statistics(V.table(spark, sf_dir, "documents")))
+
+
+def _language_data(spark, sf_dir) -> DataFrame:
+    d = V.table(spark, sf_dir, "documents")
+    langs = ["de", "en", "es", "fr"]
+    lab = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
+    return d.select(F.col("doc_id").alias("id"), "text", lab.cast("int").alias("label"))
 
 
 @register("tfidf_logreg_eval")
@@ -368,17 +416,63 @@ def tfidf_logreg_eval(spark, sf_dir):
     """M1 + M3 + M4 + A9-A11: TF-IDF + balanced multinomial logistic
     regression predicting the document language from whole texts, scored
     on the validation and test splits (rows-only)."""
-    d = V.table(spark, sf_dir, "documents")
-    langs = ["de", "en", "es", "fr"]
-    lab = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
-    data = d.select(F.col("doc_id").alias("id"), "text", lab.cast("int").alias("label"))
-    data = LE.hash_split(data).repartition(8)
+    data = LE.hash_split(_language_data(spark, sf_dir))
     train = data.where(F.col("split") == "train")
-    feats, model = LE.fit_logistic(train, max_iter=100)
+    feats, model = LE.fit_logistic(train)
     scored = LE.predict(feats, model, data.where(F.col("split") != "train"))
     return rounded(M.evaluation_summary(scored, ["split"]))
 
 
+@register("regularisation_by_mae")
+def regularisation_by_mae(spark, sf_dir):
+    """One language model per regularisation over features fitted once; the
+    chosen one, evaluated on the test split (rows-only)."""
+    data = LE.hash_split(_language_data(spark, sf_dir))
+    part = lambda x: data.where(F.col("split") == x)
+    best, feats, model, scores = LE.select_by_mae(part("train"), part("val"), [1e-3, 1e-1])
+    out = M.evaluation_summary(LE.predict(feats, model, part("test")), ["split"])
+    return rounded(out.withColumn("reg_param", F.lit(best)).withColumn("val_mae", F.lit(scores[best])))
+
+
+@register("baseline_models")
+def baseline_models(spark, sf_dir):
+    """TF-IDF + logistic regression and the polarity scorer on the same test split (rows-only)."""
+    from tidings.operators.lexicon import lexicon_polarity_factory
+    a = V.articles(spark, sf_dir)
+    lab = consensus_labels(spark, sf_dir).select("article_id", PA.to_int_label("label").alias("label"))
+    return rounded(PL.baseline_run(PR.prepare_dataset(a, lab, prompt_text=TX.plain_text()), lexicon_polarity_factory))
+
+
+@register("scored_with_failures")
+def scored_with_failures(spark, sf_dir):
+    """M6: a scorer that fails on some texts; failures are isolated per row and
+    carry the scorer's whole message."""
+    def factory():
+        def scorer(texts):
+            if any(len(t) % 7 == 0 for t in texts):
+                raise RuntimeError("no answer " * 60)
+            return [str(len(t) % 5) for t in texts]
+        return scorer
+    d = V.table(spark, sf_dir, "documents")
+    out = SC.with_label(SC.score_texts(d, factory, "doc_id", "text"))
+    return out.select("doc_id", "status", "label", F.length("error").alias("error_chars"))
+
+
+@register("argmax_classes")
+def argmax_classes(spark, sf_dir):
+    """Index of the largest of five scores, the first one on ties."""
+    d = V.table(spark, sf_dir, "documents")
+    scores = F.array(*[((F.col("doc_id") * (k + 3) + F.col("n_chars")) % 7).cast("double") for k in range(5)])
+    return d.select("doc_id", PA.argmax_class(scores).alias("label"), PA.ladder_name(PA.argmax_class(scores)).alias("ladder"),
+                    PA.label_value(PA.label_name(PA.argmax_class(scores))).alias("value"))
+
+
+@register("consensus_unrounded")
+def consensus_unrounded(spark, sf_dir):
+    """Consensus as the plain mean, in steps of a half."""
+    return L.consensus(V.rater_labels(spark, sf_dir), rounded=False)
+
+
 # ---------------------------------------------------------------- streams
 
 @register("stream_daily_events")
@@ -393,20 +487,17 @@ def stream_daily_events(spark, sf_dir):
 
 @register("incremental_labelling")
 def incremental_labelling(spark, sf_dir):
-    """Land articles in two waves, label each wave once via the stream;
-    rows-only (lexicon scorer). Returns per-wave counts of labelled ids."""
-    from tidings.streaming.labelling import run_labelling_stream
+    """Land articles in two waves, of which the second sends the first one
+    again; every article is labelled once."""
+    from tidings.streaming.labelling import latest_labels, run_labelling_stream
     root = checkpoint_root(spark, "labelling")
     landing, results, ck = f"{root}/landing", f"{root}/results", f"{root}/checkpoint"
-    a = V.articles(spark, sf_dir)
-    first = a.where(F.col("lang") == "en")
-    first.write.mode("append").parquet(landing)
-    run_labelling_stream(spark, landing, results, ck, lexicon_factory, schema=spark.read.parquet(landing).schema)
-    # second wave re-sends the first one too: resume by id must skip those
+    a = V.articles(spark, sf_dir).select("id", "type", "webTitle", "bodyText", "lang")
+    a.where(F.col("lang") == "en").write.mode("append").parquet(landing)
+    run_labelling_stream(spark, landing, results, ck, lexicon_factory, schema=a.schema)
     a.write.mode("append").parquet(landing)
-    run_labelling_stream(spark, landing, results, ck, lexicon_factory, schema=spark.read.parquet(landing).schema)
-    r = spark.read.parquet(results)
-    return r.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+    run_labelling_stream(spark, landing, results, ck, lexicon_factory, schema=a.schema)
+    return latest_labels(spark, results).select("id", "status", "label")
 
 
 # ---------------------------------------------------------------- sources and sinks round trips
@@ -453,30 +544,59 @@ def price_csv_roundtrip(spark, sf_dir):
     return rounded(S.daily_returns(back))
 
 
-@register("assembled_search_pages")
-def assembled_search_pages(spark, sf_dir):
-    """Search-result pages of 50 articles (newest first within a page);
-    a page holding a junk document (< 10 characters) is an error page;
-    collection stops before it and is capped at 2000 articles."""
-    root = checkpoint_root(spark, "pages")
+@register("article_arrays")
+def article_arrays(spark, sf_dir):
+    """S1 on its real format: files that each hold one JSON array of articles."""
+    root = checkpoint_root(spark, "arrays")
+    a = V.articles(spark, sf_dir)
+    art = F.struct("id", "type", "webTitle", "webUrl", "webPublicationDate", F.struct("headline", "standfirst", "bodyText").alias("fields"))
+    files = a.groupBy(F.floor(F.col("doc_id") / 500).alias("run")).agg(F.to_json(F.collect_list(art)).alias("value"))
+    files.repartition("run").write.partitionBy("run").text(f"{root}/runs")
+    back = RD.read_articles(spark, f"{root}/runs/*")
+    return back.select("id", "type", "webPublicationDate", F.md5(F.coalesce("bodyText", F.lit(""))).alias("body_md5"))
+
+
+@register("article_file_index")
+def article_file_index(spark, sf_dir):
+    """W6 and F7 in file order: positions over (file, place in the file)."""
+    a = V.articles(spark, sf_dir).select("id", F.concat(F.lit("articles_"), (F.col("doc_id") % 9).cast("string"), F.lit(".json")).alias("file"),
+                                         F.floor(F.col("doc_id") / 9).alias("pos"))
+    return PR.with_row_index(a, ["file", "pos"]).select("id", "file", "idx")
+
+
+def _search_pages(spark, sf_dir) -> DataFrame:
+    """Search pages of 50 articles (newest first within a page) and the number of pages."""
     a = V.articles(spark, sf_dir)
-    nested = a.select(F.floor(F.col("doc_id") / 50).cast("int").alias("page0"), "n_chars",
+    nested = a.select((F.floor(F.col("doc_id") / 50) + 1).cast("int").alias("page"),
                       F.struct("id", "type", "webTitle", "webUrl", "webPublicationDate",
                                F.struct("headline", "standfirst", "bodyText").alias("fields")).alias("art"))
-    pages = nested.groupBy("page0").agg(
-        F.min("n_chars").alias("_min"),
+    return nested.groupBy("page").agg(
         F.sort_array(F.collect_list(F.struct(F.col("art.webPublicationDate").alias("_d"),
                                              F.col("art.id").alias("_i"), F.col("art").alias("a"))),
                      asc=False).alias("_r"))
-    pages = pages.select((F.col("page0") + 1).alias("page"), F.struct(
-        F.when(F.col("_min") < 10, F.lit("error")).otherwise(F.lit("ok")).alias("status"),
-        F.lit(None).cast("string").alias("message"), F.lit(None).cast("int").alias("pages"),
-        (F.col("page0") + 1).alias("currentPage"),
-        F.transform("_r", lambda e: e["a"]).alias("results")).alias("response"))
-    WR.write_table(pages, f"{root}/pages", fmt="json")
-    landed = RD.read_search_pages(spark, f"{root}/pages", multiline=False)
-    out = RD.assemble_pages(landed, max_articles=2000)
-    return out.select("page", "pos", "id")
+
+
+@register("assembled_search_pages")
+def assembled_search_pages(spark, sf_dir):
+    """Three collections of the same search pages. In ``error`` the middle page
+    failed; in ``gap`` the page at two thirds never landed; ``announced`` has one page
+    more than the first page says."""
+    root = checkpoint_root(spark, "pages")
+    pages = _search_pages(spark, sf_dir)
+    pages = pages.withColumn("total", V.articles(spark, sf_dir).agg((F.floor(F.max("doc_id") / 50) + 1).cast("int")).scalar())
+    out = None
+    for run in ("error", "gap", "announced"):
+        status = F.when(F.lit(run == "error") & (F.col("page") == F.floor(F.col("total") / 2) + 1), "error").otherwise("ok")
+        announced = F.col("total") - (1 if run == "announced" else 0)
+        p = pages.where(~(F.lit(run == "gap") & (F.col("page") == F.floor(F.col("total") * 2 / 3) + 1)))
+        p = p.select("page", F.struct(
+            status.alias("status"), F.lit(None).cast("string").alias("message"), announced.alias("pages"),
+            F.col("page").alias("currentPage"), F.transform("_r", lambda e: e["a"]).alias("results")).alias("response"))
+        WR.write_table(p, f"{root}/{run}", fmt="json")
+        landed = RD.read_search_pages(spark, f"{root}/{run}", multiline=False)
+        one = RD.assemble_pages(landed).select(F.lit(run).alias("run"), "page", "pos", "id")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("collection_window")
@@ -517,18 +637,33 @@ def newest_articles(spark, sf_dir):
     return PR.newest(V.articles(spark, sf_dir), 50).select("id", "webPublicationDate")
 
 
+def _polarity(spark, sf_dir) -> DataFrame:
+    """Polarity scores of the labelled articles' headline, standfirst and body."""
+    from tidings.operators.lexicon import lexicon_polarity_factory
+    lab = consensus_labels(spark, sf_dir).select("article_id", PA.to_int_label("label").alias("y_true"))
+    d = PR.prepare_dataset(V.articles(spark, sf_dir), lab, prompt_text=TX.plain_text())
+    return SC.score_polarity(d, lexicon_polarity_factory, keep=["y_true", "webTitle"])
+
+
 @register("polarity_eval")
 def polarity_eval(spark, sf_dir):
     """M5 + P19 + P18 + A13: a 3-class polarity scorer bucketed to five
-    classes, evaluated against the consensus labels (rows-only: Python scorer)."""
-    from tidings.operators.lexicon import lexicon_polarity_factory
-    d = _eval_dataset(spark, sf_dir)
-    pol = SC.score_polarity(d, lexicon_polarity_factory)
-    j = pol.join(d.select(F.col("id").cast("string").alias("id"), F.col("label").alias("y_true")), "id")
-    preds = j.select(F.lit("polarity").alias("model"), "y_true", F.col("label").alias("y_pred"))
+    classes, evaluated against the consensus labels."""
+    preds = _polarity(spark, sf_dir).select(F.lit("polarity").alias("model"), "y_true", F.col("label").alias("y_pred"))
     return rounded(M.evaluation_summary(preds))
 
 
+@register("predictor_articles")
+def predictor_articles(spark, sf_dir):
+    """M9 + J4: both modes of a run and the polarity model, joined by id to the
+    truth and to the articles."""
+    p = V.predictions(spark, sf_dir)
+    runs = p.groupBy("article_id").agg(F.max(F.when(F.col("model") == "rater_b", F.col("y_pred"))).alias("zero_shot"),
+                                       F.max(F.when(F.col("model") == "length", F.col("y_pred"))).alias("few_shot"))
+    j = _polarity(spark, sf_dir).join(runs.where("zero_shot IS NOT NULL AND few_shot IS NOT NULL"), F.col("id") == F.col("article_id"))
+    return j.select("id", "y_true", "zero_shot", "few_shot", F.col("label").alias("polarity"), F.md5("webTitle").alias("title_md5"))
+
+
 @register("finetune_dataset")
 def finetune_dataset(spark, sf_dir):
     """P4 + F4 + P24 + J1: stripped text of every labelled article."""
@@ -634,6 +769,23 @@ def run_record_roundtrip(spark, sf_dir):
     return rounded(summary.join(counts, "mode"))
 
 
+@register("nested_run_record")
+def nested_run_record(spark, sf_dir):
+    """S5 in the reference's shape: run records (one for every 500 articles) with
+    maps of predictions by mode and of the truth, written as JSON and read back."""
+    root = checkpoint_root(spark, "nested-runs")
+    p = V.predictions(spark, sf_dir).withColumn("k", F.floor(F.regexp_extract("article_id", r"doc-(\d+)$", 1).cast("long") / 500))
+    def pairs(model, value):
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("model") == model, F.struct("article_id", value)))))
+    def mode(model):
+        return F.struct(F.lit(0.5).alias("accuracy"), pairs(model, "y_pred").alias("predictions"))
+    runs = p.groupBy("k").agg(mode("rater_b").alias("zero_shot"), mode("length").alias("few_shot"), pairs("length", "y_true").alias("ground_truth"))
+    runs = runs.select(F.lit("stand-in").alias("model"), F.concat(F.lit("run-"), "k").alias("timestamp"), F.lit(32).alias("batch_size"), "zero_shot", "few_shot", "ground_truth")
+    WR.write_table(runs, f"{root}/runs", fmt="json")
+    preds, truth = RD.read_prediction_run(spark, f"{root}/runs", multiline=False)
+    return preds.join(truth, ["run", "article_id"], "left").select("run", "mode", "article_id", "pred", "label")
+
+
 @register("cost_estimate_sampled")
 def cost_estimate_sampled(spark, sf_dir):
     """A22 as the reference estimates it: mean prompt tokens of the first five

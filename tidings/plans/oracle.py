@@ -125,12 +125,12 @@ label_batches AS (
   SELECT id AS article_id, CAST((doc_id * 3 + n_chars) % 5 AS DOUBLE) AS label,
          'labels_' || CAST(floor(doc_id / 100) * 100 AS BIGINT) || 'to' || CAST(floor(doc_id / 100) * 100 + 100 AS BIGINT) AS src_file,
          CAST(doc_id - floor(doc_id / 100) * 100 AS INTEGER) AS pos
-  FROM articles WHERE lang <> 'de'
+  FROM articles
   UNION ALL
   SELECT id, CAST(((doc_id * 3 + n_chars) % 5 + 1) % 5 AS DOUBLE),
          'labels_' || CAST(floor(doc_id / 100) * 100 + 100 AS BIGINT) || 'to' || CAST(floor(doc_id / 100) * 100 + 200 AS BIGINT),
          CAST(doc_id - floor(doc_id / 100) * 100 - 100 AS INTEGER)
-  FROM articles WHERE lang <> 'de' AND doc_id % 100 >= 70)"""
+  FROM articles WHERE doc_id % 100 >= 70)"""
 
 ORACLE["merged_label_batches"] = "WITH" + LABEL_BATCHES + """
 SELECT article_id, arg_max(label, src_file) AS label FROM label_batches GROUP BY article_id"""
@@ -250,11 +250,11 @@ PREDICTIONS = ARTICLES + """,
 predictions AS (
   SELECT 'rater_b' AS model, id AS article_id, CAST((doc_id * 7 + n_chars) % 5 AS INTEGER) AS y_true,
          CASE WHEN doc_id % 17 = 0 THEN -1 ELSE CAST((doc_id * 3 + n_chars) % 5 AS INTEGER) END AS y_pred
-  FROM articles WHERE lang NOT IN ('es', 'de')
+  FROM articles WHERE doc_id % 11 <> 3
   UNION ALL
   SELECT 'length', id, CAST((doc_id * 7 + n_chars) % 5 AS INTEGER),
          CAST(least(floor(log10(n_chars + 1)), 4) AS INTEGER)
-  FROM articles WHERE lang <> 'es')"""
+  FROM articles WHERE doc_id % 13 <> 5)"""
 
 ORACLE["eval_summary"] = "WITH" + PREDICTIONS + """
 SELECT model, count(*) AS n, round(avg(CAST(y_true = y_pred AS DOUBLE)), 9) AS accuracy,
@@ -376,7 +376,8 @@ SELECT count(*) AS total, count(bodyText) AS with_body,
 FROM articles"""
 
 NL2 = "chr(10) || chr(10)"
-TITLE_BODY = f"coalesce(webTitle, '') || {NL2} || substring(coalesce(bodyText, ''), 1, 2000)"
+TITLE_BODY = f"coalesce(webTitle, '') || {NL2} || coalesce(bodyText, '')"
+TITLE_BODY_2000 = f"coalesce(webTitle, '') || {NL2} || substring(coalesce(bodyText, ''), 1, 2000)"
 
 ORACLE["eval_dataset"] = "WITH" + CONSENSUS + f""",
 excl AS (SELECT a.id FROM articles a JOIN labels l ON l.doc_id = a.doc_id WHERE l.toxic = 1)
@@ -393,19 +394,20 @@ def sql_literal(s: str) -> str:
     return " || chr(10) || ".join(f"'{p}'" for p in parts)
 
 
-def _prompt_sql():
+def _prompt_sql(body="bodyText", title_body=TITLE_BODY):
     from tidings.functions import text as T  # fixed template values only
     sections = (f"'Headline: ' || coalesce(webTitle, '') || {NL2}"
                 f" || CASE WHEN coalesce(standfirst, '') <> '' THEN 'Summary: ' || "
                 f"regexp_replace(standfirst, '<[^>]+>', '', 'g') || {NL2} ELSE '' END"
-                f" || CASE WHEN coalesce(bodyText, '') <> '' THEN 'Excerpt: ' || substring(bodyText, 1, 1500)"
+                f" || CASE WHEN coalesce(bodyText, '') <> '' THEN 'Excerpt: ' || {body}"
                 f" || {NL2} ELSE '' END")
     sect = f"({sql_literal(T.SECTIONED_PROMPT_HEAD)} || {sections} || {sql_literal(T.SECTIONED_PROMPT_TAIL)})"
-    simple = f"({sql_literal(T.SIMPLE_PROMPT_HEAD)} || {TITLE_BODY} || {sql_literal(T.SIMPLE_PROMPT_TAIL)})"
+    simple = f"({sql_literal(T.SIMPLE_PROMPT_HEAD)} || {title_body} || {sql_literal(T.SIMPLE_PROMPT_TAIL)})"
     return sect, simple
 
 
 SECT_PROMPT, SIMPLE_PROMPT = _prompt_sql()
+SECT_PROMPT_1500, SIMPLE_PROMPT_2000 = _prompt_sql("substring(bodyText, 1, 1500)", TITLE_BODY_2000)
 PLAIN = "coalesce(headline, '') || ' ' || coalesce(standfirst, '') || ' ' || coalesce(bodyText, '')"
 TRIMMED = f"regexp_replace(regexp_replace({PLAIN}, '^{WS}+', ''), '{WS}+$', '')"
 
@@ -413,9 +415,19 @@ ORACLE["labelling_prompts"] = "WITH" + ARTICLES + f"""
 SELECT id, md5({SECT_PROMPT}) AS sectioned_md5, CAST(length({SECT_PROMPT}) // 4 AS BIGINT) AS sectioned_tokens,
        md5({SIMPLE_PROMPT}) AS simple_md5, CAST(length({SIMPLE_PROMPT}) // 4 AS BIGINT) AS simple_tokens,
        md5({PLAIN}) AS plain_md5, length({TRIMMED}) AS trimmed_chars,
-       md5(substring(coalesce(bodyText, ''), 1, 2000)) AS body_prefix_md5
+       md5(coalesce(bodyText, '')) AS body_md5
+FROM articles WHERE type IS NULL OR type <> 'liveblog'"""
+
+ORACLE["prompt_prefixes"] = "WITH" + ARTICLES + f"""
+SELECT id, md5({TITLE_BODY_2000}) AS title_body_md5, md5(substring(coalesce(bodyText, ''), 1, 2000)) AS body_md5,
+       md5({SECT_PROMPT_1500}) AS sectioned_md5, md5({SIMPLE_PROMPT_2000}) AS simple_md5
 FROM articles WHERE type IS NULL OR type <> 'liveblog'"""
 
+ORACLE["default_article_ids"] = "WITH" + ARTICLES + """
+SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN id ELSE 'article_' || (row_number() OVER (ORDER BY doc_id) - 1) END AS id,
+       coalesce(type, 'unknown') AS type
+FROM articles"""
+
 ORACLE["cost_estimate"] = "WITH" + ARTICLES + f""",
 t AS (SELECT count(*) AS num_articles,
              CAST(coalesce(sum(length({SECT_PROMPT}) // 4), 0) AS BIGINT) AS estimated_input_tokens
@@ -440,18 +452,20 @@ LADDER_TAIL = f"""WHEN contains({U}, '3') OR contains({U}, 'LEANING POSITIVE') T
        WHEN contains({U}, '2') OR contains({U}, 'NEUTRAL') THEN 'neutral'
        WHEN contains({U}, '1') OR contains({U}, 'LEANING NEGATIVE') THEN 'leaning_negative'
        WHEN contains({U}, '0') OR contains({U}, 'NEGATIVE') THEN 'negative' ELSE 'neutral' END"""
-STRICT_INT = "try_cast(trim(text) AS INTEGER)"
+SPACED = f"regexp_replace({U}, 'LEANING_(POSITIVE|NEGATIVE)', 'LEANING \\1', 'g')"
+PY_STRIPPED = f"regexp_replace(regexp_replace(text, '^{WS}+', ''), '{WS}+$', '')"
+STRICT_INT = f"try_cast({PY_STRIPPED} AS INTEGER)"
 
 ORACLE["answer_parsing"] = f"""
 SELECT conv_id, turn,
-  CASE WHEN regexp_full_match(trim(text), '[+-]?[0-9]+') AND {STRICT_INT} BETWEEN 0 AND 4
+  CASE WHEN regexp_full_match({PY_STRIPPED}, '[+-]?[0-9]+') AND {STRICT_INT} BETWEEN 0 AND 4
        THEN {STRICT_INT} ELSE 2 END AS strict_label,
-  CASE WHEN contains({U}, '4') OR (contains({U}, 'POSITIVE') AND NOT contains({U}, 'LEANING POSITIVE'))
-       THEN 'positive' {LADDER_TAIL} AS ladder,
+  CASE WHEN contains({U}, '4') OR (contains({U}, 'POSITIVE') AND NOT contains({SPACED}, 'LEANING POSITIVE'))
+       THEN 'positive' {LADDER_TAIL.replace(U, SPACED)} AS ladder,
   CASE WHEN contains({U}, '4') OR contains({U}, 'POSITIVE') THEN 'positive' {LADDER_TAIL} AS ladder_reference,
   CASE WHEN regexp_extract(coalesce(text, ''), '[0-4]', 0) = '' THEN -1
        ELSE CAST(regexp_extract(coalesce(text, ''), '[0-4]', 0) AS INTEGER) END AS first_digit
-FROM conversations WHERE role = 'assistant'"""
+FROM conversations"""
 
 POL = "(['negative', 'neutral', 'positive', 'Positive', 'mixed'])[doc_id % 5 + 1]"
 SCORE = "((n_chars % 100) / 100.0)"
@@ -471,7 +485,7 @@ def _chat_sql():
     content = f"{sysp} || '|' || 'Article:' || chr(10) || text"
     return f"""
 SELECT conv_id, turn, 2 AS n_messages, 'system,user' AS roles, md5({content}) AS content_md5
-FROM conversations WHERE role = 'user'"""
+FROM conversations"""
 
 
 ORACLE["chat_messages"] = _chat_sql()
@@ -513,12 +527,22 @@ ORACLE["label_map_roundtrip"] = ORACLE["merged_label_batches"]
 ORACLE["price_csv_roundtrip"] = ORACLE["segment_returns"]
 
 ORACLE["assembled_search_pages"] = "WITH" + ARTICLES + """,
-p AS (SELECT CAST(floor(doc_id / 50) AS INTEGER) + 1 AS page, id, n_chars,
+p AS (SELECT CAST(floor(doc_id / 50) AS INTEGER) + 1 AS page, id,
              CAST(row_number() OVER (PARTITION BY floor(doc_id / 50)
                                      ORDER BY webPublicationDate DESC, id DESC) - 1 AS INTEGER) AS pos
       FROM articles),
-bad AS (SELECT min(page) AS b FROM (SELECT page FROM p GROUP BY page HAVING min(n_chars) < 10))
-SELECT page, pos, id FROM p, bad WHERE b IS NULL OR page < b ORDER BY page, pos LIMIT 2000"""
+t AS (SELECT max(page) AS total FROM p),
+stop AS (SELECT 'error' AS run, CAST(floor(total / 2) AS INTEGER) + 1 AS stop FROM t
+         UNION ALL SELECT 'gap', CAST(floor(total * 2 / 3) AS INTEGER) + 1 FROM t
+         UNION ALL SELECT 'announced', total FROM t)
+SELECT run, page, pos, id FROM p, stop WHERE page < stop"""
+
+ORACLE["article_arrays"] = "WITH" + ARTICLES + """
+SELECT id, type, webPublicationDate, md5(coalesce(bodyText, '')) AS body_md5 FROM articles"""
+
+ORACLE["article_file_index"] = "WITH" + ARTICLES + """,
+f AS (SELECT id, 'articles_' || (doc_id % 9) || '.json' AS file, CAST(floor(doc_id / 9) AS BIGINT) AS pos FROM articles)
+SELECT id, file, row_number() OVER (ORDER BY file, pos) - 1 AS idx FROM f"""
 
 ORACLE["collection_window"] = "WITH" + ARTICLES + """,
 d AS (SELECT try_cast(substr(webPublicationDate, 1, 10) AS DATE) AS day FROM articles)
@@ -605,12 +629,6 @@ SELECT CAST(substr(a.webPublicationDate, 1, 10) AS DATE) AS date, round(avg(c.la
        count(*) AS n_articles
 FROM consensus c JOIN articles a ON a.id = c.article_id GROUP BY 1"""
 
-# After both waves every non-liveblog article is labelled exactly once
-ORACLE["incremental_labelling"] = "WITH" + ARTICLES + """
-SELECT 'ok' AS status, count(*) AS n, count(DISTINCT id) AS ids
-FROM articles WHERE (type IS NULL OR type <> 'liveblog') AND id IS NOT NULL"""
-
-
 # ---------------------------------------------------------------- the word-list scorer in SQL
 
 def _lexicon_sql(text_expr: str):
@@ -632,18 +650,28 @@ SELECT id, CAST(2 + greatest(-2, least(2, p - n)) AS VARCHAR) AS raw_response, '
        CAST(2 + greatest(-2, least(2, p - n)) AS INTEGER) AS label, prompt_tokens
 FROM s"""
 
-_PT, _NT = _lexicon_sql(TITLE_BODY)
+# After both waves every non-liveblog article is labelled exactly once
+ORACLE["incremental_labelling"] = "WITH" + ARTICLES + f"""
+SELECT id, 'ok' AS status, CAST(2 + greatest(-2, least(2, {_P} - {_N})) AS INTEGER) AS label
+FROM articles WHERE (type IS NULL OR type <> 'liveblog') AND id IS NOT NULL"""
 
-ORACLE["polarity_eval"] = "WITH" + CONSENSUS + f""",
-d AS (SELECT a.id, CAST(trunc(c.label) AS INTEGER) AS y_true, {_PT} AS p, {_NT} AS n
+_PT, _NT = _lexicon_sql(PLAIN)
+POLARITY_CTES = CONSENSUS + f""",
+d AS (SELECT a.id, a.webTitle, CAST(trunc(c.label) AS INTEGER) AS y_true, {_PT} AS p, {_NT} AS n
       FROM articles a JOIN consensus c ON c.article_id = a.id WHERE a.type IS NULL OR a.type <> 'liveblog'),
-b AS (SELECT y_true, CASE WHEN p = n THEN 2
+b AS (SELECT id, webTitle, y_true, CASE WHEN p = n THEN 2
                           WHEN p > n THEN CASE WHEN p / (p + n) > 0.75 THEN 4 ELSE 3 END
-                          ELSE CASE WHEN n / (p + n) > 0.75 THEN 0 ELSE 1 END END AS y_pred FROM d)
+                          ELSE CASE WHEN n / (p + n) > 0.75 THEN 0 ELSE 1 END END AS y_pred FROM d)"""
+
+ORACLE["polarity_eval"] = "WITH" + POLARITY_CTES + """
 SELECT 'polarity' AS model, count(*) AS n, round(avg(CAST(y_true = y_pred AS DOUBLE)), 9) AS accuracy,
        round(avg(abs(y_true - y_pred)), 9) AS mae, count(*) FILTER (WHERE y_pred = -1) AS unparseable
 FROM b"""
 
+ORACLE["predictor_articles"] = "WITH" + POLARITY_CTES + PREDICTIONS[len(ARTICLES):] + """
+SELECT b.id, b.y_true, z.y_pred AS zero_shot, f.y_pred AS few_shot, CAST(b.y_pred AS INTEGER) AS polarity, md5(b.webTitle) AS title_md5
+FROM b JOIN predictions z ON z.article_id = b.id AND z.model = 'rater_b' JOIN predictions f ON f.article_id = b.id AND f.model = 'length'"""
+
 
 # ---------------------------------------------------------------- seeded md5 hash
 
@@ -652,10 +680,14 @@ def md5_hash(id_expr: str, seed: int = 42) -> str:
 
 
 ORACLE["hash_split_sizes"] = f"""
-WITH u AS (SELECT ({md5_hash('doc_id')} % 10000) / 10000.0 AS u FROM documents)
+WITH u AS (SELECT {md5_hash('doc_id')} / 4294967296.0 AS u FROM documents)
 SELECT CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'val' ELSE 'test' END AS split, count(*) AS n
 FROM u GROUP BY 1"""
 
+ORACLE["hash_split"] = f"""
+WITH u AS (SELECT doc_id, {md5_hash('doc_id')} / 4294967296.0 AS u FROM documents)
+SELECT doc_id AS id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'val' ELSE 'test' END AS split FROM u"""
+
 ORACLE["few_shot_examples"] = "WITH" + CONSENSUS + f""",
 d AS (SELECT a.id, CAST(trunc(c.label) AS INTEGER) AS label
       FROM articles a JOIN consensus c ON c.article_id = a.id WHERE a.type IS NULL OR a.type <> 'liveblog')
@@ -688,16 +720,57 @@ FROM preds GROUP BY mode"""
 
 ORACLE["prompting_eval"] = _prompting_eval_sql()
 
-ORACLE["stratified_split_sizes"] = "WITH" + CONSENSUS + f""",
+STRATIFIED = "WITH" + CONSENSUS + f""",
 d AS (SELECT article_id AS id, CAST(trunc(label) AS INTEGER) AS label, {md5_hash('article_id')} AS h FROM consensus),
-r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY h, id) - 1 AS rk,
+r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY h, id) - 1 AS rk,
              count(*) OVER (PARTITION BY label) AS n FROM d),
-t AS (SELECT label, rk, ceil(CAST(0.15 AS DOUBLE) * n) AS n_test, n FROM r),
-s AS (SELECT label, CASE WHEN rk < n_test THEN 'test'
+t AS (SELECT id, label, rk, ceil(CAST(0.15 AS DOUBLE) * n) AS n_test, n FROM r),
+s AS (SELECT id, label, CASE WHEN rk < n_test THEN 'test'
                          WHEN rk < n_test + ceil(CAST(0.1765 AS DOUBLE) * (n - n_test)) THEN 'val'
-                         ELSE 'train' END AS split FROM t)
+                         ELSE 'train' END AS split FROM t)"""
+
+ORACLE["stratified_split"] = STRATIFIED + """
+SELECT id, label, split FROM s"""
+
+ORACLE["stratified_split_sizes"] = STRATIFIED + """
 SELECT label, split, count(*) AS n FROM s GROUP BY label, split"""
 
+ORACLE["term_statistics"] = r"""
+WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{Nd}\p{Pc}]{2,}'))) AS term FROM documents),
+n AS (SELECT count(*) AS n FROM documents)
+SELECT term, count(*) AS df, round(ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1, 9) AS idf FROM t, n GROUP BY term"""
+
+ORACLE["consensus_unrounded"] = "WITH" + RATER_LABELS + """
+SELECT article_id, avg(label) AS label, count(label) AS n_raters FROM rater_labels WHERE label IS NOT NULL GROUP BY article_id"""
+
+ORACLE["argmax_classes"] = """
+WITH s AS (SELECT doc_id, [(doc_id * 3 + n_chars) % 7, (doc_id * 4 + n_chars) % 7, (doc_id * 5 + n_chars) % 7,
+                           (doc_id * 6 + n_chars) % 7, (doc_id * 7 + n_chars) % 7] AS s FROM documents),
+l AS (SELECT doc_id, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS label FROM s)
+SELECT doc_id, label, (['negative', 'leaning_negative', 'neutral', 'leaning_positive', 'positive'])[label + 1] AS ladder, label AS value FROM l"""
+
+ORACLE["scored_with_failures"] = """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN length(text) % 7 = 0 THEN 'failed' ELSE 'ok' END AS status,
+       CASE WHEN length(text) % 7 <> 0 THEN CAST(length(text) % 5 AS INTEGER) END AS label,
+       CASE WHEN length(text) % 7 = 0 THEN CAST(14 + 600 AS INTEGER) END AS error_chars
+FROM documents"""
+
+
+def _chat_prompts_sql():
+    from tidings.operators.scoring import EVAL_SYSTEM_PROMPT  # fixed prompt text
+    return "WITH" + CONSENSUS + f""",
+d AS (SELECT a.id, CAST(trunc(c.label) AS INTEGER) AS label, {TITLE_BODY} AS text
+      FROM articles a JOIN consensus c ON c.article_id = a.id WHERE a.type IS NULL OR a.type <> 'liveblog'),
+ex AS (SELECT label, arg_min(id, ({md5_hash('id')}, id)) AS id, arg_min(text, ({md5_hash('id')}, id)) AS text FROM d GROUP BY label),
+e AS (SELECT string_agg('user,assistant', ',') AS roles,
+             string_agg(md5('Article:' || chr(10) || text) || ',' || md5(CAST(label AS VARCHAR)), ',' ORDER BY label, text) AS hashes FROM ex)
+SELECT d.id, 'system,' || e.roles || ',user' AS roles,
+       md5({sql_literal(EVAL_SYSTEM_PROMPT)}) || ',' || e.hashes || ',' || md5('Article:' || chr(10) || d.text) AS content_md5
+FROM d, e WHERE d.id NOT IN (SELECT id FROM ex)"""
+
+
+ORACLE["chat_prompts"] = _chat_prompts_sql()
+
 ORACLE["run_record_roundtrip"] = "WITH" + PREDICTIONS + """,
 p AS (SELECT CASE WHEN model = 'rater_b' THEN 'zero_shot' ELSE 'few_shot' END AS mode, article_id, y_pred AS pred
       FROM predictions),
@@ -719,3 +792,8 @@ SELECT num_articles, CAST(coalesce(floor(m * num_articles), 0) AS BIGINT) AS est
        round(CAST(coalesce(floor(m * num_articles), 0) AS BIGINT) * (0.0025 / 1000)
              + num_articles * 30 * (0.010 / 1000), 9) AS estimated_total_cost
 FROM t, h"""
+
+ORACLE["nested_run_record"] = "WITH" + PREDICTIONS + """,
+r AS (SELECT *, 'stand-in@run-' || CAST(floor(CAST(regexp_extract(article_id, 'doc-([0-9]+)$', 1) AS BIGINT) / 500) AS BIGINT) AS run FROM predictions)
+SELECT r.run, CASE WHEN r.model = 'rater_b' THEN 'zero_shot' ELSE 'few_shot' END AS mode, r.article_id, r.y_pred AS pred, t.y_true AS label
+FROM r LEFT JOIN r t ON t.run = r.run AND t.article_id = r.article_id AND t.model = 'length'"""

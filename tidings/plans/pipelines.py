@@ -95,20 +95,23 @@ def labelling_run(articles: DataFrame, scorer_factory: Callable, previous: DataF
 
 def evaluate_prompting(dataset: DataFrame, scorer_factory: Callable, label_col: str = "label",
                        seed: int = learn.SEED, batch_size: int = scoring.BATCH_SIZE,
-                       hash_method: str = "xxhash64") -> tuple[DataFrame, DataFrame]:
+                       hash_method: str = "md5") -> tuple[DataFrame, DataFrame]:
     """Few-shot examples (W5) are drawn and excluded (J5); zero-shot
     and few-shot chat messages (P10, P11) are scored in one pass with ``mode``
-    as a column; answers parsed by first digit (P17). Returns
+    as a column, over one build of the dataset; what all rows of a mode have in
+    common (system prompt, examples) goes to the tasks once; answers parsed by first digit (P17). Returns
     ``(predictions(mode, id, y_true, y_pred), summary by mode)``."""
-    ex = learn.few_shot_examples(dataset, label_col, "id", seed, method=hash_method)
-    rest = profile.excluding(dataset, ex.select(F.col("id").alias("article_id")))
-    zero = rest.withColumn("mode", F.lit("zero_shot")).withColumn("messages", scoring.zero_shot_messages("text"))
-    few = scoring.few_shot_messages(rest, ex.select("text", label_col)).withColumn("mode", F.lit("few_shot"))
-    both = zero.unionByName(few.select(*zero.columns))
-    flat = both.withColumn("key", F.concat_ws("#", "mode", "id")) \
-        .withColumn("chat", F.array_join(F.transform("messages", lambda m: m["content"]), "\n"))
-    flat = flat.withColumn("y_true", F.col(label_col).cast("int"))
-    scored = scoring.score_texts(flat, scorer_factory, "key", "chat", batch_size, keep=["mode", "id", "y_true"])
+    picked = learn.few_shot_examples(dataset.select("id", label_col, *(["type"] if "type" in dataset.columns else [])), label_col, "id", seed, method=hash_method)
+    ids = [r["id"] for r in picked.select("id").collect()]  # one per class
+    examples = dataset.where(F.col("id").isin(ids)).select("id", F.col(label_col).cast("int").alias("k"), "text").collect() if ids else []
+    shots = "".join(f"{scoring.ARTICLE_HEAD}{r['text']}\n{r['k']}\n" for r in sorted(examples, key=lambda r: (r["k"], r["text"])))
+    system = scoring.EVAL_SYSTEM_PROMPT + "\n"
+    modes = F.array(F.lit("zero_shot"), F.lit("few_shot"))
+    rest = (dataset.where(~F.col("id").isin(ids)) if ids else dataset).select(
+        F.col("id"), F.col(label_col).cast("int").alias("y_true"), scoring.article_message("text").alias("message"), F.explode(modes).alias("mode"))
+    flat = rest.withColumn("key", F.concat_ws("#", "mode", "id"))
+    scored = scoring.score_texts(flat, scorer_factory, "key", "message", batch_size, keep=["mode", "id", "y_true"],
+                                 prefixes={"zero_shot": system, "few_shot": system + shots}, prefix_col="mode")
     preds = scored.select("mode", "id", "y_true", parse.parse_first_digit("raw_response").alias("y_pred"))
     return preds, metrics.evaluation_summary(preds, ["mode"])
 
@@ -136,7 +139,6 @@ def baseline_run(dataset: DataFrame, polarity_factory: Callable, label_col: str
     feats, model = learn.fit_logistic(train, label_col, max_iter=max_iter)
     lr = learn.predict(feats, model, test, label_col).select(F.lit("logistic_regression").alias("model"),
                                                             "id", "y_true", "y_pred")
-    pol = scoring.score_polarity(test, polarity_factory).join(
-        test.select(F.col("id").cast("string").alias("id"), F.col(label_col).cast("int").alias("y_true")), "id")
+    pol = scoring.score_polarity(test.withColumn("y_true", F.col(label_col).cast("int")), polarity_factory, keep=["y_true"])
     pol = pol.select(F.lit("polarity").alias("model"), "id", "y_true", F.col("label").alias("y_pred"))
     return metrics.evaluation_summary(lr.unionByName(pol))

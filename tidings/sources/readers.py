@@ -77,15 +77,20 @@ def _with_file(df: DataFrame) -> DataFrame:
 
 def read_article_snapshots(spark: SparkSession, paths, flat: bool = True, multiline: bool = True) -> DataFrame:
     """Many snapshot files -> one row per id; rows without an id are
-    skipped; the row from the latest file (modification time, then path) wins.
-    One partially-aggregated ``max_by`` - no sort, no window."""
+    skipped; the row from the latest file (modification time, then path) wins, of
+    several in one file the last one read.
+
+    The winner is picked on ids and one number per row: the file's rank, from
+    the list of files, and the row's position. Bodies come from a semi join with
+    the winners and are never sorted or aggregated."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = _with_file(spark.read.schema(ARTICLE).option("multiLine", multiline).json(paths))
-    df = df.where(F.col("id").isNotNull())
-    cols = [c for c in ARTICLE.fieldNames()]
-    latest = df.groupBy("id").agg(
-        F.max_by(F.struct(*cols), F.struct("src_mtime", "src_file")).alias("_a"))
-    out = latest.select("_a.*")
+    df = _with_file(spark.read.schema(ARTICLE).option("multiLine", multiline).json(paths)).where(F.col("id").isNotNull())
+    files = [r["src_file"] for r in df.select("src_file", "src_mtime").distinct().orderBy("src_mtime", "src_file").toLocalIterator()]
+    ranks = spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _rank long")
+    order = F.col("_rank").cast("decimal(18,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + F.monotonically_increasing_id()
+    ranked = df.join(ranks, F.col("src_file") == F.col("_file")).withColumn("_order", order.cast("decimal(38,0)"))
+    winners = ranked.groupBy(F.col("id").alias("_id")).agg(F.max("_order").alias("_last"))
+    out = ranked.join(winners, (F.col("id") == F.col("_id")) & (F.col("_order") == F.col("_last")), "left_semi").select(*ARTICLE.fieldNames())
     return flatten_articles(out) if flat else out
 
 
@@ -95,14 +100,16 @@ def latest_snapshot(spark: SparkSession, paths, flat: bool = True, multiline: bo
 
     ``unit="file"``: a snapshot is one file (the reference's JSON array per
     run). ``unit="dir"``: a snapshot is a folder of part files, as Spark
-    writes it; the folder holding the newest file wins. The choice is a
-    scalar subquery over file metadata; the rows are filtered in place."""
+    writes it; the folder holding the newest file wins. The choice is made on
+    the list of files, without opening one; only the chosen snapshot is parsed."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = _with_file(spark.read.schema(ARTICLE).option("multiLine", multiline).json(paths))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "modificationTime")
+    listed = listed.where(~F.col("path").rlike("/[._][^/]*$"))
     if unit == "dir":
-        df = df.withColumn("src_file", F.regexp_replace("src_file", "/[^/]*$", ""))
-    newest = df.agg(F.max_by("src_file", F.struct("src_mtime", "src_file"))).scalar()
-    out = df.where(F.col("src_file") == newest).drop("src_file", "src_mtime")
+        listed = listed.withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+    newest = listed.agg(F.max(F.struct("modificationTime", "path")).alias("m")).first()["m"]
+    chosen = spark.read.schema(ARTICLE).option("multiLine", multiline)
+    out = chosen.json(newest["path"]) if newest is not None else spark.createDataFrame([], ARTICLE)
     return flatten_articles(out) if flat else out
 
 
@@ -140,10 +147,10 @@ def read_label_lines(spark: SparkSession, path, rater: str | None = None) -> Dat
                      F.col("_metadata.file_name").alias("src_file"), F.lit(0).alias("pos"))
 
 
-def read_prediction_run(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    """A run record -> ``(predictions(run, mode, article_id, pred),
-    truth(run, article_id, label))``."""
-    df = spark.read.schema(PREDICTION_RUN).option("multiLine", True).json(path) \
+def read_prediction_run(spark: SparkSession, path, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Run records -> ``(predictions(run, mode, article_id, pred),
+    truth(run, article_id, label))``. ``multiline=False``: one record a line."""
+    df = spark.read.schema(PREDICTION_RUN).option("multiLine", multiline).json(path) \
         .withColumn("run", F.concat_ws("@", "model", "timestamp"))
     modes = [F.struct(F.lit(m).alias("mode"), F.col(f"{m}.predictions").alias("p")) for m in ("zero_shot", "few_shot")]
     preds = (df.select("run", F.explode(F.array(*modes)).alias("x"))
@@ -166,16 +173,28 @@ def read_prices(spark: SparkSession, path, symbol: str | None = None,
 
 
 def assemble_pages(pages: DataFrame, max_articles: int | None = None) -> DataFrame:
-    """Paged search responses in page order; stop at the first page that
-    failed, is not ``ok`` or has no results; cap at ``max_articles``.
+    """Paged search responses in page order, from page 1. Collection stops
+    at the first page that failed, is not ``ok``, has no results or never landed,
+    and after the last page that the first one announces
+    (``response.pages``); ``max_articles`` caps it (a top-k).
 
     ``pages``: ``(page, response struct)`` as read with :data:`SEARCH_PAGE`.
-    Output: flat article rows with ``page``, ``pos``.
+    Output: flat article rows with ``page``, ``pos``. A page that landed twice counts once
+    for the stop rules.
     """
     bad = F.col("response").isNull() | ~F.col("response.status").eqNullSafe("ok") | \
         (F.coalesce(F.size("response.results"), F.lit(0)) <= 0)
-    first_bad = pages.agg(F.min(F.when(bad, F.col("page")))).scalar()  # scalar subquery
-    ok = pages.where(first_bad.isNull() | (F.col("page") < first_bad))
+    narrow = pages.select("page", bad.alias("bad"), F.col("response.pages").alias("announced"))
+    # bounded: one row of three numbers; a page is missing where fewer pages than its number have landed
+    seen = narrow.where("page >= 1").groupBy("page").agg(F.max("bad").alias("bad"), F.max("announced").alias("announced"))
+    after = seen.select((F.col("page") + 1).alias("page")).join(seen, "page", "left_anti")  # numbers that follow a landed page but didn't land
+    stop = seen.agg(F.min(F.when(F.col("bad"), F.col("page"))).alias("bad"), F.min("page").alias("first"),
+                    F.max(F.when(F.col("page") == 1, F.col("announced"))).alias("announced")).first()
+    missing = after.agg(F.min("page")).first()[0]
+    ends = [x for x in (stop["bad"], missing, None if stop["announced"] is None else stop["announced"] + 1) if x is not None]
+    if stop["first"] != 1:
+        ends = [1]  # nothing landed, or the first page is missing
+    ok = pages.where((F.col("page") >= 1) & (F.col("page") < min(ends)))
     rows = ok.select("page", F.posexplode("response.results").alias("pos", "a")).select("page", "pos", "a.*")
     rows = flatten_articles(rows)
     if max_articles is not None:
@@ -227,8 +246,10 @@ def read_label_map_lines(spark: SparkSession, path, rater: str | None = None) ->
     line by line, so a big file is split across tasks instead of being parsed
     whole by one. Each entry line is parsed as a one-entry JSON object (string
     escapes handled by ``from_json``); a repeated key keeps its last
-    occurrence (positions increase with the file offset). Other layouts:
-    :func:`read_label_map`."""
+    occurrence (positions increase with the file offset).
+
+    As with :func:`read_label_map`, a file that holds anything else (another layout, a value
+    that is no number) yields no rows; :func:`label_map_line_errors` names it."""
     raw = spark.read.text(path).select(
         "value", F.col("_metadata.file_name").alias("src_file"),
         F.monotonically_increasing_id().alias("pos"))
@@ -237,7 +258,16 @@ def read_label_map_lines(spark: SparkSession, path, rater: str | None = None) ->
         F.from_json(F.concat(F.lit("{"), F.regexp_extract("value", _ENTRY_LINE, 1), F.lit(":"),
                              F.regexp_extract("value", _ENTRY_LINE, 2), F.lit("}")),
                     "map<string,double>").alias("m"))
+    entries = entries.join(label_map_line_errors(spark, path), "src_file", "left_anti")
     rows = entries.select("src_file", "pos", F.explode("m").alias("article_id", "label"))
     rows = rows.groupBy("src_file", "article_id").agg(F.max_by("label", "pos").alias("label"),
                                                       F.max("pos").alias("pos"))
     return rows.select("article_id", F.lit(rater).cast("string").alias("rater"), "label", "src_file", "pos")
+
+
+def label_map_line_errors(spark: SparkSession, path) -> DataFrame:
+    """Files that :func:`read_label_map_lines` cannot read: ``src_file`` and the
+    number of lines that are neither an entry, a brace nor blank."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("src_file"))
+    fine = F.col("value").rlike(_ENTRY_LINE) | F.col("value").rlike(r"^\s*[{}]?\s*$") | F.col("value").rlike(r"^\s*\{\s*\}\s*$")
+    return raw.where(~fine).groupBy("src_file").agg(F.count("*").alias("bad_lines"))
