@@ -126,8 +126,8 @@ def _narrow(tokens: DataFrame, percent: int) -> DataFrame:
     partner: enough of their tokens occur in another row. ``hits`` keeps such
     tokens, now with ``df``."""
     flat = tokens.select("cid", "n", F.explode("hits").alias("x")).select("cid", "n", "x.token", "x.pos")
-    shared = stage(flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token-df")
-    hits = flat.join(small(shared, BROADCAST_TOKENS), "token").groupBy("cid").agg(
+    shared = flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    hits = flat.join(shared, "token").groupBy("cid").agg(
         F.first("n").alias("n"), F.count("*").alias("s"), F.array_sort(F.collect_list(F.struct("df", "token", "pos"))).alias("hits"))
     return stage(hits.where(F.col("s") * 100 >= F.col("n") * percent), "near")
 
@@ -154,7 +154,6 @@ def _enough(percent: int, a: str = "a", b: str = "b") -> Column:
 
 def _links(near: DataFrame, percent: int) -> DataFrame:
     """``node``, ``component`` for classes with a link to another one."""
-    spark = near.sparkSession
     p = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     tokens = lambda hits: F.transform(hits, lambda h: h["token"])
     near = stage(near.select(
@@ -166,22 +165,12 @@ def _links(near: DataFrame, percent: int) -> DataFrame:
         (F.aggregate("hits", F.lit(0).cast("long"), lambda x, h: x + h["df"]) / F.col("n")).alias("hub")), "join-sets")
     posts = near.select("cid", "n", "s", "hub", F.explode("head_c").alias("token"))
     member = F.struct("cid", "n", "s")
-    found = spark.createDataFrame([], "a long, b long")
-    part = None
-    for order in (F.col("hub"), F.xxhash64("cid")):
-        rows = posts.select("token", order.alias("key"), *([] if part is None else ["cid"]), member.alias("m"))
-        if part is not None:  # only lists in which there is more than one component left
-            rows = _with_component(rows, part)
-        hubs = rows.groupBy("token").agg(F.max(F.struct("key", "m")).alias("h"), *(
-            [] if part is None else [F.min("component").alias("c1"), F.max("component").alias("c2")]))
-        if part is not None:
-            hubs = hubs.where("c1 <> c2")
-        stars = rows.join(hubs.select("token", F.col("h.m").alias("h")), "token").where(F.col("m.cid") != F.col("h.cid")).select(
-            F.least("m.cid", "h.cid").alias("a"), F.greatest("m.cid", "h.cid").alias("b"),
-            F.col("m.n").alias("n_a"), F.col("m.s").alias("s_a"), F.col("h.n").alias("n_b"), F.col("h.s").alias("s_b"))
-        links = stage(_verified(stars.where(_enough(percent)).select("a", "b").distinct(), near, percent), "links")
-        found = found.unionByName(links)
-        part = stage(components(found), "parts")
+    hubs = posts.groupBy("token").agg(F.max(F.struct("hub", member.alias("m"))).alias("h"))
+    stars = posts.select("token", member.alias("m")).join(hubs.select("token", F.col("h.m").alias("h")), "token").where(F.col("m.cid") != F.col("h.cid"))
+    stars = stars.select(F.least("m.cid", "h.cid").alias("a"), F.greatest("m.cid", "h.cid").alias("b"),
+                         F.col("m.n").alias("n_a"), F.col("m.s").alias("s_a"), F.col("h.n").alias("n_b"), F.col("h.s").alias("s_b"))
+    found = stage(_verified(stars.where(_enough(percent)).select("a", "b").distinct(), near, percent), "links")
+    part = components(found)
     # pairs of different components: a list's members outside its largest one against all
     rows = _with_component(posts.select("token", "cid"), part)
     inside = rows.groupBy("token", "component").count()
