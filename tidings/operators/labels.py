@@ -18,7 +18,9 @@ from tidings.functions.parse import LABEL_NAMES
 def merge_label_files(batches: DataFrame, id_col: str = "article_id", label_col: str = "label",
                       file_col: str = "src_file", pos_col: str = "pos") -> DataFrame:
     """U4: union of label batches; per id the label of the last file in name
-    order wins (then the last position inside that file). One aggregation."""
+    order wins (then the last position inside that file). One sort-based
+    aggregation, since its key holds the file's name; what is sorted is id,
+    label, file and position, never a text."""
     return batches.groupBy(id_col).agg(
         F.max_by(F.col(label_col), F.struct(F.col(file_col), F.col(pos_col))).alias(label_col))
 
@@ -89,22 +91,17 @@ def label_distribution(labels: DataFrame, label_col: str = "label", group_cols:
 
     A class counts rows whose label equals it exactly (a .5 label is in the
     denominator but in no class, like the reference). Empty input -> 0 %.
-    The class grid is the per-group total row exploded over the 5 classes.
+    One aggregate counts all rows and the five classes; its row per group is
+    then unfolded into a row per class.
     """
     group_cols = group_cols or []
     lab = F.col(label_col)
-    counted = (labels.where(lab == F.floor(lab))
-               .groupBy(*group_cols, lab.cast("int").alias("label"))
-               .agg(F.count(F.lit(1)).alias("n")))
-    totals = labels.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("total"))
-    # one row per (group, class): explode a literal 0-4 array, no join needed
-    grid = totals.select(*group_cols, "total",
-                         F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("label"))
-    grid = grid.withColumn("name", F.element_at(F.array(*[F.lit(n) for n in LABEL_NAMES]), F.col("label") + 1))
-    out = grid.join(counted, group_cols + ["label"], "left")
-    n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
-    return out.select(*group_cols, "label", "name", n.alias("count"),
-                      F.coalesce(F.try_divide(n * 100.0, F.col("total")), F.lit(0.0)).alias("pct"))
+    counts = labels.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("total"), *[F.count_if(lab == i).alias(f"n{i}") for i in range(len(LABEL_NAMES))])
+    rows = [F.struct(F.lit(i).alias("label"), F.lit(name).alias("name"), F.col(f"n{i}").alias("count"),
+                     F.coalesce(F.try_divide(F.col(f"n{i}") * 100.0, F.col("total")), F.lit(0.0)).alias("pct"))
+            for i, name in enumerate(LABEL_NAMES)]
+    return counts.select(*group_cols, F.inline(F.array(*rows)))
 
 
 def overlap_sets(left: DataFrame, right: DataFrame, id_col: str = "article_id") -> DataFrame:

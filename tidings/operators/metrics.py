@@ -55,25 +55,19 @@ def confusion_counts(preds: DataFrame, group_cols=("model",), y_true="y_true", y
         F.count(F.lit(1)).alias("n"))
 
 
-def _grid(keys: DataFrame, group_cols, classes, names=("y_true", "y_pred")) -> DataFrame:
-    arr = F.array(*[F.lit(c) for c in classes])
-    g = keys.select(*group_cols, F.explode(arr).alias(names[0]))
-    if len(names) > 1:
-        g = g.select(*group_cols, names[0], F.explode(arr).alias(names[1]))
-    return g
-
-
 def confusion_matrix(preds: DataFrame, group_cols=("model",), classes=CLASSES,
                      y_true="y_true", y_pred="y_pred") -> DataFrame:
     """Full ``len(classes)``^2 grid per group with zero fill; pairs with a
-    value outside ``classes`` are left out."""
+    value outside ``classes`` are left out. The groups come from the same count
+    table as the cells: the predictions are read once."""
     group_cols = list(group_cols)
-    cc = confusion_counts(preds, group_cols, y_true, y_pred)
-    cc = cc.where(F.col("y_true").isin(classes) & F.col("y_pred").isin(classes))
-    keys = preds.select(*group_cols).distinct()
-    grid = _grid(keys, group_cols, classes)
-    out = grid.join(cc, group_cols + ["y_true", "y_pred"], "left")
-    return out.select(*group_cols, "y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    cells = [(t, p) for t in classes for p in classes]
+    n = confusion_counts(preds, group_cols, y_true, y_pred)
+    wide = n.groupBy(*group_cols).agg(*[
+        F.coalesce(F.sum(F.when((F.col("y_true") == t) & (F.col("y_pred") == p), F.col("n"))), F.lit(0)).cast("long").alias(f"_{k}")
+        for k, (t, p) in enumerate(cells)])
+    rows = [F.struct(F.lit(t).alias("y_true"), F.lit(p).alias("y_pred"), F.col(f"_{k}").alias("n")) for k, (t, p) in enumerate(cells)]
+    return wide.select(*group_cols, F.inline(F.array(*rows)))
 
 
 def classification_report(preds: DataFrame, group_cols=("model",), classes=None,

@@ -211,16 +211,16 @@ def range_kpis(daily: DataFrame, start=None, end=None, series_cols=None) -> Data
 
 
 def default_range_kpis(daily: DataFrame, default_days: int = 30, series_cols=None) -> DataFrame:
-    """E3 core: KPIs over the default range ``[max(min, max-30d), max]`` in one
-    pass over the daily rows: the per-series first/last day come from a window
-    partitioned by series over *daily* rows (one row per series and day, so a
-    task holds at most one series' days; with a single series that is one
-    small task), then a filter and one aggregate."""
+    """E3 core: KPIs over the default range ``[max(min, max-30d), max]``: the
+    range is one aggregate per series, joined to the daily rows (a single
+    series: as two values)."""
     keys = _keys(series_cols)
-    w = Window.partitionBy(*keys)
-    d = (daily.withColumn("range_end", F.max("date").over(w))
-              .withColumn("range_start", F.greatest(F.min("date").over(w),
-                                                    F.date_sub(F.col("range_end"), default_days))))
+    rng = data_range(daily, default_days, series_cols).select(
+        *keys, F.col("default_start").alias("range_start"), F.col("max_date").alias("range_end"))
+    if keys:
+        d = daily.join(rng, keys)
+    else:
+        d = daily.withColumns({c: rng.select(c).scalar() for c in ("range_start", "range_end")})
     d = d.where(F.col("date").between(F.col("range_start"), F.col("range_end")))
     return d.groupBy(*keys, "range_start", "range_end").agg(
         F.avg("sentiment").alias("mean_sentiment"), F.min("sentiment").alias("min_sentiment"),

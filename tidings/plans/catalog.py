@@ -541,7 +541,7 @@ def price_csv_roundtrip(spark, sf_dir):
                    F.col("close").alias("Close"), F.col("symbol").alias("Symbol"))
     csv.write.mode("overwrite").option("header", True).csv(f"{root}/csv")
     back = RD.read_prices(spark, f"{root}/csv")
-    return rounded(S.daily_returns(back))
+    return rounded(S.daily_returns(S.daily_close(back)))
 
 
 @register("article_arrays")

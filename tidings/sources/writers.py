@@ -28,11 +28,18 @@ def write_series_csv(combined: DataFrame, path: str) -> None:
     combined.orderBy("series", "date").write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Predictions that one nested run record may hold.
+RUN_RECORD_ROWS = 100_000
+
+
 def run_record(preds: DataFrame, truth: DataFrame, model: str, timestamp: str, batch_size: int) -> DataFrame:
     """K4: ``{model, timestamp, batch_size, <mode>{accuracy, predictions},
-    ground_truth}`` as one row. Maps are built with ``map_from_entries`` over
-    ``collect_list``: meant for evaluation runs of bounded size; the long
-    ``preds`` table is the at-scale form."""
+    ground_truth}`` as one row, for runs of at most ``RUN_RECORD_ROWS`` predictions
+    (larger ones raise: :func:`write_run_long` writes them without gathering a run
+    into one row)."""
+    n = preds.count()
+    if n > RUN_RECORD_ROWS:
+        raise ValueError(f"{n} predictions are too many for one record; use write_run_long")
     j = preds.join(truth.select("article_id", F.col("label").alias("_y")), "article_id", "inner")
     per_mode = j.groupBy("mode").agg(
         F.avg((F.col("pred") == F.col("_y")).cast("double")).alias("accuracy"),
