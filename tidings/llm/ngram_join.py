@@ -47,8 +47,6 @@ from tidings.session import stage
 SHINGLE, PERCENT = 4, 85
 #: Tokens a head is longer than one common token needs, as a share of the set: 1 / SLACK.
 SLACK = 20
-#: Token sets up to this size (16 bytes a row) are broadcast, larger ones joined by shuffle.
-BROADCAST_TOKENS = 1_000_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -206,7 +204,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     heads = classes.select("cid", "n", F.explode("head").alias("token"))
     shared = stage(heads.groupBy("token").count().where("count > 1").select("token"), "head-tokens")
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / F.lit(100)) / SLACK))
-    kept = heads.join(small(shared, BROADCAST_TOKENS), "token").groupBy("cid").agg(F.first("n").alias("n"), F.count("*").alias("s")).where(F.col("s") >= need)
+    kept = heads.join(small(shared), "token").groupBy("cid").agg(F.first("n").alias("n"), F.count("*").alias("s")).where(F.col("s") >= need)
     reps = stage(kept.select("cid").join(classes.select("cid", "rep"), "cid").select("cid", F.col("rep.doc_id").alias("_id"), F.col("rep.text_md5").alias("_md5")), "candidates")
     again = keyed.join(small(reps), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["text_md5"] == F.col("_md5")))
     tokens = _all_tokens(again, shingle).dropDuplicates(["cid"])
