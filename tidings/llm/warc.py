@@ -103,6 +103,9 @@ def stored_members(read_at: ReadAt, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - 65_557)
     tail = read_at(tail_at, size - tail_at)
     k = tail.rfind(b"PK\x05\x06")
+    # the record's comment reaches to the end of the file; a look-alike inside a comment doesn't
+    while k >= 0 and (k + 22 > len(tail) or k + 22 + int.from_bytes(tail[k + 20:k + 22], "little") != len(tail)):
+        k = tail.rfind(b"PK\x05\x06", 0, k)
     if k < 0:
         raise ValueError("no end-of-central-directory record")
     count, length, start = struct.unpack("<HLL", tail[k + 10:k + 20])
