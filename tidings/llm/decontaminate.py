@@ -25,8 +25,8 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,84 +198,108 @@ def _slices(items: DataFrame, item_id: str, text: str, slice_words: int) -> Iter
     yield part
 
 
-def _scanner(shared):
-    @F.pandas_udf(FOUND)
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        automaton, rows = SuffixAutomaton.of(shared.value), []
-        for t in texts:
-            ws = words(t) if t else []
-            spans, hits = automaton.matches(ws)
-            rows.append((len(ws), spans, sorted(automaton.ids[i] for i in hits)))
-        return pd.DataFrame(rows, columns=FOUND.names)
+def unite(found: list[list[int]]) -> list[list[int]]:
+    """Spans as disjoint ones in order; those that touch become one."""
+    out: list[list[int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
 
-    return scan
+def cut(text: str | None, spans: list[list[int]]) -> str | None:
+    """The text without the words of the spans and what stands between them."""
+    if text is None or not spans:
+        return text
+    at = [m.span() for m in WORD.finditer(text)]
+    kept, last = [], 0
+    for a, b in spans:
+        kept.append(text[last:at[a][0]])
+        last = at[b - 1][1]
+    return "".join(kept) + text[last:]
+
+
+def _scanner(shared, text: int, width: int, again: bool, change: str):
+    """A pass over record batches whose first ``width`` columns are the input's.
+    ``again``: matches of earlier slices follow them, to be united with; ``change``:
+    what becomes of the text (``keep``, ``cut``, ``drop``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = SuffixAutomaton.of(shared.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                b = batch.slice(start, 256)
+                texts = b.column(text).to_pylist()
+                counts, spans, ids = [], [], []
+                for t in texts:
+                    ws = words(t) if t else []
+                    hits, found = automaton.matches(ws)
+                    counts.append(len(ws))
+                    spans.append([list(x) for x in hits])
+                    ids.append(sorted(automaton.ids[i] for i in found))
+                if again:
+                    spans = [unite([*x, *y]) for x, y in zip(b.column(width + 1).to_pylist(), spans, strict=True)]
+                    ids = [sorted({*x, *y}) for x, y in zip(b.column(width + 2).to_pylist(), ids, strict=True)]
+                columns = list(b.columns[:width])
+                names = [f"c{k}" for k in range(width)]
+                if change == "cut" and any(spans):
+                    columns[text] = pa.array([cut(t, x) for t, x in zip(texts, spans, strict=True)], columns[text].type)
+                elif change == "drop":
+                    del columns[text], names[text]
+                columns += [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(ids, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, *FOUND.names])
+
+    return run
+
+
+def _scan(docs: DataFrame, items: DataFrame, text: str, change: str, item_id: str, item_text: str, window: int, slice_words: int) -> DataFrame:
+    """One pass for each slice of the items; columns ``c0``, ``c1`` ... and those of ``FOUND``."""
+    sc, at, width = docs.sparkSession.sparkContext, docs.columns.index(text), len(docs.columns)
+    out = docs.toDF(*[f"c{k}" for k in range(width)])
+    fields, again = out.schema.fields, False
+    parts = _slices(items, item_id, item_text, slice_words)
+    part = next(parts)
+    while part is not None:
+        following = next(parts, None)
+        shared = sc.broadcast(vars(SuffixAutomaton(part, window)))
+        last = change if following is None else "keep"
+        kept = [f for k, f in enumerate(fields) if last != "drop" or k != at]
+        out = out.mapInArrow(_scanner(shared, at, width, again, last), T.StructType(kept + FOUND.fields))
+        part, again = following, True
+    return out
 
 
 def find_matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-                 window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
+                 window: int = WINDOW, slice_words: int = SLICE_WORDS, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``n_words``, ``spans`` (disjoint [start, end) in words, in
     order) and ``item_ids`` (found, sorted as strings)."""
-    sc = docs.sparkSession.sparkContext
-    out = docs.drop("n_words", "spans", "item_ids")
-    found = []
-    for part in _slices(items, item_id, item_text, slice_words):
-        shared = sc.broadcast(vars(SuffixAutomaton(part, window)))
-        found.append(f"_found{len(found)}")
-        out = out.withColumn(found[-1], _scanner(shared)(text))
-    if len(found) == 1:
-        spans, ids = F.col(found[0])["spans"], F.col(found[0])["item_ids"]
-    else:
-        spans = F.pandas_udf(unite, FOUND["spans"].dataType)(F.flatten(F.array(*[F.col(c)["spans"] for c in found])))
-        ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(c)["item_ids"] for c in found]))))
-    return out.withColumns({"n_words": F.col(found[0])["n_words"], "spans": spans, "item_ids": ids}).drop(*found)
+    out = _scan(docs, items, text, "keep" if keep_text else "drop", item_id, item_text, window, slice_words)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in FOUND.names and (keep_text or c != text)], *FOUND.names)
 
 
-def unite(spans: pd.Series) -> pd.Series:
-    """Spans as disjoint ones in order; those that touch become one."""
-    def one(found):
-        out: list[list[int]] = []
-        for a, b in sorted((int(a), int(b)) for a, b in found):
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], b)
-            else:
-                out.append([a, b])
-        return out
-    return spans.map(one)
+def n_hit() -> Column:
+    """Words in the spans."""
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + F.element_at(s, 2) - F.element_at(s, 1))
 
 
-def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """The text without the words of the spans and what stands between them."""
-    def one(t, found):
-        if t is None or not len(found):
-            return t
-        at = [m.span() for m in WORD.finditer(t)]
-        kept, last = [], 0
-        for a, b in found:
-            kept.append(t[last:at[a][0]])
-            last = at[b - 1][1]
-        return "".join(kept) + t[last:]
-    return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: float = MAX_COVERAGE, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", max_coverage: float = MAX_COVERAGE, item_id: str = "item_id",
+                  item_text: str = "text", window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
     """The documents with matched spans cut out of their text, without those of
     which more than ``max_coverage`` of the words is matched. Adds ``n_hit``,
     the number of words cut; untouched documents keep their text as it is."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + F.element_at(s, 2) - F.element_at(s, 1))
-    found = find_matches(rows, items, "_text", **options).withColumn("n_hit", n_hit).where(F.col("n_hit") <= F.col("n_words") * max_coverage)
-    hit = F.when(F.col("n_hit") > 0, F.col("_text"))  # only texts with matches go to Python again
-    found = found.withColumn("_text", F.coalesce(F.pandas_udf(cut, "string")(hit, F.col("spans")), F.col("_text")))
-    return found.select(*[F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns if c != "n_hit"], "n_hit")
+    out = _scan(docs, items, text, "cut", item_id, item_text, window, slice_words).withColumn("n_hit", n_hit())
+    out = out.where(F.col("n_hit") <= F.col("n_words") * max_coverage)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c != "n_hit"], "n_hit")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_matches(docs, table(spark, sf_dir, "benchmark")).drop("text")
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + F.element_at(s, 2) - F.element_at(s, 1))
+    found = find_matches(docs, table(spark, sf_dir, "benchmark"), keep_text=False).withColumn("n_hit", n_hit())
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("spans").cast("string").alias("spans"))
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.col("spans").cast("string").alias("spans"))
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
