@@ -1,14 +1,12 @@
 """Decontamination, secrets and n-gram join against brute force."""
 
-import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
-
 from tidings.llm import credentials, decontaminate, ngram_join
 from tidings.llm.graph import components
 
@@ -192,7 +190,11 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)}
 
 
-def test_hash_is_of_the_whole_shingle():
-    h = ngram_join.Memo(lambda w: int.from_bytes(hashlib.md5(w).digest()[:8], "little"))
-    a, b = (ngram_join.shingle_tokens(t, 4, h) for t in ("a b c d e", "b a c d e"))
-    assert len(a) == len(b) == 2 and not set(a.tolist()) & set(b.tolist()) and F is not None
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "B", "ab", "É", "é", "aaaa", "x" * 70]), max_size=12), min_size=2, max_size=2), st.integers(1, 5))
+def test_hashes_of_shingles_are_equal_where_the_shingles_are(texts, k):
+    shingles = ngram_join.Shingles(k)
+    a, b = ("\t ".join(t) for t in texts)
+    x, y = shingles.tokens(a), shingles.tokens(b)
+    assert len(x) == len(_sets(a, k)) and (np.diff(x.astype(float)) >= 0).all()
+    assert len(set(x.tolist()) & set(y.tolist())) == len(_sets(a, k) & _sets(b, k))

@@ -34,12 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.llm.common import small, table
-from tidings.llm.features import Memo
 from tidings.llm.graph import components
 from tidings.session import stage
 
@@ -48,28 +46,58 @@ SHINGLE, PERCENT = 4, 85
 #: Tokens a head is longer than one common token needs, as a share of the set: 1 / SLACK.
 SLACK = 20
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingle_tokens(text: str | None, k: int, word_hash: dict) -> np.ndarray:
-    """Distinct hashes of the text's shingles of ``k`` words, in ascending order."""
-    ws = text.encode().translate(_LOWER).split() if text else []
-    n = len(ws)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(word_hash.__getitem__, ws), np.uint64, n)
-    k = min(k, n)
-    out = h[:n - k + 1].copy()
-    for i in range(1, k):
-        out = out * _ODD + h[i:n - k + 1 + i]
-    out += np.uint64(k)  # a short text isn't the shingle of a longer one
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(29)
-    out *= _ODD
-    out ^= out >> np.uint64(32)
-    return np.unique(out)
+#: A random number for every byte, capitals as small letters.
+_BYTE = np.random.default_rng(20).integers(1, 1 << 64, 256, np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= _ODD
+    h ^= h >> np.uint64(32)
+    return h
+
+
+class Shingles:
+    """Distinct 64-bit hashes of a text's shingles of ``k`` words, in ascending
+    order. Words are hashed for all bytes at once: a sum over the word of the byte's random number
+    times a power of the position, mixed."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.power = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> np.ndarray:
+        if len(self.power) < n:
+            steps = np.full(max(64, 2 * n), _ODD)
+            steps[0] = 1
+            self.power = np.cumprod(steps)
+        return self.power
+
+    def tokens(self, text: str | None) -> np.ndarray:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        word = ~_BLANK[raw]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]])))
+        n = len(edges) // 2
+        if not n:
+            return np.empty(0, np.uint64)
+        lengths = edges[1::2] - edges[::2]
+        first = np.cumsum(lengths) - lengths
+        at = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+        h = _mixed(np.add.reduceat(_BYTE[raw[word]] * self._powers(int(lengths.max()))[at], first))
+        k = min(self.k, n)
+        out = h[:n - k + 1].copy()
+        for i in range(1, k):
+            out *= _ODD
+            out += h[i:n - k + 1 + i]
+        out = _mixed(out + np.uint64(k))  # a short text isn't the shingle of a longer one
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def _need(n, percent: int):
@@ -94,9 +122,9 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``doc_id``, ``text_md5``, ``n_shingles``, ``digest`` of the set, and its head under order A."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash = Memo(xxhash.xxh64_intdigest)
+        shingles = Shingles(k)
         for b in _parts(batches):
-            sets = [shingle_tokens(t, k, word_hash) for t in b.column("text").to_pylist()]
+            sets = [shingles.tokens(t) for t in b.column("text").to_pylist()]
             heads = [s[:len(s) - _need(len(s), percent) + max(1, len(s) // SLACK)] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("text_md5"), pa.array([len(s) for s in sets], pa.int64()),
@@ -111,9 +139,9 @@ def _all_tokens(docs: DataFrame, k: int) -> DataFrame:
     """``cid``, ``n`` and all tokens in order of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash = Memo(xxhash.xxh64_intdigest)
+        shingles = Shingles(k)
         for b in _parts(batches):
-            sets = [shingle_tokens(t, k, word_hash) for t in b.column("text").to_pylist()]
+            sets = [shingles.tokens(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["cid", "n", "tokens"])
 
     return docs.select("cid", "text").mapInArrow(run, "cid long, n long, tokens array<long>")
@@ -122,12 +150,15 @@ def _all_tokens(docs: DataFrame, k: int) -> DataFrame:
 def _narrow(tokens: DataFrame, percent: int) -> DataFrame:
     """Of rows (``cid``, ``n``, ``hits`` array of (``token``, ``pos``)) those that can have a
     partner: enough of their tokens occur in another row. ``hits`` keeps such
-    tokens, now with ``df``."""
-    flat = tokens.select("cid", "n", F.explode("hits").alias("x")).select("cid", "n", "x.token", "x.pos")
+    tokens, now in order of document frequency ``df``."""
+    flat = tokens.select("cid", F.explode("hits").alias("x")).select("cid", "x.token", "x.pos")
     shared = flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # two lists of longs, filled row by row alike, take less than half the room of a list of structs
     hits = flat.join(shared, "token").groupBy("cid").agg(
-        F.first("n").alias("n"), F.count("*").alias("s"), F.array_sort(F.collect_list(F.struct("df", "token", "pos"))).alias("hits"))
-    return stage(hits.where(F.col("s") * 100 >= F.col("n") * percent), "near")
+        F.collect_list("token").alias("t"), F.collect_list(F.col("df") * (1 << 32) + F.col("pos")).alias("m"))
+    hits = hits.join(tokens.select("cid", "n"), "cid").withColumn("s", F.size("t")).where(F.col("s") * 100 >= F.col("n") * percent)
+    mark = lambda t, m: F.struct(F.shiftright(m, 32).alias("df"), t.alias("token"), m.bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+    return stage(hits.select("cid", "n", "s", F.array_sort(F.zip_with("t", "m", mark)).alias("hits")), "near")
 
 
 def _similar(percent: int) -> Column:
@@ -201,13 +232,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         F.min(F.struct("doc_id", "text_md5")).alias("rep"))
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     # order A
-    heads = classes.select("cid", "n", F.explode("head").alias("token"))
+    heads = classes.select("cid", F.explode("head").alias("token"))
     shared = stage(heads.groupBy("token").count().where("count > 1").select("token"), "head-tokens")
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / F.lit(100)) / SLACK))
-    kept = heads.join(small(shared), "token").groupBy("cid").agg(F.first("n").alias("n"), F.count("*").alias("s")).where(F.col("s") >= need)
-    reps = stage(kept.select("cid").join(classes.select("cid", "rep"), "cid").select("cid", F.col("rep.doc_id").alias("_id"), F.col("rep.text_md5").alias("_md5")), "candidates")
+    kept = heads.join(small(shared), "token").groupBy("cid").agg(F.count("*").alias("s"))
+    reps = stage(kept.join(classes.select("cid", "n", "rep"), "cid").where(F.col("s") >= need).select("cid", F.col("rep.doc_id").alias("_id"), F.col("rep.text_md5").alias("_md5")), "candidates")
     again = keyed.join(small(reps), keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["text_md5"] == F.col("_md5")))
-    tokens = _all_tokens(again, shingle).dropDuplicates(["cid"])
+    tokens = stage(_all_tokens(again, shingle), "tokens")
+    if tokens.count() > reps.count():  # rows repeated with id and text
+        tokens = tokens.dropDuplicates(["cid"])
     near = _narrow(_narrow(tokens.select("cid", "n", F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("pos"))).alias("hits")), percent), percent)
     # components: of classes, then named by the smallest id
     parts = stage(classes.select("cid", "digest", "first_id", "rows").join(_links(near, percent), F.col("cid") == F.col("node"), "left"), "class-parts")
@@ -220,12 +253,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near duplicates (the one with the smallest
-    id), and every document that is linked with nothing."""
+    id), and every document that is linked with nothing. A group in which no
+    document has an id keeps one document of each text."""
     found = stage(near_duplicates(docs, shingle, percent).where("n_shingles > 0"), "near-duplicates")
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("k"))
-    kept = kept.where("component_id IS NOT NULL")
-    gone = found.join(kept.select(F.col("component_id").alias("_c"), "k"), F.col("component_id") == F.col("_c")).where(
-        ~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_md5") == F.col("k.text_md5"))))
+    kept = found.where("component_id IS NOT NULL").groupBy("component_id").agg(
+        F.count("*").alias("rows"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("k")).where("rows > 1")
+    kept = stage(kept.select(F.col("component_id").alias("_c"), F.col("k.doc_id").alias("_id"), F.col("k.text_md5").alias("_md5")), "kept")
+    gone = found.join(small(kept), F.col("component_id") == F.col("_c")).where(
+        ~(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_md5") == F.col("_md5")))).drop("_id", "_md5")
     gone = stage(gone.select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct(), "gone")
     md5 = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
     out = docs.withColumn("_text", md5)
