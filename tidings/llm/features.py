@@ -95,13 +95,6 @@ class Sparse:
     def t_dot(self, v: np.ndarray) -> np.ndarray:
         return np.bincount(self.flat, v[self.rows], self.width)
 
-    def unique(self) -> Sparse:
-        """Each feature of a row once."""
-        out = object.__new__(Sparse)
-        code = np.unique(self.rows.astype(np.int64) * self.width + self.flat)
-        out.rows, out.flat, out.n, out.width = code // self.width, code % self.width, self.n, self.width
-        return out
-
 
 def joined_lists(table: pa.Table) -> pa.ListArray:
     ids = table.column("ids").combine_chunks()

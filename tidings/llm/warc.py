@@ -157,7 +157,8 @@ def write_archives(pages: DataFrame, root: str, archive_bytes: int = ARCHIVE_BYT
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = pafs.FileSystem.from_uri(root)
         store.create_dir(folder, recursive=True)
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        parts = (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64))
+        rows = (r for b in parts for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         part, k = TaskContext.get().partitionId(), 0
         row = next(rows, None)
         while row is not None:
