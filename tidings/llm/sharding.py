@@ -30,7 +30,7 @@ SHARDS = 8
 #: Groups over 1/PIECES of all bytes are packed alone, the rest in PIECES bundles: at most twice as many items to pack.
 PIECES = 32768
 #: Rows numbered together within a shard.
-SLOT_ROWS = 50_000
+SLOT_ROWS = 10_000
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
