@@ -220,7 +220,8 @@ def default_range_kpis(daily: DataFrame, default_days: int = 30, series_cols=Non
     if keys:
         d = daily.join(rng, keys)
     else:
-        d = daily.withColumns({c: rng.select(c).scalar() for c in ("range_start", "range_end")})
+        one = daily.withColumn("_range", rng.select(F.struct("range_start", "range_end")).scalar())
+        d = one.select(*daily.columns, "_range.range_start", "_range.range_end")
     d = d.where(F.col("date").between(F.col("range_start"), F.col("range_end")))
     return d.groupBy(*keys, "range_start", "range_end").agg(
         F.avg("sentiment").alias("mean_sentiment"), F.min("sentiment").alias("min_sentiment"),
