@@ -47,6 +47,23 @@ def test_snapshots_latest_file_wins(spark, tmpdir_path):
     assert [r.id for r in latest.collect()] == ["a/1"]
 
 
+def test_snapshots_lose_no_article_when_joins_are_planned_differently(spark, tmpdir_path):
+    """Narrow rows and rows with bodies differ enough in size for AQE to change the join of one only."""
+    for k in range(6):
+        spark.range(400 * (k % 3), 400 * (k % 3) + 800).select(
+            F.concat(F.lit("a/"), F.col("id")).alias("id"), F.lit(f"run {k}").alias("webTitle"),
+            F.struct(F.repeat(F.sha2(F.col("id").cast("string"), 256), 40).alias("bodyText")).alias("fields")) \
+            .repartition(3).write.json(os.path.join(tmpdir_path, f"snap_{k}"))
+        when = time.time() - 1000 + 100 * k
+        for f in os.listdir(os.path.join(tmpdir_path, f"snap_{k}")):
+            os.utime(os.path.join(tmpdir_path, f"snap_{k}", f), (when, when))
+    got = RD.read_article_snapshots(spark, [os.path.join(tmpdir_path, f"snap_{k}") for k in range(6)], multiline=False).collect()
+    # runs 3, 4 and 5 hold the ids from 0, 400 and 800, so each id's last run is known
+    want = {f"a/{i}": f"run {3 if i < 400 else 4 if i < 800 else 5}" for i in range(1600)}
+    assert len(got) == 1600 and {r.id: r.webTitle for r in got} == want
+    assert all(len(r.bodyText) == 2560 for r in got)
+
+
 def test_label_map_duplicate_key_and_errors(spark, tmpdir_path):
     d = os.path.join(tmpdir_path, "labels")
     os.makedirs(d)
