@@ -7,20 +7,20 @@ reported. Weak candidates are parts of a credential that mean nothing alone:
 * ``weak_secret``: a mixed run of letters and digits of 16 characters or more,
 * ``endpoint``: a URL or ``host=...``.
 
-Parts are intervals of the text. An interval join links a weak secret to the
-nearest identifier (weak or access id) and to the nearest endpoint that lie in
-its scope: the same paragraph (no blank line in between) and at most ``SCOPE``
-characters away. A weak secret is reported with the parts it is linked to when
-at least an identifier is among them; a weak identifier next to an endpoint is
-reported only together with a secret, weak or strong, in their scope.
-
-The join is a bisection over the sorted intervals of one text, so it costs
-n log n in the number of parts and makes no pairs; texts are scanned whole, a
-record batch at a time, without a shuffle.
-
-Edge cases: a null or empty text has no spans; candidates that touch or overlap
-a base span of the same kind of part are not reported again; of two parts at the
-same distance the one before wins; repeated rows are scanned like others.
+Parts are intervals of the text. An interval join links a secret (weak, or a
+strong one that is assigned or a long hex run) to every identifier (weak or
+access id) and every endpoint that lie in its scope: the same paragraph (no blank
+line in between) and at most ``SCOPE`` characters away. A weak secret is reported
+when at least one identifier is in its scope, a weak identifier when a secret is,
+and an endpoint when a secret is that has an identifier in its own scope.
+
+The join is a bisection over the sorted intervals of one text: what lies in a
+secret's scope is one range of them, and a sweep over the ranges' ends marks the
+parts. It costs n log n in the number of parts and makes no pairs; texts are
+scanned whole, a record batch at a time, without a shuffle.
+
+Edge cases: a null or empty text has no spans; candidates that overlap a base
+span are not reported again; repeated rows are scanned like others.
 Columns named as those added here are replaced.
 """
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +59,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _mixed(s: str) -> bool:
-    return any(c.isdigit() for c in s) and any(c.isupper() for c in s) and any(c.islower() for c in s)
+    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
 
 class _Parts:
@@ -67,14 +68,21 @@ class _Parts:
     def __init__(self, spans: list[Span]):
         self.spans = sorted(spans, key=lambda s: (s[1], s[2]))
         self.starts = [s[1] for s in self.spans]
+        self.ends = [s[2] for s in self.spans]
+        self.edges = [0] * (len(spans) + 1)
 
-    def nearest(self, a: int, b: int, low: int, high: int) -> Span | None:
-        """The interval nearest to [a, b) that lies in [low, high) within SCOPE."""
-        k = bisect_left(self.starts, a)
-        near = [s for s in self.spans[max(0, k - 1):k + 2] if (s[1], s[2]) != (a, b) and low <= s[1] and s[2] <= high]
-        gap = lambda s: max(a - s[2], s[1] - b, 0)
-        near = [s for s in near if gap(s) <= SCOPE]
-        return min(near, key=gap, default=None)
+    def scope(self, a: int, b: int, low: int, high: int) -> tuple[int, int]:
+        """The range of the intervals that lie in [low, high) within SCOPE of [a, b)."""
+        return (max(bisect_left(self.starts, low), bisect_left(self.ends, a - SCOPE)),
+                min(bisect_right(self.ends, high), bisect_right(self.starts, b + SCOPE)))
+
+    def mark(self, first: int, stop: int) -> None:
+        if first < stop:
+            self.edges[first] += 1
+            self.edges[stop] -= 1
+
+    def marked(self) -> list[Span]:
+        return [s for s, n in zip(self.spans, accumulate(self.edges)) if n]
 
 
 class _Covered:
@@ -109,18 +117,19 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     breaks = [(m.start(), m.end()) for m in PARAGRAPH.finditer(text)]
     after = [e for _, e in breaks]
     before = [s for s, _ in breaks]
-    out: set[Span] = set()
+    out: list[Span] = []
     for kind, a, b in weak + [s for s in base if s[0] in ("assign", "hex")]:
         k = bisect_right(after, a)
         low = after[k - 1] if k else 0
         j = bisect_left(before, b)
         high = before[j] if j < len(before) else len(text)
-        who = ids_all.nearest(a, b, low, high)
-        if who is None:
+        first, stop = ids_all.scope(a, b, low, high)
+        if first >= stop:
             continue
-        where = endpoints.nearest(a, b, low, high)
-        out |= {s for s in (who, where, (kind, a, b)) if s is not None}
-    return sorted((s for s in out if s[0] not in BASE), key=lambda s: (s[1], s[0]))
+        ids_all.mark(first, stop)
+        endpoints.mark(*endpoints.scope(a, b, low, high))
+        out.append((kind, a, b))
+    return sorted((s for s in out + ids_all.marked() + endpoints.marked() if s[0] not in BASE), key=lambda s: (s[1], s[0]))
 
 
 FOUND = T.StructType([
