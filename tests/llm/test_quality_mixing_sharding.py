@@ -167,3 +167,31 @@ def test_fixed_capacity(spark):
     rows = [(i, "abcdefgh"[i] * n, "s") for i, n in enumerate([59, 49, 39, 39, 29, 19, 9, 9])]
     out = sharding.shard(_docs(spark, rows), shards=None, capacity=100).groupBy("shard").agg(F.sum("size").alias("n")).collect()
     assert sorted(r.n for r in out)[-2:] == [100, 100] and len(out) == 3
+
+
+@pytest.mark.parametrize("per_range", [512, 4])
+def test_fixed_capacity_of_many_small_groups(spark, monkeypatch, per_range):
+    """20 shards' worth of groups far below the capacity, some of them repeated, and one group above it."""
+    monkeypatch.setattr(sharding, "PIECES", 8)
+    monkeypatch.setattr(sharding, "RANGE", per_range, raising=False)
+    rows = [(i, f"t{i // 2 if i % 10 == 1 else i}" + "x" * (i % 7), "s") for i in range(2200)] + [(5000, "y" * 1500, "s"), (5001, None, "s")]
+    out = sharding.shard(_docs(spark, rows), shards=None, capacity=1000).collect()
+    load, where = Counter(), defaultdict(set)
+    for r in out:
+        load[r.shard] += r["size"]
+        where[r.text].add(r.shard)
+    assert sorted(r.doc_id for r in out) == sorted(i for i, _, _ in rows)
+    assert all(len(s) == 1 for s in where.values()) and set(load) == set(range(len(load)))
+    over = [s for s, n in load.items() if n > 1000]
+    assert over == list(where["y" * 1500]) and load[over[0]] == 1501
+    least = -(-(sum(load.values()) - 1501) // 1000) + 1
+    assert len(load) <= least + (2 if per_range == 512 else 8)
+
+
+def test_a_bundle_over_its_share_is_taken_apart(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PARTS", 1)  # bundles as large as a shard
+    rows = [(i, f"t{i}" + "x" * 20, "s") for i in range(300)]
+    load = Counter()
+    for r in sharding.shard(_docs(spark, rows), shards=None, capacity=200).collect():
+        load[r.shard] += r["size"]
+    assert max(load.values()) <= 200 and sum(load.values()) == sum(len(t) + 1 for _, t, _ in rows)

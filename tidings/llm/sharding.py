@@ -3,11 +3,15 @@
 Documents of equal text form a group that is never split. Groups, largest
 first, go to the fullest shard that still has room for them; the shards' room
 is kept in a sorted list that is searched by bisection. With a given capacity
-this opens as few shards as it can; with a given number of shards the capacity
+this opens a shard only for what fits no other; with a given number of shards the capacity
 is the smallest tried for which that many suffice.
 
-What is packed is bounded: groups larger than 1/``PIECES`` of all bytes (fewer than ``PIECES``) by
-themselves, all others in ``PIECES`` bundles chosen by the hash of their text.
+What is packed is bounded. For a number of shards: groups larger than 1/``PIECES`` of all bytes
+(fewer than ``PIECES``) by themselves, all others in ``PIECES`` bundles chosen by the hash of their
+text. For a capacity: groups larger than 1/``PARTS`` of it by themselves, all others in bundles of
+about that size, in independent hash ranges of about ``RANGE`` shards each, one task a range (Python);
+each range may leave one more shard partly empty than packing all at once would. A bundle over
+1/8 of the capacity is taken apart, so only a group larger than the capacity exceeds it.
 A bundle is a set of whole groups, so groups stay whole.
 
 Edge cases: a null text has 0 bytes, is not equal to an empty one and has crc32
@@ -19,7 +23,9 @@ Columns named as those added here are replaced.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +35,8 @@ from tidings.session import stage
 SHARDS = 8
 #: Groups over 1/PIECES of all bytes are packed alone, the rest in PIECES bundles: at most twice as many items to pack.
 PIECES = 32768
+#: With a capacity: groups over 1/PARTS of it are packed alone, and about RANGE shards by one task, so about 2 * PARTS * RANGE items at most.
+PARTS, RANGE = 64, 512
 #: Rows numbered together within a shard.
 SLOT_ROWS = 10_000
 
@@ -92,12 +100,14 @@ def _items(sized: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 def assign(sized: DataFrame, shards: int | None = SHARDS, capacity: int | None = None) -> DataFrame:
     """``sized`` (with ``_group`` and ``size``) with ``shard``: a fixed number of
-    ``shards``, or as few shards of ``capacity`` bytes as best fit decreasing needs."""
+    ``shards``, or the shards of ``capacity`` bytes that best fit decreasing opens."""
+    if capacity:
+        return _assign_capacity(sized, capacity)
     spark = sized.sparkSession
     groups, items, _ = _items(sized)
     packed = sorted(((r["bytes"], r["item"]) for r in items.collect()), key=lambda x: (-x[0], x[1]))  # bounded: see PIECES
     sizes = [n for n, _ in packed]
-    bins = best_fit_decreasing(sizes, capacity) if capacity else pack_into(sizes, shards or 1)
+    bins = pack_into(sizes, shards or 1)
     where = spark.createDataFrame([(i, b) for (_, i), b in zip(packed, bins, strict=True)], "_item string, shard int")
     large = F.broadcast(where.where("_item LIKE 'g%'").select(F.expr("substr(_item, 2)").alias("_large"), F.col("shard").alias("_alone")))
     bundles = F.broadcast(where.where("_item LIKE 'b%'").select(F.expr("cast(substr(_item, 2) as long)").alias("_b"), F.col("shard").alias("_with")))
@@ -106,6 +116,34 @@ def assign(sized: DataFrame, shards: int | None = SHARDS, capacity: int | None =
     return out.withColumn("shard", F.coalesce("_alone", "_with")).drop("_large", "_alone", "_b", "_with")
 
 
+def _assign_capacity(sized: DataFrame, capacity: int) -> DataFrame:
+    """``sized`` with ``shard``, in shards of ``capacity`` bytes."""
+    spark = sized.sparkSession
+    groups = stage(sized.groupBy("_group").agg(F.sum("size").alias("bytes")), "groups")
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    ranges = total // (RANGE * capacity) or 1
+    each = -(-total * PARTS // (capacity * ranges)) or 1  # bundles in a range
+    bundle = F.pmod(F.xxhash64("_group"), F.lit(ranges * each))
+    large = F.col("bytes") * PARTS > capacity
+    together = F.sum(F.when(~large, F.col("bytes"))).over(Window.partitionBy("_b"))
+    groups = groups.withColumn("_b", bundle).withColumn("_large", F.when(large | (together * 8 > capacity), F.col("_group")))
+    items = groups.groupBy("_b", "_large").agg(F.sum("bytes").alias("bytes")).withColumn("_range", F.floor(F.col("_b") / each))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["bytes", "_b", "_large"], ascending=[False, True, True], kind="stable")
+        return part[["_range", "_b", "_large"]].assign(bin=best_fit_decreasing(part["bytes"].tolist(), capacity))
+
+    packed = stage(items.groupBy("_range").applyInPandas(pack, "_range long, _b long, _large string, bin long"), "packed")
+    opened = packed.groupBy("_range").agg((F.max("bin") + 1).alias("n")).orderBy("_range").collect()  # one row a range
+    before = accumulate((r["n"] for r in opened), initial=0)
+    first = spark.createDataFrame([(r["_range"], n) for r, n in zip(opened, before)], "_range long, _first long")
+    where = packed.join(F.broadcast(first), "_range").withColumn("shard", (F.col("_first") + F.col("bin")).cast("int"))
+    alone = small(where.where("_large IS NOT NULL").select("_large", F.col("shard").alias("_alone")))
+    bundles = small(where.where("_large IS NULL").select("_b", F.col("shard").alias("_with")))
+    out = sized.drop("shard").withColumn("_b", bundle).join(alone, F.col("_group") == F.col("_large"), "left").join(bundles, "_b", "left")
+    return out.withColumn("shard", F.coalesce("_alone", "_with")).drop("_b", "_large", "_alone", "_with")
+
+
 def with_slots(placed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``slot``: position in the shard, gapless from 0. Rows are numbered in
     buckets of a shard of about ``SLOT_ROWS`` rows, each bucket from the number
