@@ -201,3 +201,14 @@ def test_ordinal_thresholds_rise_and_order_the_grades():
     assert w[1] < w.get(2, 0) < w[3]
     s = np.array([sum(w.get(i, 0) for i in x) for x in ids.to_pylist()])
     assert ((ordinal_quality.probabilities(s, model["cuts"]) > 0.5).sum(1) == grades).all()
+
+
+def test_toxicity_sample_has_one_row_an_id(spark, monkeypatch):
+    taken = []
+    extract = toxicity.X.extract
+    monkeypatch.setattr(toxicity.X, "extract", lambda df, *a: taken.append(extract(df, *a)) or taken[-1])
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in range(40) for k in range(30 if i % 4 == 0 else 1)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, labelled=6, unlabelled=5)
+    ids = taken[0].column("doc_id").to_pylist()
+    assert len(ids) == len(set(ids)) == 11

@@ -15,7 +15,8 @@ scored whole, by tasks, without a shuffle.
 Edge cases: without labelled rows, or with one class only, every text gets the
 smoothed share of positives; a null or empty text gets the classifier's score of
 no words; several labels of one id count as toxic if one of them is; rows with
-null id or label teach nothing; repeated rows are scored alike.
+null id or label teach nothing; of several rows of one id that with the smallest
+text teaches; repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -102,9 +103,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     gold = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & X.in_training(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("toxic"))
     chosen = X.sample_ids(gold, labelled)
-    others = X.sample_ids(docs.select("doc_id").where(X.in_training(F.col("doc_id"))).join(gold, "doc_id", "left_anti"), unlabelled)
+    others = X.sample_ids(docs.select("doc_id").where(X.in_training(F.col("doc_id"))).join(gold, "doc_id", "left_anti").distinct(), unlabelled)
     ids = chosen.unionByName(others.withColumn("toxic", F.lit(-1)))
-    sample = X.extract(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), text_features, ["doc_id", "toxic"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = X.extract(rows, text_features, ["doc_id", "toxic"])
     sample = sample.sort_by([("doc_id", "ascending")])
     known = sample.column("toxic").to_numpy()
     lists = X.joined_lists(sample)
