@@ -61,6 +61,16 @@ def test_spans_cuts_and_edge_cases(spark, slice_words):
     assert clean[7].text == "alpha beta gamma delta epsilon zeta eta theta iota"
 
 
+def test_one_automaton_a_task_however_many_slices(spark):
+    ws = PASSAGE.split()
+    items = spark.createDataFrame([(i, " ".join(ws[i:i + 2])) for i in range(0, 12, 3)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, PASSAGE), (2, "nothing here"), (2, "nothing here")], "doc_id long, text string")
+    out = decontaminate.find_matches(docs, items, slice_words=2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = sorted((r.doc_id, r.spans, r.item_ids) for r in out.collect())
+    assert got == [(1, [[0, 2], [3, 5], [6, 8], [9, 11]], ["0", "3", "6", "9"]), (2, [], []), (2, [], [])]
+
+
 def test_no_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")

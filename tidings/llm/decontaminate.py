@@ -8,9 +8,10 @@ documents of which too large a share is matched are removed.
 
 Items are read in slices of at most ``SLICE_WORDS`` words; each slice is one
 automaton sent to the executors, and with more than one slice the documents
-are streamed once per slice and what they found is united by document, so the
-size of an automaton does not grow with the benchmark. Documents are handled a
-record batch at a time without any shuffle.
+are streamed once per slice and what they found is united by document. After each
+slice but the last the documents are staged with what was found, so that a task
+and the driver hold one automaton at a time; at most two staged copies exist.
+Documents are handled a record batch at a time without any shuffle.
 
 Edge cases: a null or empty text has no words and no match; an item without
 words matches nothing; items of equal text all count; an item without id (null)
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidings.llm.common import table
+from tidings.session import release_previous, stage
 
 WINDOW = 10
 #: Words of the items in one automaton (about 1 KB of memory a word).
@@ -267,6 +269,11 @@ def _scan(docs: DataFrame, items: DataFrame, text: str, change: str, item_id: st
         last = change if following is None else "keep"
         kept = [f for k, f in enumerate(fields) if last != "drop" or k != at]
         out = out.mapInArrow(_scanner(shared, at, width, again, last), T.StructType(kept + FOUND.fields))
+        if following is not None:
+            out = stage(out, "found-spans")
+            shared.destroy()
+            if again:
+                release_previous(docs.sparkSession)
         part, again = following, True
     return out
 
