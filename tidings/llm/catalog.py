@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidings.llm import credentials, decontaminate, mixing, ngram_join, ordinal_quality, preferences, quality_rules, sharding, toxicity, warc
+from tidings.llm import byte_bpe, credentials, decontaminate, mixing, ngram_join, ordinal_quality, preferences, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_ordinal_quality": ordinal_quality.op9_ordinal_quality,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
 }
 
 ORACLE = {
