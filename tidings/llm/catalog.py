@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidings.llm import byte_bpe, credentials, decontaminate, mixing, ngram_join, ordinal_quality, preferences, quality_rules, sharding, toxicity, warc
+from tidings.llm import byte_bpe, credentials, decontaminate, mixing, ngram_join, ordinal_quality, preferences, quality_rules, ranked_search, sharding, source_divergence, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_ordinal_quality": ordinal_quality.op9_ordinal_quality,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_byte_bpe": byte_bpe.op11_byte_bpe,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_source_divergence": source_divergence.op13_source_divergence,
 }
 
 ORACLE = {
@@ -25,4 +27,6 @@ ORACLE = {
     "op4_preferences": preferences.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op12_ranked_search": ranked_search.ORACLE,
+    "op13_source_divergence": source_divergence.ORACLE,
 }
