@@ -1,13 +1,15 @@
 """Operator 11: byte-level BPE encoding and decoding by a shuffle of distinct words.
 
 Encoding takes three steps. Tasks split their texts into pre-tokens; each
-record-batch-sized block of texts numbers its distinct pre-tokens in order of
+block of texts numbers its distinct pre-tokens in order of
 first appearance and keeps every text as the sequence of those numbers (the
 positions). The (block, number, word) rows are shuffled by word and sorted, so
 that equal words of the whole corpus meet in one place: each is merged by rank
 once, and its ids go back to all blocks that asked. Last, blocks meet their
 ids, and every text is reassembled by position. A word of every text travels
 once per block, not once per occurrence, so frequent words make no large group.
+The positions are staged as a table in buckets of the block (its name is in the
+session's catalog until the session ends), so that they are never shuffled.
 
 Decoding joins the token-byte table to the ids. The table is as long as the
 vocabulary, however long the corpus is; it is sent to the tasks and an
@@ -27,6 +29,8 @@ without some single byte is refused.
 from __future__ import annotations
 
 import base64
+import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -42,10 +46,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidings.llm.common import table
-from tidings.session import stage
+from tidings.session import checkpoint_root
 
 #: UTF-8 bytes of text after which a block ends.
 BLOCK_BYTES = 32 << 20
+#: Positions that are unpacked at a time.
+PIECE = 1 << 19
 #: Words that a task gathers before it sends their ids to the blocks.
 CHUNK_WORDS = 1 << 18
 
@@ -96,69 +102,92 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """First-appearance numbers as compressed bytes: 0 for a new number, else the number plus one."""
-    latest = np.maximum.accumulate(numbers.astype(np.int64)) if len(numbers) else numbers
-    new = np.empty(len(numbers), bool)
-    new[:1] = True
-    new[1:] = latest[1:] > latest[:-1]
-    codes = np.where(new, 0, numbers + 1).astype("<u4")
-    return pa.compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes(), _CODEC, asbytes=True)
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2^32 as compressed bytes, the lowest byte of all first."""
+    return pa.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), _CODEC, asbytes=True)
 
 
-def unpack(blob: bytes, n: int) -> np.ndarray:
-    codes = np.frombuffer(pa.decompress(blob, 4 * n, _CODEC, asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
-    return np.where(codes == 0, np.cumsum(codes == 0) - 1, codes.astype(np.int64) - 1)
+def unsqueeze(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, 4 * n, _CODEC, asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
 
 
-def _blocks(docs: DataFrame, text: str, pattern: str, block_bytes: int) -> DataFrame:
-    """Each text as a row (block, seq, row, n) of ``n`` pre-tokens, and each block
-    as a row (block, words, blob) of its distinct pre-tokens and all positions."""
+def pack(numbers: np.ndarray, known: int = 0) -> bytes:
+    """First-appearance numbers, of which those below ``known`` have appeared before,
+    squeezed with 0 for a new number, else the number plus one."""
+    latest = np.maximum.accumulate(np.r_[known - 1, numbers.astype(np.int64)])
+    return squeeze(np.where(latest[1:] > latest[:-1], 0, numbers + 1))
+
+
+def unpack(blob: bytes, n: int, known: int = 0) -> np.ndarray:
+    codes = unsqueeze(blob, n)
+    return np.where(codes == 0, np.cumsum(codes == 0, dtype=np.uint32) + np.uint32(known), codes) - np.uint32(1)
+
+
+def _stage_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` written below the shared folder as a table in buckets of ``key``, so that grouping by it needs no shuffle."""
+    spark = df.sparkSession
+    path = checkpoint_root(spark, name)
+    known = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    df.write.format("parquet").option("path", path).option("compression", _CODEC).bucketBy(buckets, key).saveAsTable(known)
+    return spark.table(known)
+
+
+def _blocks(docs: DataFrame, text: str, pattern: str, block_bytes: int, piece: int) -> DataFrame:
+    """Each text is a row (block, seq, row, n) of ``n`` pre-tokens. Their positions
+    follow for several texts at a time as (block, seq of the first, n, blob); a
+    block's distinct pre-tokens, in order of number, are a row (block, words)."""
     others = [c for c in docs.columns if c not in (text, "ids")]
     kept = docs.select(F.struct(*others, F.lit(0).alias("_none")).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("row", kept.schema["row"].dataType), T.StructField("n", T.LongType()),
-        T.StructField("words", T.ArrayType(T.StringType())), T.StructField("blob", T.BinaryType())])
+        T.StructField("blob", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern).findall
         block = TaskContext.get().partitionId() << 32
         number: dict[str, int] = defaultdict(count().__next__)
         flats: list[np.ndarray] = []
-        seq = size = 0
+        seq = first = known = waiting = size = 0
 
-        def close(kind: pa.DataType) -> pa.RecordBatch:
-            flat = np.concatenate([np.empty(0, np.uint32), *flats])
+        def row(n: int, at: list, rows: pa.Array, many: list, blob: bytes | None, words: list[str] | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
-                pa.array([block], pa.int64()), pa.array([None], pa.int32()), pa.nulls(1, kind), pa.array([len(flat)], pa.int64()),
-                pa.array([list(number)], pa.list_(pa.string())), pa.array([pack(flat)], pa.binary())], schema.names)
+                pa.array(np.full(n, block), pa.int64()), pa.array(at, pa.int32()), rows, pa.array(many, pa.int64()),
+                pa.array([blob] * n, pa.binary()), pa.array([words] * n, pa.list_(pa.string()))], schema.names)
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
                 texts = part.column(1).to_pylist()
                 found = [np.fromiter(map(number.__getitem__, split(t)), np.uint32) for t in texts]
                 flats += found
-                n = len(texts)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, block), pa.int64()), pa.array(np.arange(seq, seq + n), pa.int32()), part.column(0), pa.array(list(map(len, found)), pa.int64()),
-                    pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.binary())], schema.names)
+                n, none = len(texts), pa.nulls(1, part.column(0).type)
+                many = list(map(len, found))
+                yield row(n, list(range(seq, seq + n)), part.column(0), many, None, None)
                 seq += n
+                waiting += sum(many)
                 size += sum(map(len, texts))
-                if size >= block_bytes:
-                    yield close(part.column(0).type)
-                    block, seq, size = block + 1, 0, 0
+                if waiting >= piece or size >= block_bytes:
+                    yield row(1, [first], none, [waiting], pack(np.concatenate(flats), known), None)
                     flats.clear()
+                    first, known, waiting = seq, len(number), 0
+                if size >= block_bytes:
+                    yield row(1, [None], none, [None], None, list(number))
                     number = defaultdict(count().__next__)
+                    block += 1
+                    seq = first = known = size = 0
+        if flats:
+            yield row(1, [first], none, [waiting], pack(np.concatenate(flats), known), None)
         if seq:
-            yield close(part.column(0).type)
+            yield row(1, [None], none, [None], None, list(number))
 
-    return stage(kept.mapInArrow(run, schema), "pre-tokens")
+    return _stage_bucketed(kept.mapInArrow(run, schema), "pre-tokens", "block")
 
 
 def _word_ids(words: DataFrame, ranks) -> DataFrame:
-    """(block, places, sizes, ids) from rows (block, place, word) in which equal
-    words follow each other: each distinct word is encoded once."""
+    """(block, n, places, sizes, ids), squeezed, from rows (block, place, word) in which
+    equal words follow each other: each distinct word is encoded once. Places
+    ascend and are kept as steps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, last, ids = ranks.value, None, []
@@ -167,19 +196,21 @@ def _word_ids(words: DataFrame, ranks) -> DataFrame:
         found: list[list[int]] = []
 
         def send() -> pa.RecordBatch:
-            by = np.concatenate(blocks)
-            order = np.argsort(by, kind="stable")
-            by, place = by[order], np.concatenate(places)[order]
+            by, place = np.concatenate(blocks), np.concatenate(places)
+            order = np.lexsort((place, by))
+            by, place = by[order], place[order]
             lists = [found[k] for k in order]
-            sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
             at = np.flatnonzero(np.r_[True, by[1:] != by[:-1], True])
             ends = np.r_[0, np.cumsum(sizes)]
             blocks.clear(), places.clear(), found.clear()
+            spans = list(zip(at[:-1], at[1:]))
             return pa.RecordBatch.from_arrays([
-                pa.array(by[at[:-1]]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(place, pa.int32())),
-                pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sizes, pa.int32())),
-                pa.ListArray.from_arrays(pa.array(ends[at], pa.int32()), pa.array(flat, pa.int32()))], ["block", "places", "sizes", "ids"])
+                pa.array(by[at[:-1]]), pa.array([b - a for a, b in spans], pa.int64()),
+                pa.array([squeeze(np.diff(place[a:b], prepend=0)) for a, b in spans], pa.binary()),
+                pa.array([squeeze(sizes[a:b]) for a, b in spans], pa.binary()),
+                pa.array([squeeze(flat[ends[a]:ends[b]]) for a, b in spans], pa.binary())], ["block", "n", "places", "sizes", "ids"])
 
         for b in batches:
             blocks.append(b.column(0).to_numpy(zero_copy_only=False))
@@ -193,43 +224,49 @@ def _word_ids(words: DataFrame, ranks) -> DataFrame:
         if found:
             yield send()
 
-    return words.mapInArrow(run, "block long, places array<int>, sizes array<int>, ids array<int>")
+    return words.mapInArrow(run, "block long, n long, places binary, sizes binary, ids binary")
 
 
-def _flat(column: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([np.empty(0, np.int32), *(c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks)])
+def _answers(right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of a block's words one after another, and by number of the word where they start and how many they are."""
+    places, sizes, ids = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)], [np.empty(0, np.int32)]
+    for a in right.to_pylist():
+        places.append(np.cumsum(unsqueeze(a["places"], a["n"])))
+        sizes.append(unsqueeze(a["sizes"], a["n"]))
+        ids.append(unsqueeze(a["ids"], int(sizes[-1].sum())).astype(np.int32))
+    place, many = np.concatenate(places).astype(np.int64), np.concatenate(sizes).astype(np.int64)
+    start, size = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
+    start[place], size[place] = np.cumsum(many) - many, many
+    return np.concatenate(ids), start, size
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> DataFrame:
     """``docs`` with ``ids`` (array of int) in place of the text. ``vocabulary``: a
     file that :func:`read_ranks` reads; ``pattern``: what splits texts into pre-tokens."""
-    blocks = _blocks(docs, text, pattern, block_bytes)
+    blocks = _blocks(docs, text, pattern, block_bytes, piece)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     words = blocks.where("words IS NOT NULL").select("block", F.posexplode("words").alias("place", "word"))
     answers = _word_ids(words.repartition("word").sortWithinPartitions("word"), ranks)
-    texts = blocks.select("block", "seq", "row", "n", "blob")
+    texts = blocks.where("words IS NULL").select("block", "seq", "row", "n", "blob")
     schema = T.StructType([texts.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        place, sizes, flat = (_flat(right.column(c)) for c in ("places", "sizes", "ids"))
-        starts = np.empty(len(place), np.int64)
-        starts[place] = np.cumsum(sizes) - sizes
-        size = np.empty(len(place), np.int64)
-        size[place] = sizes
-        rows = left.filter(pc.is_valid(left.column("seq"))).sort_by("seq")
-        whole = left.filter(pc.is_null(left.column("seq")))
-        n = rows.column("n").to_numpy()
-        numbers = unpack(whole.column("blob")[0].as_py(), int(n.sum()))
-        lists, at = [np.empty(0, np.int32)], 0
-        for k in n:
-            take = numbers[at:at + k]
-            at += k
-            many = size[take]
-            ends = np.cumsum(many)
-            lists.append(flat[np.repeat(starts[take] - ends + many, many) + np.arange(ends[-1] if k else 0)])
-        offsets = np.cumsum(list(map(len, lists)))
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
-        return pa.table([rows.column("row"), ids], schema.names)
+        flat, start, size = _answers(right)
+        is_text = pc.is_null(left.column("blob"))
+        rows = left.filter(is_text).sort_by("seq").combine_chunks()
+        pieces = left.filter(pc.invert(is_text)).sort_by("seq")
+        firsts = pieces.column("seq").to_pylist()
+        many, known, out = rows.column("n").to_numpy(), 0, []
+        for a, b, n, blob in zip(firsts, [*firsts[1:], len(rows)], pieces.column("n").to_pylist(), pieces.column("blob"), strict=True):
+            numbers = unpack(blob.as_py(), n, known)
+            known = max(known, int(numbers.max()) + 1) if n else known
+            tokens = size[numbers]
+            ends = np.r_[0, np.cumsum(tokens)]
+            ids = flat[np.repeat(start[numbers] - ends[:-1], tokens) + np.arange(ends[-1])]
+            offsets = ends[np.r_[0, np.cumsum(many[a:b])]]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            out.append(pa.RecordBatch.from_arrays([rows.column("row").combine_chunks().slice(a, b - a), lists], schema.names))
+        return pa.Table.from_batches(out)
 
     out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(reassemble, schema)
     return out.select("row.*", "ids").drop("_none")
@@ -244,6 +281,17 @@ def token_bytes(vocabulary: str) -> pa.Array:
     return pa.array(table, pa.binary())
 
 
+def join_bytes(known: pa.Array, lists: pa.ListArray) -> list[bytes | None]:
+    """The token-byte table joined to lists of ids: the bytes of each list."""
+    tokens = known.take(lists.flatten())
+    if tokens.null_count:
+        raise ValueError("an id is not in the vocabulary")
+    sizes = np.cumsum(np.r_[0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)])
+    at = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset:][sizes] if len(tokens) else sizes
+    data = tokens.buffers()[2].to_pybytes() if len(tokens) else b""
+    return [data[a:b] if ok else None for a, b, ok in zip(at[:-1], at[1:], lists.is_valid().to_pylist(), strict=True)]
+
+
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """``docs`` with ``out`` (binary), the bytes that the ids stand for."""
     shared = docs.sparkSession.sparkContext.broadcast(token_bytes(vocabulary))
@@ -252,29 +300,37 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "bytes
     schema = T.StructType([source.schema["row"], T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                lists = part.column(1)
-                tokens = known.take(lists.flatten())
-                if tokens.null_count:
-                    raise ValueError("an id is not in the vocabulary")
-                sizes = np.cumsum(np.r_[0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)])
-                at = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset:][sizes] if len(tokens) else sizes
-                data = tokens.buffers()[2].to_pybytes() if len(tokens) else b""
-                joined = [data[a:b] if ok else None for a, b, ok in zip(at[:-1], at[1:], lists.is_valid().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(joined, pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(join_bytes(shared.value, part.column(1)), pa.binary())], schema.names)
 
     return source.mapInArrow(run, schema).select("row.*", out)
 
 
+def digests(coded: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of documents with ``ids``: the
+    ids are decoded and both digested where they are, so that neither is sent on."""
+    shared = coded.sparkSession.sparkContext.broadcast(token_bytes(vocabulary))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                lists = part.column(1)
+                text = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), pc.cast(lists.flatten(), pa.string()))
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pc.cast(pc.list_value_length(lists), pa.int64()),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in pc.binary_join(text, ",").to_pylist()]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in join_bytes(shared.value, lists)])], names)
+
+    return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(coded.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary)
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"))
+    return digests(encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary)
