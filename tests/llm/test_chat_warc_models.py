@@ -1,6 +1,9 @@
 import io
+import math
 import struct
 import zipfile
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -203,12 +206,132 @@ def test_ordinal_thresholds_rise_and_order_the_grades():
     assert ((ordinal_quality.probabilities(s, model["cuts"]) > 0.5).sum(1) == grades).all()
 
 
-def test_toxicity_sample_has_one_row_an_id(spark, monkeypatch):
-    taken = []
-    extract = toxicity.X.extract
-    monkeypatch.setattr(toxicity.X, "extract", lambda df, *a: taken.append(extract(df, *a)) or taken[-1])
+def test_samples_have_one_row_an_id(spark):
     docs = spark.createDataFrame([(i, f"text {i} {k}") for i in range(40) for k in range(30 if i % 4 == 0 else 1)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
-    toxicity.fit(docs, labels, labelled=6, unlabelled=5)
-    ids = taken[0].column("doc_id").to_pylist()
-    assert len(ids) == len(set(ids)) == 11
+    chosen = X.sample_ids(labels, 6)
+    rows = X.sample_features(docs, chosen, toxicity.text_features, "toxic")
+    lists, q = X.picked_rows(rows, np.arange(X.MASK + 1), "toxic")
+    assert rows.count() == len(lists) == len(q) == 6 and rows.select("doc_id").distinct().count() == 6
+    one = rows.where("doc_id % 4 = 0").first()
+    best = docs.where(F.col("doc_id") == one.doc_id).orderBy(F.xxhash64("text")).first()
+    assert sorted(one.ids) == sorted(toxicity.text_features(best.text).tolist())
+    toxicity.fit(docs, labels, labelled=6)
+
+
+# --- fits against plain Python ---
+
+def _plain_label_model(rows, n, rounds):
+    """The estimation spelled out over single rows: (fires, known)."""
+    known = [(f, k) for f, k in rows if k >= 0]
+    prior = min(max(sum(k for _, k in known) / len(known), 1e-3), 1 - 1e-3)
+
+    def rates(weighed):
+        out = []
+        for c, pad in ((0, 0.05), (1, 0.1)):
+            total = sum(w[c] for _, w in weighed)
+            out.append([(sum(w[c] for f, w in weighed if v in f) + pad) / (total + 1) for v in range(n)])
+        return out
+
+    def share(weighed):
+        rate, corr = rates(weighed), [[0.0] * n for _ in range(n)]
+        for c in (0, 1):
+            total = max(sum(w[c] for _, w in weighed), 1e-9)
+            for i in range(n):
+                for j in range(n):
+                    both = sum(w[c] for f, w in weighed if i in f and j in f) / total
+                    sd = [math.sqrt(max(rate[c][v] * (1 - rate[c][v]), 1e-6)) for v in (i, j)]
+                    corr[i][j] = max(corr[i][j], min(max((both - rate[c][i] * rate[c][j]) / sd[0] / sd[1], 0), 1))
+        return [1 / (1 + sum(corr[i][j] for j in range(n) if j != i and corr[i][j] > 0.6)) for i in range(n)]
+
+    def posterior(f, rate, shares):
+        odds = math.log(prior / (1 - prior))
+        for v in range(n):
+            lo, hi = (min(max(rate[c][v], 1e-5), 1 - 1e-5) for c in (0, 1))
+            odds += shares[v] * (math.log(hi / lo) if v in f else math.log((1 - hi) / (1 - lo)))
+        return 1 / (1 + math.exp(-odds))
+
+    def weigh(rate, shares):
+        return [(f, (1 - k, k) if k >= 0 else (1 - (p := posterior(f, rate, shares)), p)) for f, k in rows]
+
+    first = [(f, (1 - k, k)) for f, k in known]
+    rate, shares = rates(first), share(first)
+    for again in (True, False):
+        for _ in range(rounds):
+            new = rates(weigh(rate, shares))
+            moved, rate = max(abs(a - b) for x, y in zip(new, rate) for a, b in zip(x, y)), new
+            if moved < 1e-4:
+                break
+        if again:
+            shares = share(weigh(rate, shares))
+    return rate, shares, [posterior(f, rate, shares) for f, _ in rows]
+
+
+def test_label_model_over_spark_against_plain_python(spark):
+    rng = np.random.default_rng(3)
+    n, rows = 5, []
+    for _ in range(300):
+        y = int(rng.random() < 0.3)
+        f = {v for v in range(n) if rng.random() < ((0.7, 0.6, 0.3, 0.5, 0.4)[v] if y else (0.1, 0.2, 0.25, 0.05, 0.4)[v])}
+        f |= {1} if 0 in f else set()  # voters 0 and 1 are correlated
+        rows.append((tuple(sorted(f)), y if rng.random() < 0.4 else -1))
+    counted = Counter(rows)
+    fired = spark.createDataFrame([(k, list(f), m) for (f, k), m in counted.items()], "known int, fires array<int>, many long")
+    model = toxicity.LabelModel.over(toxicity.spark_sums(fired, n), 6)
+    dense = toxicity.LabelModel(np.array([[v in f for v in range(n)] for f, _ in rows], np.float32), np.array([k for _, k in rows]), 6)
+    rate, shares, posterior = _plain_label_model(rows, n, 6)
+    for m in (model, dense):
+        assert np.allclose(m.rate, rate, atol=1e-5) and np.allclose(m.share, shares, atol=1e-5)
+    assert np.allclose(dense.posterior(np.array([[v in f for v in range(n)] for f, _ in rows], float)), posterior, atol=1e-5)
+    assert min(shares[:2]) < 0.75 and shares[4] == 1
+
+
+def test_voters_fire_over_all_rows_allowed_for_learning(spark):
+    rows = [(i, ["idiot fool", "idiot", "nice", None, "", "HATE!! hate!!"][i % 6], 1) for i in range(90)] + [(3, "idiot", 2), (None, "idiot", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    gold = spark.createDataFrame([(0, 1), (2, 0), (1000, 1)], "doc_id long, toxic int")
+    words = np.sort([X.word_features(w)[0] for w in (b"idiot", b"fool")])
+    voters = np.concatenate([words, toxicity.PATTERN_IDS])
+    got = {(r.known, tuple(r.fires)): r.many for r in toxicity.fire(docs, gold, voters).collect()}
+    want = Counter()
+    for i, t, _ in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 3 == 1:
+            continue
+        ids = set(toxicity.text_features(t).tolist())
+        want[{0: 1, 2: 0}.get(i, -1), tuple(k for k, v in enumerate(voters) if v in ids)] += 1
+    assert got == dict(want)
+
+
+def test_class_counts_against_plain_python(spark):
+    rows = [(1, 1.0, [1, 2]), (2, 0.0, [2]), (3, 0.25, []), (4, 0.25, [2, 7])]
+    sample = spark.createDataFrame(rows, "doc_id long, w double, ids array<int>").repartition(3)
+    got = {r.feature: (r.toxic, r.clean) for r in X.class_counts(sample, "w").collect()}
+    assert got == {1: (1.0, 0.0), 2: (1.25, 1.75), 7: (0.25, 0.75)}
+    lists, w = X.picked_rows(sample, np.array([2, 7, 9]), "w")
+    assert lists.to_pylist() == [[2], [2], [], [2, 7]] and w.tolist() == [1.0, 0.0, 0.25, 0.25]
+    odds = X.with_odds(sample, "p", -1.0, np.array([2, 7]), np.array([0.5, 2.0]))
+    assert all(abs(r.p - 1 / (1 + math.exp(1 - 0.5 * (2 in r.ids) - 2 * (7 in r.ids)))) < 1e-12 for r in odds.collect())
+
+
+def test_ordinal_fit_is_at_the_minimum_of_its_loss():
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    rows = [sorted(set(rng.choice(12, 4).tolist())) for _ in range(400)]
+    grades = np.array([min(2, max(0, int((1 in x) + (2 in x) + (3 in x) - (4 in x) + rng.normal(0, 0.7)))) for x in rows])
+    model = ordinal_quality.fit_grades(pa.array(rows, pa.list_(pa.int32())), grades)
+    columns, weights, cuts = model["columns"].tolist(), model["weights"], model["cuts"]
+
+    def loss(w, t):
+        total = 0.0
+        for x, g in zip(rows, grades):
+            s = sum(w[columns.index(i)] for i in x if i in columns)
+            below = [0.0, *(1 / (1 + math.exp(-(c - s))) for c in t), 1.0]
+            total -= math.log(below[g + 1] - below[g])
+        return total / len(rows) + ordinal_quality.PENALTY / 2 * sum(v * v for v in w)
+
+    assert len(columns) >= 3
+    for k in range(len(weights) + len(cuts)):  # finite differences along every weight and threshold
+        step = np.zeros(len(weights) + len(cuts))
+        step[k] = 1e-4
+        up, down = (loss(weights + e * step[:len(weights)], cuts + e * step[len(weights):]) for e in (1, -1))
+        assert abs(up - down) / 2e-4 < 5e-3

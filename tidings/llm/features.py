@@ -58,20 +58,61 @@ def sample_ids(ids: DataFrame, rows: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.col("doc_id"), F.lit("sample")), "doc_id").limit(rows)
 
 
-def extract(docs: DataFrame, features: Callable[[str | None], np.ndarray], keep: list[str]) -> pa.Table:
-    """The feature ids of a bounded number of documents, gathered on the driver with the columns ``keep``."""
+def sample_features(docs: DataFrame, chosen: DataFrame, features: Callable[[str | None], np.ndarray], label: str) -> DataFrame:
+    """(doc_id, label, ids): the feature ids of the chosen documents, one row an id
+    (of several that whose text has the smallest hash)."""
+    kinds = dict(chosen.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                ids = [features(t) for t in part.column("text").to_pylist()]
-                offsets = np.cumsum([0, *map(len, ids)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids]).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists], [*keep, "ids"])
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                ids = pa.array([features(t) for t in part.column(3).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], ids], ["doc_id", label, "hash", "ids"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "ids array<int>"])).toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", label, F.xxhash64("text").alias("hash"), "text")
+    rows = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, {label} {kinds[label]}, hash long, ids array<int>")
+    return rows.groupBy("doc_id", label).agg(F.min_by("ids", "hash").alias("ids"))
+
+
+def class_counts(sample: DataFrame, weight: str) -> DataFrame:
+    """(feature, toxic, clean): on how many rows a feature occurs, weighed by ``weight`` and by what it lacks to 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                b = batch.slice(k, 2000)
+                lists, w = b.column(0), b.column(1).to_numpy(zero_copy_only=False)
+                found, at = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+                w = np.repeat(w, np.diff(lists.offsets.to_numpy()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.int32()), pa.array(np.bincount(at, w, len(found))), pa.array(np.bincount(at, 1 - w, len(found)))], ["feature", "toxic", "clean"])
+
+    rows = sample.select("ids", F.col(weight).cast("double")).mapInArrow(run, "feature int, toxic double, clean double")
+    return rows.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def with_odds(sample: DataFrame, name: str, base: float, columns: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """``sample`` with the probability of its log odds, ``base`` and the weights of the features it has."""
+
+    def of(ids: pa.Array) -> pa.Array:
+        rows = Sparse(ids, columns)
+        return pa.array(sigmoid(base + rows.dot(weights)))
+
+    return sample.withColumn(name, F.arrow_udf(of, "double")(F.col("ids")))
+
+
+def picked_rows(sample: DataFrame, columns: np.ndarray, label: str) -> tuple[pa.ListArray, np.ndarray]:
+    """The sample on the driver, by doc_id, reduced to the picked features; and the labels."""
+
+    def of(ids: pa.Array) -> pa.Array:
+        rows = Sparse(ids, columns)
+        order = np.argsort(rows.rows, kind="stable")
+        offsets = np.r_[0, np.cumsum(np.bincount(rows.rows, minlength=rows.n))]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(columns[rows.flat[order]], pa.int32()))
+
+    found = sample.select("doc_id", label, F.arrow_udf(of, "array<int>")(F.col("ids")).alias("ids")).toArrow().sort_by("doc_id")
+    return joined_lists(found), found.column(label).to_numpy()
 
 
 class Sparse:
@@ -81,7 +122,7 @@ class Sparse:
         flat = ids.values.to_numpy() if len(ids) else np.empty(0, np.int32)
         offsets = ids.offsets.to_numpy() if len(ids) else np.zeros(1, np.int32)
         flat = flat[offsets[0]:offsets[-1]]
-        rows = np.repeat(np.arange(len(ids)), np.diff(offsets))
+        rows = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(offsets))
         if columns is not None:
             at = np.searchsorted(columns, flat)
             hit = columns[np.minimum(at, max(len(columns) - 1, 0))] == flat if len(columns) else np.zeros(len(flat), bool)

@@ -14,7 +14,9 @@ whose ids hash lowest); every text is scored whole, by tasks, without a shuffle.
 Edge cases: a null or empty text has the features of no words; without rated
 rows every document has the highest grade with probability 1/K for each grade;
 a grade that never occurs gets a vanishing probability; several ratings of one
-id count as the lowest; null ids or labels teach nothing.
+id count as the lowest; null ids or labels teach nothing; of several rows of one id
+that whose text has the smallest hash teaches; repeated rows are scored alike;
+columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -47,7 +49,8 @@ def _id(name: str | bytes) -> int:
 
 
 def shape(token: str) -> bytes:
-    """The token's character classes, runs as one: ``Word!!`` is ``Aa!``."""
+    """The token's character classes, runs as one: ``Word!!`` is ``Aa!``. A feature tells
+    apart the first eight classes; the words of the token are features whole."""
     out = bytearray()
     for b in token.encode().translate(_SHAPE):
         if not out or out[-1] != b:
@@ -141,8 +144,7 @@ def rating(quality: Column, toxic: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
     rated = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull() & X.in_training(F.col("doc_id")))
     rated = rated.groupBy("doc_id").agg(F.min(rating(F.col("quality"), F.col("toxic"))).alias("grade"))
-    sample = X.extract(docs.select("doc_id", "text").join(F.broadcast(X.sample_ids(rated, rows)), "doc_id"), _training_features, ["doc_id", "grade"])
-    sample = sample.sort_by([("doc_id", "ascending")])
+    sample = X.sample_features(docs, X.sample_ids(rated, rows), _training_features, "grade").toArrow().sort_by("doc_id")
     return fit_grades(X.joined_lists(sample), sample.column("grade").to_numpy())
 
 
