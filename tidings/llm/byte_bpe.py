@@ -32,7 +32,7 @@ import base64
 import hashlib
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 from itertools import count
 
@@ -240,15 +240,15 @@ def _answers(right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(ids), start, size
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> DataFrame:
-    """``docs`` with ``ids`` (array of int) in place of the text. ``vocabulary``: a
-    file that :func:`read_ranks` reads; ``pattern``: what splits texts into pre-tokens."""
+def _encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str, block_bytes: int, piece: int,
+             then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, columns: str = "ids array<int>") -> DataFrame:
+    """``row`` and ``columns`` of all texts: their ids, or what ``then`` makes of record batches (row, ids), where they are."""
     blocks = _blocks(docs, text, pattern, block_bytes, piece)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     words = blocks.where("words IS NOT NULL").select("block", F.posexplode("words").alias("place", "word"))
     answers = _word_ids(words.repartition("word").sortWithinPartitions("word"), ranks)
     texts = blocks.where("words IS NULL").select("block", "seq", "row", "n", "blob")
-    schema = T.StructType([texts.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([texts.schema["row"], *T.StructType.fromDDL(columns).fields])
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         flat, start, size = _answers(right)
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", b
         rows = left.filter(is_text).sort_by("seq").combine_chunks()
         pieces = left.filter(pc.invert(is_text)).sort_by("seq")
         firsts = pieces.column("seq").to_pylist()
-        many, known, out = rows.column("n").to_numpy(), 0, []
+        kept, many, known, out = rows.column("row").combine_chunks(), rows.column("n").to_numpy(), 0, []
         for a, b, n, blob in zip(firsts, [*firsts[1:], len(rows)], pieces.column("n").to_pylist(), pieces.column("blob"), strict=True):
             numbers = unpack(blob.as_py(), n, known)
             known = max(known, int(numbers.max()) + 1) if n else known
@@ -265,11 +265,17 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", b
             ids = flat[np.repeat(start[numbers] - ends[:-1], tokens) + np.arange(ends[-1])]
             offsets = ends[np.r_[0, np.cumsum(many[a:b])]]
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            out.append(pa.RecordBatch.from_arrays([rows.column("row").combine_chunks().slice(a, b - a), lists], schema.names))
+            batch = pa.RecordBatch.from_arrays([kept.slice(a, b - a), lists], ["row", "ids"])
+            out += [then(batch.slice(k, 64)) for k in range(0, b - a, 64)] if then else [batch]
         return pa.Table.from_batches(out)
 
-    out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(reassemble, schema)
-    return out.select("row.*", "ids").drop("_none")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(reassemble, schema)
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> DataFrame:
+    """``docs`` with ``ids`` (array of int) in place of the text. ``vocabulary``: a
+    file that :func:`read_ranks` reads; ``pattern``: what splits texts into pre-tokens."""
+    return _encoded(docs, vocabulary, pattern, text, block_bytes, piece).select("row.*", "ids").drop("_none")
 
 
 def token_bytes(vocabulary: str) -> pa.Array:
@@ -308,24 +314,21 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "bytes
     return source.mapInArrow(run, schema).select("row.*", out)
 
 
-def digests(coded: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of documents with ``ids``: the
-    ids are decoded and both digested where they are, so that neither is sent on."""
-    shared = coded.sparkSession.sparkContext.broadcast(token_bytes(vocabulary))
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> DataFrame:
+    """(row, n_tokens, ids_sha256, decoded_sha256): every text is encoded, its ids
+    decoded, and both digested where they are, so that neither is sent on."""
+    shared = docs.sparkSession.sparkContext.broadcast(token_bytes(vocabulary))
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                lists = part.column(1)
-                text = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), pc.cast(lists.flatten(), pa.string()))
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pc.cast(pc.list_value_length(lists), pa.int64()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in pc.binary_join(text, ",").to_pylist()]),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in join_bytes(shared.value, lists)])], names)
+    def digest(part: pa.RecordBatch) -> pa.RecordBatch:
+        lists = part.column(1)
+        as_text = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), pc.cast(lists.flatten(), pa.string()))
+        return pa.RecordBatch.from_arrays([
+            part.column(0), pc.cast(pc.list_value_length(lists), pa.int64()),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in pc.binary_join(as_text, ",").to_pylist()], pa.string()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in join_bytes(shared.value, lists)], pa.string())], ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(coded.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, vocabulary, pattern, text, block_bytes, piece, digest, columns)
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,4 +336,4 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary)
+    return digests(docs, vocabulary, public_tokenizers.PATTERN).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
