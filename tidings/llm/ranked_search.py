@@ -39,8 +39,8 @@ from tidings.session import stage
 TOP = 50
 #: Distinct (item, term) pairs whose posting lists a task holds at a time.
 SLICE_PAIRS = 200_000
-#: Chosen classes, with their vectors, up to which they are broadcast.
-CHOSEN_ROWS = 20_000
+#: Numbers in the chosen classes' vectors up to which they are broadcast; more are joined by shuffle.
+CHOSEN_NUMBERS = 2_000_000
 #: Numbers that a task adds up at a time.
 CELLS = 2_000_000
 
@@ -201,8 +201,9 @@ def _search_slice(docs: DataFrame, part: list[tuple[object, list[str]]], kind: s
     classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "bag-classes")
     chosen = stage(_best_rows(_score(classes, postings, top), "item", [F.desc("score"), "first", "class"], top).drop("rank"), "best-classes")
 
-    wanted = classes.join(small(chosen.select("class").distinct()), "class", "left_semi").select(*same, "class")
-    members = bags.join(small(stage(wanted, "chosen-bags"), CHOSEN_ROWS), same).select("class", "doc_id")
+    wanted = stage(classes.join(small(chosen.select("class").distinct()), "class", "left_semi").select(*same, "class"), "chosen-bags")
+    numbers = wanted.agg(F.coalesce(F.sum(F.size("terms") + 3), F.lit(0))).first()[0]
+    members = bags.join(F.broadcast(wanted) if numbers <= CHOSEN_NUMBERS else wanted, same).select("class", "doc_id")
     members = _best_rows(members, "class", [F.col("doc_id").asc_nulls_last()], top).drop("rank")
     ranked = members.join(chosen.select("class", "item", "score"), "class")
     ranked = _best_rows(ranked, "item", [F.desc("score"), F.col("doc_id").asc_nulls_last()], top)
