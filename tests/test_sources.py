@@ -5,6 +5,7 @@ import json
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidings.operators import labels as L
@@ -122,12 +123,12 @@ def test_assemble_pages_stops_at_failure(spark, tmpdir_path):
     pages = [(1, "ok", [art("p1/a"), art("p1/b")]), (2, "ok", [art("p2/a")]), (3, "error", [art("p3/a")]),
              (4, "ok", [art("p4/a")])]
     for n, st, res in pages:
-        write_json(os.path.join(d, f"page_{n}.json"), {"page": n, "response": {"status": st, "results": res}})
+        write_json(os.path.join(d, f"page_{n}.json"), {"page": n, "response": {"status": st, "pages": 4, "results": res}})
     df = RD.assemble_pages(RD.read_search_pages(spark, d))
     assert sorted(r.id for r in df.collect()) == ["p1/a", "p1/b", "p2/a"]
     capped = RD.assemble_pages(RD.read_search_pages(spark, d), max_articles=2)
     assert [r.id for r in capped.collect()] == ["p1/a", "p1/b"]
-    write_json(os.path.join(d, "page_2.json"), {"page": 2, "response": {"status": "ok", "results": []}})
+    write_json(os.path.join(d, "page_2.json"), {"page": 2, "response": {"status": "ok", "pages": 4, "results": []}})
     assert RD.assemble_pages(RD.read_search_pages(spark, d)).count() == 2
 
 
@@ -234,11 +235,29 @@ def _pages(spark, tmpdir_path, name, numbers, announced=None):
 
 def test_assemble_pages_stop_rules(spark, tmpdir_path):
     assert _pages(spark, tmpdir_path, "announced", [1, 2, 3], 2) == ["p1", "p2"]
-    assert _pages(spark, tmpdir_path, "gap", [1, 2, 4]) == ["p1", "p2"]
-    assert _pages(spark, tmpdir_path, "late", [2, 3]) == []
+    assert _pages(spark, tmpdir_path, "gap", [1, 2, 4], 9) == ["p1", "p2"]
+    assert _pages(spark, tmpdir_path, "late", [2, 3], 9) == []
     assert _pages(spark, tmpdir_path, "all", [1, 2, 3], 9) == ["p1", "p2", "p3"]
 
 
+@pytest.mark.parametrize("numbers,last", [
+    ([5, 5, 3, 5], 3),        # the third page says that it is the last one
+    ([2, 3, 3], 3),           # the first page's number has grown since
+    ([None, 3, 3], 1),        # a response without a number counts as one page
+    ([3, None, 3], 2),
+    ([0, 3], 1), ([9, 9], 2), ([3, 1, 1], 2)])
+def test_each_response_says_whether_it_is_the_last(spark, numbers, last):
+    rows = [(k + 1, ("ok", None, n, k + 1, [(f"p{k + 1}", None, None, None, None, None)])) for k, n in enumerate(numbers)]
+    got = RD.assemble_pages(spark.createDataFrame(rows, RD.SEARCH_PAGE))
+    assert sorted(r.id for r in got.collect()) == [f"p{k + 1}" for k in range(last)]
+
+
+def test_a_page_landed_twice_counts_once(spark):
+    rows = [(1, ("ok", None, 1, 1, [("a", None, None, None, None, None)])), (1, ("ok", None, 5, 1, [("a", None, None, None, None, None)])),
+            (2, ("ok", None, 2, 2, [("b", None, None, None, None, None)])), (0, ("ok", None, 5, 0, [("zero", None, None, None, None, None)]))]
+    assert sorted(r.id for r in RD.assemble_pages(spark.createDataFrame(rows, RD.SEARCH_PAGE)).collect()) == ["a", "a", "b"]
+
+
 def test_snapshot_winner_does_not_sort_bodies(spark, tmpdir_path):
     for k in (1, 2):
         write_json(os.path.join(tmpdir_path, f"s{k}.json"), [art(f"a/{i}") for i in range(5 * k)])

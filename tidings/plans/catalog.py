@@ -578,19 +578,19 @@ def _search_pages(spark, sf_dir) -> DataFrame:
 
 @register("assembled_search_pages")
 def assembled_search_pages(spark, sf_dir):
-    """Three collections of the same search pages. In ``error`` the middle page
-    failed; in ``gap`` the page at two thirds never landed; ``announced`` has one page
-    more than the first page says."""
+    """Four collections of the same search pages. In ``error`` the middle page
+    failed; in ``gap`` the page at two thirds never landed; in ``shrinking`` each page
+    announces one page less than the one before; in ``unnumbered`` the pages from a quarter on announce no number."""
     root = checkpoint_root(spark, "pages")
     pages = _search_pages(spark, sf_dir)
     pages = pages.withColumn("total", V.articles(spark, sf_dir).agg((F.floor(F.max("doc_id") / 50) + 1).cast("int")).scalar())
+    announced = {"shrinking": F.col("total") + 3 - F.col("page"), "unnumbered": F.when(F.col("page") <= F.floor(F.col("total") / 4), F.col("total"))}
     out = None
-    for run in ("error", "gap", "announced"):
+    for run in ("error", "gap", "shrinking", "unnumbered"):
         status = F.when(F.lit(run == "error") & (F.col("page") == F.floor(F.col("total") / 2) + 1), "error").otherwise("ok")
-        announced = F.col("total") - (1 if run == "announced" else 0)
         p = pages.where(~(F.lit(run == "gap") & (F.col("page") == F.floor(F.col("total") * 2 / 3) + 1)))
         p = p.select("page", F.struct(
-            status.alias("status"), F.lit(None).cast("string").alias("message"), announced.alias("pages"),
+            status.alias("status"), F.lit(None).cast("string").alias("message"), announced.get(run, F.col("total")).alias("pages"),
             F.col("page").alias("currentPage"), F.transform("_r", lambda e: e["a"]).alias("results")).alias("response"))
         WR.write_table(p, f"{root}/{run}", fmt="json")
         landed = RD.read_search_pages(spark, f"{root}/{run}", multiline=False)

@@ -534,7 +534,8 @@ p AS (SELECT CAST(floor(doc_id / 50) AS INTEGER) + 1 AS page, id,
 t AS (SELECT max(page) AS total FROM p),
 stop AS (SELECT 'error' AS run, CAST(floor(total / 2) AS INTEGER) + 1 AS stop FROM t
          UNION ALL SELECT 'gap', CAST(floor(total * 2 / 3) AS INTEGER) + 1 FROM t
-         UNION ALL SELECT 'announced', total FROM t)
+         UNION ALL SELECT 'shrinking', CAST(ceil((total + 3) / 2.0) AS INTEGER) + 1 FROM t
+         UNION ALL SELECT 'unnumbered', CAST(floor(total / 4) AS INTEGER) + 2 FROM t)
 SELECT run, page, pos, id FROM p, stop WHERE page < stop"""
 
 ORACLE["article_arrays"] = "WITH" + ARTICLES + """

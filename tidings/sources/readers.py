@@ -180,24 +180,26 @@ def read_prices(spark: SparkSession, path, symbol: str | None = None,
 
 def assemble_pages(pages: DataFrame, max_articles: int | None = None) -> DataFrame:
     """Paged search responses in page order, from page 1. Collection stops
-    at the first page that failed, is not ``ok``, has no results or never landed,
-    and after the last page that the first one announces
-    (``response.pages``); ``max_articles`` caps it (a top-k).
+    before the first page that failed, is not ``ok``, has no results or never landed,
+    and after the first page whose own response says that it is the last
+    (``page >= response.pages``, where a response without the number counts as one page);
+    ``max_articles`` caps it (a top-k).
 
     ``pages``: ``(page, response struct)`` as read with :data:`SEARCH_PAGE`.
     Output: flat article rows with ``page``, ``pos``. A page that landed twice counts once
-    for the stop rules.
+    for the stop rules, and as the last one only if all its responses say so.
     """
     bad = F.col("response").isNull() | ~F.col("response.status").eqNullSafe("ok") | \
         (F.coalesce(F.size("response.results"), F.lit(0)) <= 0)
-    narrow = pages.select("page", bad.alias("bad"), F.col("response.pages").alias("announced"))
-    # bounded: one row of three numbers; a page is missing where fewer pages than its number have landed
-    seen = narrow.where("page >= 1").groupBy("page").agg(F.max("bad").alias("bad"), F.max("announced").alias("announced"))
+    last = F.col("page") >= F.coalesce(F.col("response.pages"), F.lit(1))
+    narrow = pages.where("page >= 1").select("page", bad.alias("bad"), last.alias("last"))
+    seen = narrow.groupBy("page").agg(F.max("bad").alias("bad"), F.min("last").alias("last"))
     after = seen.select((F.col("page") + 1).alias("page")).join(seen, "page", "left_anti")  # numbers that follow a landed page but didn't land
-    stop = seen.agg(F.min(F.when(F.col("bad"), F.col("page"))).alias("bad"), F.min("page").alias("first"),
-                    F.max(F.when(F.col("page") == 1, F.col("announced"))).alias("announced")).first()
+    # bounded: one row of three numbers
+    stop = seen.agg(F.min("page").alias("first"), F.min(F.when(F.col("bad"), F.col("page"))).alias("bad"),
+                    F.min(F.when(~F.col("bad") & F.col("last"), F.col("page") + 1)).alias("after_last")).first()
     missing = after.agg(F.min("page")).first()[0]
-    ends = [x for x in (stop["bad"], missing, None if stop["announced"] is None else stop["announced"] + 1) if x is not None]
+    ends = [x for x in (stop["bad"], missing, stop["after_last"]) if x is not None]
     if stop["first"] != 1:
         ends = [1]  # nothing landed, or the first page is missing
     ok = pages.where((F.col("page") >= 1) & (F.col("page") < min(ends)))
