@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidings.operators import learn as LE
@@ -47,17 +48,33 @@ def test_few_shot_examples(spark):
 
 def test_smooth_idf_matches_formula(spark):
     df = spark.createDataFrame([("d1", "apple banana apple"), ("d2", "banana cherry")], "id string, text string")
-    feats = LE.tfidf_pipeline(stop_words=[]).fit(df)
-    out = LE.smooth_idf(feats.transform(df))
-    vocab = feats.stages[2].vocabulary
-    row = {r.id: r.features.toArray() for r in out.collect()}
-    n = 2
-    idf = {"apple": math.log((1 + n) / (1 + 1)) + 1, "banana": math.log((1 + n) / (1 + 2)) + 1}
-    v = [0.0] * len(vocab)
-    v[vocab.index("apple")] = 2 * idf["apple"]
-    v[vocab.index("banana")] = 1 * idf["banana"]
+    feats = LE.fit_tfidf(df, stop_words=[])
+    row = {r.id: r.features for r in feats.transform(df).collect()}
+    assert feats.vocabulary == ["apple", "banana", "cherry"] and feats.doc_freq == [1, 2, 1] and feats.n_docs == 2
+    idf = {"apple": math.log((1 + 2) / (1 + 1)) + 1, "banana": math.log((1 + 2) / (1 + 2)) + 1}
+    assert all(math.isclose(a, b) for a, b in zip(feats.idf(), [idf["apple"], idf["banana"], idf["apple"]]))
+    v = [2 * idf["apple"], idf["banana"], 0.0]
     norm = math.sqrt(sum(x * x for x in v))
-    assert all(math.isclose(a, b / norm, rel_tol=1e-9, abs_tol=1e-12) for a, b in zip(row["d1"], v))
+    assert type(row["d1"]).__name__ == "SparseVector" and list(row["d1"].indices) == [0, 1]
+    assert all(math.isclose(a, b / norm, rel_tol=1e-9, abs_tol=1e-12) for a, b in zip(row["d1"].toArray(), v))
+
+
+def test_vocabulary_is_cut_by_count_then_term(spark):
+    df = spark.createDataFrame([("1", "bb bb aa cc dd dd x the"), ("2", "aa cc zz"), ("3", None), ("4", "")], "id string, text string")
+    for parts in (1, 5):
+        feats = LE.fit_tfidf(df.repartition(parts), vocab_size=3, stop_words=["the", "dd"])
+        assert feats.vocabulary == ["aa", "bb", "cc"] and feats.doc_freq == [2, 1, 2] and feats.n_docs == 4
+    got = {r.id: r.e for r in feats.transform(df).select("id", LE.sparse_entries().alias("e")).collect()}
+    assert [e.position for e in got["1"]] == [0, 1, 2] and [e.position for e in got["2"]] == [0, 2] and got["3"] == got["4"] == []
+    assert math.isclose(sum(e.value ** 2 for e in got["1"]), 1.0)
+    assert [tuple(r)[:3] for r in feats.terms(spark).orderBy("position").collect()] == [("aa", 0, 2), ("bb", 1, 1), ("cc", 2, 2)]
+    with pytest.raises(ValueError, match="no terms"):
+        LE.fit_tfidf(df.where("id = '3'"))
+
+
+def test_stop_words_from_a_file(tmp_path):
+    (tmp_path / "stop.txt").write_text("the\n\n# a comment\nof  # why\n and\n", encoding="utf-8")
+    assert LE.read_stop_words(str(tmp_path / "stop.txt")) == ["the", "of", "and"]
 
 
 def test_logistic_regression_learns_language(spark):
@@ -86,6 +103,62 @@ def test_select_by_mae_and_text_dataset(spark):
     assert set(scores) == {0.01, 10.0} and scores[best] == min(scores.values())
 
 
+def _labelled_texts(spark, n=60):
+    words = ["gains rally rise", "loss crash fall", "flat same quiet"]
+    rows = [(f"a{i}", " ".join((words[i % 3] + " noise" + str(i % 7)).split()[: 2 + i % 3]), i % 3) for i in range(n)]
+    return spark.createDataFrame(rows, "id string, text string, label int")
+
+
+def test_settings_are_searched_side_by_side_like_one_by_one(spark):
+    d = _labelled_texts(spark)
+    train, val = d.where("id < 'a4'"), d.where("id >= 'a4'")
+    grid = LE.reg_grid([10.0, 1.0, 0.1, 1e-3])
+    side = LE.search_by_mae(train, val, grid, max_iter=50, parallelism=4)
+    one = LE.search_by_mae(train, val, grid, max_iter=50, parallelism=1)
+    serial = []
+    feats, rows = LE.fit_features(train)
+    for reg in (10.0, 1.0, 0.1, 1e-3):
+        m = LE.fit_classifier(rows, max_iter=50, reg_param=reg)
+        serial.append(LE.predict(feats, m, val).agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred")))).first()[0])
+    assert side[3] == one[3] and all(math.isclose(a, b) for a, b in zip(side[3], serial))
+    assert side[0] == one[0] == min(range(4), key=lambda k: (serial[k], k))
+
+
+def test_certificate_of_an_optimal_and_of_an_unfinished_model(spark):
+    feats, rows = LE.fit_features(_labelled_texts(spark))
+    done, early = LE.fit_classifier(rows), LE.fit_classifier(rows, max_iter=2)
+    a, b = LE.optimality(done, rows).first(), LE.optimality(early, rows).first()
+    assert (a.n_rows, a.n_classes, a.n_terms) == (60, 3, len(feats.vocabulary))
+    assert a.residual < 1e-4 < b.residual and a.objective < b.objective and b.iterations == 2
+    assert math.isclose(a.objective, done.summary.objectiveHistory[-1], rel_tol=1e-6)
+    # against plain Python: the gradient by finite differences of the objective
+    data = [(r.features.toArray(), int(r.label), r.weight) for r in rows.collect()]
+    beta, bias, reg = early.coefficientMatrix.toArray(), early.interceptVector.toArray(), 1 / 60
+
+    def objective(m, c):
+        loss = total = 0.0
+        for x, y, w in data:
+            z = m @ x + c
+            loss += w * (math.log(sum(math.exp(v) for v in z)) - z[y])
+            total += w
+        return loss / total + reg / 2 * float((m ** 2).sum())
+
+    steepest = 0.0
+    for i in range(3):
+        for j in range(beta.shape[1] + 1):
+            m, c = beta.copy(), bias.copy()
+            up, down = [], []
+            for e, out in ((1e-5, up), (-1e-5, down)):
+                m, c = beta.copy(), bias.copy()
+                if j < beta.shape[1]:
+                    m[i, j] += e
+                else:
+                    c[i] += e
+                out.append(objective(m, c))
+            steepest = max(steepest, abs(up[0] - down[0]) / 2e-5)
+    assert math.isclose(steepest, b.residual, rel_tol=1e-3)
+
+
 def test_exact_stratified_split_counts(spark):
     df = spark.range(20000).select(F.col("id").cast("string").alias("id"),
                                    F.when(F.col("id") % 10 < 6, 2).otherwise(F.col("id") % 5).alias("label"))
@@ -128,7 +201,6 @@ def test_few_shot_ties_and_term_statistics(spark):
 
 def test_term_statistics_agree_with_the_fitted_idf(spark):
     df = spark.createDataFrame([("1", "apple banana apple"), ("2", "Banana cherry")], "id string, text string")
-    feats = LE.tfidf_pipeline(stop_words=[]).fit(df)
-    idf = dict(zip(feats.stages[2].vocabulary, feats.stages[3].idf.toArray()))
+    idf = {r.term: r.idf for r in LE.fit_tfidf(df, stop_words=[]).terms(spark).collect()}
     for r in LE.term_statistics(df).collect():
-        assert math.isclose(r.idf, idf[r.term] + 1)
+        assert math.isclose(r.idf, idf[r.term])

@@ -9,11 +9,27 @@ pull the largest class into one task.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import math
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import (
+    IDF,
+    CountVectorizerModel,
+    ElementwiseProduct,
+    Normalizer,
+    RegexTokenizer,
+    SQLTransformer,
+    StopWordsRemover,
+)
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.session import ensure_checkpoint_dir
@@ -131,80 +147,183 @@ def term_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 
 
-def tfidf_pipeline(text_col: str = "text", vocab_size: int = 10000, stop_words: list[str] | None = None,
-                   min_df: float = 1.0) -> Pipeline:
-    """M3 feature stages up to raw TF and Spark IDF; see :func:`tfidf_features`."""
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False,
-                         toLowercase=True)
-    sw = StopWordsRemover(inputCol="_tokens", outputCol="_terms",
-                          stopWords=stop_words if stop_words is not None
-                          else StopWordsRemover.loadDefaultStopWords("english"))
-    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocab_size, minDF=min_df)
-    idf = IDF(inputCol="_tf", outputCol="_tfidf_spark")
-    return Pipeline(stages=[tok, sw, cv, idf])
-
-
-def smooth_idf(df: DataFrame) -> DataFrame:
-    """Turn Spark's ``tf * ln((n+1)/(df+1))`` into scikit-learn's smooth idf
-    ``tf * (ln((n+1)/(df+1)) + 1)`` = Spark value + tf, then L2-normalise.
-    All in JVM array expressions."""
-    a = vector_to_array("_tfidf_spark")
-    b = vector_to_array("_tf")
-    summed = F.zip_with(a, b, lambda x, y: x + y)
-    out = df.withColumn("_tfidf", array_to_vector(summed))
-    return Normalizer(inputCol="_tfidf", outputCol="features", p=2.0).transform(out) \
-        .drop("_tokens", "_terms", "_tf", "_tfidf_spark", "_tfidf")
-
-
-def fit_features(train: DataFrame, label_col: str = "label", text_col: str = "text", vocab_size: int = 10000):
+def read_stop_words(path: str) -> list[str]:
+    """A stop list from a file with one word a line (blank lines and ``#`` comments
+    aside): any list can be used without being part of this package."""
+    with open(path, encoding="utf-8") as lines:
+        return [w for w in (line.split("#")[0].strip() for line in lines) if w]
+
+
+def term_stages(text_col: str = "text", stop_words: list[str] | None = None) -> list:
+    """M3's tokens (scikit-learn's default pattern, lower case) without stop words
+    (default: Spark's English list), as column ``_terms``."""
+    return [RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True),
+            StopWordsRemover(inputCol="_tokens", outputCol="_terms", stopWords=list(stop_words) if stop_words is not None
+                             else StopWordsRemover.loadDefaultStopWords("english"))]
+
+
+def top_terms(rows: DataFrame, n: int, terms_col: str = "_terms") -> list[str]:
+    """The ``n`` terms with most occurrences, equal counts in order of the term: a
+    top-k, so that ``n`` rows reach the driver. Same rows, same vocabulary."""
+    counts = rows.select(F.explode(terms_col).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return [r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(n).collect()]
+
+
+@dataclass(frozen=True)
+class Tfidf:
+    """M3 fitted: the stages up to ``features`` and what they were fitted to. All
+    vectors on the way are sparse."""
+
+    stages: PipelineModel
+    vocabulary: list[str]
+    doc_freq: list[int]
+    n_docs: int
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``features``: term counts times smooth idf, of length 1."""
+        return self.stages.transform(df).drop("_tokens", "_terms", "_tf", "_tfidf")
+
+    def idf(self) -> list[float]:
+        """scikit-learn's smooth idf ``ln((1 + n) / (1 + df)) + 1``."""
+        return [math.log((1.0 + self.n_docs) / (1.0 + d)) + 1.0 for d in self.doc_freq]
+
+    def terms(self, spark: SparkSession) -> DataFrame:
+        """(term, position, df, idf) of the vocabulary."""
+        rows = list(zip(self.vocabulary, range(len(self.vocabulary)), map(int, self.doc_freq), self.idf(), strict=True))
+        return spark.createDataFrame(rows, "term string, position int, df long, idf double")
+
+
+def fit_tfidf(train: DataFrame, text_col: str = "text", vocab_size: int = 10000, stop_words: list[str] | None = None) -> Tfidf:
+    """M3: the ``vocab_size`` most frequent terms of the training texts and their idf.
+
+    The weights stay in sparse vectors: ``CountVectorizerModel`` counts the terms of
+    the given vocabulary, ``ElementwiseProduct`` multiplies by the idf, ``Normalizer``
+    divides by the length. Two passes over the training texts: one for the
+    vocabulary, one for the document frequencies."""
+    prepared = PipelineModel(term_stages(text_col, stop_words))
+    rows = prepared.transform(train.select(F.coalesce(F.col(text_col), F.lit("")).alias(text_col)))
+    vocabulary = top_terms(rows, vocab_size)
+    if not vocabulary:
+        raise ValueError("no terms in the training texts")
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_terms", outputCol="_tf")
+    idf = IDF(inputCol="_tf", outputCol="_unused").fit(counter.transform(rows))
+    # Spark's idf is ln((n + 1) / (df + 1)); the smooth one is 1 more
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_tf", outputCol="_tfidf")
+    fill = SQLTransformer(statement=f"SELECT * EXCEPT (`{text_col}`), coalesce(`{text_col}`, '') AS `{text_col}` FROM __THIS__")
+    stages = PipelineModel([fill, *prepared.stages, counter, scale, Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)])
+    return Tfidf(stages, vocabulary, [int(d) for d in idf.docFreq], int(idf.numDocs))
+
+
+def sparse_entries(vector_col: str = "features") -> Column:
+    """The entries of a sparse vector as ``array<struct<position, value>>``, without
+    making it dense. The vector's parts are reached through its JSON form."""
+    parts = F.from_json(F.to_json(F.struct(F.col(vector_col).alias("v"))), "v struct<indices:array<int>,values:array<double>>")["v"]
+    return F.zip_with(parts["indices"], parts["values"], lambda i, x: F.struct(i.alias("position"), x.alias("value")))
+
+
+def fit_features(train: DataFrame, label_col: str = "label", text_col: str = "text", vocab_size: int = 10000,
+                 stop_words: list[str] | None = None):
     """M3 fitted on ``train``: ``(feature_model, weighted feature rows)``; the rows
     are checkpointed in the shared folder, so the optimiser (and a lost
     executor) reads them instead of running the features again."""
-    feats = tfidf_pipeline(text_col, vocab_size).fit(train)
-    tr = smooth_idf(feats.transform(with_class_weights(train, label_col)))
+    feats = fit_tfidf(train, text_col, vocab_size, stop_words)
+    tr = feats.transform(with_class_weights(train, label_col))
     tr = tr.select("features", F.col(label_col).cast("double").alias(label_col), "weight")
     ensure_checkpoint_dir(train.sparkSession)
     return feats, tr.checkpoint(eager=True)
 
 
+def classifier(n_rows: int, label_col: str = "label", max_iter: int = 1000, reg_param: float | None = None) -> LogisticRegression:
+    """M4's estimator: multinomial logistic regression with class weights and
+    ``regParam = 1/n`` (scikit-learn's C=1 with weights summing to n)."""
+    return LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="weight",
+                              family="multinomial", maxIter=max_iter, standardization=False,
+                              regParam=reg_param if reg_param is not None else 1.0 / max(n_rows, 1),
+                              elasticNetParam=0.0)
+
+
 def fit_classifier(rows: DataFrame, label_col: str = "label", max_iter: int = 1000, reg_param: float | None = None):
-    """M4 on the rows of :func:`fit_features`: multinomial logistic regression
-    with balanced class weights and ``regParam = 1/n_train`` (scikit-learn's
-    C=1 with weights summing to n)."""
+    """M4 on the rows of :func:`fit_features`."""
     n = rows.count()  # one bounded scalar, needed for regParam
-    lr = LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="weight",
-                            family="multinomial", maxIter=max_iter, standardization=False,
-                            regParam=reg_param if reg_param is not None else 1.0 / max(n, 1),
-                            elasticNetParam=0.0)
-    return lr.fit(rows)
+    return classifier(n, label_col, max_iter, reg_param).fit(rows)
+
+
+def optimality(model, rows: DataFrame, label_col: str = "label", weight_col: str = "weight") -> DataFrame:
+    """A certificate for a fitted M4 model: one row ``(n_rows, n_classes, n_terms,
+    iterations, objective, residual)``.
+
+    The objective ``sum(w * log loss) / sum(w) + regParam / 2 * |b|^2`` is convex, so a model
+    is optimal where its gradient is 0; ``residual`` is the gradient's largest
+    entry. The gradient is one aggregate over the sparse entries of the rows: by
+    term, and for the intercepts over all rows, the sum by class of ``w * (p - y) * x``."""
+    k, reg = model.numClasses, model.getOrDefault("regParam")
+    beta = model.coefficientMatrix.toArray()
+    scored = model.transform(rows).withColumn("_p", vector_to_array("probability"))
+    y, w = F.col(label_col).cast("int"), F.col(weight_col)
+    slopes = [(w * (F.col("_p")[c] - (y == c).cast("double"))).alias(f"_s{c}") for c in range(k)]
+    loss = -w * F.log(F.greatest(F.element_at("_p", y + 1), F.lit(1e-300)))
+    whole = scored.select(w.alias("_w"), loss.alias("_loss"), *slopes).agg(
+        F.count("*").alias("n"), F.sum("_w").alias("w"), F.sum("_loss").alias("loss"), *[F.sum(f"_s{c}").alias(f"g{c}") for c in range(k)]).first()
+    entries = scored.select(F.explode(sparse_entries()).alias("e"), *slopes)
+    terms = entries.groupBy(F.col("e.position").alias("position")).agg(*[F.sum(F.col(f"_s{c}") * F.col("e.value")).alias(f"g{c}") for c in range(k)])
+    spark = rows.sparkSession
+    weights = spark.createDataFrame([(j, *map(float, beta[:, j])) for j in range(beta.shape[1])], "position int, " + ", ".join(f"b{c} double" for c in range(k)))
+    steps = [F.abs(F.coalesce(F.col(f"g{c}"), F.lit(0.0)) / F.lit(whole["w"]) + F.lit(reg) * F.col(f"b{c}")) for c in range(k)]
+    intercepts = max(abs(whole[f"g{c}"]) / whole["w"] for c in range(k))
+    objective = whole["loss"] / whole["w"] + reg / 2 * float((beta ** 2).sum())
+    return weights.join(terms, "position", "left").agg(
+        F.lit(whole["n"]).cast("long").alias("n_rows"), F.lit(k).alias("n_classes"), F.count("*").alias("n_terms"),
+        F.lit(int(model.summary.totalIterations)).alias("iterations"), F.lit(objective).alias("objective"),
+        F.greatest(F.max(F.greatest(*steps)), F.lit(intercepts)).alias("residual"))
 
 
 def fit_logistic(train: DataFrame, label_col: str = "label", max_iter: int = 1000,
-                 reg_param: float | None = None, text_col: str = "text", vocab_size: int = 10000):
+                 reg_param: float | None = None, text_col: str = "text", vocab_size: int = 10000, stop_words: list[str] | None = None):
     """M3 + M4: ``(feature_model, lr_model)``."""
-    feats, rows = fit_features(train, label_col, text_col, vocab_size)
+    feats, rows = fit_features(train, label_col, text_col, vocab_size, stop_words)
     return feats, fit_classifier(rows, label_col, max_iter, reg_param)
 
 
 def predict(feats, model, df: DataFrame, label_col: str = "label") -> DataFrame:
     """Score rows with a fitted pair; ``y_pred`` is the class index as int."""
-    out = model.transform(smooth_idf(feats.transform(df)))
+    out = model.transform(feats.transform(df))
     return out.withColumn("y_pred", F.col("prediction").cast("int")) \
               .withColumn("y_true", F.col(label_col).cast("int"))
 
 
+def search_by_mae(train: DataFrame, val: DataFrame, grid: list[dict], label_col: str = "label", max_iter: int = 1000,
+                  text_col: str = "text", parallelism: int = 4, vocab_size: int = 10000, stop_words: list[str] | None = None):
+    """M11 (re-aimed): one model per setting of ``grid`` (built with
+    ``ParamGridBuilder`` over the parameters of :func:`classifier`), ``parallelism``
+    fits at a time; the one with the lowest validation MAE wins, of equal ones the
+    first. Returns ``(place in the grid, feature model, model, MAE of every setting)``.
+
+    Features are fitted once, and the validation rows' features are checkpointed like
+    the training rows', since every setting reads both. The validation rows are those
+    given: ``TrainValidationSplit`` would draw its own at random."""
+    feats, rows = fit_features(train, label_col, text_col, vocab_size, stop_words)
+    held = feats.transform(val).select("features", F.col(label_col).cast("double").alias(label_col)).checkpoint(eager=True)
+    error = RegressionEvaluator(metricName="mae", labelCol=label_col, predictionCol="prediction")
+    fits = classifier(rows.count(), label_col, max_iter).fitMultiple(rows, grid)
+    models, scores = [None] * len(grid), [float("nan")] * len(grid)
+
+    def one(_):
+        place, fit = next(fits)  # thread-safe; each call fits one setting
+        models[place], scores[place] = fit, error.evaluate(fit.transform(held))
+
+    with ThreadPool(max(1, min(parallelism, len(grid)))) as pool:
+        pool.map(inheritable_thread_target(train.sparkSession)(one), range(len(grid)), chunksize=1)
+    best = min(range(len(grid)), key=lambda k: (math.isnan(scores[k]), scores[k], k))
+    return best, feats, models[best], scores
+
+
+def reg_grid(reg_params: list[float]) -> list[dict]:
+    """A ``ParamGridBuilder`` grid over ``regParam``."""
+    return ParamGridBuilder().addGrid(classifier(1).regParam, reg_params).build()
+
+
 def select_by_mae(train: DataFrame, val: DataFrame, reg_params: list[float], label_col: str = "label",
-                  max_iter: int = 1000, text_col: str = "text"):
-    """M11 (re-aimed): one model per ``regParam`` over features that are fitted
-    once; keep the one with the lowest validation MAE. Returns ``(best_reg,
-    feats, model, val_mae_by_reg)``."""
-    feats, rows = fit_features(train, label_col, text_col)
-    best = None
-    scores = {}
-    for rp in reg_params:
-        model = fit_classifier(rows, label_col, max_iter, rp)
-        m = predict(feats, model, val, label_col).agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred")))).first()[0]
-        scores[rp] = m
-        if best is None or (m is not None and m < best[0]):
-            best = (m, rp, model)
-    return best[1], feats, best[2], scores
+                  max_iter: int = 1000, text_col: str = "text", parallelism: int = 4):
+    """M11 over regularisations: ``(best_reg, feats, model, val_mae_by_reg)``."""
+    best, feats, model, scores = search_by_mae(train, val, reg_grid(reg_params), label_col, max_iter, text_col, parallelism)
+    return reg_params[best], feats, model, dict(zip(reg_params, scores, strict=True))

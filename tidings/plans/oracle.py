@@ -741,6 +741,29 @@ WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce
 n AS (SELECT count(*) AS n FROM documents)
 SELECT term, count(*) AS df, round(ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1, 9) AS idf FROM t, n GROUP BY term"""
 
+_STOP = "('the', 'and', 'of', 'to', 'in', 'that', 'with', 'der', 'die', 'und', 'les', 'des', 'los', 'las')"
+_TFIDF = rf"""
+WITH d AS (SELECT doc_id, {md5_hash('doc_id')} / 4294967296.0 < 0.7 AS train,
+                  regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]{{2,}}') AS ws FROM documents),
+o AS (SELECT doc_id, train, term, count(*) AS tf FROM (SELECT doc_id, train, unnest(ws) AS term FROM d) WHERE term NOT IN {_STOP} GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM d WHERE train),
+v AS (SELECT term, count(*) AS df, CAST(row_number() OVER (ORDER BY sum(tf) DESC, term) - 1 AS INTEGER) AS position,
+             ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 AS idf
+      FROM o, n WHERE train GROUP BY term QUALIFY position < 10000)"""
+
+ORACLE["tfidf_vocabulary"] = _TFIDF + """
+SELECT term, position, df, round(idf, 9) AS idf FROM v"""
+
+ORACLE["tfidf_vectors"] = _TFIDF + """,
+x AS (SELECT doc_id, tf * idf AS x FROM o JOIN v USING (term)),
+l AS (SELECT doc_id, count(*) AS n, sum(x) AS s, max(x) AS m, sqrt(sum(x * x)) AS length FROM x GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_terms, round(coalesce(s / length, 0), 6) AS weight_sum, round(coalesce(m / length, 0), 6) AS top_weight
+FROM d LEFT JOIN l USING (doc_id)"""
+
+ORACLE["model_certificate"] = f"""
+WITH t AS (SELECT lang FROM documents WHERE {md5_hash('doc_id')} / 4294967296.0 < 0.7)
+SELECT count(*) AS n_rows, CAST(count(DISTINCT lang) AS INTEGER) AS n_classes, true AS finished, true AS optimal FROM t"""
+
 ORACLE["consensus_unrounded"] = "WITH" + RATER_LABELS + """
 SELECT article_id, avg(label) AS label, count(label) AS n_raters FROM rater_labels WHERE label IS NOT NULL GROUP BY article_id"""
 
