@@ -211,18 +211,16 @@ def range_kpis(daily: DataFrame, start=None, end=None, series_cols=None) -> Data
 
 
 def default_range_kpis(daily: DataFrame, default_days: int = 30, series_cols=None) -> DataFrame:
-    """E3 core: KPIs over the default range ``[max(min, max-30d), max]``: the
-    range is one aggregate per series, joined to the daily rows (a single
-    series: as two values)."""
+    """E3 core: KPIs over the default range ``[max(min, max-30d), max]``.
+
+    The daily rows are made once: they are gathered per series beside the series' first
+    and last day, and the days of the range are unfolded from there. A list
+    holds one entry a day, so it is bounded by the calendar, not by the labels."""
     keys = _keys(series_cols)
-    rng = data_range(daily, default_days, series_cols).select(
-        *keys, F.col("default_start").alias("range_start"), F.col("max_date").alias("range_end"))
-    if keys:
-        d = daily.join(rng, keys)
-    else:
-        one = daily.withColumn("_range", rng.select(F.struct("range_start", "range_end")).scalar())
-        d = one.select(*daily.columns, "_range.range_start", "_range.range_end")
-    d = d.where(F.col("date").between(F.col("range_start"), F.col("range_end")))
+    whole = daily.groupBy(*keys).agg(F.min("date").alias("_first"), F.max("date").alias("range_end"),
+                                     F.collect_list(F.struct("date", "sentiment", "n_articles")).alias("_days"))
+    whole = whole.withColumn("range_start", F.greatest("_first", F.date_sub("range_end", default_days)))
+    d = whole.select(*keys, "range_start", "range_end", F.inline(F.filter("_days", lambda x: x["date"] >= F.col("range_start"))))
     return d.groupBy(*keys, "range_start", "range_end").agg(
         F.avg("sentiment").alias("mean_sentiment"), F.min("sentiment").alias("min_sentiment"),
         F.max("sentiment").alias("max_sentiment"),

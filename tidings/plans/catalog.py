@@ -25,7 +25,7 @@ from tidings.operators import scoring as SC
 from tidings.operators import series as S
 from tidings.operators.lexicon import lexicon_factory
 from tidings.plans import pipelines as PL
-from tidings.session import checkpoint_root
+from tidings.session import checkpoint_root, stage
 from tidings.sources import readers as RD
 from tidings.sources import views as V
 from tidings.sources import writers as WR
@@ -76,6 +76,22 @@ def dashboard_kpis(spark, sf_dir):
     return rounded(S.default_range_kpis(_daily(spark, sf_dir), default_days=30))
 
 
+@register("dashboard_rollup")
+def dashboard_rollup(spark, sf_dir):
+    """A3 + A20 + A21 from a stored rollup: the consensus labels arrive in three
+    lots (by the day of the month), one lot is written twice, the first two are compacted."""
+    from tidings.operators import rollup
+    store = checkpoint_root(spark, "rollup")
+    c = consensus_labels(spark, sf_dir)
+    dated = c.select("label", dates.article_date("article_id", False).alias("date"))
+    states = stage(rollup.day_states(dated), "day-states")  # the only pass over the labels
+    for lot in (0, 1, 1, 2):
+        rollup.write_changes(states.where(F.dayofmonth("date") % 3 == lot), store, lot)
+        if lot == 1:
+            rollup.compact(spark, store)
+    return rounded(S.default_range_kpis(rollup.daily(rollup.read_states(spark, store)), default_days=30))
+
+
 @register("rater_agreement")
 def rater_agreement(spark, sf_dir):
     wide = L.pair_wide(V.rater_labels(spark, sf_dir), "a", "b")
@@ -788,6 +804,28 @@ def stream_daily_sentiment(spark, sf_dir):
     return rounded(out.select("date", "sentiment", "n_articles"))
 
 
+@register("stream_daily_corrections")
+def stream_daily_corrections(spark, sf_dir):
+    """T2 with corrections: a first wave labels every article; a second one labels some of
+    them again (the overlap of the label batches), sends others once more as they are,
+    and brings outdated labels for a few. The days follow the latest labels."""
+    from tidings.operators import rollup
+    from tidings.streaming.corrections import run_correcting_stream
+    root = checkpoint_root(spark, "corrections")
+    landing, store, ck = f"{root}/landing", f"{root}/store", f"{root}/checkpoint"
+    b = V.label_batches(spark, sf_dir)
+    first = b.where("pos >= 0").select("article_id", "label", F.lit(1).cast("long").alias("version"))
+    first.write.mode("append").parquet(landing)
+    run_correcting_stream(spark, landing, store, ck)
+    rollup.compact(spark, store)
+    again = b.where("pos < 0").select("article_id", "label", F.lit(2).cast("long").alias("version"))
+    same = first.where(F.crc32("article_id") % 5 == 0)
+    late = first.where(F.crc32("article_id") % 7 == 0).withColumn("label", F.lit(4.0)).withColumn("version", F.lit(0).cast("long"))
+    again.unionByName(same).unionByName(late).write.mode("append").parquet(landing)
+    run_correcting_stream(spark, landing, store, ck)
+    return rounded(rollup.daily(rollup.read_states(spark, store)))
+
+
 @register("run_record_roundtrip")
 def run_record_roundtrip(spark, sf_dir):
     """K4 + S5 (long form): two prediction modes written as a run (summary +

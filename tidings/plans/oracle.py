@@ -97,6 +97,8 @@ SELECT range_start, range_end,
 FROM daily, rng WHERE date BETWEEN range_start AND range_end
 GROUP BY range_start, range_end"""
 
+ORACLE["dashboard_rollup"] = ORACLE["dashboard_kpis"]
+
 ORACLE["rater_agreement"] = "WITH" + RATER_LABELS + """,
 wide AS (SELECT article_id, max(CASE WHEN rater = 'a' THEN label END) AS label_a,
                 max(CASE WHEN rater = 'b' THEN label END) AS label_b
@@ -135,6 +137,12 @@ label_batches AS (
 ORACLE["merged_label_batches"] = "WITH" + LABEL_BATCHES + """
 SELECT article_id, arg_max(label, src_file) AS label FROM label_batches GROUP BY article_id"""
 
+ORACLE["stream_daily_corrections"] = "WITH" + LABEL_BATCHES + f""",
+latest AS (SELECT article_id, arg_max(label, CASE WHEN pos < 0 THEN 2 ELSE 1 END) AS label FROM label_batches GROUP BY article_id),
+dated AS (SELECT label, {strict_date('article_id')} AS date FROM latest)
+SELECT date, round(avg(label), 9) AS sentiment, count(*) AS n_articles, min(label) AS min_label, max(label) AS max_label
+FROM dated WHERE date IS NOT NULL GROUP BY date"""
+
 ORACLE["merge_file_stats"] = "WITH" + LABEL_BATCHES + """,
 firsts AS (SELECT article_id, min(src_file) AS file FROM label_batches GROUP BY article_id),
 newc AS (SELECT file, count(*) AS new_labels FROM firsts GROUP BY file),
