@@ -606,6 +606,33 @@ def article_arrays(spark, sf_dir):
     return back.select("id", "type", "webPublicationDate", F.md5(F.coalesce("bodyText", F.lit(""))).alias("body_md5"))
 
 
+@register("article_arrays_split")
+def article_arrays_split(spark, sf_dir):
+    """S1 on its real format, each file read by several tasks (ranges of 1 MB)."""
+    from tidings.sources.json_split import read_articles_split
+    root = checkpoint_root(spark, "arrays-split")
+    a = V.articles(spark, sf_dir)
+    art = F.struct("id", "type", "webTitle", "webUrl", "webPublicationDate", F.struct("headline", "standfirst", "bodyText").alias("fields"))
+    files = a.groupBy(F.floor(F.col("doc_id") / 1000).alias("run")).agg(F.to_json(F.collect_list(art)).alias("value"))
+    files.repartition("run").write.partitionBy("run").text(f"{root}/runs")
+    back = read_articles_split(spark, f"{root}/runs", range_bytes=1 << 20)
+    return back.select("id", "type", "webPublicationDate", F.md5(F.coalesce("bodyText", F.lit(""))).alias("body_md5"))
+
+
+@register("label_map_split")
+def label_map_split(spark, sf_dir):
+    """S4 + J2: each rater's labels as JSON objects of up to 10,000 entries, read by several tasks a file (ranges
+    of 64 KB), and their consensus."""
+    from tidings.sources.json_split import read_label_map_split
+    root = checkpoint_root(spark, "label-maps-split")
+    r = V.rater_labels(spark, sf_dir)
+    lot = F.floor(F.regexp_extract("article_id", r"(\d+)$", 1).cast("long") / 10000)
+    obj = r.groupBy("rater", lot.alias("lot")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("article_id", "label")))).alias("value"))
+    obj.write.partitionBy("rater", "lot").text(f"{root}/maps")
+    maps = [read_label_map_split(spark, f"{root}/maps/rater={x}", rater=x, range_bytes=1 << 16) for x in ("a", "b")]
+    return L.consensus(maps[0].unionByName(maps[1]))
+
+
 @register("article_file_index")
 def article_file_index(spark, sf_dir):
     """W6 and F7 in file order: positions over (file, place in the file)."""

@@ -549,6 +549,10 @@ SELECT run, page, pos, id FROM p, stop WHERE page < stop"""
 ORACLE["article_arrays"] = "WITH" + ARTICLES + """
 SELECT id, type, webPublicationDate, md5(coalesce(bodyText, '')) AS body_md5 FROM articles"""
 
+ORACLE["article_arrays_split"] = ORACLE["article_arrays"]
+
+ORACLE["label_map_split"] = ORACLE["consensus_labels"]
+
 ORACLE["article_file_index"] = "WITH" + ARTICLES + """,
 f AS (SELECT id, 'articles_' || (doc_id % 9) || '.json' AS file, CAST(floor(doc_id / 9) AS BIGINT) AS pos FROM articles)
 SELECT id, file, row_number() OVER (ORDER BY file, pos) - 1 AS idx FROM f"""
