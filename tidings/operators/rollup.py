@@ -42,8 +42,8 @@ def daily(states: DataFrame, series_cols=()) -> DataFrame:
     return days.select(*series_cols, "date", (F.col("_sum") / F.col("n_articles")).alias("sentiment"), "n_articles", "min_label", "max_label")
 
 
-def _folders(spark: SparkSession, path: str, name: str) -> list[int]:
-    """Numbers of the complete sub-folders ``<name>=<number>`` of ``path``."""
+def complete_folders(spark: SparkSession, path: str, name: str, marker: bool = True) -> list[int]:
+    """Numbers of the sub-folders ``<name>=<number>`` of ``path`` (with ``marker``: that were written to the end)."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -51,7 +51,7 @@ def _folders(spark: SparkSession, path: str, name: str) -> list[int]:
         return []
     names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
     found = [n for n in names if n.startswith(f"{name}=")]
-    done = [n for n in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    done = [n for n in found if not marker or fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
     return sorted(int(n.split("=")[1]) for n in done)
 
 
@@ -62,17 +62,17 @@ def write_changes(changes: DataFrame, store: str, number: int, series_cols=()) -
 
 def read_states(spark: SparkSession, store: str, schema: T.StructType = STATE) -> DataFrame:
     """The rows of the newest base and of all changes after it; :func:`daily` sums them."""
-    bases = _folders(spark, f"{store}/base", "upto")
+    bases = complete_folders(spark, f"{store}/base", "upto")
     upto = bases[-1] if bases else -1
     paths = [f"{store}/base/upto={upto}"] if bases else []
-    paths += [f"{store}/changes/batch={k}" for k in _folders(spark, f"{store}/changes", "batch") if k > upto]
+    paths += [f"{store}/changes/batch={k}" for k in complete_folders(spark, f"{store}/changes", "batch") if k > upto]
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def compact(spark: SparkSession, store: str, schema: T.StructType = STATE) -> int:
     """Sum the newest base and the changes after it into a new base; its number (-1: nothing to do).
     Older folders are left for the caller to remove when no reader uses them."""
-    bases, changes = _folders(spark, f"{store}/base", "upto"), _folders(spark, f"{store}/changes", "batch")
+    bases, changes = complete_folders(spark, f"{store}/base", "upto"), complete_folders(spark, f"{store}/changes", "batch")
     last = changes[-1] if changes else -1
     if last <= (bases[-1] if bases else -1):
         return bases[-1] if bases else -1

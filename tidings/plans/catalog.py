@@ -568,6 +568,25 @@ def snapshot_merge(spark, sf_dir):
     return merged.select("id", "type", "webTitle", F.md5(F.coalesce("bodyText", F.lit(""))).alias("body_md5"))
 
 
+@register("snapshot_merge_incremental")
+def snapshot_merge_incremental(spark, sf_dir):
+    """S2 into a current table in 64 hash buckets: all articles, then a second snapshot
+    that re-titles every 97th and has outdated rows of every 89th; ``rewritten`` tells
+    whether the article's bucket was written again."""
+    from tidings.sources import current
+    store = checkpoint_root(spark, "current")
+    a = V.articles(spark, sf_dir)
+    first = a.select("id", "type", "webTitle", F.md5(F.coalesce("bodyText", F.lit(""))).alias("body_md5"), F.lit(1).alias("version"), "doc_id")
+    current.merge(first.drop("doc_id"), store, 0, order=["version"])
+    again = first.where(F.col("doc_id") % 97 == 0).withColumns({"webTitle": F.concat("webTitle", F.lit(" (updated)")), "version": F.lit(2)})
+    outdated = first.where(F.col("doc_id") % 89 == 0).withColumns({"webTitle": F.lit("outdated"), "version": F.lit(0)})
+    second = again.unionByName(outdated).drop("doc_id")
+    for _ in range(2):  # as after a crash
+        current.merge(second, store, 1, order=["version"])
+    back = current.read_current(spark, store, second.schema)
+    return back.select("id", "type", "webTitle", "body_md5", (F.col("gen") == 1).alias("rewritten"))
+
+
 @register("label_map_roundtrip")
 def label_map_roundtrip(spark, sf_dir):
     """S4 + U4: label batches written as JSON objects ``{id: label}`` (one file

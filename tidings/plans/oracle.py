@@ -692,6 +692,12 @@ def md5_hash(id_expr: str, seed: int = 42) -> str:
     return f"CAST(('0x' || substr(md5('{seed}:' || CAST({id_expr} AS VARCHAR)), 1, 8)) AS BIGINT)"
 
 
+ORACLE["snapshot_merge_incremental"] = "WITH" + ARTICLES + f""",
+b AS (SELECT *, {md5_hash('id')} % 64 AS bucket FROM articles)
+SELECT id, type, webTitle || CASE WHEN doc_id % 97 = 0 THEN ' (updated)' ELSE '' END AS webTitle, md5(coalesce(bodyText, '')) AS body_md5,
+       bucket IN (SELECT bucket FROM b WHERE doc_id % 97 = 0) AS rewritten
+FROM b"""
+
 ORACLE["hash_split_sizes"] = f"""
 WITH u AS (SELECT {md5_hash('doc_id')} / 4294967296.0 AS u FROM documents)
 SELECT CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'val' ELSE 'test' END AS split, count(*) AS n

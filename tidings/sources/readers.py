@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidings.operators.profile import with_row_index
 from tidings.session import stage
 
 FIELDS = T.StructType([
@@ -84,17 +85,17 @@ def read_article_snapshots(spark: SparkSession, paths, flat: bool = True, multil
 
     The rows are staged once with their position, which is taken as they are read:
     a position computed anew above a join or shuffle need not be the same twice.
-    The winner is picked on ids and one number per row: the file's rank, from
-    the list of files, and the position. Bodies come from a semi join with
+    The winner is picked on ids and one number per row: the file's rank, by its
+    position in the table of files (:func:`tidings.operators.profile.with_row_index`), and the position. Bodies come from a semi join with
     the winners' positions and are never sorted or aggregated."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = _with_file(spark.read.schema(ARTICLE).option("multiLine", multiline).json(paths)).where(F.col("id").isNotNull())
     rows = stage(df.withColumn("_position", F.monotonically_increasing_id()), "snapshot-rows")
-    files = [r["src_file"] for r in rows.select("src_file", "src_mtime").distinct().orderBy("src_mtime", "src_file").toLocalIterator()]
-    ranks = spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file string, _rank long")
+    ranks = with_row_index(rows.select("src_file", "src_mtime").distinct(), ["src_mtime", "src_file"], "_rank")
+    ranks = ranks.select(F.col("src_file").alias("_file"), "_rank")
     span = F.lit(str(1 << 63)).cast("decimal(19,0)")
     order = (F.col("_rank").cast("decimal(18,0)") * span + F.col("_position")).cast("decimal(38,0)")
-    ranked = rows.select("id", "src_file", "_position").join(F.broadcast(ranks), F.col("src_file") == F.col("_file"))
+    ranked = rows.select("id", "src_file", "_position").join(ranks, F.col("src_file") == F.col("_file"))
     winners = ranked.groupBy("id").agg(F.max(order).alias("_last")).select((F.col("_last") % span).cast("long").alias("_position"))
     out = rows.join(winners, "_position", "left_semi").select(*ARTICLE.fieldNames())
     return flatten_articles(out) if flat else out
