@@ -17,16 +17,34 @@ slump recession crash fear fears lower decline declines plunge plunged pessimism
 _WORD = re.compile(r"\w+", re.UNICODE)
 
 
-def lexicon_answer(text: str) -> str:
-    words = _WORD.findall(text.lower())
-    score = sum(w in POSITIVE_WORDS for w in words) - sum(w in NEGATIVE_WORDS for w in words)
+def _score(words: list[str]) -> int:
+    return sum(w in POSITIVE_WORDS for w in words) - sum(w in NEGATIVE_WORDS for w in words)
+
+
+def _answer(score: int) -> str:
     return str(2 + max(-2, min(2, score)))
 
 
+def lexicon_answer(text: str) -> str:
+    return _answer(_score(_WORD.findall(text.lower())))
+
+
 def lexicon_scorer(texts: list[str]) -> list[str]:
     return [lexicon_answer(t) for t in texts]
 
 
+def _with_prefix(prefix: str):
+    """The scorer of ``prefix + text`` that counts the prefix's words once; a word
+    that the prefix ends in is finished by the text."""
+    low = prefix.lower()
+    tail = re.search(r"\w*\Z", low).group()
+    start = _score(_WORD.findall(low[:len(low) - len(tail)]))
+    return lambda texts: [_answer(start + _score(_WORD.findall(tail + t.lower()))) for t in texts]
+
+
+lexicon_scorer.with_prefix = _with_prefix
+
+
 def lexicon_factory():
     """Scorer factory for :func:`tidings.operators.scoring.score_texts`."""
     return lexicon_scorer

@@ -63,11 +63,14 @@ def confusion_matrix(preds: DataFrame, group_cols=("model",), classes=CLASSES,
     group_cols = list(group_cols)
     cells = [(t, p) for t in classes for p in classes]
     n = confusion_counts(preds, group_cols, y_true, y_pred)
-    wide = n.groupBy(*group_cols).agg(*[
-        F.coalesce(F.sum(F.when((F.col("y_true") == t) & (F.col("y_pred") == p), F.col("n"))), F.lit(0)).cast("long").alias(f"_{k}")
-        for k, (t, p) in enumerate(cells)])
-    rows = [F.struct(F.lit(t).alias("y_true"), F.lit(p).alias("y_pred"), F.col(f"_{k}").alias("n")) for k, (t, p) in enumerate(cells)]
-    return wide.select(*group_cols, F.inline(F.array(*rows)))
+    # a few counts a group, as a map by the place of the cell in the grid
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("y_true").cast("int")) * len(classes) \
+        + F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("y_pred").cast("int")) - len(classes) - 1
+    listed = F.col("y_true").isin(list(classes)) & F.col("y_pred").isin(list(classes))
+    held = n.groupBy(*group_cols).agg(F.map_from_entries(F.collect_list(F.when(listed, F.struct(place.alias("k"), F.col("n").alias("v"))))).alias("_counts"))
+    grid = F.array(*[F.struct(F.lit(k).cast("long").alias("_k"), F.lit(t).alias("y_true"), F.lit(p).alias("y_pred")) for k, (t, p) in enumerate(cells)])
+    rows = held.select(*group_cols, "_counts", F.inline(grid))
+    return rows.select(*group_cols, "y_true", "y_pred", F.coalesce(F.try_element_at("_counts", "_k"), F.lit(0)).cast("long").alias("n"))
 
 
 def classification_report(preds: DataFrame, group_cols=("model",), classes=None,

@@ -91,6 +91,34 @@ def few_shot_messages(dataset: DataFrame, examples: DataFrame, text_col: str = "
     return d.withColumn("messages", msgs).drop("_examples")
 
 
+def shared_prefix(examples: DataFrame, text_col: str = "text", label_col: str = "label", system: str = EVAL_SYSTEM_PROMPT) -> DataFrame:
+    """What all few-shot conversations begin with, stored once: (prefix_id,
+    position, message_id, role, content) of the system message and the example pairs (at
+    most eleven rows). Ids are hashes of the content."""
+    block = few_shot_block(examples, text_col, label_col).select(F.concat(
+        F.array(_msg("system", F.lit(system))), F.coalesce("example_messages", F.array().cast("array<struct<role:string,content:string>>"))).alias("m"))
+    block = block.withColumn("prefix_id", F.md5(F.array_join(F.transform("m", lambda x: F.md5(F.concat_ws("\n", x["role"], x["content"]))), ",")))
+    rows = block.select("prefix_id", F.posexplode("m").alias("position", "x"))
+    return rows.select("prefix_id", "position", F.md5("x.content").alias("message_id"), "x.role", "x.content")
+
+
+def conversation_references(dataset: DataFrame, prefix: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """P11 by reference: (id, prefix_id, message_id) of every article's conversation; no
+    example's text is repeated."""
+    return dataset.select(id_col, prefix.agg(F.first("prefix_id")).scalar().alias("prefix_id"), F.md5(article_message(text_col)).alias("message_id"))
+
+
+def message_store(dataset: DataFrame, prefix: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(message_id, role, content): every content that the conversations refer to, once.
+    Of articles with the same text that with the smallest id supplies it: picked on ids, whole texts come from a semi join."""
+    keyed = dataset.select(F.col(id_col).alias("_id"), F.md5(article_message(text_col)).alias("message_id"))
+    first = keyed.groupBy("message_id").agg(F.min("_id").alias("_id")).select("_id")
+    own = dataset.join(first, F.col(id_col) == F.col("_id"), "left_semi").select(
+        F.md5(article_message(text_col)).alias("message_id"), F.lit("user").alias("role"), article_message(text_col).alias("content"))
+    shared = prefix.select("message_id", "role", "content").dropDuplicates(["message_id"])  # at most eleven rows
+    return shared.unionByName(own.join(shared.select("message_id"), "message_id", "left_anti"))
+
+
 def _run_batches(scorer: Callable[[list[str]], list[str]], texts: list[str], batch_size: int):
     """Answers, statuses and errors aligned with ``texts``."""
     n = len(texts)
@@ -122,10 +150,23 @@ def ship_package_by_value() -> None:
     cloudpickle.register_pickle_by_value(sys.modules["tidings"])
 
 
+def _prefixed(scorer: Callable[[list[str]], list[str]], prefix: str) -> Callable[[list[str]], list[str]]:
+    """The scorer of ``prefix + text``. A scorer that can read a prefix once offers
+    ``with_prefix(prefix)``; for others it is put before each text, a batch at a time."""
+    prepare = getattr(scorer, "with_prefix", None)
+    return prepare(prefix) if prepare else lambda texts: scorer([prefix + t for t in texts])
+
+
+def batch_order(texts: list[str]) -> list[int]:
+    """Places of the texts by length (equal lengths as they come): batches of similar lengths need least padding."""
+    return sorted(range(len(texts)), key=lambda k: len(texts[k]))
+
+
 def score_texts(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]], list[str]]],
                 id_col: str = "id", text_col: str = "text", batch_size: int = BATCH_SIZE,
                 keep: list[str] | None = None, spread: int | None = None,
-                prefixes: dict[str, str] | None = None, prefix_col: str | None = None) -> DataFrame:
+                prefixes: dict[str, str] | None = None, prefix_col: str | None = None,
+                by_length: bool = True, profile=None) -> DataFrame:
     """M5 + M6: run ``scorer_factory()`` once per task over batches of
     ``batch_size`` texts. Output ``(id, *keep, raw_response, status, error)``.
 
@@ -137,7 +178,10 @@ def score_texts(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]]
     input arrives in skewed partitions (e.g. after a join on a hot key).
     ``prefixes`` (a few strings by the value of the kept ``prefix_col``) are put
     before the texts inside the task, so that a shared prompt is sent once
-    per task and not with every row.
+    per task and not with every row; a scorer with a ``with_prefix`` method reads it once
+    per task, too. Rows of a record batch are scored in order of
+    length (``by_length``) and answered in their own. ``profile``: a
+    ``ResourceProfile`` for the tasks that score (an accelerator, more memory), on clusters that have one.
     """
     ship_package_by_value()
     keep = list(keep or [])
@@ -150,18 +194,24 @@ def score_texts(df: DataFrame, scorer_factory: Callable[[], Callable[[list[str]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
+        scorers = {k: _prefixed(scorer, p) for k, p in prefixes.items()} if prefixes else {None: scorer}
         for pdf in batches:
             texts = pdf["_text"].fillna("").astype(str).tolist()
-            if prefixes:
-                texts = [prefixes[k] + t for k, t in zip(pdf[prefix_col], texts, strict=True)]
-            answers, status, errors = _run_batches(scorer, texts, batch_size)
+            which = pdf[prefix_col].tolist() if prefixes else [None] * len(texts)
+            order = batch_order(texts) if by_length else range(len(texts))
+            result: list = [None] * len(texts)
+            for name, score in scorers.items():
+                places = [k for k in order if which[k] == name]
+                answers = _run_batches(score, [texts[k] for k in places], batch_size)
+                for k, *found in zip(places, *answers, strict=True):
+                    result[k] = found
             out = pdf[[id_col] + keep].copy()
-            out["raw_response"] = [None if a is None else str(a) for a in answers]
-            out["status"] = status
-            out["error"] = errors
+            out["raw_response"] = [None if a is None else str(a) for a, _, _ in result]
+            out["status"] = [s for _, s, _ in result]
+            out["error"] = [e for _, _, e in result]
             yield out
 
-    return src.mapInPandas(run, schema)
+    return src.mapInPandas(run, schema, profile=profile)
 
 
 def with_label(scored: DataFrame, parser=parse_label_strict, default_on_error: bool = False) -> DataFrame:
@@ -176,11 +226,14 @@ def with_label(scored: DataFrame, parser=parse_label_strict, default_on_error: b
 
 
 def not_yet_scored(articles: DataFrame, results: DataFrame | None, id_col: str = "id",
-                   result_id: str = "id") -> DataFrame:
+                   result_id: str = "id", join_hint: str | None = None) -> DataFrame:
     """M7: resume by id (Q15) - articles whose id has no successful result. One
-    anti join that reads two narrow columns of the results."""
+    anti join that reads two narrow columns of the results. Two tables bucketed by id
+    (:func:`tidings.sources.writers.write_bucketed`) meet without a shuffle; ``join_hint="merge"``
+    keeps Spark from sending a small result table to all tasks instead."""
     if results is None:
         return articles
+    results = results.hint(join_hint) if join_hint else results
     done = results.where(F.col("status") == "ok").select(F.col(result_id).alias("_done"))
     return articles.join(done, F.col(id_col).cast("string") == F.col("_done"), "left_anti")
 

@@ -8,6 +8,7 @@ Floating results are rounded to 9 places for the value-hash comparison.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -383,12 +384,44 @@ def few_shot_examples(spark, sf_dir):
 @register("chat_prompts")
 def chat_prompts(spark, sf_dir):
     """The few-shot conversation of every article that is no example: roles in
-    order and a hash of each message's content."""
+    order and a hash of each message's content. The shared messages are stored once
+    and referred to; no row holds an example's text."""
     d = _eval_dataset(spark, sf_dir)
     ids = [r["id"] for r in LE.few_shot_examples(d.select("id", "label", "type")).select("id").collect()]  # one per class
-    m = SC.few_shot_messages(d.where(~F.col("id").isin(ids)), d.where(F.col("id").isin(ids)).select("text", "label"))
-    return m.select("id", F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"),
-                    F.array_join(F.transform("messages", lambda x: F.md5(x["content"])), ",").alias("content_md5"))
+    prefix = SC.shared_prefix(d.where(F.col("id").isin(ids)).select("text", "label"))
+    refs = SC.conversation_references(d.where(~F.col("id").isin(ids)), prefix)
+    ordered = F.array_sort(F.collect_list(F.struct("position", "role", "message_id")))
+    heads = prefix.groupBy("prefix_id").agg(F.array_join(ordered["role"], ",").alias("roles"), F.array_join(ordered["message_id"], ",").alias("ids"))
+    return refs.join(heads, "prefix_id").select("id", F.concat("roles", F.lit(",user")).alias("roles"), F.concat("ids", F.lit(","), "message_id").alias("content_md5"))
+
+
+@register("message_store")
+def message_store(spark, sf_dir):
+    """Every message of the few-shot conversations once, by its hash."""
+    d = _eval_dataset(spark, sf_dir)
+    ids = [r["id"] for r in LE.few_shot_examples(d.select("id", "label", "type")).select("id").collect()]  # one per class
+    prefix = SC.shared_prefix(d.where(F.col("id").isin(ids)).select("text", "label"))
+    store = SC.message_store(d.where(~F.col("id").isin(ids)), prefix)
+    return store.select("message_id", "role", F.length("content").cast("long").alias("n_chars"))
+
+
+@register("resumed_labelling")
+def resumed_labelling(spark, sf_dir):
+    """M7 + E5: a first run labels the articles that aren't Spanish, and every eleventh of
+    its calls (by hash) fails; the second run labels what has no successful result.
+    Articles and results are bucketed by id, so that they meet without a shuffle."""
+    root, tag = checkpoint_root(spark, "resume"), uuid.uuid4().hex
+    a = V.articles(spark, sf_dir).select("id", "type", "webTitle", "bodyText", "lang")
+    WR.write_bucketed(a, f"articles_{tag}", f"{root}/articles", key="id", buckets=32)
+    articles = spark.table(f"articles_{tag}")
+    first = PL.labelling_run(articles.where("lang <> 'es'"), lexicon_factory)
+    failed = LE.id_hash("id") % 11 == 0
+    first = first.select("id", F.when(failed, "failed").otherwise(F.col("status")).alias("status"), F.when(~failed, F.col("label")).alias("label"))
+    WR.write_bucketed(first, f"results_{tag}", f"{root}/results", key="id", buckets=32)
+    results = spark.table(f"results_{tag}")
+    second = PL.labelling_run(articles, lexicon_factory, previous=results, join_hint="merge")
+    runs = results.where("status = 'ok'").select("id", "status", "label", F.lit(1).alias("run"))
+    return runs.unionByName(second.select("id", "status", "label", F.lit(2).alias("run")))
 
 
 @register("hash_split")
@@ -718,13 +751,37 @@ def articles_by_type_roundtrip(spark, sf_dir):
 @register("article_index")
 def article_index(spark, sf_dir):
     """Stable 0-based position of every article in document order."""
-    return PR.with_row_index(V.articles(spark, sf_dir), "doc_id").select("id", "idx")
+    return PR.with_row_index(V.articles(spark, sf_dir).select("id", "doc_id"), "doc_id").select("id", "idx")
 
 
 @register("article_index_range")
 def article_index_range(spark, sf_dir):
     """the labelling batch at positions [100, 150)."""
-    return PR.index_range(V.articles(spark, sf_dir), 100, 50, "doc_id").select("id", "idx")
+    return PR.index_range(V.articles(spark, sf_dir).select("id", "doc_id"), 100, 50, "doc_id").select("id", "idx")
+
+
+def _indexed_articles(spark, sf_dir) -> tuple[str, str]:
+    from tidings.sources import positions
+    root = checkpoint_root(spark, "positions")
+    WR.write_in_order(V.articles(spark, sf_dir), f"{root}/articles", ["doc_id"], files=16)
+    positions.build_index(spark, f"{root}/articles", f"{root}/index")
+    return f"{root}/articles", f"{root}/index"
+
+
+@register("article_positions")
+def article_positions(spark, sf_dir):
+    """W6 from a stored index: every article's position without sorting the table."""
+    from tidings.sources import positions
+    return positions.with_position(spark, *_indexed_articles(spark, sf_dir)).select("id", "idx")
+
+
+@register("article_position_range")
+def article_position_range(spark, sf_dir):
+    """F7 from a stored index: the labelling batch at positions [100, 150), whole articles;
+    only the files that hold it are opened."""
+    from tidings.sources import positions
+    batch = positions.read_positions(spark, *_indexed_articles(spark, sf_dir), 100, 50)
+    return batch.select("id", "idx", F.md5(F.coalesce("bodyText", F.lit(""))).alias("body_md5"))
 
 
 @register("newest_articles")

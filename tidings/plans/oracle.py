@@ -577,6 +577,12 @@ ORACLE["article_index_range"] = "WITH" + ARTICLES + """
 SELECT * FROM (SELECT id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx FROM articles)
 WHERE idx >= 100 AND idx < 150"""
 
+ORACLE["article_positions"] = ORACLE["article_index"]
+
+ORACLE["article_position_range"] = "WITH" + ARTICLES + """
+SELECT * FROM (SELECT id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx, md5(coalesce(bodyText, '')) AS body_md5 FROM articles)
+WHERE idx >= 100 AND idx < 150"""
+
 ORACLE["newest_articles"] = "WITH" + ARTICLES + """
 SELECT id, webPublicationDate FROM articles ORDER BY webPublicationDate DESC, id DESC LIMIT 50"""
 
@@ -813,6 +819,26 @@ FROM d, e WHERE d.id NOT IN (SELECT id FROM ex)"""
 
 ORACLE["chat_prompts"] = _chat_prompts_sql()
 
+
+def _message_store_sql():
+    from tidings.operators.scoring import EVAL_SYSTEM_PROMPT  # fixed prompt text
+    return "WITH" + CONSENSUS + f""",
+d AS (SELECT a.id, CAST(trunc(c.label) AS INTEGER) AS label, {TITLE_BODY} AS text
+      FROM articles a JOIN consensus c ON c.article_id = a.id WHERE a.type IS NULL OR a.type <> 'liveblog'),
+ex AS (SELECT label, arg_min(id, ({md5_hash('id')}, id)) AS id FROM d GROUP BY label),
+m AS (SELECT 'system' AS role, {sql_literal(EVAL_SYSTEM_PROMPT)} AS content
+      UNION ALL SELECT 'assistant', CAST(label AS VARCHAR) FROM ex
+      UNION ALL SELECT 'user', 'Article:' || chr(10) || text FROM d)
+SELECT DISTINCT md5(content) AS message_id, role, length(content) AS n_chars FROM m"""
+
+
+ORACLE["message_store"] = _message_store_sql()
+
+ORACLE["resumed_labelling"] = "WITH" + ARTICLES + f"""
+SELECT id, 'ok' AS status, CAST(2 + greatest(-2, least(2, {_P} - {_N})) AS INTEGER) AS label,
+       CASE WHEN lang <> 'es' AND {md5_hash('id')} % 11 <> 0 THEN 1 ELSE 2 END AS run
+FROM articles WHERE (type IS NULL OR type <> 'liveblog') AND id IS NOT NULL"""
+
 ORACLE["run_record_roundtrip"] = "WITH" + PREDICTIONS + """,
 p AS (SELECT CASE WHEN model = 'rater_b' THEN 'zero_shot' ELSE 'few_shot' END AS mode, article_id, y_pred AS pred
       FROM predictions),

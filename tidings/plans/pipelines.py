@@ -81,12 +81,12 @@ def article_profile(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def labelling_run(articles: DataFrame, scorer_factory: Callable, previous: DataFrame | None = None,
-                  prompt: str = "simple", batch_size: int = scoring.BATCH_SIZE) -> DataFrame:
+                  prompt: str = "simple", batch_size: int = scoring.BATCH_SIZE, join_hint: str | None = None) -> DataFrame:
     """E5: drop liveblogs (F1), skip ids already labelled (M7), build the
     prompt (P8/P9), score (M5), parse (P15) with failures kept apart (M6),
     plus token estimates for the usage report (A23)."""
     a = profile.drop_liveblogs(articles).where(F.col("id").isNotNull())
-    a = scoring.not_yet_scored(a, previous)
+    a = scoring.not_yet_scored(a, previous, join_hint=join_hint)
     p = text.sectioned_prompt() if prompt == "sectioned" else text.simple_prompt()
     a = a.withColumn("prompt", p).withColumn("prompt_tokens", text.estimate_tokens("prompt"))
     scored = scoring.score_texts(a, scorer_factory, "id", "prompt", batch_size, keep=["prompt_tokens"])

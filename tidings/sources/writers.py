@@ -69,6 +69,15 @@ def write_bucketed(df: DataFrame, table_name: str, path: str, key: str = "articl
        .bucketBy(buckets, key).sortBy(key).saveAsTable(table_name))
 
 
+def write_in_order(df: DataFrame, path: str, order_cols: list[str], files: int | None = None, mode: str = "overwrite") -> None:
+    """Write ``df`` sorted by ``order_cols`` over files that follow each other by name
+    (ranges of the order, sorted inside), as :mod:`tidings.sources.positions` reads them.
+    The one sort of the table, when it is written. ``files``: how many (default: by size)."""
+    keys = [F.col(c).asc_nulls_first() for c in order_cols]
+    ranged = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    ranged.sortWithinPartitions(*keys).write.mode(mode).parquet(path)
+
+
 def write_dated_labels(labels: DataFrame, path: str, id_col: str = "article_id", lenient: bool = False,
                        mode: str = "overwrite") -> None:
     """Materialise the article date (P1/P2) at ingest and write the labels
