@@ -151,6 +151,18 @@ def segment_returns(spark, sf_dir):
     return rounded(S.daily_returns(prices))
 
 
+@register("tick_features")
+def tick_features(spark, sf_dir):
+    """W1-W3 on one long series: every order is a tick of the same series (every ninth
+    without a price), in slices of 2,000 rows."""
+    from tidings.operators.sliced import sliced_features
+    o = V.table(spark, sf_dir, "orders")
+    ticks = o.select("o_orderkey", F.lit("all").alias("symbol"), F.col("o_orderdate").alias("ts"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice")).alias("close"),
+                     (F.col("o_custkey") % 5).cast("double").alias("sentiment"))
+    out = sliced_features(ticks, ["ts", "o_orderkey"], smooth=("sentiment",), slice_rows=2000)
+    return rounded(out.select("o_orderkey", "return", "return_smoothed", "sentiment_smoothed", "return_lead1", "return_lead5"))
+
+
 @register("returns_date_slice")
 def returns_date_slice(spark, sf_dir):
     r = S.daily_returns(V.daily_prices(spark, sf_dir, by_segment=True, min_orders=MIN_ORDERS_PER_DAY))

@@ -242,6 +242,15 @@ _RET = "WITH" + market_ctes(True).split(",\njoined AS")[0]
 ORACLE["segment_returns"] = _RET + """
 SELECT symbol, date, round(close, 9) AS close, round("return", 9) AS "return" FROM returns"""
 
+ORACLE["tick_features"] = """
+WITH t AS (SELECT o_orderkey, o_orderdate AS ts, CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END AS close, CAST(o_custkey % 5 AS DOUBLE) AS s FROM orders),
+f AS (SELECT *, last_value(close IGNORE NULLS) OVER (ORDER BY ts, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS filled FROM t),
+r AS (SELECT *, filled / lag(filled) OVER (ORDER BY ts, o_orderkey) - 1 AS r FROM f)
+SELECT o_orderkey, round(r, 9) AS "return",
+       round(CASE WHEN count(r) OVER w = 5 THEN avg(r) OVER w END, 9) AS return_smoothed, round(CASE WHEN count(s) OVER w = 5 THEN avg(s) OVER w END, 9) AS sentiment_smoothed,
+       round(lead(r, 1) OVER (ORDER BY ts, o_orderkey), 9) AS return_lead1, round(lead(r, 5) OVER (ORDER BY ts, o_orderkey), 9) AS return_lead5
+FROM r WINDOW w AS (ORDER BY ts, o_orderkey ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""
+
 ORACLE["returns_date_slice"] = _RET + """
 SELECT symbol, date, round(close, 9) AS close, round("return", 9) AS "return" FROM returns
 WHERE date >= DATE '1996-01-01' AND date < DATE '1997-01-01'"""
