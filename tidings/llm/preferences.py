@@ -2,10 +2,16 @@
 
 A pair's chosen and rejected conversations are compared turn by turn. The longest
 common prefix of turns is rendered once, as the prompt; what follows is rendered
-per side as its completion. The result has one row per rendered turn, with a mask
-that is true where a model is trained: assistant turns of a completion. DataFrame
+per side as its completion. The result has one row per rendered turn, with a mask:
+``trained`` is true for assistant turns of a completion, and of these the code points
+from ``trained_from`` to ``trained_to`` (end exclusive) are trained on: the content and the mark that ends
+it, not the header. DataFrame
 functions only, and no conversation is gathered into one row or task.
 
+A text can't forge a turn: where a text or role holds one of the marks, a backslash is put
+behind its ``<`` (one more where some are there already, so that it can be taken back), and line
+breaks in a role become blanks.
+
 Edge cases: turns are ordered by ``turn``, null first; rows with the same turn are
 one step, ordered by role and text, and steps are equal when they hold the same
 rows as often; null roles and texts equal nulls and are rendered as empty; a
@@ -16,12 +22,20 @@ no prompt. Rows without pair id are left out. Other columns are not carried.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.llm.common import table
+from tidings.operators.profile import with_row_index
+from tidings.session import stage
 
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
+_MARK = r"<(\\*)\|im_(start|end)\|>"
+
+
+def escaped(text: Column) -> Column:
+    """The text with a backslash (one more) in every mark."""
+    return F.regexp_replace(text, _MARK, r"<\\$1|im_$2|>")
 
 
 def common_prefix(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -41,43 +55,51 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rows (``pair_id``, ``turn``, ``role``, ``text``) of both sides to rendered
     turns: ``pair_id``, ``part`` (prompt, chosen, rejected), ``turn``, ``role``,
     ``rendered``, ``trained``. A part's rows in order of turn, role and text make its string."""
-    cut = common_prefix(chosen, rejected)
+    cut = stage(common_prefix(chosen, rejected), "first-differences")
     both = chosen.select("pair_id", "turn", "role", "text", F.lit("chosen").alias("side")).unionByName(
         rejected.select("pair_id", "turn", "role", "text", F.lit("rejected").alias("side")))
     rows = both.join(cut, "pair_id")
+    rows = rows.withColumns({"_head": F.concat(F.lit(BEGIN), F.translate(escaped(F.coalesce("role", F.lit(""))), "\n\r", "  "), F.lit("\n")),
+                             "_body": F.concat(escaped(F.coalesce("text", F.lit(""))), F.lit(END))})
     prompt = F.col("cut").isNull() | (F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn")) < F.col("cut"))
     rows = rows.withColumn("part", F.when(prompt, "prompt").otherwise(F.col("side"))).where((F.col("part") != "prompt") | (F.col("side") == "chosen"))
-    rendered = F.concat(F.lit(BEGIN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(END))
-    return rows.select("pair_id", "part", "turn", "role", rendered.alias("rendered"),
-                       ((F.col("part") != "prompt") & F.coalesce(F.col("role") == "assistant", F.lit(False))).alias("trained"))
+    trained = (F.col("part") != "prompt") & F.coalesce(F.col("role") == "assistant", F.lit(False))
+    begin = F.length("_head").cast("long")
+    return rows.select("pair_id", "part", "turn", "role", F.concat("_head", "_body").alias("rendered"), trained.alias("trained"),
+                       F.when(trained, begin).alias("trained_from"), F.when(trained, begin + F.length("_body") - 1).alias("trained_to"))
 
 
 def neighbour_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Preference pairs from plain conversations: each is chosen over itself with
-    the last assistant turn replaced by that of its neighbour (ids 2k and 2k + 1).
-    Conversations without such a turn, or without such a neighbour, make no pair;
-    of several rows of the last assistant turn the one with the largest text is the reply."""
+    """Preference pairs from plain conversations: each with an assistant turn is chosen over
+    itself with the last such turn replaced by that of the next one (by id; the last takes the
+    first's). A turn of several rows is replaced with all its assistant rows; what followed the
+    turn goes. Conversations without an assistant turn make no pair, nor does a single one.
+
+    The last turns and the neighbours are found on numbers (ids, turns and positions) and
+    staged; no text is sorted or aggregated."""
     turns = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    last = turns.where("role = 'assistant' AND turn IS NOT NULL").groupBy("pair_id").agg(
-        F.max(F.struct("turn", "text")).alias("reply"))
-    last = last.withColumn("at", F.col("reply.turn"))
-    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("reply.text").alias("text"))
-    paired = last.select("pair_id", "at").join(other, "pair_id")
-    ends = paired.select("pair_id", "at")
-    chosen = turns.join(ends, "pair_id").drop("at")
-    before = turns.join(ends, "pair_id").where("turn IS NULL OR turn < at").drop("at")
-    reply = paired.select("pair_id", F.col("at").alias("turn"), F.lit("assistant").alias("role"), "text")
-    return chosen, before.unionByName(reply)
+    last = turns.where("role = 'assistant' AND turn IS NOT NULL").groupBy("pair_id").agg(F.max("turn").alias("at"))
+    last = stage(with_row_index(last, "pair_id", "_place"), "last-replies")
+    n = max(last.count(), 1)
+    following = last.select(((F.col("_place") + n - 1) % n).alias("_place"), F.col("pair_id").alias("other"), F.col("at").alias("other_at"))
+    paired = stage(last.join(following, "_place").where("pair_id <> other").drop("_place"), "reply-pairs")
+    both = turns.join(paired.select("pair_id", "at"), "pair_id")
+    before = both.where("turn IS NULL OR turn < at")
+    replies = turns.where("role = 'assistant'").withColumnRenamed("pair_id", "other").join(
+        paired.withColumnRenamed("other_at", "turn"), ["other", "turn"]).select("pair_id", F.col("at").alias("turn"), "role", "text")
+    return both.drop("at"), before.drop("at").unionByName(replies)
 
 
 def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_pairs(*neighbour_pairs(table(spark, sf_dir, "conversations")))
 
 
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|im_(start|end)\|>', '<\\\1|im_\2|>', 'g')"
 ORACLE = f"""
 WITH t AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations),
-l AS (SELECT pair_id, arg_max(text, turn) AS text, max(turn) AS pos FROM t WHERE role = 'assistant' GROUP BY pair_id),
-p AS (SELECT l.pair_id, l.pos, o.text FROM l JOIN l o ON o.pair_id = xor(l.pair_id, 1)),
+l AS (SELECT pair_id, max(turn) AS pos FROM t WHERE role = 'assistant' GROUP BY pair_id),
+n AS (SELECT pair_id, pos, coalesce(lead(pair_id) OVER (ORDER BY pair_id), first_value(pair_id) OVER (ORDER BY pair_id)) AS other FROM l),
+p AS (SELECT n.pair_id, n.pos, t.text FROM n JOIN l o ON o.pair_id = n.other JOIN t ON t.pair_id = o.pair_id AND t.turn = o.pos AND t.role = 'assistant' WHERE n.pair_id <> n.other),
 c AS (SELECT t.* FROM t JOIN p USING (pair_id)),
 r AS (SELECT t.* FROM t JOIN p USING (pair_id) WHERE turn < p.pos UNION ALL SELECT pair_id, pos, 'assistant', text FROM p),
 d AS (SELECT pair_id, min(turn) AS cut FROM (
@@ -87,8 +109,10 @@ d AS (SELECT pair_id, min(turn) AS cut FROM (
 a AS (
   SELECT c.*, CASE WHEN cut IS NULL OR turn < cut THEN 'prompt' ELSE 'chosen' END AS part FROM c LEFT JOIN d USING (pair_id)
   UNION ALL
-  SELECT r.*, 'rejected' FROM r JOIN d USING (pair_id) WHERE turn >= cut)
-SELECT pair_id, part, turn, role, '{BEGIN}' || role || chr(10) || text || '{END[:-1]}' || chr(10) AS rendered,
-       part <> 'prompt' AND role = 'assistant' AS trained
-FROM a
+  SELECT r.*, 'rejected' FROM r JOIN d USING (pair_id) WHERE turn >= cut),
+e AS (SELECT *, '{BEGIN}' || translate({_ESCAPED.format('role')}, chr(10) || chr(13), '  ') || chr(10) AS head,
+             {_ESCAPED.format('text')} || '{END[:-1]}' || chr(10) AS body, part <> 'prompt' AND role = 'assistant' AS trained FROM a)
+SELECT pair_id, part, turn, role, head || body AS rendered, trained,
+       CASE WHEN trained THEN length(head) END AS trained_from, CASE WHEN trained THEN length(head) + length(body) - 1 END AS trained_to
+FROM e
 """

@@ -45,6 +45,8 @@ MIN_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
 #: Records that start within the same so many bytes of an archive are read by the same task.
 BLOCK_BYTES = 8 << 20
+#: Tasks of a reading pass, at most.
+MAX_TASKS = 100_000
 #: Ranges nearer to each other than this are read at once, up to READ_BYTES.
 GAP_BYTES, READ_BYTES = 16 << 10, 4 << 20
 
@@ -109,8 +111,11 @@ def stored_members(read_at: ReadAt, size: int) -> dict[str, tuple[int, int]]:
     if k < 0:
         raise ValueError("no end-of-central-directory record")
     count, length, start = struct.unpack("<HLL", tail[k + 10:k + 20])
-    if k >= 20 and tail[k - 20:k - 16] == b"PK\x06\x07":
-        end64, = struct.unpack("<Q", tail[k - 12:k - 4])
+    # the ZIP64 locator stands before the record, with a long comment before the tail too
+    before = tail_at + k - 20
+    locator = read_at(before, 20) if before >= 0 else b""
+    if locator[:4] == b"PK\x06\x07":
+        end64, = struct.unpack("<Q", locator[8:16])
         count, length, start = struct.unpack("<QQQ", read_at(end64 + 32, 24))
     directory, at, out = read_at(start, length), 0, {}
     for _ in range(count):
@@ -202,15 +207,24 @@ def read_index(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"{path}: the index points behind the data")
                 yield pd.DataFrame({"path": path, "at": [data + o for o in offsets], "length": lengths})
 
-    return manifest.select("path").repartition("path").mapInPandas(entries, "path string, at long, length long")
+    # a task a few archives, however few bytes their paths have; the manifest is staged
+    tasks = max(1, min(manifest.count(), MAX_TASKS))
+    return manifest.select("path").repartition(tasks, "path").mapInPandas(entries, "path string, at long, length long")
 
 
 RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
 
 
-def read_records(entries: DataFrame, payload: bool = True) -> DataFrame:
+def blocks_of(manifest: DataFrame) -> int:
+    """Tasks to read all records of a (staged) manifest: one a block of bytes, since the entries' own size says nothing of it."""
+    total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return max(1, min(-(-total // BLOCK_BYTES), MAX_TASKS))
+
+
+def read_records(entries: DataFrame, payload: bool = True, tasks: int | None = None) -> DataFrame:
     """The records of the given entries; neighbouring ranges are read at once.
-    ``payload=False`` checks the payloads but leaves them out."""
+    ``payload=False`` checks the payloads but leaves them out. ``tasks``: how many
+    read (:func:`blocks_of`); Spark would size them by the entries, not by what they point to."""
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path, f = None, None
@@ -236,12 +250,13 @@ def read_records(entries: DataFrame, payload: bool = True) -> DataFrame:
                 k = j + 1
 
     block = F.floor(F.col("at") / BLOCK_BYTES)
-    return entries.repartition("path", block).sortWithinPartitions("path", "at").mapInPandas(fetch, RECORD)
+    dealt = entries.repartition(tasks, "path", block) if tasks else entries.repartition("path", block)
+    return dealt.sortWithinPartitions("path", "at").mapInPandas(fetch, RECORD)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), checkpoint_root(spark, "archives"))
-    found = read_records(read_index(manifest), payload=False)
+    found = read_records(read_index(manifest), payload=False, tasks=blocks_of(manifest))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
