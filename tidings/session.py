@@ -84,11 +84,8 @@ def checkpoint_root(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: cuts
-    the lineage, survives lost executors, and is computed once however often
-    the result is used. The shuffle files of the write are removed with it,
-    rather than whenever the driver collects its garbage."""
+def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """:func:`stage`, with the folder of the copy, for :func:`release`."""
     spark = df.sparkSession
     path = checkpoint_root(spark, name)
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
@@ -100,7 +97,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(SHUFFLE_CLEANUP)
         else:
             spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back: cuts
+    the lineage, survives lost executors, and is computed once however often
+    the result is used. The shuffle files of the write are removed with it,
+    rather than whenever the driver collects its garbage."""
+    return stage_at(df, name)[0]
 
 
 def release_staged(spark: SparkSession, since: int = 0) -> None:
@@ -109,6 +114,13 @@ def release_staged(spark: SparkSession, since: int = 0) -> None:
         _delete(spark, _STAGED.pop())
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Delete one staged folder that nothing reads any more; whatever else has been staged stays."""
+    if path in _STAGED:
+        _STAGED.remove(path)
+    _delete(spark, path)
+
+
 def release_previous(spark: SparkSession) -> None:
     """Delete the folder staged before the last one."""
     _delete(spark, _STAGED.pop(-2))
