@@ -40,6 +40,34 @@ def test_automaton_against_brute_force(ws, texts, window):
     assert all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
 
 
+def test_periodic_texts_and_items_take_linear_time():
+    def steps(n):
+        automaton = decontaminate.SuffixAutomaton([("a", [b"x"] * n), ("b", [b"x", b"y"] * (n // 2)), ("c", [b"x"] * 3)])
+        count = 0
+        known = automaton.nearest_whole
+
+        class Counted(list):
+            def __getitem__(self, k):
+                nonlocal count
+                count += 1
+                return list.__getitem__(self, k)
+        automaton.nearest_whole = Counted(known)
+        spans, found = automaton.matches([b"x"] * 5000)
+        assert spans == [(0, 5000)] and {automaton.ids[i] for i in found} == {"a", "c"}
+        return count
+    assert steps(2000) <= 3 * 5000 and steps(2000) == steps(200)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=60), st.integers(1, 20), st.integers(1, 8))
+def test_pieces_hold_every_window_once(ws, size, window):
+    def windows(x):
+        return [tuple(x[p:p + window]) for p in range(len(x) - window + 1)]
+    parts = list(decontaminate.pieces(ws, size, window))
+    assert [w for p in parts for w in windows(p)] == windows(ws) and all(len(p) <= max(size, window) or len(ws) < window for p in parts)
+    assert len(ws) >= window or parts == [ws]
+
+
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
 
 

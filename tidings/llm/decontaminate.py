@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidings.llm.common import table
-from tidings.session import release_previous, stage
+from tidings.session import release, stage_at
 
 WINDOW = 10
 #: Words of the items in one automaton (about 1 KB of memory a word).
@@ -66,6 +66,12 @@ class SuffixAutomaton:
             last = 0
             for w in ws:
                 last = self._extend(last, w)
+        # per state, from short to long: what its last ``window`` words are, and the nearest suffix that is a whole item
+        self.last_window = list(range(len(self.next)))
+        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        for s in order:
+            if self.length[self.link[s]] >= window:
+                self.last_window[s] = self.last_window[self.link[s]]
         self.shortest = min((min(window, len(ws)) for _, ws in coded), default=0)
         # items by the state that holds their windows; of shorter items by state and length
         self.windows: dict[int, set[int]] = {}
@@ -73,9 +79,12 @@ class SuffixAutomaton:
         for i, ws in coded:
             for _, state, run in self.stream(ws):
                 if run >= window:
-                    self.windows.setdefault(self._shorten(state, window), set()).add(i)
-            if len(ws) < window:
-                self.whole.setdefault(self._shorten(state, len(ws)), {}).setdefault(len(ws), set()).add(i)
+                    self.windows.setdefault(self.last_window[state], set()).add(i)
+            if len(ws) < window:  # ``state`` is that of all its words
+                self.whole.setdefault(state, {}).setdefault(len(ws), set()).add(i)
+        self.nearest_whole = [0] * len(self.next)
+        for s in order:
+            self.nearest_whole[s] = s if s in self.whole else self.nearest_whole[self.link[s]]
         self.pairs = np.unique(np.concatenate([np.empty(0, np.int64), *(np.array(ws[:-1], np.int64) * len(self.vocabulary) + ws[1:] for _, ws in coded)]))
 
     @classmethod
@@ -114,12 +123,6 @@ class SuffixAutomaton:
             p = self.link[p]
         return copy
 
-    def _shorten(self, state: int, length: int) -> int:
-        """The state of the last ``length`` words of what ``state`` stands for."""
-        while self.length[self.link[state]] >= length:
-            state = self.link[state]
-        return state
-
     def stream(self, ws: list[int]) -> Iterator[tuple[int, int, int]]:
         """(position, state, length of the longest run of item words that ends there)."""
         state = run = 0
@@ -166,14 +169,14 @@ class SuffixAutomaton:
             reach = 0
             if run >= self.window:
                 reach = self.window
-                found |= self.windows.get(self._shorten(state, reach), set())
-            s = state
-            while s:  # shorter items that end here
-                for length, items in self.whole.get(s, {}).items():
+                found |= self.windows.get(self.last_window[state], set())
+            s = self.nearest_whole[state]
+            while s:  # shorter items that end here: fewer than a window has words
+                for length, items in self.whole[s].items():
                     if length <= run:
                         reach = max(reach, length)
                         found |= items
-                s = self.link[s]
+                s = self.nearest_whole[self.link[s]]
             if reach:
                 left, right = start + k + 1 - reach, start + k + 1
                 while spans and spans[-1][1] >= left:
@@ -186,17 +189,24 @@ FOUND = T.StructType([
     T.StructField("item_ids", T.ArrayType(T.StringType()))])
 
 
-def _slices(items: DataFrame, item_id: str, text: str, slice_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """Items, a bounded number of words at a time."""
+def pieces(ws: list[bytes], size: int, window: int) -> Iterator[list[bytes]]:
+    """An item's words, those of a longer item than ``size`` in pieces that hold each of its windows once."""
+    step = max(size, window) - window + 1
+    for a in range(0, max(len(ws) - window + 1, 1), step):
+        yield ws[a:a + step + window - 1]
+
+
+def _slices(items: DataFrame, item_id: str, text: str, slice_words: int, window: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Items, a bounded number of words at a time; one longer than that comes in pieces."""
     part: list[tuple[str | None, list[bytes]]] = []
     n = 0
     for i, t in items.select(F.col(item_id).cast("string"), text).where(F.col(text).isNotNull()).distinct().toLocalIterator():
-        ws = words(t)
-        if part and n + len(ws) > slice_words:
-            yield part
-            part, n = [], 0
-        part.append((i, ws))
-        n += len(ws)
+        for ws in pieces(words(t), slice_words, window):
+            if part and n + len(ws) > slice_words:
+                yield part
+                part, n = [], 0
+            part.append((i, ws))
+            n += len(ws)
     yield part
 
 
@@ -260,8 +270,8 @@ def _scan(docs: DataFrame, items: DataFrame, text: str, change: str, item_id: st
     """One pass for each slice of the items; columns ``c0``, ``c1`` ... and those of ``FOUND``."""
     sc, at, width = docs.sparkSession.sparkContext, docs.columns.index(text), len(docs.columns)
     out = docs.toDF(*[f"c{k}" for k in range(width)])
-    fields, again = out.schema.fields, False
-    parts = _slices(items, item_id, item_text, slice_words)
+    fields, again, before = out.schema.fields, False, None
+    parts = _slices(items, item_id, item_text, slice_words, window)
     part = next(parts)
     while part is not None:
         following = next(parts, None)
@@ -270,10 +280,11 @@ def _scan(docs: DataFrame, items: DataFrame, text: str, change: str, item_id: st
         kept = [f for k, f in enumerate(fields) if last != "drop" or k != at]
         out = out.mapInArrow(_scanner(shared, at, width, again, last), T.StructType(kept + FOUND.fields))
         if following is not None:
-            out = stage(out, "found-spans")
+            out, path = stage_at(out, "found-spans")
             shared.destroy()
-            if again:
-                release_previous(docs.sparkSession)
+            if before:
+                release(docs.sparkSession, before)
+            before = path
         part, again = following, True
     return out
 
