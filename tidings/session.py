@@ -121,11 +121,6 @@ def release(spark: SparkSession, path: str) -> None:
     _delete(spark, path)
 
 
-def release_previous(spark: SparkSession) -> None:
-    """Delete the folder staged before the last one."""
-    _delete(spark, _STAGED.pop(-2))
-
-
 @contextmanager
 def staging(spark: SparkSession):
     """Folders staged inside the block are removed at its end; use the results
