@@ -168,12 +168,13 @@ def _similar(percent: int) -> Column:
 
 def _verified(pairs: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) that share head tokens under orders A and B and then
-    prove similar."""
-    side = lambda x: near.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "all", "head_a", "head_b")])
-    # bounded rows: a pair's two sets; neither side is gathered by key
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    filters = F.arrays_overlap("head_a_a", "head_a_b") & F.arrays_overlap("head_b_a", "head_b_b")
-    return both.where(F.when(filters, _similar(percent)).otherwise(False)).select("a", "b")
+    prove similar. Candidates meet the short heads first; only those that pass meet the whole sets."""
+    side = lambda x, *names: near.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names])
+    # bounded rows: a pair's two heads, then its two sets; neither side is gathered by key
+    heads = pairs.select("a", "b").join(side("a", "head_a", "head_b"), "a").join(side("b", "head_a", "head_b"), "b")
+    passed = heads.where(F.arrays_overlap("head_a_a", "head_a_b") & F.arrays_overlap("head_b_a", "head_b_b")).select("a", "b")
+    both = passed.join(side("a", "n", "all"), "a").join(side("b", "n", "all"), "b")
+    return both.where(_similar(percent)).select("a", "b")
 
 
 def _enough(percent: int, a: str = "a", b: str = "b") -> Column:
