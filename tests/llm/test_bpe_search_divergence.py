@@ -29,6 +29,22 @@ def test_words_are_merged_like_the_public_library(text):
         assert byte_bpe.encode_word(word.encode(), RANKS) == PUBLIC._core_bpe.encode_single_piece(word.encode())
 
 
+EVERY = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+
+
+@pytest.mark.parametrize("kind", [r"\p{L}", r"\p{N}", r"\s"])
+def test_classes_hold_the_code_points_of_the_public_library(kind):
+    one = tiktoken.Encoding("one", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    assert "".join(byte_bpe.splitter(kind)(EVERY)) == one.decode(one.encode_ordinary(EVERY))
+
+
+def test_the_pattern_splits_every_code_point_like_the_public_library():
+    split = byte_bpe.splitter(P.PATTERN)
+    for start in range(0, len(EVERY), 4096):
+        text = "".join(f"a{c}{c} b 1{c}2 !{c}?  {c}" for c in EVERY[start:start + 4096])
+        assert [i for w in split(text) for i in PUBLIC._core_bpe.encode_single_piece(w.encode())] == PUBLIC.encode_ordinary(text)
+
+
 def test_long_words():
     for word in (b"a" * 20_000, b"ab" * 9_999 + b"a", bytes(range(256)) * 20, bytes(random.Random(4).choices(b"etaoin", k=20_000))):
         assert byte_bpe.encode_word(word, RANKS) == PUBLIC._core_bpe.encode_single_piece(word)
