@@ -250,31 +250,34 @@ def fit_classifier(rows: DataFrame, label_col: str = "label", max_iter: int = 10
 
 def optimality(model, rows: DataFrame, label_col: str = "label", weight_col: str = "weight") -> DataFrame:
     """A certificate for a fitted M4 model: one row ``(n_rows, n_classes, n_terms,
-    iterations, objective, residual)``.
+    iterations, objective, residual, residual_at_zero)``.
 
     The objective ``sum(w * log loss) / sum(w) + regParam / 2 * |b|^2`` is convex, so a model
     is optimal where its gradient is 0; ``residual`` is the gradient's largest
-    entry. The gradient is one aggregate over the sparse entries of the rows: by
+    entry, ``residual_at_zero`` that of the model of all zeros, a scale to judge it by. The gradient is one aggregate over the sparse entries of the rows: by
     term, and for the intercepts over all rows, the sum by class of ``w * (p - y) * x``."""
     k, reg = model.numClasses, model.getOrDefault("regParam")
     beta = model.coefficientMatrix.toArray()
     scored = model.transform(rows).withColumn("_p", vector_to_array("probability"))
     y, w = F.col(label_col).cast("int"), F.col(weight_col)
     slopes = [(w * (F.col("_p")[c] - (y == c).cast("double"))).alias(f"_s{c}") for c in range(k)]
+    slopes += [(w * (F.lit(1.0 / k) - (y == c).cast("double"))).alias(f"_s{k + c}") for c in range(k)]  # of the model of zeros
     loss = -w * F.log(F.greatest(F.element_at("_p", y + 1), F.lit(1e-300)))
     whole = scored.select(w.alias("_w"), loss.alias("_loss"), *slopes).agg(
-        F.count("*").alias("n"), F.sum("_w").alias("w"), F.sum("_loss").alias("loss"), *[F.sum(f"_s{c}").alias(f"g{c}") for c in range(k)]).first()
+        F.count("*").alias("n"), F.sum("_w").alias("w"), F.sum("_loss").alias("loss"), *[F.sum(f"_s{c}").alias(f"g{c}") for c in range(2 * k)]).first()
     entries = scored.select(F.explode(sparse_entries()).alias("e"), *slopes)
-    terms = entries.groupBy(F.col("e.position").alias("position")).agg(*[F.sum(F.col(f"_s{c}") * F.col("e.value")).alias(f"g{c}") for c in range(k)])
+    terms = entries.groupBy(F.col("e.position").alias("position")).agg(*[F.sum(F.col(f"_s{c}") * F.col("e.value")).alias(f"g{c}") for c in range(2 * k)])
     spark = rows.sparkSession
     weights = spark.createDataFrame([(j, *map(float, beta[:, j])) for j in range(beta.shape[1])], "position int, " + ", ".join(f"b{c} double" for c in range(k)))
-    steps = [F.abs(F.coalesce(F.col(f"g{c}"), F.lit(0.0)) / F.lit(whole["w"]) + F.lit(reg) * F.col(f"b{c}")) for c in range(k)]
-    intercepts = max(abs(whole[f"g{c}"]) / whole["w"] for c in range(k))
+    mean = [F.coalesce(F.col(f"g{c}"), F.lit(0.0)) / F.lit(whole["w"]) for c in range(2 * k)]
+    steps = [F.abs(mean[c] + F.lit(reg) * F.col(f"b{c}")) for c in range(k)]
+    intercepts, at_zero = (max(abs(whole[f"g{c}"]) / whole["w"] for c in part) for part in (range(k), range(k, 2 * k)))
     objective = whole["loss"] / whole["w"] + reg / 2 * float((beta ** 2).sum())
     return weights.join(terms, "position", "left").agg(
         F.lit(whole["n"]).cast("long").alias("n_rows"), F.lit(k).alias("n_classes"), F.count("*").alias("n_terms"),
         F.lit(int(model.summary.totalIterations)).alias("iterations"), F.lit(objective).alias("objective"),
-        F.greatest(F.max(F.greatest(*steps)), F.lit(intercepts)).alias("residual"))
+        F.greatest(F.max(F.greatest(*steps)), F.lit(intercepts)).alias("residual"),
+        F.greatest(F.max(F.greatest(*map(F.abs, mean[k:]))), F.lit(at_zero)).alias("residual_at_zero"))
 
 
 def fit_logistic(train: DataFrame, label_col: str = "label", max_iter: int = 1000,
