@@ -159,6 +159,31 @@ def test_certificate_of_an_optimal_and_of_an_unfinished_model(spark):
     assert math.isclose(steepest, b.residual, rel_tol=1e-3)
 
 
+def test_fit_rows_are_dealt_evenly_whatever_their_classes(spark, monkeypatch):
+    rows = [(f"a{i}", f"word{i % 11} noise{i % 7}", 0 if i < 900 else 1 if i < 999 else None) for i in range(1000)]
+    d = spark.createDataFrame(rows, "id string, text string, label int").repartition(3)
+    monkeypatch.setattr(LE, "FIT_ROWS", (100, 100))
+    _, dealt = LE.fit_features(d)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) <= 110
+    weights = {r.label: r.weight for r in dealt.select("label", "weight").distinct().collect()}
+    assert weights == {r.label: r.weight for r in LE.balanced_class_weights(d).where("label IS NOT NULL").collect()} | {None: None}
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(LE, "FIT_ROWS", (1_000, 100_000))
+    assert [LE.fit_partitions(spark, n) for n in (0, 1, 999, 1000 * cores, 50_000 * cores, 200_000 * cores)] == [1, 1, 1, cores, cores, 2 * cores]
+
+
+def test_weights_do_not_shuffle_the_rows_by_class(spark):
+    d = spark.range(1000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 3).cast("int").alias("label"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large rows
+    try:
+        plan = LE.with_class_weights(d)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_exact_stratified_split_counts(spark):
     df = spark.range(20000).select(F.col("id").cast("string").alias("id"),
                                    F.when(F.col("id") % 10 < 6, 2).otherwise(F.col("id") % 5).alias("label"))

@@ -112,10 +112,10 @@ def balanced_class_weights(labels: DataFrame, label_col: str = "label") -> DataF
 
 
 def with_class_weights(df: DataFrame, label_col: str = "label", weight_col: str = "weight") -> DataFrame:
-    """Attach A27 weights (one row per class; AQE broadcasts it after
-    measuring its size)."""
+    """Attach A27 weights. There is one row per class, so they are broadcast: a shuffle
+    by class would send all texts of a class to one task."""
     w = balanced_class_weights(df, label_col).select(label_col, F.col("weight").alias(weight_col))
-    return df.join(w, label_col, "left")
+    return df.join(F.broadcast(w), label_col, "left")
 
 
 def few_shot_examples(dataset: DataFrame, label_col: str = "label", id_col: str = "id",
@@ -221,16 +221,29 @@ def sparse_entries(vector_col: str = "features") -> Column:
     return F.zip_with(parts["indices"], parts["values"], lambda i, x: F.struct(i.alias("position"), x.alias("value")))
 
 
+#: Feature rows in one task of the optimiser: a task for fewer costs more than its
+#: rows, and one for more would hold more than some hundred MB.
+FIT_ROWS = (1_000, 100_000)
+
+
+def fit_partitions(spark: SparkSession, n_rows: int) -> int:
+    """Partitions of the rows that an optimiser reads some hundred times: one per core,
+    fewer for few rows, more for many (:data:`FIT_ROWS`)."""
+    least, most = FIT_ROWS
+    return max(1, min(spark.sparkContext.defaultParallelism, -(-n_rows // least)), -(-n_rows // most))
+
+
 def fit_features(train: DataFrame, label_col: str = "label", text_col: str = "text", vocab_size: int = 10000,
                  stop_words: list[str] | None = None):
     """M3 fitted on ``train``: ``(feature_model, weighted feature rows)``; the rows
     are checkpointed in the shared folder, so the optimiser (and a lost
-    executor) reads them instead of running the features again."""
+    executor) reads them instead of running the features again. They are dealt evenly
+    to :func:`fit_partitions`, whatever their classes, since every iteration waits for its longest task."""
     feats = fit_tfidf(train, text_col, vocab_size, stop_words)
     tr = feats.transform(with_class_weights(train, label_col))
     tr = tr.select("features", F.col(label_col).cast("double").alias(label_col), "weight")
     ensure_checkpoint_dir(train.sparkSession)
-    return feats, tr.checkpoint(eager=True)
+    return feats, tr.repartition(fit_partitions(train.sparkSession, feats.n_docs)).checkpoint(eager=True)
 
 
 def classifier(n_rows: int, label_col: str = "label", max_iter: int = 1000, reg_param: float | None = None) -> LogisticRegression:
