@@ -109,3 +109,42 @@ def test_a_repeated_batch_counts_once(spark, tmpdir_path):
         os.remove(os.path.join(commits, f))
     run_correcting_stream(spark, landing, store, ck)
     assert _days(rollup.daily(rollup.read_states(spark, store))) == {dt.date(2024, 3, 1): (4.0, 1, 4.0, 4.0), dt.date(2024, 3, 2): (1.0, 1, 1.0, 1.0)}
+
+
+class _Map(dict):
+    """A map state that counts how often it is asked."""
+
+    asked = 0
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+
+def test_one_call_serves_many_articles_and_asks_once_for_each():
+    import pandas as pd
+
+    from tidings.streaming.corrections import LatestLabels
+    p = LatestLabels()
+    p.latest = _Map({("a",): (3, 1.0, 10), ("b",): (1, 2.0, 10), ("c",): (1, 4.0, 11)})
+    rows = [("a", 4.0, 2, 10), ("b", 0.0, 2, 10), ("b", 3.0, 2, 10), ("c", 4.0, 1, 11), ("d", 1.0, 1, 12), ("d", 0.0, 1, 12)]
+    part = pd.DataFrame(rows, columns=["article_id", "label", "version", "day"])
+    out = pd.concat(p.handleInputRows((0,), iter([part]), None))
+    assert sorted((r.day, r.label, r.n) for r in out.itertuples() if r.n) == [(10, 2.0, -1), (10, 3.0, 1), (12, 1.0, 1)]
+    assert p.latest.asked == 4 and p.latest[("b",)] == (2, 3.0, 10) and p.latest[("a",)] == (3, 1.0, 10)
+    assert list(p.handleInputRows((0,), iter([part]), None)) == []  # the same rows again change nothing
+
+
+def test_articles_of_one_bucket_stay_apart(spark, tmpdir_path, monkeypatch):
+    from tidings.streaming import corrections
+    monkeypatch.setattr(corrections, "BUCKETS", 1)
+    landing, store, ck = (os.path.join(tmpdir_path, x) for x in ("in", "store", "ck"))
+    for version, label in ((1, 1.0), (2, 3.0)):
+        rows = [(_id(1 + k % 3, k), label if k % 2 else 2.0, version) for k in range(30)]
+        spark.createDataFrame(rows, "article_id string, label double, version long").write.mode("append").parquet(landing)
+        run_correcting_stream(spark, landing, store, ck)
+        got = _days(rollup.daily(rollup.read_states(spark, store)))
+        assert got == {dt.date(2024, 3, 1 + d): ((2.0 + label) / 2, 10, min(label, 2.0), max(label, 2.0)) for d in range(3)}

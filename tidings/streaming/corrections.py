@@ -2,8 +2,8 @@
 
 A label may arrive again for an article that has one already (a second run, a
 better model). The stream keeps the latest label of every article as state
-(``transformWithState``, keyed by article, in the RocksDB store, so that it
-may outgrow the executors' memory). When a label replaces another, it
+(``transformWithState``, a map from articles to labels in hash buckets, in the RocksDB store, so that it
+may outgrow the executors' memory; a label reads and writes its own article's entry). When a label replaces another, it
 emits a retraction of the old one and an addition of the new one; a label that is older than
 the known one, or the same, emits nothing. The changes of a micro-batch are
 summed by (day, label) and written to ``<store>/changes/batch=<id>``, which a
@@ -16,6 +16,7 @@ and compacted between runs.
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,22 +35,32 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: What arrives: one label of an article; the highest version is the latest.
 ARRIVING = T.StructType([T.StructField("article_id", T.StringType()), T.StructField("label", T.DoubleType()), T.StructField("version", T.LongType())])
 CHANGE = "day int, label double, n long"
+#: Groups that Python is called for; the articles of a bucket are looked up one by one, so it may
+#: grow. Fixed for the life of a checkpoint.
+BUCKETS = 2048
 
 
-class LatestLabel(StatefulProcessor):
-    """Per article the latest (version, label, day); output: changes by (day, label)."""
+class LatestLabels(StatefulProcessor):
+    """Per bucket of articles a map from the article to its latest (version, label, day);
+    output: the changes by (day, label) that its rows make."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "version long, label double, day int")
+        self.latest = handle.getMapState("latest", "article_id string", "version long, label double, day int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = tuple(self.latest.get()) if self.latest.exists() else None
-        arrived = ((int(v), float(x), int(d)) for part in rows for v, x, d in zip(part["version"], part["label"], part["day"], strict=True))
-        best = max([x for x in (known,) if x is not None] + list(arrived), key=lambda x: x[:2])
-        if best != known:
-            self.latest.update(best)
-            change = [(best[2], best[1], 1)] + ([(known[2], known[1], -1)] if known else [])
-            yield pd.DataFrame(change, columns=["day", "label", "n"])
+        for part in rows:
+            # a part may hold an article several times: only its latest label asks the store
+            part = part.sort_values(["version", "label", "day"]).drop_duplicates("article_id", keep="last")
+            change: Counter = Counter()
+            for article, version, label, day in zip(part["article_id"], part["version"].tolist(), part["label"].tolist(), part["day"].tolist(), strict=True):
+                known = self.latest.getValue((article,))
+                if known is None or (version, label) > tuple(known)[:2]:
+                    self.latest.updateValue((article,), (version, label, day))
+                    change[day, label] += 1
+                    if known is not None:
+                        change[known[2], known[1]] -= 1
+            if change:
+                yield pd.DataFrame([(d, x, n) for (d, x), n in change.items()], columns=["day", "label", "n"])
 
     def close(self) -> None:
         pass
@@ -62,7 +73,8 @@ def label_changes(labels: DataFrame, lenient: bool = False) -> DataFrame:
     day = F.unix_date(dates.article_date("article_id", lenient))
     rows = labels.select("article_id", F.col("label").cast("double").alias("label"), F.col("version").cast("long").alias("version"), day.alias("day"))
     rows = rows.where("day IS NOT NULL AND label IS NOT NULL AND version IS NOT NULL")
-    return rows.groupBy("article_id").transformWithStateInPandas(LatestLabel(), CHANGE, "Append", "None")
+    bucket = F.pmod(F.xxhash64("article_id"), F.lit(BUCKETS)).cast("int")
+    return rows.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(LatestLabels(), CHANGE, "Append", "None")
 
 
 def run_correcting_stream(spark: SparkSession, source_path: str, store: str, checkpoint_path: str, lenient: bool = False,
