@@ -275,3 +275,31 @@ def test_staged_folders_are_removed(spark):
         here = os.path.dirname(path.removeprefix("file:"))
         assert n == 5 and [x for x in os.listdir(here) if x.startswith("probe")]
     assert not [x for x in os.listdir(here) if x.startswith("probe")] and ensure_checkpoint_dir(spark)
+
+
+def test_compressed_json_lands_and_is_read_back(spark, tmpdir_path):
+    p, q = os.path.join(tmpdir_path, "gz"), os.path.join(tmpdir_path, "plain")
+    df = spark.createDataFrame([(1, "x" * 5000), (2, None)], "id int, t string").coalesce(1)
+    WR.write_table(df, p, fmt="json", compression="gzip")
+    WR.write_table(df, q, fmt="json")
+    size = lambda d, end: sum(os.path.getsize(os.path.join(d, f)) for f in os.listdir(d) if f.endswith(end))
+    assert 0 < size(p, ".json.gz") < size(q, ".json") / 10 and size(p, ".json") == 0
+    assert sorted(map(tuple, spark.read.schema(df.schema).json(p).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_search_pages_are_shuffled_once_and_land_compressed(spark, tmpdir_path, monkeypatch):
+    from tidings.plans import catalog as C
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("text "), "id"), 300).alias("text"), F.lit("en").alias("lang"),
+                                    F.lit("s").alias("source"), F.lit(9).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmpdir_path}/documents.parquet")
+    roots, plans, write = [], [], WR.write_table
+    monkeypatch.setattr(C, "checkpoint_root", lambda s, n, f=C.checkpoint_root: roots.append(f(s, n)) or roots[-1])
+    monkeypatch.setattr(WR, "write_table", lambda df, *a, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a, **k))
+    got = {}
+    for r in C.assembled_search_pages(spark, tmpdir_path).collect():
+        got.setdefault(r.run, []).append((r.page, r.pos, r.id))
+    assert {k: max(p for p, _, _ in v) for k, v in got.items()} == {"error": 10, "gap": 13, "shrinking": 12, "unnumbered": 6}  # of 20 pages
+    assert all(sorted((p, k) for p, k, _ in v) == [(p, k) for p in range(1, max(v)[0] + 1) for k in range(50)] for v in got.values())
+    assert len(plans) == 4 and not any("collect_list" in p for p in plans)  # none of the four builds the pages anew
+    landed = [f for d, _, files in os.walk(roots[0]) for f in files if f.startswith("part-")]
+    assert landed and all(f.endswith(".json.gz") for f in landed)

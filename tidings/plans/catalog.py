@@ -721,9 +721,10 @@ def _search_pages(spark, sf_dir) -> DataFrame:
 def assembled_search_pages(spark, sf_dir):
     """Four collections of the same search pages. In ``error`` the middle page
     failed; in ``gap`` the page at two thirds never landed; in ``shrinking`` each page
-    announces one page less than the one before; in ``unnumbered`` the pages from a quarter on announce no number."""
+    announces one page less than the one before; in ``unnumbered`` the pages from a quarter on announce no number.
+    The texts are shuffled into pages once; the four copies of them land compressed."""
     root = checkpoint_root(spark, "pages")
-    pages = _search_pages(spark, sf_dir)
+    pages = stage(_search_pages(spark, sf_dir), "search-pages")
     pages = pages.withColumn("total", V.articles(spark, sf_dir).agg((F.floor(F.max("doc_id") / 50) + 1).cast("int")).scalar())
     announced = {"shrinking": F.col("total") + 3 - F.col("page"), "unnumbered": F.when(F.col("page") <= F.floor(F.col("total") / 4), F.col("total"))}
     out = None
@@ -733,7 +734,7 @@ def assembled_search_pages(spark, sf_dir):
         p = p.select("page", F.struct(
             status.alias("status"), F.lit(None).cast("string").alias("message"), announced.get(run, F.col("total")).alias("pages"),
             F.col("page").alias("currentPage"), F.transform("_r", lambda e: e["a"]).alias("results")).alias("response"))
-        WR.write_table(p, f"{root}/{run}", fmt="json")
+        WR.write_table(p, f"{root}/{run}", fmt="json", compression="gzip")
         landed = RD.read_search_pages(spark, f"{root}/{run}", multiline=False)
         one = RD.assemble_pages(landed).select(F.lit(run).alias("run"), "page", "pos", "id")
         out = one if out is None else out.unionByName(one)

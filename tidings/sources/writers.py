@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by: list[str] | None = None) -> None:
-    """K1: articles / labels as Parquet (default) or JSON lines."""
+                partition_by: list[str] | None = None, compression: str | None = None) -> None:
+    """K1: articles / labels as Parquet (default) or JSON lines. Spark writes JSON as it
+    is unless a ``compression`` is named; readers tell it by the files' names."""
     w = df.write.mode(mode)
+    if compression:
+        w = w.option("compression", compression)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.format(fmt).save(path)
