@@ -89,3 +89,21 @@ def test_evaluate_prompting_excludes_examples(spark):
     assert {r.mode for r in got} == {"zero_shot", "few_shot"}
     per_mode = {r.mode: r.n for r in summary.collect()}
     assert per_mode == {"zero_shot": 55, "few_shot": 55}
+
+
+def test_baselines_build_their_dataset_once(spark, monkeypatch):
+    from tidings.operators.lexicon import lexicon_polarity_factory
+    words = ["gains rally rise", "loss crash fall"]
+    texts = spark.createDataFrame([(f"a{i}", f"{words[i % 2]} noise{i % 7}") for i in range(200)], "id string, text string")
+    built = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for p in parts:
+            built.add(len(p))
+            yield p
+    labels = spark.createDataFrame([(f"a{i}", 4.0 if i % 2 == 0 else 0.0) for i in range(200)], "id string, label double")
+    data = texts.mapInPandas(counted, "id string, text string").join(labels, "id")
+    out = {r.model: r for r in PL.baseline_run(data, lexicon_polarity_factory, max_iter=20).collect()}
+    assert built.value == 200
+    assert out["logistic_regression"].n == out["polarity"].n > 0
+    assert out["logistic_regression"].accuracy == out["polarity"].accuracy == 1.0

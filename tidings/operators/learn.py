@@ -223,7 +223,7 @@ def sparse_entries(vector_col: str = "features") -> Column:
 
 #: Feature rows in one task of the optimiser: a task for fewer costs more than its
 #: rows, and one for more would hold more than some hundred MB.
-FIT_ROWS = (1_000, 100_000)
+FIT_ROWS = (8_000, 100_000)
 
 
 def fit_partitions(spark: SparkSession, n_rows: int) -> int:

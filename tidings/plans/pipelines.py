@@ -16,6 +16,7 @@ from tidings.functions import dates, parse, text
 from tidings.operators import labels as L
 from tidings.operators import learn, metrics, profile, scoring
 from tidings.operators import series as S
+from tidings.session import stage
 
 
 @dataclass
@@ -133,8 +134,10 @@ def baseline_run(dataset: DataFrame, polarity_factory: Callable, label_col: str
                  max_iter: int = 1000) -> DataFrame:
     """The labelled dataset -> (1) TF-IDF + logistic regression trained
     on the hash split's train part, (2) a polarity scorer bucketed to five
-    classes; both evaluated on the test part (A13)."""
-    d = learn.hash_split(dataset.withColumn(label_col, F.col(label_col).cast("int")), "id")
+    classes; both evaluated on the test part (A13). The dataset (often a join of
+    texts and labels) is read some six times, so it is staged once."""
+    d = learn.hash_split(dataset.select("id", "text", F.col(label_col).cast("int").alias(label_col)), "id")
+    d = stage(d, "baseline")
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     feats, model = learn.fit_logistic(train, label_col, max_iter=max_iter)
     lr = learn.predict(feats, model, test, label_col).select(F.lit("logistic_regression").alias("model"),
